@@ -19,19 +19,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo"))
     )
     e = persisted(e.distinct(), "cc")
-    seen = None
-    for _ in range(max_rounds):
+    seen = _mark(e)
+    for _ in range(max_rounds if seen[0] else 0):
         e = persisted(_small_star(_large_star(e)), "cc")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        mark = _mark(e)
+        if mark == seen:
             break
         seen = mark
     else:
-        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        if seen[0]:
+            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
+def _mark(e: DataFrame):
+    """Row count and order-free checksum, to see that a round changed nothing."""
+    return e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to its smallest neighbour (or itself)."""
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
