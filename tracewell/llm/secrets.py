@@ -83,6 +83,9 @@ def _any(queries: list):
         for x in q[1] if isinstance(q, tuple) and q[0] == "or" else (q,):
             if x not in parts:
                 parts.append(x)
+    # an alternative that asks for all that another does, and more, adds nothing
+    sets = [frozenset(x[1]) if isinstance(x, tuple) and x[0] == "and" else frozenset([x]) for x in parts]
+    parts = [x for x, a in zip(parts, sets, strict=True) if not any(b < a for b in sets)]
     return True if not parts else parts[0] if len(parts) == 1 else ("or", tuple(parts))
 
 
