@@ -15,7 +15,6 @@ rows are chosen.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 #: Words kept in a worker's cache of word scores, and the longest word that is cached.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 #: At most this many words' worth of evidence counts towards the score, which else is 1 for any long text.
 EVIDENCE = 8.0
 
@@ -46,8 +45,8 @@ class Model:
         self.langs = sorted(counts)
         k = len(self.langs)
         self.prior = np.log(np.array([max(1, docs.get(x, 1)) for x in self.langs], float)) if k else np.zeros(0)
-        self.words = self._table([counts[x] for x in self.langs])
-        self.grams: list[dict[str, np.ndarray]] = []
+        self.words, self.word_rows = self._table([counts[x] for x in self.langs])
+        self.grams: list[tuple[dict[str, int], np.ndarray]] = []
         for n in range(1, LONGEST_GRAM + 1):
             by_lang = []
             for x in self.langs:
@@ -59,25 +58,28 @@ class Model:
                 by_lang.append(dict(c.most_common(grams)))
             self.grams.append(self._table(by_lang))
         self.cache: dict[str, int] = {}
-        self.rows = np.zeros((1024, k))
+        self.rows = np.zeros((1024, k), np.float32)
 
     @staticmethod
-    def _table(by_lang: list[dict[str, int]]) -> dict[str, np.ndarray]:
+    def _table(by_lang: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers of entries, and their log frequencies by language."""
         vocabulary = sorted(set().union(*by_lang)) if by_lang else []
-        totals = [sum(c.values()) + 0.5 * len(vocabulary) for c in by_lang]
-        return {w: np.array([math.log((c.get(w, 0) + 0.5) / t) for c, t in zip(by_lang, totals, strict=True)]) for w in vocabulary}
+        counts = np.array([[c.get(w, 0) for c in by_lang] for w in vocabulary], float).reshape(len(vocabulary), len(by_lang))
+        rows = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * max(1, len(vocabulary))))
+        return {w: i for i, w in enumerate(vocabulary)}, rows.astype(np.float32)
 
     def word(self, w: str) -> np.ndarray:
         """Log scores of one lower-case word for each language."""
         known = self.words.get(w)
         if known is not None:
-            return known
+            return self.word_rows[known]
         total, p, i = np.zeros(len(self.langs)), f"^{w}$", 0
         while i < len(p):
             for n in range(min(LONGEST_GRAM, len(p) - i), 0, -1):
-                g = self.grams[n - 1].get(p[i : i + n])
+                ids, rows = self.grams[n - 1]
+                g = ids.get(p[i : i + n])
                 if g is not None:
-                    total = total + g
+                    total += rows[g]
                     i += n
                     break
             else:

@@ -80,6 +80,7 @@ class Encoder:
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         pieces = [sp.id_to_piece(i) for i in range(n)]
         self.ids = {p: i for i, (p, s) in enumerate(zip(pieces, special, strict=True)) if not s}
+        self.shown = {p: (str(i), p.replace(SPACE, " ")) for p, i in self.ids.items()}
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -120,7 +121,7 @@ class Encoder:
         ok = self.pairs.get(key)
         if ok is None:
             ok = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
-            if len(self.pairs) >= CACHE_PAIRS:
+            if len(self.pairs) >= CACHE_PAIRS:  # wrong pairs are kept too, so that each is merged once
                 self.pairs.clear()
             self.pairs[key] = ok
         return ok
@@ -128,32 +129,33 @@ class Encoder:
     def split(self, chunk: str) -> list[str]:
         """Pieces of a chunk, by backtracking."""
         n = len(chunk)
-        at: list[list[int]] = [[] for _ in range(n)]  # lengths that match at each position, shortest first
+        at: list[list[int] | None] = [None] * (n + 1)  # lengths that match at each position, shortest first
         for end, size in self.auto.iter(chunk):
-            at[end - size + 1].append(size)
-        failed = bytearray((n + 8) // 8)
-        pos, out, tried = 0, [], []
-        sizes = sorted(at[0]) if n else []
+            start = end - size + 1
+            if at[start] is None:
+                at[start] = [size]
+            else:
+                at[start].append(size)
+        failed = bytearray((n >> 3) + 1)
+        pos, out, pairs = 0, [], self.pairs
+        last = None
         while pos < n:
-            last = out[-1] if out else None
-            if not at[pos]:  # outside the vocabulary: stands alone and merges with nothing
-                sizes = [1] if not tried or tried[-1] is not None else []
+            sizes = at[pos]
+            if sizes is None:  # outside the vocabulary: stands alone and merges with nothing
+                sizes = at[pos] = [1]
             while sizes:
-                size = sizes.pop()
-                end = pos + size
+                end = pos + sizes.pop()  # a position is entered once until it fails, so what is left here stays its own
                 piece = chunk[pos:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(last, piece):
+                if not failed[end >> 3] >> (end & 7) & 1 and (pairs.get((last, piece)) or self.compatible(last, piece)):
                     out.append(piece)
-                    tried.append(sizes)
-                    pos = end
-                    sizes = sorted(at[pos]) if pos < n and at[pos] else [1]
+                    last, pos = piece, end
                     break
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise AssertionError("no encoding")
                 pos -= len(out.pop())
-                sizes = tried.pop()
+                last = out[-1] if out else None
         return out
 
     def ids_of(self, piece: str) -> list[int]:
@@ -170,8 +172,13 @@ class Encoder:
             if got is not None:
                 self.keep(chunk, got)
                 return got
-            ids = [i for p in self.split(chunk) for i in self.ids_of(p)]
-            got = (",".join(map(str, ids)), len(ids), self.decode_ids(ids))
+            one = self.shown.get
+            parts = [one(p) for p in self.split(chunk)]
+            if None in parts:
+                ids = [i for p in self.split(chunk) for i in self.ids_of(p)]
+                got = (",".join(map(str, ids)), len(ids), self.decode_ids(ids))
+            else:
+                got = (",".join([p[0] for p in parts]), len(parts), "".join([p[1] for p in parts]))
             if len(chunk) <= CACHE_CHARS:
                 self.keep(chunk, got)
         return got

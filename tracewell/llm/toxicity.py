@@ -35,7 +35,7 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 #: What a misspelled or quoted hit counts for, before any evidence, and how many rows that belief weighs.
 PRIOR = {"fuzzy": 0.8, "quoted": 0.5, "both": 0.4}
 PRIOR_ROWS = 4
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 200_000
 #: Rows with label 1 that a term needs, and their share: rarer words mark a text by chance.
 LEAST_ROWS, LEAST_SHARE = 6, 0.01
 REJECT = 0.7
