@@ -1,4 +1,400 @@
-"""Registered queries of the log engine and their DuckDB equivalents."""
+"""Registered queries of the log engine and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Parsers are shown by rendering table rows as log lines and parsing them back, so the oracle is the table itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tracewell.functions.columns import hex_decoded, in_cidr, ip_class, sockaddr
+from tracewell.operators import analytics, ioc, timeline
+from tracewell.plans import rules as R
+from tracewell.plans.search import Fields, compile_query
+from tracewell.schema import from_app_events
+from tracewell.sources import detect
+from tracewell.sources.parsers import Options, parse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The normalized event row of the events table, as SQL.
+EV = """ev AS (SELECT event_id AS id, ts, 'app' AS source, CAST(user_id AS VARCHAR) AS "user", event_type AS event, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity,
+ event_type AS message, CAST(floor(value) AS BIGINT) AS bytes, props AS extra,
+ 'level=' || CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END || ' user=' || CAST(user_id AS VARCHAR) || ' event=' || event_type || ' k=' || (props->>'k') AS raw FROM events)"""
+#: What free text is matched against: message, raw, user and source; the other columns are null here.
+TEXT = "concat_ws(' ', message, raw, \"user\", source)"
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_app_events(read(spark, sf_dir, "events"))
+
+
+FIELDS = Fields(["k"])
+
+
+def _search(query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events(spark, sf_dir).where(compile_query(query, FIELDS)[0]).select("id", "ts", "user", "event")
+
+    return run
+
+
+def search(name: str, query: str, where: str) -> None:
+    add(f"search_{name}", _search(query), f'WITH {EV} SELECT id, ts, "user", event FROM ev WHERE {where}')
+
+
+search("equals", "event=error", "lower(event) = 'error'")
+search("double_equals", "event==ERROR", "lower(event) = 'error'")
+search("contains", "event:err", "event ILIKE '%err%'")
+search("negated", "-event=error", "NOT coalesce(lower(event) = 'error', false)")
+search("not_equal", "event!=view user=7", "NOT coalesce(lower(event) = 'view', false) AND \"user\" = '7'")
+search("number_list", "bytes:1,2,3,4,5", "bytes IN (1, 2, 3, 4, 5)")
+search("number_range", "bytes>=100 bytes<200", "bytes >= 100 AND bytes < 200")
+search("number_glob", "bytes:1*", "CAST(bytes AS VARCHAR) ILIKE '1%'")
+search("number_as_text", "size=abc OR size=7", "CAST(bytes AS VARCHAR) = 'abc' OR bytes = 7")
+search("extra_key", "x:k=87", "lower(props_k) = '87'".replace("props_k", "(extra->>'k')"))
+search("extra_alias", "eventdata.K:8", "(extra->>'k') ILIKE '%8%'")
+search("time_day", "ts:2024-01-10", "CAST(ts AS VARCHAR) LIKE '2024-01-10%'")
+search("time_hour", 'ts:"2024-01-10 03"', "CAST(ts AS VARCHAR) LIKE '2024-01-10 03%'")
+search("time_from", "ts>=2024-01-15T12:00:00Z", "ts >= TIMESTAMP '2024-01-15 12:00:00'")
+search("groups", "(event=click OR event=view) NOT user=5", "(event = 'click' OR event = 'view') AND NOT coalesce(\"user\" = '5', false)")
+search("symbols", "event=click || event=signup && ! user=9", "event = 'click' OR (event = 'signup' AND NOT coalesce(\"user\" = '9', false))")
+search("regex", "/user=1[0-3] event=p/", "regexp_matches(coalesce(raw, message, ''), 'user=1[0-3] event=p', 'i')")
+search("field_regex", "event:/^(cl|si)/", "regexp_matches(event, '^(cl|si)', 'i')")
+search("field_glob", "event:?ur*se", "event ILIKE '_ur%se' ESCAPE '\\'")
+search("free_text", "ERROR", f"{TEXT} ILIKE '%error%'")
+search("free_glob", "*eve?t*click*", f"{TEXT} ILIKE '%eve_t%click%'")
+search("phrase", '"event=view k=1"', f"{TEXT} ILIKE '%event=view k=1%'")
+search("present", "user:*", "\"user\" IS NOT NULL AND \"user\" <> ''")
+search("missing", "src_ip:- severity:error", "severity ILIKE '%error%'")
+search("text_order", "event>login", "lower(event) > 'login'")
+search("alias", "username=42 sev=info", "\"user\" = '42' AND severity = 'info'")
+search("spaced", "event = purchase user contains 1", "lower(event) = 'purchase' AND \"user\" ILIKE '%1%'")
+search("nulls_kept", "-path:login -referer=x", "true")
+
+
+def _seq(s: SparkSession, d: str) -> DataFrame:
+    return timeline.with_seq(events(s, d)).select("seq", "id", "ts")
+
+
+SEQ = f'WITH {EV}, sq AS (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, id) AS seq FROM ev)'
+add("timeline_seq", _seq, f"{SEQ} SELECT seq, id, ts FROM sq")
+
+
+def _error_page(s: SparkSession, d: str) -> DataFrame:
+    rows = events(s, d).where(compile_query("event=error x:k>5", FIELDS)[0])
+    return timeline.page(rows, "ts", True, 200).select("id", "ts", "user", "event", "bytes", "extra")
+
+
+add("search_error_page", _error_page, f'WITH {EV} SELECT id, ts, "user", event, bytes, extra FROM ev WHERE event = \'error\' AND lower(extra->>\'k\') > \'5\' ORDER BY ts DESC NULLS LAST, id DESC LIMIT 200')
+add("page_offset", lambda s, d: timeline.page(events(s, d), "bytes", True, 100, 50).select("id", "bytes"), f"WITH {EV} SELECT id, bytes FROM ev ORDER BY bytes DESC NULLS LAST, id LIMIT 100 OFFSET 50")
+add("page_by_extra", lambda s, d: timeline.page(events(s, d), "x:k", False, 100).select("id", "extra"), f"WITH {EV} SELECT id, extra FROM ev ORDER BY extra->>'k' NULLS LAST, id LIMIT 100")
+add("time_window", lambda s, d: timeline.in_range(events(s, d), "2024-01-05", "2024-01-07").select("id", "ts"), f"WITH {EV} SELECT id, ts FROM ev WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-07'")
+
+
+def _context_rows(s: SparkSession, d: str) -> DataFrame:
+    seqd = timeline.with_seq(events(s, d)).select("seq", "id", "ts", "event")
+    return timeline.context_rows(seqd, seqd.where("event = 'purchase'"), 5, 3).select("anchor", "seq", "id")
+
+
+add("context_rows", _context_rows, f"{SEQ} SELECT a.id AS anchor, b.seq, b.id FROM sq a JOIN sq b ON b.seq BETWEEN a.seq - 5 AND a.seq + 3 WHERE a.event = 'purchase'")
+
+
+def _context_time(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d).select("id", "ts", "event")
+    return timeline.context_time(e, e.where("event = 'signup'"), 600, 1800).select("anchor", "id", "ts")
+
+
+add("context_time", _context_time, f"WITH {EV} SELECT a.id AS anchor, b.id, b.ts FROM ev a JOIN ev b ON b.ts BETWEEN a.ts - INTERVAL 600 SECOND AND a.ts + INTERVAL 1800 SECOND WHERE a.event = 'signup'")
+
+
+def _as_of(s: SparkSession, d: str) -> DataFrame:
+    e = events(s, d)
+    got = timeline.last_before(e.withColumn("raw_id", F.col("id")), F.col("event") == "purchase", F.col("event") == "click", ["user"], "raw_id")
+    return got.select("id", F.col("found").alias("click_id"))
+
+
+add("as_of_click", _as_of, f"WITH {EV} SELECT p.id, c.id AS click_id FROM (SELECT * FROM ev WHERE event = 'purchase') p ASOF LEFT JOIN (SELECT * FROM ev WHERE event = 'click') c ON p.\"user\" = c.\"user\" AND p.ts >= c.ts")
+add(
+    "islands_by_user",
+    lambda s, d: timeline.islands(events(s, d), ["user"], "event").groupBy("user", "island").agg(F.min("event").alias("event"), F.count("*").alias("n"), F.min("ts").alias("first_ts")).withColumn("island", F.col("island").cast("long")),
+    f'WITH {EV}, f AS (SELECT *, CASE WHEN event IS DISTINCT FROM lag(event) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS c FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY ts, id)), g AS (SELECT *, sum(c) OVER (PARTITION BY "user" ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT "user", CAST(island AS BIGINT) AS island, min(event) AS event, count(*) AS n, min(ts) AS first_ts FROM g GROUP BY ALL',
+)
+
+add("facet_event", lambda s, d: analytics.facet(events(s, d), "event"), f"WITH {EV} SELECT event AS value, count(*) AS n FROM ev WHERE event <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+add("facet_user", lambda s, d: analytics.facet(events(s, d), "user", 15), f"WITH {EV} SELECT \"user\" AS value, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+add("facet_extra", lambda s, d: analytics.facet(events(s, d), "x:k"), f"WITH {EV} SELECT extra->>'k' AS value, count(*) AS n FROM ev WHERE (extra->>'k') <> '' GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+add("facet_totals", lambda s, d: analytics.facet_totals(events(s, d), "user"), f"WITH {EV} SELECT count(*) AS matched, count(DISTINCT \"user\") AS distinct_values FROM ev WHERE \"user\" <> ''")
+add("extra_keys", lambda s, d: analytics.extra_keys(events(s, d)), f"WITH {EV} SELECT DISTINCT unnest(json_keys(extra)) AS key FROM ev")
+add("stats_by_event", lambda s, d: analytics.stats(events(s, d), "event"), f"WITH {EV} SELECT event, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ev GROUP BY 1")
+add("dashboard_counters", lambda s, d: analytics.counters(events(s, d)), f"WITH {EV} SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts, CAST(0 AS BIGINT) AS n_src_ip, count(DISTINCT \"user\") AS n_user, CAST(0 AS BIGINT) AS n_src_file, count(DISTINCT source) AS n_source FROM ev")
+add(
+    "dashboard_tops",
+    lambda s, d: analytics.tops(events(s, d)).select("field", "value", "n", F.col("rank").cast("long").alias("rank")),
+    f"WITH {EV}, u AS (SELECT 'user' AS field, \"user\" AS value FROM ev UNION ALL SELECT 'source', source FROM ev UNION ALL SELECT 'severity', severity FROM ev), g AS (SELECT field, value, count(*) AS n FROM u GROUP BY ALL) SELECT field, value, n, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM g QUALIFY rank <= 10",
+)
+add(
+    "histogram",
+    lambda s, d: analytics.histogram(events(s, d)),
+    f"WITH {EV}, t AS (SELECT epoch_us(ts) AS us FROM ev WHERE ts IS NOT NULL), m AS (SELECT min(us) AS a, max(us) AS b FROM t), n AS (SELECT least(((us - a) * 120) // (b - a), 119) AS bucket, count(*) AS n FROM t, m GROUP BY 1) SELECT CAST(r AS BIGINT) AS bucket, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 120)) AS r) LEFT JOIN n ON r = bucket",
+)
+
+IP = "concat('10.', CAST(user_id % 200 AS VARCHAR), '.', CAST(event_id % 256 AS VARCHAR), '.7')"
+
+
+def _with_ip(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "events").withColumn("ip", F.concat_ws(".", F.lit("10"), (F.col("user_id") % 200).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("7")))
+
+
+add("cidr_filter", lambda s, d: _with_ip(s, d).where(in_cidr(F.col("ip"), "10.16.0.0/12")).select("event_id", "ip"), f"SELECT event_id, {IP} AS ip FROM events WHERE user_id % 200 BETWEEN 16 AND 31")
+add("ip_class", lambda s, d: _with_ip(s, d).select(ip_class(F.col("ip")).alias("class")).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'internal' AS class, count(*) AS n FROM events")
+
+
+def _enriched(s: SparkSession, d: str) -> DataFrame:
+    ranges = s.createDataFrame([(167772160, 168820735, "net-a"), (169000000, 170000000, "net-b"), (180000000, 181000000, "net-c")], "net_start long, net_end long, org string")
+    rows = read(s, d, "events").select("event_id", (F.lit(167772160) + (F.col("user_id") % 200) * 65536 + (F.col("event_id") % 256) * 256 + 7).alias("ip_number"))
+    return analytics.enrich_ip(rows, ranges).groupBy("org").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+add(
+    "ip_range_join",
+    _enriched,
+    "WITH r(net_start, net_end, org) AS (VALUES (167772160, 168820735, 'net-a'), (169000000, 170000000, 'net-b'), (180000000, 181000000, 'net-c')), e AS (SELECT event_id, 167772160 + (user_id % 200) * 65536 + (event_id % 256) * 256 + 7 AS n FROM events) SELECT org, count(*) AS n, min(event_id) AS first_id FROM e LEFT JOIN r ON n BETWEEN net_start AND net_end GROUP BY 1",
+)
+
+RULES = """
+title: errors of one user
+name: errors
+logsource: {category: application}
+level: high
+tags: [attack.credential_access, attack.t1110]
+detection:
+  sel: {event: error}
+  not_low: {bytes|lt: 10}
+  condition: sel and not not_low
+---
+title: purchases or sign-ups
+name: buys
+logsource: {category: application}
+level: low
+tags: [attack.t1078]
+detection:
+  sel_a: {event|startswith: pur}
+  sel_b: {event|endswith: up}
+  condition: 1 of sel_*
+---
+title: keyword
+logsource: {category: application}
+detection:
+  words: ['event=click k=1', 'event=view k=2?']
+  condition: words
+---
+title: values
+logsource: {category: application}
+detection:
+  a: {user|re: '^1[0-9]$', k|gte: 50}
+  b: {event: [click, view]}
+  c: {user|contains|all: ['1', '2']}
+  condition: (a and b) or c
+---
+title: other system
+logsource: {product: windows}
+detection: {sel: {a: b}, condition: sel}
+---
+title: many errors
+correlation: {type: event_count, rules: [errors], group-by: [user], timespan: 1d, condition: {gte: 3}}
+---
+title: many keys
+correlation: {type: value_count, rules: [buys], group-by: [user], timespan: 2d, condition: {gte: 3, field: k}}
+---
+title: errors and buys
+correlation: {type: temporal, rules: [errors, buys], group-by: [user], timespan: 12h}
+"""
+_RULES = R.load_text(RULES)
+_HITS = {
+    "errors of one user": "event = 'error' AND NOT (bytes < 10)",
+    "purchases or sign-ups": "event ILIKE 'pur%' OR event ILIKE '%up'",
+    "keyword": "raw ILIKE '%event=click k=1%' OR raw ILIKE 'event=view k=2_' OR message ILIKE '%event=click k=1%' OR message ILIKE 'event=view k=2_'",
+    "values": "(regexp_matches(\"user\", '^1[0-9]$') AND TRY_CAST(extra->>'k' AS DOUBLE) >= 50 AND event IN ('click', 'view')) OR (\"user\" ILIKE '%1%' AND \"user\" ILIKE '%2%')",
+}
+_HIT_SQL = " UNION ALL ".join(f"SELECT '{t}' AS rule, id, ts, \"user\", extra FROM ev WHERE {w}" for t, w in _HITS.items())
+add("rule_hits", lambda s, d: R.hits(events(s, d), _RULES).select("rule", "id"), f"WITH {EV}, h AS ({_HIT_SQL}) SELECT rule, id FROM h")
+add(
+    "rule_findings",
+    lambda s, d: R.findings(events(s, d), _RULES, 3).select("rule", "level", "n", F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("samples")),
+    f"WITH {EV}, h AS ({_HIT_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts NULLS LAST, id) AS k FROM h) SELECT rule, CASE rule WHEN 'errors of one user' THEN 'high' WHEN 'purchases or sign-ups' THEN 'low' ELSE 'medium' END AS level, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS samples FROM r GROUP BY 1",
+)
+add("attack_matrix", lambda s, d: R.matrix(R.findings(events(s, d), _RULES, 1), _RULES).select("tactic", "technique", "n"), f"WITH {EV}, h AS ({_HIT_SQL}) SELECT CASE rule WHEN 'errors of one user' THEN 'credential-access' ELSE 'other' END AS tactic, CASE rule WHEN 'errors of one user' THEN 'T1110' ELSE 'T1078' END AS technique, CAST(count(*) AS BIGINT) AS n FROM h WHERE rule IN ('errors of one user', 'purchases or sign-ups') GROUP BY ALL")
+
+
+def _correlated(title: str) -> Callable[[SparkSession, str], DataFrame]:
+    rule = next(r for r in _RULES if r.title == title)
+    return lambda s, d: R.correlate(events(s, d), _RULES, rule)
+
+
+def _bucket(seconds: int) -> str:
+    return f"make_timestamp(CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds} * 1000000)"
+
+
+_E, _B = (f"SELECT *, '{k}' AS rule FROM ev WHERE {_HITS[t]}" for k, t in (("e", "errors of one user"), ("b", "purchases or sign-ups")))
+_AGG = "min(id) AS first_id, min(ts) AS first_ts, max(ts) AS last_ts"
+add("correlation_event_count", _correlated("many errors"), f'WITH {EV}, h AS ({_E}) SELECT "user", {_bucket(86400)} AS start, count(*) AS n, {_AGG} FROM h GROUP BY 1, 2 HAVING n >= 3')
+add("correlation_value_count", _correlated("many keys"), f'WITH {EV}, h AS ({_B}) SELECT "user", {_bucket(172800)} AS start, count(DISTINCT extra->>\'k\') AS n, {_AGG} FROM h GROUP BY 1, 2 HAVING n >= 3')
+add("correlation_temporal", _correlated("errors and buys"), f'WITH {EV}, h AS ({_E} UNION ALL {_B}) SELECT "user", {_bucket(43200)} AS start, count(DISTINCT rule) AS n, {_AGG} FROM h GROUP BY 1, 2 HAVING n >= 2')
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "text")
+
+
+# lookarounds are beyond the oracle's regular expressions, so each pattern is widened by the neighbours it excludes and the match cut out
+add(
+    "ioc_hashes",
+    lambda s, d: ioc.extracted(_documents(s, d), F.lit(""), F.col("text"), ipv6=False).where("type = 'sha1'").groupBy("value").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
+    "WITH m AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(regexp_replace(text, '[^0-9A-Za-z_]', ' ', 'g'), '(?:^| )([0-9A-Fa-f]{40})(?: |$)', 1))) AS value FROM documents) SELECT value, count(*) AS n, min(doc_id) AS first_id FROM m GROUP BY 1",
+)
+add(
+    "ioc_urls",
+    lambda s, d: ioc.extracted(read(s, d, "pages").select(F.col("page_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "url"), F.col("url"), ipv6=False).where("type = 'url'").select("id", "value"),
+    "SELECT page_id AS id, regexp_replace(regexp_extract(url, 'https?://[^\\s\"''`<>\\]\\[{}|\\\\^]+'), '[.,;:!?)]+$', '') AS value FROM pages WHERE regexp_matches(url, 'https?://[^\\s]+')",
+)
+add(
+    "ioc_domains",
+    lambda s, d: ioc.rolled_up(ioc.extracted(read(s, d, "pages").select(F.col("page_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "url"), F.col("url"), ipv6=False).where("type = 'domain'"), 50).select("value", "n", "first_id"),
+    "WITH m AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS value FROM pages) SELECT value, count(*) AS n, min(page_id) AS first_id FROM m WHERE regexp_matches(value, '\\.(com|org|net)$') GROUP BY 1 ORDER BY n DESC, value LIMIT 50",
+)
+_WANTED = ["apache license", "MIT License", "no such thing", "AKIA"]
+add(
+    "ioc_sweep",
+    lambda s, d: ioc.sweep_summary(ioc.sweep(_documents(s, d), F.col("text"), _WANTED), 3).select("indicator", "n", F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("samples")),
+    f"WITH w AS (SELECT unnest({_WANTED}) AS indicator), m AS (SELECT indicator, doc_id, row_number() OVER (PARTITION BY indicator ORDER BY doc_id) AS k FROM w JOIN documents ON contains(lower(text), lower(indicator))) SELECT indicator, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS samples FROM m GROUP BY 1",
+)
+
+# parsers: render, then parse
+
+
+def _rendered(s: SparkSession, d: str, line) -> DataFrame:
+    e = read(s, d, "events")
+    return e.select(F.lit("f.log").alias("src_file"), F.col("event_id").cast("int").alias("line_no"), line.alias("line"), F.lit(2024).alias("file_year"))
+
+
+_TS = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
+_CUT = "date_trunc('second', ts)"
+_STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END"
+
+
+def _parse_logfmt(s: SparkSession, d: str) -> DataFrame:
+    line = F.expr(f"concat('ts=', replace({_TS}, ' ', 'T'), 'Z level=', if(event_type='error','ERROR','info'), ' user=', user_id, ' event=', event_type, ' pid=', event_id, ' k=\"', event_id % 7, '\"')")
+    return parse(_rendered(s, d, line), "logfmt").select("line_no", "ts", "severity", "user", "event", "pid", F.get_json_object("extra", "$.k").alias("k"))
+
+
+add("parse_logfmt", _parse_logfmt, f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CAST(user_id AS VARCHAR) AS \"user\", event_type AS event, CAST(event_id AS INTEGER) AS pid, CAST(event_id % 7 AS VARCHAR) AS k FROM events")
+
+
+def _parse_access(s: SparkSession, d: str) -> DataFrame:
+    line = F.expr(f"concat('10.0.0.', user_id % 256, ' - u', user_id, ' [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0200] \"GET /', event_type, '/', event_id, ' HTTP/1.1\" ', {_STATUS}, ' ', event_id * 3, ' \"-\" \"agent/1.0\"')")
+    return parse(_rendered(s, d, line), "access").select("line_no", "ts", "src_ip", "user", "method", "path", "status", "bytes", "severity", "user_agent")
+
+
+add("parse_access", _parse_access, f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} - INTERVAL 2 HOUR AS ts, '10.0.0.' || (user_id % 256) AS src_ip, 'u' || user_id AS \"user\", 'GET' AS method, '/' || event_type || '/' || event_id AS path, CAST({_STATUS} AS INTEGER) AS status, event_id * 3 AS bytes, CASE {_STATUS} WHEN 500 THEN 'error' WHEN 404 THEN 'warn' ELSE 'info' END AS severity, 'agent/1.0' AS user_agent FROM events")
+
+
+def _parse_auth(s: SparkSession, d: str) -> DataFrame:
+    message = "CASE event_type WHEN 'error' THEN concat('Failed password for invalid user u', user_id, ' from 10.1.2.3 port ', 1000 + event_id % 5000, ' ssh2') WHEN 'click' THEN concat('Accepted publickey for u', user_id, ' from 10.1.2.4 port 22 ssh2') ELSE 'Connection closed' END"
+    line = F.expr(f"concat(date_format(ts, 'MMM'), ' ', lpad(cast(day(ts) as string), 2, ' '), ' ', date_format(ts, 'HH:mm:ss'), ' web01 sshd[', event_id, ']: ', {message})")
+    return parse(_rendered(s, d, line), "auth", Options(base_year=2024)).select("line_no", "ts", "host", "program", "pid", "event", "severity", "user", "src_ip", "src_port", "sigma_logsource")
+
+
+add(
+    "parse_auth",
+    _parse_auth,
+    f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} AS ts, 'web01' AS host, 'sshd' AS program, CAST(event_id AS INTEGER) AS pid, CASE event_type WHEN 'error' THEN 'ssh_failed' WHEN 'click' THEN 'ssh_accepted' END AS event, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'info' END AS severity, CASE WHEN event_type IN ('error', 'click') THEN 'u' || user_id END AS \"user\", CASE event_type WHEN 'error' THEN '10.1.2.3' WHEN 'click' THEN '10.1.2.4' END AS src_ip, CAST(CASE event_type WHEN 'error' THEN 1000 + event_id % 5000 WHEN 'click' THEN 22 END AS INTEGER) AS src_port, 'linux/sshd' AS sigma_logsource FROM events",
+)
+
+
+def _parse_auditd(s: SparkSession, d: str) -> DataFrame:
+    line = F.expr("concat('type=', upper(event_type), ' msg=audit(', 1700000000 + event_id, '.123:', event_id, '): pid=', event_id, ' uid=', user_id, ' exe=\"/usr/bin/', event_type, '\" success=', if(event_type='error','no','yes'))")
+    return parse(_rendered(s, d, line), "auditd").select("line_no", "ts", "event", "user", "pid", "exe", "severity")
+
+
+add("parse_auditd", _parse_auditd, "SELECT CAST(event_id AS INTEGER) AS line_no, make_timestamp((1700000000 + event_id) * 1000000) AS ts, event_type AS event, CAST(user_id AS VARCHAR) AS \"user\", CAST(event_id AS INTEGER) AS pid, '/usr/bin/' || event_type AS exe, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'info' END AS severity FROM events")
+
+
+def _parse_csv(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders")
+    rows = o.select(F.lit("o.csv").alias("src_file"), (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.expr("concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00Z,u', o_custkey, ',\"', o_orderpriority, ', x\",', o_orderkey)").alias("line"), F.lit(2024).alias("file_year"))
+    head = s.createDataFrame([("o.csv", -2147483648, "timestamp,user,priority name,pid", 2024)], rows.schema)
+    return parse(head.unionByName(rows), "csv").select("line_no", "ts", "user", "pid", F.get_json_object("extra", "$.priority_name").alias("priority"))
+
+
+add("parse_csv", _parse_csv, "SELECT CAST(o_orderkey + 1 AS INTEGER) AS line_no, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, 'u' || o_custkey AS \"user\", CAST(o_orderkey AS INTEGER) AS pid, o_orderpriority || ', x' AS priority FROM orders")
+
+
+def _year_rollover(s: SparkSession, d: str) -> DataFrame:
+    o = read(s, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    months = o.select(F.date_trunc("month", "o_orderdate").alias("m")).distinct()
+    rows = months.select(F.lit("syslog").alias("src_file"), F.row_number().over(Window.orderBy("m")).alias("line_no"), F.concat(F.date_format("m", "MMM"), F.lit("  1 00:00:00 h cron[1]: x")).alias("line"), F.lit(2000).alias("file_year"), F.year("m").alias("y"))
+    first = o.agg(F.year(F.min("o_orderdate"))).first()[0] or 1992
+    return parse(rows.drop("y"), "syslog", Options(base_year=int(first))).select("line_no", "ts")
+
+
+add("parse_year_rollover", _year_rollover, "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')")
+
+
+def _detected(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    logfmt = F.expr("concat('level=info user=', user_id, ' event=', event_type)")
+    access = F.expr("concat('10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] \"GET / HTTP/1.1\" 200 ', event_id)")
+    audit = F.expr("concat('type=SYSCALL msg=audit(1700000000.1:', event_id, '): pid=1')")
+    line = F.when(F.col("event_type") == "view", logfmt).when(F.col("event_type") == "click", access).otherwise(audit)
+    rows = e.select(F.concat(F.lit("part-"), F.col("event_type")).alias("src_file"), F.col("event_id").cast("int").alias("line_no"), line.alias("line"), F.lit(2024).alias("file_year"))
+    return detect.detected(rows)
+
+
+add("detect_content", _detected, "SELECT DISTINCT 'part-' || event_type AS src_file, CASE event_type WHEN 'view' THEN 'logfmt' WHEN 'click' THEN 'access' ELSE 'auditd' END AS type FROM events")
+add("hex_decode", lambda s, d: read(s, d, "events").select("event_id", hex_decoded(F.hex(F.concat(F.lit("cmd "), F.col("event_type")).cast("binary"))).alias("text")), "SELECT event_id, 'cmd ' || event_type AS text FROM events")
+
+
+def _sockaddr(s: SparkSession, d: str) -> DataFrame:
+    a = F.expr("concat('0200', lpad(hex(event_id % 65536), 4, '0'), '0A', lpad(hex(user_id % 256), 2, '0'), '0001', '0000000000000000')")
+    ip, port = sockaddr(a)
+    return read(s, d, "events").select("event_id", ip.alias("ip"), port.alias("port"))
+
+
+add("sockaddr_decode", _sockaddr, "SELECT event_id, '10.' || (user_id % 256) || '.0.1' AS ip, CAST(event_id % 65536 AS VARCHAR) AS port FROM events")
+
+# set operations and the shipped recipes, as SQL over a temporary view
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, ev=events(spark, sf_dir), labels=read(spark, sf_dir, "labels"), documents=read(spark, sf_dir, "documents"))
+
+    return run
+
+
+def sql(name: str, text: str) -> None:
+    """The same text on both engines; {ev} and other tables in braces."""
+    add(f"sql_{name}", _sql(text), f"WITH {EV} " + text.replace("{ev}", "ev").replace("{labels}", "labels").replace("{documents}", "documents").replace("`user`", '"user"').replace("WITH bad", ", bad", 1))
+
+
+sql("first_last", "SELECT `user`, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM {ev} GROUP BY `user`")
+sql("burst_then_buy", "WITH bad AS (SELECT `user`, count(*) AS n FROM {ev} WHERE event = 'error' GROUP BY `user` HAVING count(*) > 5) SELECT e.`user`, bad.n AS errors, min(e.ts) AS first_buy FROM {ev} e JOIN bad ON e.`user` = bad.`user` WHERE e.event = 'purchase' GROUP BY e.`user`, bad.n")
+sql("union_signals", "SELECT sign, count(*) AS n FROM (SELECT 'a' AS sign FROM {ev} WHERE event = 'error' UNION ALL SELECT 'b' AS sign FROM {ev} WHERE bytes > 50 UNION ALL SELECT 'c' AS sign FROM {ev} WHERE severity = 'info') GROUP BY sign")
+sql("semi_labels", "SELECT doc_id, lang FROM {documents} WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = {documents}.doc_id AND l.toxic = 1)".replace("{documents}.doc_id", "d.doc_id").replace("FROM {documents} WHERE", "FROM {documents} d WHERE"))
+sql("anti_labels", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
