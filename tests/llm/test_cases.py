@@ -326,6 +326,7 @@ def test_minhash_cases(docs, empty):
 def test_minhash_groups_at_any_depth(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CROWDED", 6)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 25)
     rng = np.random.default_rng(8)
     rows, i = [], 0
     for size, words, edits in ((150, 120, 3), (40, 60, 2), (30, 200, 14), (3, 30, 1), (2, 6, 0), (60, 40, 20)):

@@ -5,8 +5,9 @@
    a region; a crowded region goes to a deeper prefix, and at the deepest its rows join one leader.
 3. Within a region, short signatures are compared; those that may reach the threshold join one candidate cluster
    (connected components over the whole corpus).
-4. Inside each cluster all pairs are confirmed exactly, in blocks of bounded size, as products of shingle incidence
-   matrices. Only spanning links leave a block, and components of those are the result.
+4. Inside each cluster pairs are confirmed exactly, in blocks of bounded size, as products of shingle incidence matrices.
+   In clusters wider than a block, members linked to one lead are joined after one comparison each, and only the others
+   meet everybody. Only spanning links leave a block, and components of those are the result.
 
 A candidate cluster is a superset of the true groups, so leaders and spanning trees in steps 2 and 3 lose nothing that the
 exact step could find. Pairs at the threshold meet in no tree with probability (1 - s^depth)^TREES: 1e-5 at 0.85 and
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import grouped, persisted, python_batches
@@ -36,8 +37,8 @@ TREES, PER_TREE = 12, 8
 DEPTHS = (3, 5, 8)
 #: Rows of a region before it goes deeper.
 CROWDED = 512
-#: Shingles of one block when a cluster is confirmed, and cells of one incidence matrix.
-BLOCK_SHINGLES, BLOCK_CELLS = 1_000_000, 8_000_000
+#: Shingles and rows of one part when a cluster is confirmed, and cells of one incidence matrix.
+BLOCK_SHINGLES, BLOCK_ROWS, BLOCK_CELLS = 1_000_000, 2000, 8_000_000
 CACHE_WORDS = 400_000
 
 _rng = np.random.default_rng(7)
@@ -246,6 +247,27 @@ def block_links(sets: list[np.ndarray], threshold: float) -> list[int]:
     return _roots(n, pairs())
 
 
+def _cored(members: DataFrame, threshold: float) -> DataFrame:
+    """cluster, rep, n, set, lead, core: which members of a wide cluster are linked to one of them, its lead.
+
+    In a group of near copies that is nearly all, after one comparison each; their own pairs need no further look.
+    """
+    leads = members.groupBy("cluster").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "set")).alias("x"))
+    both = members.join(leads.select("cluster", F.col("x.rep").alias("lead"), F.col("x.set").alias("lead_set")), "cluster")
+    per = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            core = []
+            for x, y in zip(b.column("set").to_pylist(), b.column("lead_set").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                core.append(100 * common >= per * (len(x) + len(y) - common))
+            yield pa.record_batch([*(b.column(c) for c in ("cluster", "rep", "n", "set", "lead")), pa.array(core, pa.bool_())], names=["cluster", "rep", "n", "set", "lead", "core"])
+
+    return both.mapInArrow(run, "cluster long, rep long, n long, set binary, lead long, core boolean")
+
+
 def confirmed_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """a, b: spanning links of each block of each cluster; clusters: node, component."""
     members = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
@@ -256,12 +278,30 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> D
             yield pa.record_batch([b.column("cluster"), b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "rep", "n", "set"])
 
     sets = persisted(members.mapInArrow(hashed, "cluster long, rep long, n long, set binary"), "mh")
-    parts = sets.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    salted = sets.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    blocks = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "set")
+
+    def parts(rows) -> Column:
+        """Parts that rows (a condition) of a cluster are cut into."""
+        return F.greatest(F.ceil(F.sum(F.when(rows, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count(F.when(rows, 1)) / BLOCK_ROWS)).cast("int")
+
+    wide = persisted(sets.groupBy("cluster").agg(parts(F.lit(True)).alias("parts")).where("parts > 1").select("cluster"), "mh")
+    narrow = sets.join(wide, "cluster", "left_anti").select("cluster", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "set")
+    cored = persisted(_cored(sets.join(wide, "cluster"), threshold), "mh")
+    of = cored.groupBy("cluster").agg(F.greatest(parts(F.col("core")), F.lit(1)).alias("cores"), parts(~F.col("core")).alias("rests")).where("rests > 0")
+    placed = cored.join(of, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))).cast("int"))
+
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # the core is linked already; the rest meets itself and the core
+    rest = placed.where("not core")
+    blocks = narrow
+    for rows, kind, other in ((rest, 0, "rests"), (rest, 1, "cores"), (placed.where("core"), 1, "rests")):
+        x = rows.withColumn("other", upto(other))
+        ends = (F.least("own", "other"), F.greatest("own", "other")) if kind == 0 else (F.col("other"), F.col("own")) if other == "cores" else (F.col("own"), F.col("other"))
+        blocks = blocks.unionByName(x.select("cluster", F.lit(kind).alias("kind"), ends[0].alias("i"), ends[1].alias("j"), "rep", "set"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in grouped(batches, ["cluster", "i", "j"]):
+        for g in grouped(batches, keys):
             if g.num_rows < 2:
                 continue
             rep = g.column("rep").to_pylist()
@@ -270,8 +310,9 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> D
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    keys = ["cluster", "i", "j"]
-    return blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    keys = ["cluster", "kind", "i", "j"]
+    found = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return found.unionByName(cored.where("core and rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
