@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 #: Words kept in a worker's cache of word scores, and the longest word that is cached.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 120_000, 48
 #: At most this many words' worth of evidence counts towards the score, which else is 1 for any long text.
 EVIDENCE = 8.0
 
@@ -96,6 +96,11 @@ class Model:
         self.cache[w] = k
         return k
 
+    def forget(self) -> None:
+        """Empties the cache at the end of a task, as workers live on for other tasks."""
+        self.cache.clear()
+        self.rows = np.zeros((1024, len(self.langs)), np.float32)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNDETERMINED, 0.0
@@ -157,6 +162,7 @@ def predict(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        m.forget()
 
     held = F.lit(False) if held_out is None else held_out
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, RESULT)
@@ -171,7 +177,8 @@ def identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFra
         m = shared.value
         for b in batches:
             got = [m.predict(t.as_py()) for t in b.column("text")]
-            yield b.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in got]))
+            yield b.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in got], pa.bool_()))
+        m.forget()
 
     return docs.mapInArrow(run, docs.schema)
 

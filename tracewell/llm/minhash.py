@@ -39,7 +39,7 @@ DEPTHS = (3, 5, 8)
 CROWDED = 512
 #: Shingles and rows of one part when a cluster is confirmed, and cells of one incidence matrix.
 BLOCK_SHINGLES, BLOCK_ROWS, BLOCK_CELLS = 1_000_000, 2000, 8_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _rng = np.random.default_rng(7)
 _MULTIPLIERS = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,6 +104,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 sig.append(signature(s).tobytes() if len(s) else b"")
             yield pa.record_batch([b.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "c1", "c2", "n", "sig"])
+        _words.clear()  # workers live on for other tasks
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, c1 long, c2 long, n long, sig binary")
     return persisted(out, "mh")
@@ -276,6 +277,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> D
         for b in batches:
             sets = [shingle_set(words_of(t.as_py())) for t in b.column("text")]
             yield pa.record_batch([b.column("cluster"), b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "rep", "n", "set"])
+        _words.clear()
 
     sets = persisted(members.mapInArrow(hashed, "cluster long, rep long, n long, set binary"), "mh")
 

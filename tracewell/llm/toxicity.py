@@ -35,7 +35,7 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 #: What a misspelled or quoted hit counts for, before any evidence, and how many rows that belief weighs.
 PRIOR = {"fuzzy": 0.8, "quoted": 0.5, "both": 0.4}
 PRIOR_ROWS = 4
-CACHE_TOKENS = 200_000
+CACHE_TOKENS = 120_000
 #: Rows with label 1 that a term needs, and their share: rarer words mark a text by chance.
 LEAST_ROWS, LEAST_SHARE = 6, 0.01
 REJECT = 0.7
@@ -327,6 +327,7 @@ def predict(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
         for b in batches:
             got = [m.score(t.as_py()) for t in b.column("text")]
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(got, pa.float64()), pa.array([int(x >= REJECT) for x in got], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        m.auto.cache.clear()  # workers live on for other tasks
 
     held = F.lit(False) if held_out is None else held_out
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -341,6 +342,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             yield b.filter(pa.array([m.score(t.as_py()) < REJECT for t in b.column("text")], pa.bool_()))
+        m.auto.cache.clear()
 
     return docs.mapInArrow(run, docs.schema)
 
