@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.operators import analytics, ioc, timeline
+from tracewell import export
+from tracewell.operators import analytics, binaries, ioc, timeline
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
 from tracewell.schema import EVENT_SCHEMA, conform
@@ -102,6 +104,27 @@ class Case:
     def record(self, event_id: int) -> DataFrame:
         return self.events.where(F.col("id") == event_id)
 
+    def record_text(self, event_id: int) -> str | None:
+        """The original text of an event, indented where it is JSON."""
+        row = self.record(event_id).select("raw").first()
+        if row is None or row["raw"] is None:
+            return None
+        try:
+            return json.dumps(json.loads(row["raw"]), indent=2, ensure_ascii=False)
+        except ValueError:
+            return row["raw"]
+
+    def snapshot(self, event_id: int, around: int = 5) -> str:
+        """The lines around an event as text, for a mark that must outlive the events."""
+        near = self.context(event_id, around, around).select("seq", "id", "ts", "source", F.coalesce("raw", "message").alias("text"))
+        return "\n".join(f"{'>' if r['id'] == event_id else ' '} {r['seq']} {r['ts'] or '-'} {r['source']} {r['text'] or ''}" for r in near.collect())
+
+    def report(self, rules: list[R.Rule] | None = None, known: DataFrame | None = None, marks: DataFrame | None = None, title: str = "Case report") -> str:
+        """An HTML page; known: catalogue of binaries, marks: Marks.current()."""
+        found = self.findings(rules, 10).orderBy(F.desc("n"), "rule") if rules else None
+        ran = binaries.executed(self.events, known) if known is not None else None
+        return export.report(title, analytics.counters(self.events), found, ran, analytics.facet(self.events, "src_ip", 50), marks)
+
     def stats(self) -> DataFrame:
         return analytics.stats(self.events)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.columns import basename, extra
+from tracewell.functions.columns import basename, extra, ip_class, ip_to_long
 from tracewell.schema import TYPES
 
 
@@ -76,7 +76,30 @@ def ip_counts(rows: DataFrame) -> DataFrame:
     return rows.where("src_ip is not null and src_ip <> ''").groupBy("src_ip").agg(F.count("*").alias("n"))
 
 
-def network(rows: DataFrame, ip: str | None = None, port: int | None = None, limit: int = 3000) -> DataFrame:
+def ip_profile(rows: DataFrame, ip: str, users: int = 8, samples: int = 8) -> dict[str, DataFrame]:
+    """detail, sources, users and first rows of one address."""
+    own = rows.where(F.col("src_ip") == ip)
+    return {
+        "detail": ip_detail(rows, ip),
+        "sources": own.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source"),
+        "users": facet(own, "user", users),
+        "samples": own.orderBy(F.col("ts").asc_nulls_last(), "id").limit(samples),
+    }
+
+
+def facet_network(rows: DataFrame, ranges: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """value, n: the commonest values of a column of ranges (net_start, net_end, ...) over the rows' addresses; internal ones go under internal.
+
+    Addresses are counted before they meet the ranges, so the join sees one row for each address.
+    """
+    n = ip_counts(rows).withColumn("ip_number", ip_to_long(F.col("src_ip"))).where("ip_number is not null")
+    placed = enrich_ip(n, ranges.select("net_start", "net_end", F.col(name).alias("value")))
+    value = F.when(ip_class(F.col("src_ip")).isin("loopback", "internal"), "internal").otherwise(F.col("value"))
+    counted = placed.select(value.alias("value"), "n").where("value is not null")
+    return counted.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(limit)
+
+
+def network(rows: DataFrame, ip: str | None = None, port: int | None = None, limit: int = 3000, source: str | None = None, event: str | None = None) -> DataFrame:
     """Rows that speak of a connection, in time order."""
     m = F.col("message")
     has = F.col("src_ip").isNotNull() | F.col("source").isin("access", "weberror") | F.col("event").like("ssh%") | m.contains("SRC=") | m.contains("SADDR=")
@@ -85,6 +108,10 @@ def network(rows: DataFrame, ip: str | None = None, port: int | None = None, lim
         out = out.where(F.col("src_ip") == ip)
     if port is not None:
         out = out.where(F.col("src_port") == port)
+    if source:
+        out = out.where(F.col("source") == source)
+    if event:
+        out = out.where(F.col("event") == event)
     return out.orderBy(F.col("ts").asc_nulls_last(), "id").limit(limit)
 
 

@@ -177,6 +177,20 @@ add(
     "WITH r(net_start, net_end, org) AS (VALUES (167772160, 168820735, 'net-a'), (169000000, 170000000, 'net-b'), (180000000, 181000000, 'net-c')), e AS (SELECT event_id, 167772160 + (user_id % 200) * 65536 + (event_id % 256) * 256 + 7 AS n FROM events) SELECT org, count(*) AS n, min(event_id) AS first_id FROM e LEFT JOIN r ON n BETWEEN net_start AND net_end GROUP BY 1",
 )
 
+add("facet_network", lambda s, d: analytics.facet_network(_with_ip(s, d).withColumn("src_ip", F.concat_ws(".", F.lit("11"), (F.col("user_id") % 200).cast("string"), F.lit("0"), F.lit("7"))), s.createDataFrame([(184549376, 185597951, "net-a"), (186000000, 190000000, "net-b")], "net_start long, net_end long, org string"), "org"), "SELECT CASE WHEN user_id % 200 < 16 THEN 'net-a' ELSE 'net-b' END AS value, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id % 200 < 16 OR 184549376 + (user_id % 200) * 65536 + 7 BETWEEN 186000000 AND 190000000 GROUP BY 1")
+
+
+def _addressed(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).withColumn("src_ip", F.concat(F.lit("10.0.0."), (F.col("id") % 20).cast("string"))).withColumn("event", F.when(F.col("event") == "error", "ssh_failed").otherwise(F.col("event")))
+
+
+_ADDRESSED = f"WITH {EV}, a AS (SELECT * REPLACE (CASE WHEN event = 'error' THEN 'ssh_failed' ELSE event END AS event), '10.0.0.' || (id % 20) AS src_ip FROM ev)"
+add("ip_detail", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["detail"], f"{_ADDRESSED} SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) FILTER (event = 'ssh_failed') AS BIGINT) AS fails FROM a WHERE src_ip = '10.0.0.7'")
+add("ip_users", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["users"], f'{_ADDRESSED} SELECT "user" AS value, count(*) AS n FROM a WHERE src_ip = \'10.0.0.7\' GROUP BY 1 ORDER BY n DESC, value LIMIT 8')
+add("ip_samples", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["samples"].select("id", "ts", "event"), f"{_ADDRESSED} SELECT id, ts, event FROM a WHERE src_ip = '10.0.0.7' ORDER BY ts NULLS LAST, id LIMIT 8")
+add("ip_counts", lambda s, d: analytics.ip_counts(_addressed(s, d)), f"{_ADDRESSED} SELECT src_ip, count(*) AS n FROM a GROUP BY 1")
+add("network", lambda s, d: analytics.network(_addressed(s, d), ip="10.0.0.7", event="ssh_failed").select("id", "ts"), f"{_ADDRESSED} SELECT id, ts FROM a WHERE src_ip = '10.0.0.7' AND event = 'ssh_failed' ORDER BY ts NULLS LAST, id LIMIT 3000")
+
 RULES = """
 title: errors of one user
 name: errors
@@ -239,6 +253,7 @@ add(
     lambda s, d: R.findings(events(s, d), _RULES, 3).select("rule", "level", "n", F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("samples")),
     f"WITH {EV}, h AS ({_HIT_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts NULLS LAST, id) AS k FROM h) SELECT rule, CASE rule WHEN 'errors of one user' THEN 'high' WHEN 'purchases or sign-ups' THEN 'low' ELSE 'medium' END AS level, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS samples FROM r GROUP BY 1",
 )
+add("rule_applicability", lambda s, d: R.applicability(events(s, d), _RULES).select("rule", "log_source", "events", F.col("skipped").isNull().alias("runs")), "WITH n AS (SELECT count(*) AS events FROM events), r(rule, log_source, runs) AS (VALUES ('errors of one user', 'application', true), ('purchases or sign-ups', 'application', true), ('keyword', 'application', true), ('values', 'application', true), ('other system', NULL, false)) SELECT rule, log_source, CAST(CASE WHEN runs THEN events ELSE 0 END AS BIGINT) AS events, runs FROM r, n")
 add("attack_matrix", lambda s, d: R.matrix(R.findings(events(s, d), _RULES, 1), _RULES).select("tactic", "technique", "n"), f"WITH {EV}, h AS ({_HIT_SQL}) SELECT CASE rule WHEN 'errors of one user' THEN 'credential-access' ELSE 'other' END AS tactic, CASE rule WHEN 'errors of one user' THEN 'T1110' ELSE 'T1078' END AS technique, CAST(count(*) AS BIGINT) AS n FROM h WHERE rule IN ('errors of one user', 'purchases or sign-ups') GROUP BY ALL")
 
 

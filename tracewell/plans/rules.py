@@ -358,6 +358,18 @@ def split(rules: list[Rule]) -> tuple[list[tuple[Rule, Column]], list[tuple[Rule
     return good, skipped
 
 
+def applicability(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, level, log_source, events (that feed its log source), predicate, skipped (why it cannot run): one scan for all log sources."""
+    keys = sorted({k for r in rules if not r.correlation and (k := logsource_key(r.logsource))})
+    feeds = F.array(*[F.when(LOGSOURCES[k](), F.lit(k)) for k in keys]) if keys else F.array().cast("array<string>")
+    n = events.select(F.explode(F.filter(feeds, lambda x: x.isNotNull())).alias("log_source")).groupBy("log_source").agg(F.count("*").alias("events"))
+    good, skipped = split(rules)
+    rows = [(r.title, r.level, logsource_key(r.logsource), str(p._jc) if hasattr(p, "_jc") else str(p), None) for r, p in good]
+    rows += [(r.title, r.level, logsource_key(r.logsource), None, why) for r, why in skipped]
+    listed = events.sparkSession.createDataFrame(rows, "rule string, level string, log_source string, predicate string, skipped string")
+    return listed.join(n, "log_source", "left").select("rule", "level", "log_source", F.coalesce("events", F.lit(0)).alias("events"), "predicate", "skipped")
+
+
 def hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """events with rule (title), a row for each hit: one scan whatever the number of rules."""
     good, _ = split(rules)
