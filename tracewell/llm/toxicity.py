@@ -6,6 +6,10 @@ runs, so a token leaves it at the first letter that no term can reach with the e
 the window around it: inside quotation marks or beside a reporting word it counts as quoted, else as abuse. How much a
 misspelled or quoted hit counts is learned from rows that have no other hits, with a prior where there are none.
 
+Inflected terms also come about by chance, the more so in long texts. So the hits of a text, each weighed by its term's
+log odds and its window, are summed to its evidence, and a logistic curve over that sum and over its density gives the
+score. With too few labelled rows for a curve, only near-certain terms are chosen and combined as independent causes.
+
 Defined cases: null and empty texts have no hits and get the base rate as score; with nothing to learn from, every score
 is 0. Rows are neither dropped nor merged. Extra columns of any name are ignored. A null label is not learned from; where
 an id has several labels, the highest counts.
@@ -13,11 +17,13 @@ an id has several labels, the highest counts.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +44,8 @@ PRIOR_ROWS = 4
 CACHE_TOKENS = 120_000
 #: Rows with label 1 that a term needs, and their share: rarer words mark a text by chance.
 LEAST_ROWS, LEAST_SHARE = 6, 0.01
+#: Least log-likelihood ratio of a term, and the rows of each label from which a curve is fitted.
+LEAST_RATIO, CURVE_ROWS = 12.0, 40
 REJECT = 0.7
 
 
@@ -192,12 +200,37 @@ def hits(auto: Automaton, text: str) -> list[tuple[int, str]]:
     return out
 
 
+def logit(p: float) -> float:
+    p = min(0.999, max(0.001, p))
+    return math.log(p / (1 - p))
+
+
+def sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Coefficients of a ridge logistic regression (intercept first, unpenalised but for rounding) by damped Newton steps."""
+    x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
+    b = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = sigmoid(x @ b)
+        gradient = x.T @ (weight * (p - y)) + penalty @ b
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
+        step = np.linalg.solve(hessian, gradient)
+        b -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+    return b
+
+
 class Model:
-    def __init__(self, terms: dict[str, float], base: float, factor: dict[str, float]):
+    def __init__(self, terms: dict[str, float], base: float, factor: dict[str, float], rate: float = 0.5):
         self.terms = list(terms)
         self.weight = list(terms.values())
         self.base = base
         self.factor = factor
+        self.odds = [max(0.0, logit(p) - logit(rate)) for p in self.weight]
+        self.curve: np.ndarray | None = None
         self._auto: Automaton | None = None
 
     @property
@@ -209,7 +242,18 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_auto": None}
 
+    def evidence(self, text: str | None) -> tuple[float, float] | None:
+        """Log of the summed evidence of a text and of its density; None without hits."""
+        found = hits(self.auto, text) if text and self.terms else []
+        if not found:
+            return None
+        total = sum(self.odds[term] * self.factor[kind] for term, kind in found)
+        return math.log1p(total), math.log1p(100.0 * total / (20 + sum(1 for _ in TOKEN.finditer(text))))
+
     def score(self, text: str | None) -> float:
+        if self.curve is not None:
+            x = self.evidence(text)
+            return self.base if x is None else float(sigmoid(self.curve @ (1.0, *x)))
         rest = 1.0 - self.base
         for term, kind in set(hits(self.auto, text)) if text and self.terms else ():
             rest *= 1.0 - self.weight[term] * self.factor[kind]
@@ -237,13 +281,15 @@ def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, rate: float, most
     for f, d1, d0 in rows:
         r1, r0 = d1 / max(1, n1), (d0 + 0.5) / (n0 + 1)
         p = rate * r1 / (rate * r1 + (1 - rate) * r0)
-        if p >= least_p and d1 >= max(LEAST_ROWS, LEAST_SHARE * n1):
-            scored.append((f, d1, p))
-    scored.sort(key=lambda x: (-x[1] * (x[2] - REJECT), -len(x[0].rstrip("*")), x[0]))
+        seen, share = d1 / max(1, d1 + d0), n1 / max(1, n1 + n0)
+        ratio = d1 * math.log(max(seen, 1e-9) / max(share, 1e-9)) + (d0 * math.log((1 - seen) / (1 - share)) if d0 else 0.0)
+        if p >= least_p and d1 >= max(LEAST_ROWS, LEAST_SHARE * n1) and ratio >= LEAST_RATIO:
+            scored.append((f, d1, p, ratio))
+    scored.sort(key=lambda x: (-x[3], -len(x[0].rstrip("*")), x[0]))
     chosen: dict[str, float] = {}
     best: dict[str, int] = {}  # prefix of a chosen term -> its count
     stems: set[str] = set()
-    for f, d1, p in scored:
+    for f, d1, p, _ in scored:
         root = f.rstrip("*")
         if len(chosen) >= most or any(root[:k] in stems for k in STEMS if k <= len(root)) or f.endswith("*") and d1 - best.get(root, 0) < max(5, 0.05 * d1):
             continue
@@ -291,8 +337,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
         return Model({}, 0.0, {"plain": 1.0} | PRIOR)
     rate = sizes[1] / (sizes[1] + sizes[0])
     # only terms far commoner under label 1 can be chosen, and only the commonest of those are looked at
-    near = counts.where(F.col("d1") / F.lit(n1) > 4 * (F.col("d0") + 0.5) / F.lit(n0)).where("f <> ''").orderBy(F.desc("d1"), "f").limit(50 * most_terms)
-    terms = choose([(r["f"], r["d1"], r["d0"]) for r in near.collect()], n1, n0, rate, most_terms)
+    near = counts.where(F.col("d1") / F.lit(n1) > 2.5 * (F.col("d0") + 0.5) / F.lit(n0)).where("f <> ''").orderBy(F.desc("d1"), "f").limit(50 * most_terms)
+    curved = min(n1, n0) >= CURVE_ROWS
+    terms = choose([(r["f"], r["d1"], r["d0"]) for r in near.collect()], n1, n0, rate, most_terms, 0.2 if curved else 0.8)
     model = Model(terms, 0.0, {"plain": 1.0} | PRIOR)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -314,7 +361,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
     for k, p in PRIOR.items():
         a, b = seen.get((k, 1), 0), seen.get((k, 0), 0) * (scale[0] / scale[1])
         factor[k] = (a + PRIOR_ROWS * p) / (a + b + PRIOR_ROWS)
-    return Model(terms, min(base, 0.5), factor)
+    model = Model(terms, min(base, 0.5), factor, rate)
+    if not curved or not terms:
+        return model
+    weighed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(*x, y) for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True) if (x := weighed.value.evidence(t)) is not None]
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.float64() if k < 2 else pa.int32()) for k in range(3)], names=["total", "dense", "toxic"])
+
+    # three numbers for each row of the bounded sample; in a fixed order, so that sums do not depend on the partitions
+    points = sample.mapInArrow(measure, "total double, dense double, toxic int").orderBy("total", "dense", "toxic").toPandas().to_numpy(float)
+    if not (points[:, 2] > 0).any():
+        return model
+    y = points[:, 2]
+    weight = np.where(y > 0, scale[1], scale[0]) * (n1 + n0)
+    model.curve = logistic(points[:, :2], y, weight)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
