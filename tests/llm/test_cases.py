@@ -176,10 +176,24 @@ def test_toxicity_learns_from_labels(spark, docs, empty, sf_dir):
     right = sum(r["predicted"] == r["toxic"] for r in got) / len(got)
     caught = [r["predicted"] for r in got if r["toxic"]]
     assert right > 0.96 and sum(caught) / len(caught) > 0.9
+    flagged = [r["toxic"] for r in got if r["predicted"]]
+    assert sum(flagged) / len(flagged) > 0.95
     quoted = toxicity.Model({"idiot": 0.99}, 0.01, {"plain": 1.0} | toxicity.PRIOR)
     assert quoted.score("you idiot") > 0.9 > 0.6 > quoted.score('the word "idiot" is rude') and quoted.score(None) == pytest.approx(0.01)
 
 
+def test_toxicity_chance_hits_in_long_texts_count_less():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    x = np.column_stack([rng.normal(1 + y, 0.5), rng.normal(2 * y, 0.5)])
+    b = toxicity.logistic(x, y.astype(float), np.ones(400))
+    assert b[1] > 0 and b[2] > 0 and np.mean((toxicity.sigmoid(b[0] + x @ b[1:]) > 0.5) == y) > 0.95
+    model = toxicity.Model({"idiot": 0.9}, 0.01, {"plain": 1.0} | toxicity.PRIOR, 0.1)
+    model.curve = np.array([-13.0, 3.3, 4.4])
+    assert model.score("you idiot, idiot") > 0.7 > 0.1 > model.score("idiot" + " calm" * 2000)
+    assert model.score(None) == model.score("") == model.score("calm") == 0.01
+
+
 # 4
 
 
