@@ -360,15 +360,20 @@ def _parse_csv(s: SparkSession, d: str) -> DataFrame:
 add("parse_csv", _parse_csv, "SELECT CAST(o_orderkey + 1 AS INTEGER) AS line_no, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, 'u' || o_custkey AS \"user\", CAST(o_orderkey AS INTEGER) AS pid, o_orderpriority || ', x' AS priority FROM orders")
 
 
-def _year_rollover(s: SparkSession, d: str) -> DataFrame:
-    o = read(s, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
+def _rollover(s: SparkSession, o: DataFrame) -> DataFrame:
     months = o.select(F.date_trunc("month", "o_orderdate").alias("m")).distinct()
     rows = months.select(F.lit("syslog").alias("src_file"), F.row_number().over(Window.orderBy("m")).alias("line_no"), F.concat(F.date_format("m", "MMM"), F.lit("  1 00:00:00 h cron[1]: x")).alias("line"), F.lit(2000).alias("file_year"), F.year("m").alias("y"))
     first = o.agg(F.year(F.min("o_orderdate"))).first()[0] or 1992
     return parse(rows.drop("y"), "syslog", Options(base_year=int(first))).select("line_no", "ts")
 
 
+def _year_rollover(s: SparkSession, d: str) -> DataFrame:
+    return _rollover(s, read(s, d, "orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")))
+
+
 add("parse_year_rollover", _year_rollover, "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')")
+# the whole table: every month, across each new year
+add("parse_year_rollovers", lambda s, d: _rollover(s, read(s, d, "orders")), "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)")
 
 
 def _detected(s: SparkSession, d: str) -> DataFrame:
