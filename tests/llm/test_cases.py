@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -380,6 +381,42 @@ def test_licenses(docs, empty, spark):
     assert [r["licences"] for r in licenses.scanned(df).orderBy("doc_id").collect()] == list(cases.values())
 
 
+def commented(text, mark):
+    return "\n".join(f"{mark}{x}".rstrip() for x in text.split("\n"))
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM ", "dnl ", "C     ", ";; "])
+@pytest.mark.parametrize("width", [24, 40, 76])
+def test_each_licence_rule_in_wrapped_text(mark, width):
+    scan = licenses.Scanner()
+    for name, ids in licenses.RULES:
+        at = Counter()
+        said = []
+        for k in ids:
+            said.append(licenses.SENTENCES[k][at[k] % len(licenses.SENTENCES[k])] + ".")
+            at[k] += 1
+        for text in ("\n".join(textwrap.wrap("Some words. " + " ".join(said) + " And more.", width)), "\n\n".join(textwrap.fill(x, width) for x in said)):
+            got = scan.identifiers(commented(text, mark).replace("\n", "\r\n" if mark == "# " else "\n"))
+            assert got == list(ids) and [x[0] for x in scan.licences(got)] == [name], (name, text)
+
+
+def test_wrapped_licences_as_they_stand_in_files(spark):
+    cases = {
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;": "MPL-2.0",
+        "#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.": "Apache-2.0",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n 1) Redistributions of source code must retain the above copyright notice,\n    this list of conditions and the following disclaimer.\n 2) Redistributions in binary form must reproduce the above copyright\n    notice, this list of conditions and the following disclaimer in the\n    documentation and/or other materials provided with the distribution.": "BSD-2-Clause",
+        "a title\nReleased under the MIT License\nCopyright someone": "MIT",
+        "by Some Co. Licensed under CC BY 4.0": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License": "CC-BY-NC-4.0",
+        "Released under the\n\nMIT License. Released under the. MIT License": "",
+        "It is not so that this is Released under\nthe MIT License": "",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = licenses.scanned(df).orderBy("doc_id").collect()
+    assert [r["licences"] for r in got] == list(cases.values())
+    assert got[1]["identifiers"] == "apache-notice,apache-comply,apache-copy,apache-asis" and got[1]["n_matches"] == 1
+
+
 # 9
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>

@@ -4,6 +4,10 @@ A text's sentences are normalised and looked up among known licence sentences; t
 against ordered rules, the longest first. Sentences that are not known neither match nor break a sequence, as licence
 texts stand among other text. An identifier belongs to one match at most.
 
+Sentence ends and blank lines cut. Single newlines and the blanks after abbreviations may cut or not: a known sentence begins
+and ends at any of these places and may run over several, so wrapped texts are found, and so are notices on a line of their
+own. Of known sentences that begin at one place the longest counts. Comment marks stand for nothing, in blank lines too.
+
 Defined cases: a null text counts as empty; a text without known sentences has no licence ('' and 0). Repeated sentences
 repeat their identifier; each licence is named once, in order of its first match. Texts of any length are read whole. Extra
 columns of any name are ignored; rows are neither dropped nor merged.
@@ -20,7 +24,13 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import python_batches
 
-SENTENCE_END = re.compile(r"\n\s*\n|(?<=[.!?;:])\s+|\n")
+#: Abbreviations whose stop need not end a sentence.
+SHORT = ("v", "ver", "vers", "no", "inc", "ltd", "co", "corp", "e.g", "i.e")
+_NOT_SHORT = "".join(rf"(?<!\b{re.escape(s)}\.)" for s in SHORT)
+SENTENCE_END = re.compile(rf"\n(?:(?:[^\w\n]|_)*\n)+|(?<=[.!?;:]){_NOT_SHORT}\s+", re.I)
+MAY_END = re.compile(r"\n|" + "|".join(rf"(?<=\b{re.escape(s)}\.)[^\S\n]+" for s in SHORT), re.I)
+#: Comment and list marks at the start of a line, with the blanks before and after.
+MARK = re.compile(r"^(?:[^\w\n.]|\.\\\")+(?:(?:[Rr][Ee][Mm]|dnl|C)(?!\S)|(?:\d{1,2}|[a-z]|[ivx]+)\)(?=\s))?|^(?:(?:[Rr][Ee][Mm]|dnl|C)(?!\S)|(?:\d{1,2}|[a-z]|[ivx]+)\)(?=\s))", re.M)
 WORD = re.compile(r"[a-z0-9]+(?:[.\-'’][a-z0-9]+)*")
 
 #: Known licence sentences by identifier.
@@ -67,18 +77,42 @@ class Scanner:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: tuple = RULES):
         self.known = {normalised(s): k for k, many in sentences.items() for s in many}
         self.first = {s.split()[0] for s in self.known}
+        self.prefixes = {" ".join(w[:n]) for w in map(str.split, self.known) for n in range(1, len(w))}
+        self.rare = {max(re.findall("[a-z0-9]+", s), key=len) for s in self.known}  # each known sentence has one of these
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
 
     def identifiers(self, text: str | None) -> list[str]:
         out = []
-        for s in SENTENCE_END.split(text or ""):
-            m = WORD.search(s.lower()) if s else None
-            if m and m.group() in self.first:  # few sentences begin like a known one
-                k = self.known.get(normalised(s))
+        low = (text or "").lower()
+        if not any(r in low for r in self.rare):
+            return out
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        for s in SENTENCE_END.split(MARK.sub("", text)):
+            parts, at = MAY_END.split(s.lower()), 0
+            while at < len(parts):
+                m = WORD.search(parts[at])
+                k, n = self.longest(parts, at) if m and m.group() in self.first else (None, 1)  # few sentences begin like a known one
                 if k:
                     out.append(k)
+                at += n
         return out
 
+    def longest(self, parts: list[str], at: int) -> tuple[str | None, int]:
+        """The longest known sentence made of whole parts from ``at`` on, and its number of parts; None and 1 if there is none."""
+        found, words, hyphen = (None, 1), [], False
+        for i in range(at, len(parts)):
+            more = WORD.findall(parts[i])
+            if hyphen and more:  # the line before was cut at a hyphen
+                words[-1] += "-" + more.pop(0)
+            words += more
+            hyphen = bool(words) and re.search(r"\w-\s*$", parts[i]) is not None
+            s = " ".join(words)
+            if s in self.known:
+                found = self.known[s], i - at + 1
+            if s not in self.prefixes and not (hyphen and any(p.startswith(s + "-") for p in self.known)):
+                break
+        return found
+
     def licences(self, ids: list[str]) -> list[tuple[str, int, int]]:
         """(licence, first identifier, number of identifiers) of each match, left to right."""
         out, at = [], 0
