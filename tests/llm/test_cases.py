@@ -446,6 +446,32 @@ def test_page_cases(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in out)
 
 
+SIDE = "<div class=sidebar><p>old posts <a href=/o>%s</a></div>" % ("link words " * 40)
+CONTENT_WORDS = "words of the content itself " * 20
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "no-sidebar", "sticky-header", "side-by-side", "search-results", "with-comments", "post comments-open", "left_sidebar"])
+@pytest.mark.parametrize("holder", ["<article><p>%s</article>", "<main><p>%s</main>", "<div><p>%s</div>"])
+def test_page_in_a_wrapper_named_by_its_layout(names, holder):
+    for body in ("<div class='%s'>%s</div>", "<div class=page><div id=x class='%s'>%s</div>" + SIDE + "</div>"):
+        got = pages.main_text("<body><nav>menu</nav>" + body % (names, holder % CONTENT_WORDS + "<div class=ads>buy</div>") + "<footer>foot</footer>", pages.Weights())
+        assert got == CONTENT_WORDS.strip(), (names, holder)
+
+
+@pytest.mark.parametrize("names", ["class=sidebar", "class='page-sidebar'", "id=comments", "class='comments-area'", "class='related posts'", "role=navigation", "class='sticky-header'", "class=cookie-bar"])
+def test_page_boilerplate_by_name_is_left_out(names):
+    page = f"<body><article><p>{CONTENT_WORDS}</article><div {names}><p>{'other words here ' * 15}</div></body>"
+    assert pages.main_text(page, pages.Weights()) == CONTENT_WORDS.strip()
+    page = f"<body><div><p>{CONTENT_WORDS}</div><div {names}><p>{'other words here ' * 15}</div></body>"
+    assert pages.main_text(page, pages.Weights()) == CONTENT_WORDS.strip()
+
+
+def test_page_with_more_comments_or_menu_than_content():
+    for holder in ("<article><p>%s</article>", "<div><p>%s</div>"):
+        page = "<body><div class=main-menu>" + "<p><a href=/x>one two three</a>" * 200 + "</div>" + holder % CONTENT_WORDS + "<div id=comments>" + "<p>a reader says so" * 200 + "</div>"
+        assert pages.main_text(page, pages.Weights()) == CONTENT_WORDS.strip()
+
+
 def test_region_is_the_best_of_all():
     rng = np.random.default_rng(3)
     w = pages.Weights(1.0, {"p": -2.0}, -2.0)

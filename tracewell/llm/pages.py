@@ -3,7 +3,8 @@
 A page becomes a sequence of tags and runs of words. Words score positive, tags negative, with weights from labelled pages
 (those that mark their content with <article> or <main>); one linear scan finds the contiguous region with the highest
 sum. The region is then grown to the element that holds it, since a short first or last block may score below zero, and
-boilerplate elements inside it are left out.
+boilerplate elements inside it are left out. A class, id or role names boilerplate only as far as what the element holds
+agrees (see ``settle``): wrappers often carry such words to say how the page is laid out.
 
 Defined cases: a null or empty page, and one without any word of content, give an empty text. Markup that is never closed
 ends with the element around it. White space, also from character references, becomes one space inside a block; blocks
@@ -15,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +33,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that are never content.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select option textarea dialog menu title head".split())
-#: Words in class, id or role that mark boilerplate.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|promo|promoted|sponsor(?:ed)?|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|replies|disqus|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+#: Words in class, id or role that mark boilerplate; those of FOREIGN name what readers, advertisers and other pages say.
+FOREIGN = "ads? adverts? advertisement promo promoted sponsor(?:ed)? breadcrumbs? comments? replies disqus respond cookies? consent gdpr newsletter subscribe signup login share sharing social related recommended".split()
+LISTED = [*FOREIGN, *"banner sidebar side menu nav navbar navigation header masthead footer notice alert popup modal overlay widget toolbar pagination pager skip complementary contentinfo search".split()]
+MARKED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(LISTED)})(?:$|[\s_-])", re.I)
+#: A value of which every part is listed names the element; a foreign word does so beside others, too.
+NAMED = re.compile(rf"(?:{'|'.join(LISTED)})(?:[_-]+(?:{'|'.join(LISTED)}))*", re.I)
+ALIEN = re.compile(rf"(?:^|[_-])(?:{'|'.join(FOREIGN)})(?:$|[_-])", re.I)
+#: Values that say how a wrapper is laid out or what stands in or beside it.
+STATE = re.compile(r"(?:has|no|not|with|without|is)[_-].*|.*[_-](?:open|closed|enabled|disabled)", re.I)
+NO, WEAK, STRONG, OTHERS = range(4)
 CONTENT = ("article", "main")
 #: Elements that the region may grow to.
 HOLDERS = frozenset(["article", "main", "section", "div", "td", "body"])
@@ -50,10 +60,59 @@ class Weights:
 
 
 class Node:
-    __slots__ = ("attrs", "begin", "content", "drop", "end", "name", "parent")
-
-    def __init__(self, name: str, parent: Node | None, begin: int, drop: bool):
-        self.name, self.parent, self.begin, self.end, self.drop = name, parent, begin, -1, drop
+    __slots__ = ("attrs", "begin", "content", "drop", "end", "link", "mark", "name", "parent")
+
+    def __init__(self, name: str, parent: Node | None, begin: int, drop: bool, mark: int = NO, link: bool = False):
+        self.name, self.parent, self.begin, self.end, self.drop, self.mark, self.link = name, parent, begin, -1, drop, mark, link
+
+
+def marked(attrs: str) -> int:
+    """How surely the class, id and role of an element mark it as boilerplate."""
+    found = NO
+    for _, a, b, c in ATTRIBUTE.findall(attrs):
+        for value in (a or b or c).split():
+            if MARKED.search(value) and not STATE.fullmatch(value):
+                found = max(found, OTHERS if ALIEN.search(value) else STRONG if NAMED.fullmatch(value) else WEAK)
+    return found
+
+
+def settle(items: list[tuple], nodes: list[Node]) -> None:
+    """Drops marked elements with all they hold, unless they hold the page's content.
+
+    An element whose name only contains a listed word stays if it holds an article or main, or most of the page's words. One
+    that is named by listed words needs a main, an article with most of the words, or nine tenths of the words; with foreign
+    words the last does not count, as comments may be longer than the page. Words of links do not count, as menus are long, too.
+    """
+    soft = [x for x in nodes if x.mark and not x.drop]
+    if not soft:
+        return
+    linked = 0
+    links = iter([(x.begin, x.end) for x in nodes if x.link])
+    at, end = next(links, (len(items), 0))
+    upto = [0]
+    for i, (kind, value, drop) in enumerate(items):
+        while i >= at:
+            linked = max(linked, end)
+            at, end = next(links, (len(items), 0))
+        upto.append(upto[-1] + (0 if drop or kind == "tag" or i < linked else len(value.split())))
+    content = [(x, upto[x.end] - upto[x.begin]) for x in nodes if x.name in CONTENT and not x.drop]
+    begins = [x.begin for x, _ in content]
+    total, gone = upto[-1], 0
+    for s in soft:
+        if s.begin < gone:
+            continue
+        words = upto[s.end] - upto[s.begin]
+        held = [(x.name, n) for x, n in content[bisect_left(begins, s.begin) : bisect_left(begins, s.end)] if n]
+        if s.mark == WEAK:
+            keep = bool(held) or 2 * words > total
+        else:
+            keep = any(name == "main" or 2 * n > total for name, n in held) or s.mark == STRONG and 10 * words >= 9 * total > 0
+        if not keep:
+            gone = s.end
+            for i in range(s.begin, s.end):
+                items[i] = (*items[i][:2], True)
+    for x in nodes[1:]:
+        x.drop = x.drop or items[x.begin][2]
 
 
 def sequence(page: str) -> tuple[list[tuple], list[Node]]:
@@ -93,12 +152,12 @@ def sequence(page: str) -> tuple[list[tuple], list[Node]]:
                 else:
                     node = node.parent
         attrs = m.group(3)
-        drop = here.drop or name in DROPPED
+        drop, mark = here.drop or name in DROPPED, NO
         if not drop and attrs and name not in ("html", "body", "article", "main") and "=" in attrs:
-            drop = any(MARKED.search(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attrs) if a or b or c)
+            mark = marked(attrs)
         elif not drop and attrs and name == "article":
             drop = any(re.search(r"comment|reply|\bad\b|promo|related", a or b or c, re.I) for k, a, b, c in ATTRIBUTE.findall(attrs) if a or b or c)
-        items.append(("tag", name, drop))
+        items.append(("tag", name, drop or mark > NO and name in VOID))
         if name in VOID or attrs.endswith("/") and name not in HOLDERS:
             continue
         if name in RAW:
@@ -109,11 +168,12 @@ def sequence(page: str) -> tuple[list[tuple], list[Node]]:
                 close = page.find(">", at)
                 at = n if close < 0 else close + 1
             continue
-        here = Node(name, here, len(items) - 1, drop)
+        here = Node(name, here, len(items) - 1, drop, mark, name == "a" and "href" in attrs.lower())
         nodes.append(here)
     while here is not None:
         here.end = len(items)
         here = here.parent
+    settle(items, nodes)
     return items, nodes
 
 
