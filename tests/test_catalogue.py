@@ -44,3 +44,42 @@ def test_rollover_covers_every_month(spark, sf_dir, con):
     got = catalogue.QUERIES["parse_year_rollovers"](spark, sf_dir).orderBy("line_no").collect()
     assert [(r["ts"].year, r["ts"].month) for r in got] == [(m.year, m.month) for (m,) in months]
     assert len({r["ts"].year for r in got}) > 1
+
+
+IOC_TEXT = {
+    "ipv4": ["10.1.2.3", "8.8.8.8"],
+    "email": ["ann.b+c@mail.example.com"],
+    "domain": ["evil.example.net", "example.org"],
+    "unixpath": ["/usr/lib/x.so"],
+    "winpath": ["C:\\Users\\a\\b.exe"],
+    "registry": ["HKLM\\Software\\Run"],
+    "pipe": ["\\\\host\\pipe\\svc"],
+    "md5": ["d41d8cd98f00b204e9800998ecf8427e"],
+    "sha1": ["da39a3ee5e6b4b0d3255bfef95601890afd80709"],
+    "sha256": ["e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"],
+}
+
+
+def test_documents_give_every_indicator_type(spark, tmp_path):
+    import re
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tracewell.operators import ioc
+
+    every = " ".join(v for vs in IOC_TEXT.values() for v in vs)
+    texts = [every, every.replace(" ", ", "), *(f"see {v} {v}\n{v}." for vs in IOC_TEXT.values() for v in vs), "1.2.3 999.1.1.1 a@b x.exe 1.2.3.4.5 " + "a" * 33, "https://u@example.com/x?y=1. then ftp://10.9.8.7/z", None, ""]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    query = catalogue.QUERIES["ioc_documents"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    same(query, con, catalogue.ORACLE_SQL["ioc_documents"])
+    got = {(r["id"], r["type"], r["value"]) for r in query.collect()}
+    want = {(0, k, v) for k, vs in IOC_TEXT.items() for v in vs}
+    assert want <= got and {(i, "url") for i, k, _ in got if k == "url"} == {(len(texts) - 3, "url")}
+    plain = {(i, k, v) for k in ("unixpath", "winpath", "registry", "pipe") for i, t in enumerate(texts) for v in re.findall(ioc.PATTERNS[k], re.sub(ioc.URL, " ", t or ""))}
+    plain |= {(i, k, v.lower()) for k in ("md5", "sha1", "sha256") for i, t in enumerate(texts) for v in re.findall(ioc.PATTERNS[k], t or "")}
+    assert {x for x in got if x[1] not in ("url", "ipv4", "email", "domain")} == plain
+    assert {x[2] for x in got if x[1] == "ipv4"} == {*IOC_TEXT["ipv4"], "10.9.8.7"} and {x[2] for x in got if x[1] == "email"} == set(IOC_TEXT["email"])

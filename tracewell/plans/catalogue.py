@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.functions.columns import hex_decoded, in_cidr, ip_class, sockaddr
+from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, sockaddr
 from tracewell.operators import analytics, ioc, timeline
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
@@ -293,6 +293,54 @@ add(
     lambda s, d: ioc.rolled_up(ioc.extracted(read(s, d, "pages").select(F.col("page_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "url"), F.col("url"), ipv6=False).where("type = 'domain'"), 50).select("value", "n", "first_id"),
     "WITH m AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS value FROM pages) SELECT value, count(*) AS n, min(page_id) AS first_id FROM m WHERE regexp_matches(value, '\\.(com|org|net)$') GROUP BY 1 ORDER BY n DESC, value LIMIT 50",
 )
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _ioc_sql() -> str:
+    """All types but ipv6. Lookarounds give way to the neighbours they allow; what stands in no value is doubled, so that two values need not share one."""
+
+    def bare(name: str) -> str:
+        p = ioc.PATTERNS[name].removeprefix("(?i)")
+        p = p[p.index(")") + 1 :] if p.startswith("(?<!") else p
+        return p[: p.index("(?!")] if "(?!" in p else p
+
+    def every(name: str, source: str, before: str = "", after: str = "", keep: str = "") -> str:
+        text = f"regexp_replace(t, {_quoted(f'([^{keep}])')}, {_quoted(r'\1\1')}, 'g')" if keep else "t"
+        flag = "(?i)" if ioc.PATTERNS[name].startswith("(?i)") else ""
+        return f"SELECT id, unnest(regexp_extract_all({text}, {_quoted(flag + before + bare(name) + after)}, 1)) AS value FROM {source}"
+
+    def listed(words: str) -> str:
+        return ", ".join(map(_quoted, words.split()))
+
+    def domain(d: str) -> str:
+        tld = f"regexp_extract({d}, '[^.]*$')"
+        return f"length({d}) <= 253 AND {tld} NOT IN ({listed(ioc.FILE_EXTENSIONS)}) AND (length({tld}) = 2 OR {tld} IN ({listed(ioc.GTLDS)})) AND contains({d}, '.')"
+
+    ip = f"regexp_matches(value, {_quoted(IPV4)})"
+    word, hosts = r"(?:^|[^\w])", " UNION ALL SELECT id, value FROM hosts"
+    parts = {
+        "ipv4": (every("ipv4", "c", r"(?:^|[^\w.])", r"(?:[^\w.]|$)", r"\w.") + hosts, "value", ip + r" AND NOT regexp_matches(value, '^(?:0\.0\.0\.0|255\.255\.255\.255|2[45]\d\..*)$')"),
+        "email": (every("email", "c", r"(?:^|[^\w.+\-])", r"(?:[^\w.\-]|$)", r"\w.%+@\-"), "lower(value)", domain("regexp_extract(lower(value), '[^@]*$')")),
+        "domain": (every("domain", "c", r"(?:^|[^\w@.\-/])", r"(?:[^\w\-]|$)", r"\w@./\-") + hosts, "lower(value)", domain("lower(value)") + f" AND NOT {ip}"),
+        "unixpath": (every("unixpath", "c", word), "value", "true"),
+        "winpath": (every("winpath", "c", word), "value", "true"),
+        "registry": (every("registry", "c", word), "value", "true"),
+        "pipe": (every("pipe", "c"), "value", "true"),
+    } | {k: (every(k, "hashed", word, r"(?:[^\w]|$)", r"\w"), "lower(value)", "true") for k in ("md5", "sha1", "sha256")}
+    found = " UNION ALL ".join(f"SELECT id, '{k}' AS type, {v} AS value FROM ({q}) WHERE {w}" for k, (q, v, w) in parts.items())
+    url, field = _quoted(ioc.URL), _quoted(ioc.HEX_FIELD)
+    return (
+        "WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),"
+        f" u AS (SELECT id, regexp_replace(unnest(regexp_extract_all(t, {url})), '[.,;:!?)]+$', '') AS value FROM d), urls AS (SELECT * FROM u WHERE length(value) > 8),"
+        " host AS (SELECT id, lower(regexp_extract(value, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS value FROM urls), hosts AS (SELECT * FROM host WHERE value <> ''),"
+        f" c AS (SELECT id, regexp_replace(t, {url}, ' ', 'g') AS t FROM d), hashed AS (SELECT id, regexp_replace(t, {field}, ' ', 'g') AS t FROM d)"
+        f" SELECT DISTINCT id, type, value FROM (SELECT id, 'url' AS type, value FROM urls UNION ALL {found})"
+    )
+
+
+# every type in whole documents but ipv6, whose short form SQL does not have
+add("ioc_documents", lambda s, d: ioc.extracted(_documents(s, d), F.col("text"), ipv6=False, windows=True).select("id", "type", "value"), _ioc_sql())
 _WANTED = ["apache license", "MIT License", "no such thing", "AKIA"]
 add(
     "ioc_sweep",
