@@ -299,6 +299,25 @@ def test_crowded_cells_meet_in_parts(spark, monkeypatch):
     assert [r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])] == want.tolist()
 
 
+def test_links_over_many_cells_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_links, "CELL_ROWS", 4)
+    made, fit = [], embedding_links.fit
+    monkeypatch.setattr(embedding_links, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((150, 32))
+    df = spark.createDataFrame([(i, (base[i % 150] + rng.uniform(0.1, 0.4) * rng.standard_normal(32)).tolist(), i % 2) for i in range(1800)], "vec_id long, embedding array<float>, label int")
+    rows = df.where(embedding_links.valid()).collect()
+    x = np.array([r["embedding"] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([str(r["label"]) for r in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_links.linked(df).collect()}
+    n = np.array([got[r["vec_id"]] for r in rows])
+    assert len(made[0].books[0]) >= 5  # a grid of 25 cells or more
+    assert near.sum() > 500 and (n <= near.sum(1)).all() and n.sum() >= 0.999 * near.sum(), (len(made[0].books[0]), n.sum(), near.sum())
+
+
 # 7
 
 
