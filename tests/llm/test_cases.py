@@ -515,6 +515,13 @@ def test_langid(spark, docs, empty, sf_dir):
     held = entries.op10_langid(spark, big).where("held_out").join(table(spark, big, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.98
 
+def test_language_stage_keeps_texts_when_nothing_can_be_learned(spark, docs, empty):
+    kept = {r["doc_id"] for r in langid.identified(docs, langid.fit(docs)).collect()}
+    assert {r["doc_id"] for r in langid.identified(docs, langid.fit(empty)).collect()} == kept
+    once = spark.createDataFrame([(1, "one two", "x"), (2, "12 34", "x"), (3, None, "x"), (4, "été", None), (5, "²_", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in langid.identified(once, langid.fit(once)).collect()} == {1, 4}
+    assert {r["doc_id"] for r in langid.identified(once.withColumn("lang", F.lit(None).cast("string")), langid.fit(empty)).collect()} == {1, 4}
+
 
 def test_words_come_before_ngrams():
     m = langid.Model({"a": {"haus": 50, "maus": 10}, "b": {"house": 50, "mouse": 10}}, {"a": 1, "b": 1})

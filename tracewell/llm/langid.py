@@ -169,15 +169,22 @@ def predict(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is determined with at least min_score."""
+    """The rows of docs, all columns as they are, whose language is determined with at least min_score.
+
+    If there is nothing to learn from, no language can be determined, and every row with a letter stays.
+    """
     python_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.predict(t.as_py()) for t in b.column("text")]
-            yield b.filter(pa.array([x[0] != UNDETERMINED and x[1] >= min_score for x in got], pa.bool_()))
+            if m.langs:
+                got = [m.predict(t.as_py()) for t in b.column("text")]
+                kept = [x[0] != UNDETERMINED and x[1] >= min_score for x in got]
+            else:
+                kept = [any(c.isalpha() for c in t.as_py() or "") for t in b.column("text")]
+            yield b.filter(pa.array(kept, pa.bool_()))
         m.forget()
 
     return docs.mapInArrow(run, docs.schema)
