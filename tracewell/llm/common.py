@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to a Python worker; texts may be very long, so this stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch sent to a Python worker; texts may be very long, so both stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _written: list[str] = []
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir, or a new local one where it is unset and all run on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -38,7 +41,17 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(cleanup, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what persisted() wrote for df, once nothing reads it any more."""
+    path = getattr(df, "_written_to", None)
+    if path in _written:
+        _written.remove(path)
+        drop(df.sparkSession, path)
 
 
 def cleanup(spark: SparkSession) -> None:
@@ -57,7 +70,20 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def python_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the session's Arrow batches, unless it has tighter bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def starts(sizes: DataFrame, part: str = "part", n: str = "n") -> DataFrame:
+    """(part, start): for each range of a sorted table, the sum of the ranges before; one number for each range goes to the driver."""
+    rows, at = [], 0
+    for p, size in sorted((r[part], r[n]) for r in sizes.collect()):
+        rows.append((p, at))
+        at += size
+    return sizes.sparkSession.createDataFrame(rows, f"{part} int, start long")
 
 
 def crc_bucket(column: str, modulus: int):

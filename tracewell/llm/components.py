@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import persisted
+from tracewell.llm.common import persisted, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = persisted(e.distinct(), "cc")
     seen = _mark(e)
     for _ in range(max_rounds if seen[0] else 0):
-        e = persisted(_small_star(_large_star(e)), "cc")
+        before, e = e, persisted(_small_star(_large_star(e)), "cc")
         mark = _mark(e)
+        release(before)
         if mark == seen:
             break
         seen = mark

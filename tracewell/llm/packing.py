@@ -8,6 +8,10 @@ Order and positions are settled on narrow rows (key, id, token count); token ids
 each document meets its position. Ties of the key go by doc_id, then by row, so a third of all rows may share one key:
 range boundaries fall inside it.
 
+Ids are those of the tokenizer as it is, so the string of a special token in a text gives that token's id. Such texts, and
+those with a run of 3,000 characters without white space, go through the tokenizer itself; all others through ranks made
+from its file, which give the same ids. Texts of any length are encoded whole.
+
 Defined cases: a null text counts as empty and yields the end id alone; repeated rows are packed as often as they occur;
 an empty table gives no pieces; a null id stays null and sorts first. Extra columns of any name are ignored.
 """
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from tracewell.llm.common import persisted, python_batches
+from tracewell.llm.common import persisted, python_batches, starts
 
 END = 0
 DIMENSIONS, BITS, BUCKETS = 4, 12, 1024
@@ -39,10 +43,17 @@ LONG_RUN = re.compile(r"\S{3000}")
 
 @functools.lru_cache(maxsize=2)
 def whole_tokenizer(json_path: str) -> Tokenizer:
-    """The tokenizer itself; its special tokens' strings in a text are ordinary text."""
-    t = Tokenizer.from_file(json_path)
-    t.encode_special_tokens = True
-    return t
+    """The tokenizer itself."""
+    return Tokenizer.from_file(json_path)
+
+
+@functools.lru_cache(maxsize=2)
+def added_tokens(json_path: str) -> tuple[str, ...]:
+    """Strings that the tokenizer cuts out of a text before it splits the rest."""
+    import json
+
+    with open(json_path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", []))
 
 
 @functools.lru_cache(maxsize=2)
@@ -74,7 +85,7 @@ def token_ids(text: str | None, json_path: str) -> np.ndarray:
     """Ids of the whole text, then the end id, as little-endian unsigned 32-bit numbers."""
     fast = ranked(json_path)
     text = text or ""
-    if fast is None or LONG_RUN.search(text):
+    if fast is None or LONG_RUN.search(text) or any(t in text for t in added_tokens(json_path)):
         return np.array([*whole_tokenizer(json_path).encode(text, add_special_tokens=False).ids, END], "<u4")
     return np.append(fast.encode_to_numpy(text, disallowed_special=()), END).astype("<u4")
 
@@ -145,15 +156,10 @@ def positions(rows: DataFrame) -> DataFrame:
     """
     order = ["key", "doc_id", "row"]
     ranged = persisted(rows.select("row", "doc_id", "key", "n").repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "pack")
-    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    starts, at = [], 0
-    for part, n in sums:
-        starts += [F.lit(part), F.lit(at)]
-        at += n
-    if not starts:
-        return rows.select("row", F.lit(0).cast("long").alias("position"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.select("row", (before + F.element_at(F.create_map(*starts), F.col("part")).cast("long")).alias("position"))
+    first = starts(ranged.groupBy("part").agg(F.sum("n").alias("n")))
+    # two numbers for each range, so the broadcast is bounded by the number of partitions
+    return ranged.select("row", "part", before.alias("before")).join(F.broadcast(first), "part").select("row", (F.col("before") + F.col("start")).alias("position"))
 
 
 def packed(docs: DataFrame, json_path: str, length: int = 1024) -> DataFrame:
