@@ -3,12 +3,17 @@
 Two codebooks, one for each half of the vectors, form a product grid; every vector is indexed in its cell. A query visits
 cells in order of its distance to their codeword pairs (multi-sequence traversal) until the target recall is reached, and
 meets the vectors there exactly, in blocks of bounded size. The distance at which a traversal stops is set on the sample
-that the codebooks are fitted on: vectors turned to just the threshold's angle must be found with the target rate.
+that the codebooks are fitted on: vectors turned to just the threshold's angle must be found with the target rate. Each
+length of vector has codebooks of its own; their number of codewords grows with the label groups, so that a cell holds
+about CELL_ROWS vectors of a group.
 
 Equal vectors collapse first and count by weight. A block returns counts for each vector and spanning links, never pairs,
 so a group of near copies of any size costs matrix products only; a crowded cell is cut into parts that meet in pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers, and those with a null label or a null
+The bounds are on what is learned from: SAMPLE_ROWS rows and SAMPLE_NUMBERS numbers over all lengths, and MOST_CODES
+codewords for a half. Every vector is indexed. Beyond MOST_CODES, cells grow with the corpus, and crowded cells are cut.
+
+Defined cases: a cosine of exactly the threshold links. Vectors that are null, empty, zero or hold null or non-finite numbers, and those with a null label or a null
 id, link with nothing (n_links 0; their component is their own id). Vectors of different lengths never link. Repeated rows
 are vectors of their own and link with each other. Extra columns of any name are ignored; an empty table gives no rows.
 """
@@ -30,8 +35,10 @@ from tracewell.llm.components import connected_components
 #: Numbers in the sample that codebooks are fitted on, at most, and its rows.
 SAMPLE_NUMBERS, SAMPLE_ROWS = 4_000_000, 20_000
 #: Vectors of one cell aimed at, rows of one part of a crowded cell, and codewords of a half at most.
-CELL_ROWS, PART_ROWS, MOST_CODES = 512, 2048, 256
-TARGET_RECALL = 0.9995
+CELL_ROWS, PART_ROWS, MOST_CODES = 64, 2048, 1024
+TARGET_RECALL = 0.9999
+#: Lengths of vectors that get a grid, the commonest first; groups of another length are compared whole, in parts.
+MOST_LENGTHS = 50
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -53,6 +60,7 @@ class MultiIndex:
         self.dim = sample.shape[1] if len(sample) else 0
         self.half = self.dim // 2
         codes = max(1, min(codes, len(sample)))
+        codes = min(codes, len(np.unique(sample, axis=0))) if len(sample) else 1
         self.books = [kmeans(h, codes) for h in (sample[:, : self.half], sample[:, self.half :])] if len(sample) and self.half else []
         self.limit = self._limit(sample, threshold, recall) if self.books else 0.0
 
@@ -109,31 +117,39 @@ def valid():
     return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def fit(reps: DataFrame, threshold: float, mean_group: float) -> MultiIndex:
-    """Codebooks from a bounded hash sample; reps: uid, group, dim, vec."""
-    dims = reps.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if dims is None:
-        return MultiIndex(np.zeros((0, 0)), 1, threshold)
-    rows = min(SAMPLE_ROWS, max(256, SAMPLE_NUMBERS // max(1, dims["dim"])))
-    got = reps.where((F.col("dim") == dims["dim"]) & (F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) < min(1.0, rows / dims["n"]) * 1_000_003)).select("vec").collect()
-    sample = units([bytes(r["vec"]) for r in got]) if got else np.zeros((0, dims["dim"]))
-    return MultiIndex(sample, min(MOST_CODES, math.ceil(math.sqrt(mean_group / CELL_ROWS))), threshold)
-
-
-def _indexed(reps: DataFrame, index: MultiIndex) -> DataFrame:
+def fit(reps: DataFrame, threshold: float) -> dict[int, MultiIndex]:
+    """For each length of vector with a crowded group, codebooks from a bounded hash sample; reps: uid, group, dim, vec."""
+    groups = reps.groupBy("group", "dim").agg(F.count("*").alias("n"))
+    # the size of the group that a vector finds itself in, on average; lengths whose groups fit in a cell need no grid
+    sizes = groups.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).where(F.col("mean") > CELL_ROWS).where("dim > 1")
+    most = sizes.orderBy(F.desc("n"), "dim").limit(MOST_LENGTHS).collect()
+    total = sum(r["n"] for r in most)
+    out = {}
+    for r in most:
+        rows = min(r["n"], max(256, min(SAMPLE_ROWS, SAMPLE_NUMBERS // r["dim"]) * r["n"] // total))
+        got = reps.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) < rows / r["n"] * 1_000_003)).select("uid", "vec").collect()
+        if got:
+            sample = units([bytes(x["vec"]) for x in sorted(got, key=lambda x: x["uid"])])
+            out[r["dim"]] = MultiIndex(sample, min(MOST_CODES, math.ceil(math.sqrt(r["mean"] / CELL_ROWS))), threshold)
+    return out
+
+
+def _indexed(reps: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
     """A row for each vector in its own cell and one for each further cell that it visits."""
     shared = reps.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
         for b in batches:
             out: list[tuple] = []
             dims = b.column("dim").to_numpy()
             vecs = b.column("vec").to_pylist()
-            at = np.flatnonzero(dims == ix.dim) if ix.books else np.zeros(0, int)
             cell = np.full(b.num_rows, -1)
             visits: list[list[int]] = [[] for _ in range(b.num_rows)]
-            if len(at):
+            for dim in np.unique(dims).tolist():
+                ix = shared.value.get(dim)
+                if ix is None:
+                    continue
+                at = np.flatnonzero(dims == dim)
                 ex = ix.excess(units([vecs[i] for i in at]))
                 cell[at] = ix.home(ex)
                 for k, i in enumerate(at):
@@ -229,8 +245,7 @@ def linked(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     packed = groups.select("h1", "h2", "least", "weight", "label", "embedding").mapInArrow(pack, "h1 long, h2 long, least long, weight long, label string, dim int, vec binary")
     reps = persisted(packed.withColumn("group", F.xxhash64("label", "dim")).withColumn("uid", F.monotonically_increasing_id()), "emb")
-    sizes = reps.groupBy("group").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
-    index = fit(reps, threshold, sizes or 1.0)
+    index = fit(reps, threshold)
     cells = persisted(_indexed(reps.select("group", "uid", "weight", "dim", "vec"), index), "emb")
     found = persisted(block_results(cells, threshold), "emb")
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
