@@ -1,15 +1,18 @@
 """Secret scans with a trigram index; DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived: AND over what a match must contain, OR over
-its alternatives. The index keeps, for each document, the postings of just those trigrams that some query asks for, as a
-bitmap beside the text, so intersecting postings is a bitwise AND and no text moves. Rules whose query is satisfied verify
-the whole text; rules without mandatory trigrams scan every text. ``postings`` gives the same index by trigram instead
-(trigram, doc_id), for keeping, and ``candidates`` intersects that.
+its alternatives. The index is an inverted one, written once for a table: a posting (trigram, key) for each trigram that
+some query asks for and each text that holds it. Queries intersect and unite postings; the texts that satisfy one are its
+rule's candidates, and only they are verified by the expression. Rules without mandatory trigrams scan every text.
+
+A text's key is its hash, so copies share their postings, and texts never move: postings and candidates are narrow, and
+candidates meet the texts by a broadcast where they are counted and few, else by a join. Two texts of one hash can only
+make each other candidates.
 
 Offsets are code points. They come from the text between matches and the matches themselves, summed in blocks of about the
 square root of their number, so a text with many thousand matches stays cheap.
 
-Defined cases: a null text counts as empty and has no spans; its base_sha256 is that of the empty string. Rows are neither
+Defined cases: texts of any length are scanned whole. A null text counts as empty and has no spans; its base_sha256 is that of the empty string. Rows are neither
 dropped nor merged; extra columns of any name are ignored. Spans of one kind never overlap, those of different kinds may.
 """
 
@@ -24,6 +27,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import persisted
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +56,8 @@ MORE = (
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
+#: Candidates that are broadcast at most: two numbers each, 32 MB together.
+BROADCAST_KEYS = 2_000_000
 
 #: Strings that a literal part may stand for before it is cut off, and characters of a class that are spelled out.
 MOST_STRINGS, MOST_CLASS = 32, 5
@@ -163,12 +170,6 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
 
 
-def bitmap(text: Column, words: list[str]) -> list[Column]:
-    """Postings of one document: 62 trigrams to a number, bit k set if trigram k occurs in the lower-cased text."""
-    bits = [F.when(F.contains(text, F.lit(t)), F.lit(1 << (k % 62)).cast("long")).otherwise(F.lit(0).cast("long")) for k, t in enumerate(words)]
-    return [reduce(lambda a, b: a.bitwiseOR(b), bits[at : at + 62]) for at in range(0, len(bits), 62)]
-
-
 def satisfied(query, words: list[str], maps: list[Column]) -> Column:
     """The query as intersections and unions of postings."""
     if query is True:
@@ -187,24 +188,29 @@ def satisfied(query, words: list[str], maps: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, [satisfied(q, words, maps) for q in query[1]])
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index by trigram: (trigram, doc_id)."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    have = F.filter(F.array(*map(F.lit, vocabulary(rules))), lambda t: F.contains(low, t))
-    return docs.select("doc_id", F.explode(have).alias("trigram")).select("trigram", "doc_id")
+    """The index: (trigram, key), trigram being its place in the vocabulary."""
+    low = F.lower("_text")
+    d = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("_text")).select(text_key(F.col("_text")).alias("key"), low.alias("_low"))
+    have = F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(k)) for k, t in enumerate(vocabulary(rules))])
+    return d.select(F.explode(F.array_compact(have)).alias("trigram"), "key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(kind, doc_id) of documents whose postings satisfy a rule's query; rules without one are left out, as every text is theirs."""
+    """(key, rules): texts whose postings satisfy the query of a rule, with bit i set for rule i; rules without a query are left out, as every text is theirs."""
     words = vocabulary(rules)
-    bit = F.create_map(*[F.lit(x) for k, t in enumerate(words) for x in (t, k)])
-    k = F.element_at(bit, F.col("trigram"))
+    k = F.col("trigram")
     at = [F.bit_or(F.when((k >= a) & (k < a + 62), F.call_function("shiftleft", F.lit(1).cast("long"), (k - a).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{a}") for a in range(0, len(words), 62)]
-    maps = index.groupBy("doc_id").agg(*at)
+    maps = index.groupBy("key").agg(*at)
     columns = [F.col(f"m{a}") for a in range(0, len(words), 62)]
-    queries = [(r.kind, trigram_query(r.pattern)) for r in rules]
-    kinds = F.array(*[F.when(satisfied(q, words, columns), F.lit(kind)) for kind, q in queries if q is not True])
-    return maps.select(F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"), "doc_id")
+    bits = [F.when(satisfied(q, words, columns), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, q in enumerate(trigram_query(r.pattern) for r in rules) if q is not True]
+    if not bits:
+        return maps.select("key", F.lit(0).cast("long").alias("rules")).limit(0)
+    return maps.select("key", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("rules")).where("rules <> 0")
 
 
 def _sum(numbers: Column) -> Column:
@@ -213,19 +219,19 @@ def _sum(numbers: Column) -> Column:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, _text, and _found: array of (start, order, kind, end) sorted by start, then by the rules' order."""
-    words = vocabulary(rules)
+    index = persisted(postings(docs, rules), "trigrams")
+    found = persisted(candidates(index, rules), "candidates")
+    few = found.count() <= BROADCAST_KEYS
     d = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    d = d.withColumn("_low", F.lower("_text"))
-    d = d.select(*keep, "_text", *[m.alias(f"_m{i}") for i, m in enumerate(bitmap(F.col("_low"), words))])
-    maps = [F.col(f"_m{i}") for i in range((len(words) + 61) // 62)]
-    queries = [trigram_query(r.pattern) for r in rules]
+    d = d.withColumn("_key", text_key(F.col("_text"))).join((F.broadcast(found) if few else found).select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
     none = F.array().cast("array<string>")
 
-    def verified(r: Rule, query, group: int) -> Column:
-        return F.when(satisfied(query, words, maps), F.regexp_extract_all("_text", F.lit(f"({r.pattern})"), F.lit(group))).otherwise(none)
+    def verified(i: int, r: Rule, group: int) -> Column:
+        out = F.regexp_extract_all("_text", F.lit(f"({r.pattern})"), F.lit(group))
+        return out if trigram_query(r.pattern) is True else F.when(F.col("_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0, out).otherwise(none)
 
-    hits = [verified(r, q, 1).alias(f"_h{i}") for i, (r, q) in enumerate(zip(rules, queries, strict=True))]
-    hits += [verified(r, q, r.group + 1).alias(f"_g{i}") for i, (r, q) in enumerate(zip(rules, queries, strict=True)) if r.group]
+    hits = [verified(i, r, 1).alias(f"_h{i}") for i, r in enumerate(rules)]
+    hits += [verified(i, r, r.group + 1).alias(f"_g{i}") for i, r in enumerate(rules) if r.group]
     d = d.select(*keep, "_text", *hits)
     # what stands before each match, then the length of both
     gaps = [F.when(F.size(f"_h{i}") > 0, F.split("_text", r.pattern, -1)).otherwise(none).alias(f"_s{i}") for i, r in enumerate(rules)]
@@ -277,17 +283,29 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK)
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     d = scanned(whole, rules, ("_row",))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        part = F.substring("_text", a["at"] + 1, x["start"] - a["at"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["parts"], F.array(part, F.lit(mask)))).otherwise(a["parts"]).alias("parts"))
-
-    def finish(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substring("_text", a["at"] + 1, F.length("_text")))
-
-    clean = F.when(F.size("_found") > 0, F.aggregate("_found", zero, step, finish)).otherwise(F.col("_row")["text"])
+    d = d.withColumn("_n", F.size("_found")).withColumn("_w", F.greatest(F.ceil(F.sqrt("_n")).cast("int"), F.lit(1)))
+    # the furthest end before each span, from maxima of blocks of about the square root of their number
+    ends = F.transform("_found", lambda x: x["end"])
+    d = d.withColumn("_ends", ends)
+    d = d.withColumn("_tops", F.transform(F.sequence(F.lit(0), F.col("_w")), lambda b: F.coalesce(F.array_max(F.slice("_ends", b * F.col("_w") + 1, F.col("_w"))), F.lit(0))))
+
+    def before(k: Column) -> Column:
+        block = F.floor(k / F.col("_w")).cast("int")
+        top = F.coalesce(F.array_max(F.slice("_tops", F.lit(1), block)), F.lit(0))
+        return F.greatest(top, F.coalesce(F.array_max(F.slice("_ends", block * F.col("_w") + 1, k - block * F.col("_w"))), F.lit(0)))
+
+    # where a span begins beyond all earlier ones, a mask begins; it reaches to the furthest end before the next of these
+    heads = F.filter(F.transform("_found", lambda x, k: F.struct(x["start"].alias("start"), before(k).alias("before"))), lambda x: x["start"] >= x["before"])
+    d = d.withColumn("_heads", heads).withColumn("_chars", F.when(F.col("_n") > 0, F.split("_text", "", -1)))
+
+    def piece(x: Column, k: Column) -> Column:
+        done = F.when(k == 0, F.lit(0)).otherwise(x["before"])
+        return F.array_join(F.slice("_chars", done + 1, x["start"] - done), "")
+
+    pieces = F.array_join(F.transform("_heads", piece), mask)
+    last = F.array_max("_ends")
+    rest = F.array_join(F.slice("_chars", last + 1, F.greatest(F.size("_chars") - last, F.lit(0))), "")
+    clean = F.when(F.col("_n") > 0, F.concat(pieces, F.lit(mask), rest)).otherwise(F.col("_row")["text"])
     d = d.select("_row", clean.alias("_clean"))
     out = []
     for f in docs.schema.fields:
