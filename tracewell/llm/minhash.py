@@ -1,21 +1,26 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. Texts with the same words collapse to one representative (a pre-aggregated group-by), so copies cost one row.
-2. Each representative's signature gives TREES sorted orders. In each, rows with a common prefix of DEPTHS[0] values form
-   a region; a crowded region goes to a deeper prefix, and at the deepest its rows join one leader.
-3. Within a region, short signatures are compared; those that may reach the threshold join one candidate cluster
-   (connected components over the whole corpus).
+2. Each representative's signature stands in TREES sorted orders, each over PER_TREE values of its own. Rows with a common
+   prefix of LEVELS[0] values form a region. A region that is too large for one task goes to a deeper prefix; inside a
+   task its rows are sorted and cut at ever longer common prefixes until no run has more than CROWDED rows. Rows of a run,
+   and the next NEAR rows of the order (those with the longest common prefixes) beyond it, are compared by signature.
+   Runs that stay crowded to the end of their order are joined as they are.
+3. Depth costs recall: a pair at the threshold shares d values of an order with probability s^d. So each row reports how deep
+   it went in each order, and rows that would miss a pair with more than MISSED get further sorted orders, over other
+   choices of the same values, until they would not. Pairs that compare well join one candidate cluster.
 4. Inside each cluster pairs are confirmed exactly, in blocks of bounded size, as products of shingle incidence matrices.
    In clusters wider than a block, members linked to one lead are joined after one comparison each, and only the others
    meet everybody. Only spanning links leave a block, and components of those are the result.
 
-A candidate cluster is a superset of the true groups, so leaders and spanning trees in steps 2 and 3 lose nothing that the
-exact step could find. Pairs at the threshold meet in no tree with probability (1 - s^depth)^TREES: 1e-5 at 0.85 and
-depth 3, 1e-3 where regions are crowded.
+A candidate cluster is a superset of the true groups, so leads and spanning trees lose nothing that the exact step could
+find. A pair at the threshold is missed with probability of at most MISSED by all orders, and 5e-4 by the signatures.
 
 Defined cases: texts without words (null, empty, blank) have an empty set and link with nothing; shorter texts than a
-shingle are one shingle. Words are runs between ASCII white space, lower-cased over A-Z only. Repeated rows are copies of
-each other. Rows with a null id link with nothing and have a null component. Extra columns of any name are ignored.
+shingle are one shingle. Words are runs between ASCII white space, lower-cased over A-Z only; texts of any length are read
+whole. A similarity of exactly the threshold links. Repeated rows are copies of each other; different texts under one id
+are documents of their own that share a name. Rows with a null id link with nothing and have a null component. An empty
+table gives no rows. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +34,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import grouped, persisted, python_batches
+from tracewell.llm.common import grouped, persisted, python_batches, release
 from tracewell.llm.components import connected_components
 
 SHINGLE = 5
 TREES, PER_TREE = 12, 8
-DEPTHS = (3, 5, 8)
-#: Rows of a region before it goes deeper.
-CROWDED = 512
+#: Prefixes by which rows are dealt out, and rows of a region that one task takes.
+LEVELS, REGION_ROWS = (3, 5, 8), 2048
+#: Rows of a run that are all compared, and neighbours beyond it.
+CROWDED, NEAR = 512, 16
+#: Probability with which all orders may miss a pair at the threshold.
+MISSED = 1e-3
+#: Values that a further order deals out by, and its whole length.
+FURTHER_KEY, FURTHER_LENGTH = 8, 12
 #: Shingles and rows of one part when a cluster is confirmed, and cells of one incidence matrix.
 BLOCK_SHINGLES, BLOCK_ROWS, BLOCK_CELLS = 1_000_000, 2000, 8_000_000
 CACHE_WORDS = 150_000
@@ -98,9 +108,9 @@ def sketched(docs: DataFrame) -> DataFrame:
             for t in b.column("text"):
                 w = words_of(t.as_py())
                 s = shingle_set(w)
-                d = xxhash.xxh3_128_intdigest(b" ".join(w))
-                c1.append((d >> 64) - (1 << 63))
-                c2.append((d & ((1 << 64) - 1)) - (1 << 63))
+                one, two = digest(w)
+                c1.append(one)
+                c2.append(two)
                 n.append(len(s))
                 sig.append(signature(s).tobytes() if len(s) else b"")
             yield pa.record_batch([b.column("doc_id"), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "c1", "c2", "n", "sig"])
@@ -111,7 +121,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _trees(reps: DataFrame) -> DataFrame:
-    """tree rows: k3, k5, k8 (hashes of the signature's prefixes), rep, low (one byte of each value)."""
+    """A row for each tree: k3, k5, k8 (hashes of the order's first values), tree, rep, low (one byte of each value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,15 +134,38 @@ def _trees(reps: DataFrame) -> DataFrame:
                 for i in range(PER_TREE):
                     run_ = _mix(run_ + sig[:, t, i].astype(np.uint64) * _C[i])
                     keys[i + 1] = run_.view(np.int64)
-                yield pa.record_batch([*(pa.array(keys[d]) for d in DEPTHS), b.column("rep"), pa.array(low, pa.binary())], names=["k3", "k5", "k8", "rep", "low"])
+                yield pa.record_batch([*(pa.array(keys[d]) for d in LEVELS), pa.array(np.full(b.num_rows, t), pa.int32()), b.column("rep"), pa.array(low, pa.binary())], names=["k3", "k5", "k8", "tree", "rep", "low"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "k3 long, k5 long, k8 long, rep long, low binary")
+    return reps.select("rep", "sig").mapInArrow(run, "k3 long, k5 long, k8 long, tree int, rep long, low binary")
+
+
+def order_of(tree: int) -> np.ndarray:
+    """The values of a signature in the sequence of one sorted order; those from TREES on are the further ones."""
+    if tree < TREES:
+        return np.arange(tree * PER_TREE, (tree + 1) * PER_TREE)
+    return np.random.default_rng(1000 + tree).permutation(TREES * PER_TREE)[:FURTHER_LENGTH]
+
+
+def _further(rows: DataFrame, count: int) -> DataFrame:
+    """rep, low -> a row for each of ``count`` further orders: key (hash of its first values), tree, rep, low."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            low = np.frombuffer(b"".join(b.column("low").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            for t in range(TREES, TREES + count):
+                first = np.ascontiguousarray(low[:, order_of(t)[:FURTHER_KEY]]).view(np.uint64).ravel()
+                key = _mix(_mix(first * _C[0] + np.uint64(t)) * _C[1])
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(np.full(b.num_rows, t), pa.int32()), b.column("rep"), b.column("low")], names=["key", "tree", "rep", "low"])
+
+    return rows.select("rep", "low").mapInArrow(run, "key long, tree int, rep long, low binary")
 
 
 def least_agreement(threshold: float) -> float:
-    """Share of agreeing signature bytes that a pair at the threshold falls below with probability under 1e-5."""
+    """Share of agreeing signature bytes that a pair at the threshold falls below with probability 5e-4."""
     k = TREES * PER_TREE
-    s = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / k)
+    s = threshold - 3.3 * math.sqrt(threshold * (1 - threshold) / k)
     return s + (1 - s) / 256
 
 
@@ -156,59 +189,123 @@ def _roots(n: int, pairs: Iterator[tuple[int, np.ndarray]]) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def _region_links(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """a, b: spanning links of the rows of each region that may reach the threshold."""
+def sorted_runs(order: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in sorted order, and the runs (from, to, common prefix) that they are cut into: the shortest prefix from depth on that leaves no more than CROWDED."""
+    at = np.lexsort(order.T[::-1])
+    x, width = order[at], order.shape[1]
+    differ = x[1:] != x[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width)  # longest common prefix of neighbours
+    todo, runs = [(0, len(x), depth)], []
+    while todo:
+        a, b, d = todo.pop()
+        if b - a <= CROWDED or d >= width:
+            runs.append((a, b, d))
+            continue
+        cuts = [a, *(a + 1 + np.flatnonzero(common[a : b - 1] <= d)).tolist(), b]
+        todo += [(i, j, d + 1) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return at, runs
+
+
+def region_links(low: np.ndarray, tree: int, depth: int, least: float) -> tuple[list[int], np.ndarray]:
+    """(root of each row, depth that each row went to) in one region of an order."""
+    n = len(low)
+    if n <= CROWDED:
+        return _roots(n, ((i, i + 1 + np.flatnonzero((low[i + 1 :] == low[i]).sum(1) >= least)) for i in range(n - 1))), np.full(n, depth)
+    at, runs = sorted_runs(low[:, order_of(tree)], depth)
+    m, deep = low[at], np.zeros(n, int)
+
+    def pairs() -> Iterator[tuple[int, np.ndarray]]:
+        for a, b, d in runs:
+            deep[at[a:b]] = d
+            if b - a > CROWDED:  # alike in the whole order
+                yield int(at[a]), at[a + 1 : b]
+                continue
+            for i in range(a, b - 1):
+                yield int(at[i]), at[i + 1 + np.flatnonzero((m[i + 1 : b] == m[i]).sum(1) >= least)]
+        for k in range(1, NEAR + 1):  # the longest common prefixes across the ends of runs
+            for i in np.flatnonzero((m[k:] == m[:-k]).sum(1) >= least):
+                yield int(at[i]), at[i + k : i + k + 1]
+
+    return _roots(n, pairs()), deep
+
+
+def _region_links(rows: DataFrame, key: str, depth: int, threshold: float) -> DataFrame:
+    """a, b: spanning links of the rows of each region that may reach the threshold; and a, null, depth of rows that went deeper than the first level."""
     least = least_agreement(threshold) * TREES * PER_TREE
 
+    def batch(a: list[int], b: list[int | None], d: list[int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "depth"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
-        b: list[int] = []
+        b: list[int | None] = []
+        d: list[int] = []
         for g in grouped(batches, [key]):
             n = g.num_rows
-            if n < 2:
-                continue
-            rep = g.column("rep").to_numpy()
-            m = np.frombuffer(b"".join(g.column("low").to_pylist()), np.uint8).reshape(n, -1)
-            links = ((i, i + 1 + np.flatnonzero((m[i + 1 :] == m[i]).sum(1) >= least)) for i in range(n - 1))
-            for i, r in enumerate(_roots(n, links)):
+            rep = g.column("rep").to_pylist()
+            if n > 1:
+                m = np.frombuffer(b"".join(g.column("low").to_pylist()), np.uint8).reshape(n, -1)
+                roots, deep = region_links(m, g.column("tree")[0].as_py(), depth, least)
+            else:
+                roots, deep = [0], [depth]
+            for i, r in enumerate(roots):
                 if r != i:
-                    a.append(int(rep[i]))
-                    b.append(int(rep[r]))
+                    a.append(rep[i])
+                    b.append(rep[r])
+                    d.append(0)
+                if LEVELS[0] < deep[i]:
+                    a.append(rep[i])
+                    b.append(None)
+                    d.append(int(deep[i]))
             if len(a) > 20_000:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield batch(a, b, d)
+                a, b, d = [], [], []
+        yield batch(a, b, d)
+
+    return rows.select(key, "tree", "rep", "low").repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long, depth int")
+
 
-    return rows.select(key, "rep", "low").repartition(key).sortWithinPartitions(key).mapInArrow(run, "a long, b long")
+def _joined(rows: DataFrame, key: str) -> DataFrame:
+    """Links of all rows of regions that are alike in a whole key, to the first of them."""
+    first = rows.groupBy(key).agg(F.min("rep").alias("first"))
+    return rows.join(first, key).select(F.col("rep").alias("a"), F.col("first").alias("b"))
 
 
 def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
     """a, b over rep: their components are the candidate clusters."""
     rows = persisted(_trees(reps), "mh")
-    # a region of one row has no pair; of the rest, the count decides the depth
-    sizes = rows.groupBy("k3").agg(F.count("*").alias("c3")).where("c3 > 1")
-    many = persisted(rows.join(sizes, "k3"), "mh")
-    links = [_region_links(many.where(F.col("c3") <= CROWDED), "k3", threshold)]
-    deep = many.where(F.col("c3") > CROWDED).drop("c3")
-    deeper = deep.join(deep.groupBy("k5").agg(F.count("*").alias("c5"), F.min("rep").alias("lead")).where("c5 > 1"), "k5")
-    links.append(_region_links(deeper.where(F.col("c5") <= CROWDED), "k5", threshold))
-    # the deepest regions: rows of one region join its first row, and those near the larger region's first row join that
-    hot = deeper.where(F.col("c5") > CROWDED)
-    links.append(hot.join(hot.groupBy("k8").agg(F.min("rep").alias("first")), "k8").select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    leads = hot.where("rep = lead").groupBy("k5").agg(F.min("low").alias("lead_low"))
-    least = least_agreement(threshold) * TREES * PER_TREE
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("low", "lead_low"))
-                yield b.filter(pa.array((x == y).sum(1) >= least)).select(["a", "b"])
+    def counted(rows: DataFrame, key: str, least: int) -> DataFrame:
+        return rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least), key)
 
-    close = hot.join(leads, "k5").select(F.col("rep").alias("a"), F.col("lead").alias("b"), "low", "lead_low").mapInArrow(near, "a long, b long")
-    links.append(close)
-    out = links[0]
+    # a region of one row has no pair; of the rest, the count decides the depth
+    many = persisted(counted(rows, "k3", 2), "mh")
+    links = [_region_links(many.where(F.col("n") <= REGION_ROWS), "k3", LEVELS[0], threshold)]
+    deeper = persisted(counted(many.where(F.col("n") > REGION_ROWS).drop("n"), "k5", 1), "mh")
+    links.append(_region_links(deeper.where(F.col("n") <= REGION_ROWS), "k5", LEVELS[1], threshold))
+    deepest = persisted(counted(deeper.where(F.col("n") > REGION_ROWS).drop("n"), "k8", 1), "mh")
+    links.append(_region_links(deepest.where(F.col("n") <= REGION_ROWS), "k8", LEVELS[2], threshold))
+    hot = deepest.where(F.col("n") > REGION_ROWS)
+    links.append(_joined(hot, "k8").withColumn("depth", F.lit(0)))
+    links.append(hot.select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(LEVELS[2]).alias("depth")))
+    found = links[0]
     for x in links[1:]:
-        out = out.unionByName(x)
+        found = found.unionByName(x)
+    found = persisted(found, "mh")
+    for x in (many, deeper, deepest):
+        release(x)
+    # how likely each row is to miss a pair at the threshold, from its depth in each order
+    miss = [0.0] + [math.log1p(-(min(threshold, 0.9999) ** d)) for d in range(1, PER_TREE + 1)]
+    lost = F.element_at(F.array(*[F.lit(m - miss[LEVELS[0]]) for m in miss]), F.col("depth") + 1)
+    needy = found.where("b is null").groupBy("a").agg(F.sum(lost).alias("lost")).where(F.col("lost") + TREES * miss[LEVELS[0]] > math.log(MISSED))
+    more = persisted(rows.where("tree = 0").join(needy.select(F.col("a").alias("rep")), "rep").select("rep", "low"), "mh")
+    release(rows)
+    out = found.where("b is not null").select("a", "b")
+    if more.take(1):
+        orders = math.ceil(math.log(MISSED) / miss[FURTHER_KEY])
+        further = persisted(counted(_further(more, orders), "key", 2), "mh")
+        out = out.unionByName(_region_links(further.where(F.col("n") <= REGION_ROWS), "key", FURTHER_KEY, threshold).where("b is not null").select("a", "b"))
+        out = out.unionByName(_joined(further.where(F.col("n") > REGION_ROWS), "key"))
     return out.where("a <> b").distinct()
 
 
@@ -269,17 +366,29 @@ def _cored(members: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "cluster long, rep long, n long, set binary, lead long, core boolean")
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
-    """a, b: spanning links of each block of each cluster; clusters: node, component."""
-    members = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+def digest(words: list[bytes]) -> tuple[int, int]:
+    """Two 64-bit halves of a hash of the words."""
+    d = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+
+def confirmed_links(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """a, b over rep: spanning links of each block of each cluster; members: cluster, rep, and doc_id, c1, c2 of a document with its text."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.select("doc_id", "c1", "c2", "cluster", "rep"), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(words_of(t.as_py())) for t in b.column("text")]
-            yield pa.record_batch([b.column("cluster"), b.column("rep"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cluster", "rep", "n", "set"])
+            out = []
+            for t, c1, c2, cluster, rep in zip(*(b.column(c) for c in ("text", "c1", "c2", "cluster", "rep")), strict=True):
+                w = words_of(t.as_py())
+                if digest(w) == (c1.as_py(), c2.as_py()):  # another text may stand under the same id
+                    s = shingle_set(w)
+                    out.append((cluster.as_py(), rep.as_py(), len(s), s.tobytes()))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cluster", "rep", "n", "set"])
         _words.clear()
 
-    sets = persisted(members.mapInArrow(hashed, "cluster long, rep long, n long, set binary"), "mh")
+    sets = persisted(texts.mapInArrow(hashed, "cluster long, rep long, n long, set binary"), "mh")
 
     def parts(rows) -> Column:
         """Parts that rows (a condition) of a cluster are cut into."""
@@ -322,10 +431,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     sketch = sketched(docs)
     known = sketch.where("doc_id is not null and n > 0")
     first = known.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    reps = persisted(first.select("c1", "c2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "mh")
+    reps = persisted(first.select("c1", "c2", F.col("x.doc_id").alias("doc_id"), F.col("x.sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id()), "mh")
     clusters = persisted(connected_components(candidate_links(reps, threshold)), "mh")
-    groups = persisted(connected_components(confirmed_links(docs, clusters, threshold)), "mh")
-    of = reps.select("c1", "c2", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    names = reps.select("rep", "doc_id", "c1", "c2")
+    members = names.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    groups = persisted(connected_components(confirmed_links(docs, members, threshold)), "mh")
+    of = persisted(names.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("c1", "c2", "doc_id", F.coalesce("component", "rep").alias("root")), "mh")
+    of = of.join(of.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("c1", "c2", "component")
     out = sketch.select("doc_id", "c1", "c2", "n").join(of, ["c1", "c2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -333,6 +445,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns as they are, without near-duplicates: of each group the smallest id stays."""
+    """The rows of docs, all columns as they are, without near-duplicates: of each group the smallest id stays, with all rows that bear it."""
     dropped = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
