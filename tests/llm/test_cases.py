@@ -6,6 +6,7 @@ import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +244,23 @@ def test_bad_hosts_lose_their_good_documents(spark):
     assert got[5000] and got[5001] and all(got[i] for i in range(100)) and not any(got[i] for i in range(1000, 1100))
 
 
+def test_hosts_that_stand_out_lose_what_fails_their_rule(spark, tmp_path):
+    good, junk = " ".join(WORDS), " ".join(f"{w}##" for w in WORDS)
+    rows = []
+    for h in range(40):  # one host in forty often has symbols, the others seldom
+        rows += [(len(rows) + i, junk if (i % 3 == 0 if h == 7 else i % 50 == 0) else good, f"h{h}") for i in range(100)]
+    rows.append((len(rows), junk, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(df).collect()}
+    assert {i for i, k in got.items() if not k} == {i for i, t, h in rows if h == "h7" and t == junk}
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(quality.judged(df), con, quality.oracle_sql())
+    rates = {r["host"]: r for r in quality.host_rates(quality.measured(df)).collect()}
+    assert rates["h7"]["bad_symbols"] and 0.02 < rates["h3"]["rate_symbols"] < rates["h7"]["rate_symbols"] < 0.34 and not rates["h7"]["bad_base"]
+
+
 # 5
 
 
