@@ -578,6 +578,88 @@ def test_page_with_more_comments_or_menu_than_content():
         assert pages.main_text(page, pages.Weights()) == CONTENT_WORDS.strip()
 
 
+#: Pages without article or main, and their main text.
+HAND_MADE = [
+    (
+        "<html><body><div id=top><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact us</a></div><h1>Rivers rise</h1><p>The river rose by two metres on Sunday, and the lower town was closed to traffic.</p><p>Nobody was hurt, the mayor said in the evening.</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></body></html>",
+        "Rivers rise\n\nThe river rose by two metres on Sunday, and the lower town was closed to traffic.\n\nNobody was hurt, the mayor said in the evening.",
+    ),
+    (
+        "<body><table><tr><td><a href=a>Index</a><td><a href=b>Search</a></table><div><h2>A recipe</h2><p>Peel the apples, cut them <b>thinly</b> and lay them on the dough before you add the sugar.<p>Bake for forty minutes at medium heat.</div><table><tr><td><a href=c>Imprint</a><td><a href=d>Privacy</a></table>",
+        "A recipe\n\nPeel the apples, cut them thinly and lay them on the dough before you add the sugar.\n\nBake for forty minutes at medium heat.",
+    ),
+    (
+        "<body><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>Plain words stand in the body itself, and there are quite a few of them here,<br>over two lines.<ul><li><a href=4>d</a><li><a href=5>e</a></ul>",
+        "Plain words stand in the body itself, and there are quite a few of them here, over two lines.",
+    ),
+]
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark, sf_dir):
+    return pages.fit(table(spark, sf_dir, "pages"))
+
+
+@pytest.mark.parametrize("page,want", HAND_MADE)
+def test_pages_that_mark_nothing(page, want, page_weights):
+    assert pages.main_text(page, page_weights) == want
+    assert pages.main_text(page, pages.Weights(1.0, {}, 0.0, 0.0)) != want  # the weights decide
+
+
+def test_zero_weights_take_the_whole_page(spark, sf_dir, page_weights):
+    for r in table(spark, sf_dir, "pages").select("html").collect():
+        assert len(pages.main_text(r["html"], pages.Weights(1.0, {}, 0.0, 0.0))) > len(pages.main_text(r["html"], page_weights))
+
+
+def test_page_text_equals_a_plain_parser(spark, sf_dir):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag == "br":
+                self.out[-1] += " "
+            elif tag not in pages.INLINE:
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            if tag not in pages.INLINE:
+                self.out.append("")
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1] += data
+
+    for d in (sf_dir, sf_dir.replace("sf0.001", "sf0.01")):
+        got = {r["page_id"]: r["text"] for r in entries.op9_pages(spark, d).collect()}
+        for r in table(spark, d, "pages").collect():
+            p = Article()
+            p.feed(r["html"])
+            p.close()
+            assert got[r["page_id"]] == "\n\n".join(t for x in p.out if (t := " ".join(x.split()))), r["page_id"]
+
+
+def test_parts_of_an_article_are_not_boilerplate():
+    body = "<article><header class='article-header'><h1>Title</h1></header><p>%s</p><section class='product-side'><p>side by side</p></section><footer>shared by</footer></article>" % CONTENT_WORDS
+    assert pages.main_text("<body><header>site</header>" + body, pages.Weights()) == "Title\n\n" + CONTENT_WORDS.strip() + "\n\nside by side"
+    assert pages.main_text(f"<p title=don't>{CONTENT_WORDS}</p><p>it's more</p>", pages.Weights(1.0, {}, -0.2)) == CONTENT_WORDS.strip() + "\n\nit's more"
+
+
+@pytest.mark.parametrize("part,close", [("<a ", ""), ('<a x="', ""), ("<a b='\"", ""), ("<div>", "</x>"), ("<b>", "<p><b>"), ("<div class=sidebar>", "<article>x"), ("<!--", ""), ("<", ""), ("<script>", ""), ("&amp;<i>", "</p>")])
+def test_hostile_pages_take_linear_time(part, close):
+    import time
+
+    began = time.time()
+    n = 1_000_000 // (len(part) + len(close))
+    pages.main_text(part * n + close * n, pages.Weights())
+    assert time.time() - began < 10
+
+
 def test_region_is_the_best_of_all():
     rng = np.random.default_rng(3)
     w = pages.Weights(1.0, {"p": -2.0}, -2.0)

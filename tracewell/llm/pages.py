@@ -1,14 +1,18 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page becomes a sequence of tags and runs of words. Words score positive, tags negative, with weights from labelled pages
-(those that mark their content with <article> or <main>); one linear scan finds the contiguous region with the highest
-sum. The region is then grown to the element that holds it, since a short first or last block may score below zero, and
-boilerplate elements inside it are left out. A class, id or role names boilerplate only as far as what the element holds
+(those that mark their content with <article> or <main>); words of elements that are boilerplate by their tag or name score
+negative, too. One linear scan finds the contiguous region with the highest sum. A short first or last block may score
+below zero, so the element that agrees with the region to at least AGREEMENT (F-measure of their words) takes its place;
+where none does, as on pages without such an element, the region itself is the content, out to the ends of its blocks.
+Boilerplate elements inside are left out. A class, id or role names boilerplate only as far as what the element holds
 agrees (see ``settle``): wrappers often carry such words to say how the page is laid out.
 
 Defined cases: a null or empty page, and one without any word of content, give an empty text. Markup that is never closed
-ends with the element around it. White space, also from character references, becomes one space inside a block; blocks
-are joined by an empty line. Rows are neither dropped nor merged; extra columns of any name are ignored.
+ends with the element around it; a tag that the page's end cuts off is no text. White space, also from character references,
+becomes one space inside a block; blocks are joined by an empty line. Equal regions: the first counts. Pages of any length
+are read whole, in time that grows with their length. Rows are neither dropped nor merged; extra columns of any name are
+ignored. Weights are learned from about ``rows`` pages; a tag that the sample lacks costs ``other``.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import python_batches
 
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A tag without attributes, the name of any tag, and one attribute or the tag's end.
+BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)\s*>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|(=?[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
 RAW = frozenset("script style textarea title noscript template xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -36,7 +42,11 @@ DROPPED = frozenset("nav header footer aside form script style noscript template
 #: Words in class, id or role that mark boilerplate; those of FOREIGN name what readers, advertisers and other pages say.
 FOREIGN = "ads? adverts? advertisement promo promoted sponsor(?:ed)? breadcrumbs? comments? replies disqus respond cookies? consent gdpr newsletter subscribe signup login share sharing social related recommended".split()
 LISTED = [*FOREIGN, *"banner sidebar side menu nav navbar navigation header masthead footer notice alert popup modal overlay widget toolbar pagination pager skip complementary contentinfo search".split()]
-MARKED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(LISTED)})(?:$|[\s_-])", re.I)
+#: These name an element only alone: parts of content are called by them beside other words.
+ALONE = ("side", "search", "notice", "alert", "banner", "skip")
+MARKED = re.compile(rf"(?:^|[_-])(?:{'|'.join(w for w in LISTED if w not in ALONE)})(?:$|[_-])", re.I)
+#: Heads of articles are not heads of pages.
+HEAD = re.compile(r"(?:^|.*[_-])header", re.I)
 #: A value of which every part is listed names the element; a foreign word does so beside others, too.
 NAMED = re.compile(rf"(?:{'|'.join(LISTED)})(?:[_-]+(?:{'|'.join(LISTED)}))*", re.I)
 ALIEN = re.compile(rf"(?:^|[_-])(?:{'|'.join(FOREIGN)})(?:$|[_-])", re.I)
@@ -46,14 +56,16 @@ NO, WEAK, STRONG, OTHERS = range(4)
 CONTENT = ("article", "main")
 #: Elements that the region may grow to.
 HOLDERS = frozenset(["article", "main", "section", "div", "td", "body"])
+#: Least F-measure of the words of an element and of the region that it may stand for.
+AGREEMENT = 0.9
 CLOSES_P = frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre section article aside header footer nav form hr main figure dl".split())
 
 
 class Weights:
-    """Score of a word, and of each tag; all tags are negative."""
+    """Score of a word, of a word in a boilerplate element, and of each tag. Without a negative score for them, boilerplate elements are content like others."""
 
-    def __init__(self, word: float = 1.0, tags: dict[str, float] | None = None, other: float = -3.0):
-        self.word, self.tags, self.other = word, tags or {}, other
+    def __init__(self, word: float = 1.0, tags: dict[str, float] | None = None, other: float = -3.0, boilerplate: float = -0.3):
+        self.word, self.tags, self.other, self.boilerplate = word, tags or {}, other, boilerplate
 
     def tag(self, name: str) -> float:
         return self.tags.get(name, self.other)
@@ -66,13 +78,14 @@ class Node:
         self.name, self.parent, self.begin, self.end, self.drop, self.mark, self.link = name, parent, begin, -1, drop, mark, link
 
 
-def marked(attrs: str) -> int:
+def marked(values: list[str], in_article: bool = False) -> int:
     """How surely the class, id and role of an element mark it as boilerplate."""
     found = NO
-    for _, a, b, c in ATTRIBUTE.findall(attrs):
-        for value in (a or b or c).split():
-            if MARKED.search(value) and not STATE.fullmatch(value):
-                found = max(found, OTHERS if ALIEN.search(value) else STRONG if NAMED.fullmatch(value) else WEAK)
+    for text in values:
+        for value in text.split():
+            named = NAMED.fullmatch(value)
+            if (named or MARKED.search(value)) and not STATE.fullmatch(value) and not (in_article and HEAD.fullmatch(value)):
+                found = max(found, OTHERS if ALIEN.search(value) else STRONG if named else WEAK)
     return found
 
 
@@ -95,18 +108,22 @@ def settle(items: list[tuple], nodes: list[Node]) -> None:
             linked = max(linked, end)
             at, end = next(links, (len(items), 0))
         upto.append(upto[-1] + (0 if drop or kind == "tag" or i < linked else len(value.split())))
-    content = [(x, upto[x.end] - upto[x.begin]) for x in nodes if x.name in CONTENT and not x.drop]
-    begins = [x.begin for x, _ in content]
     total, gone = upto[-1], 0
+    content = [(x.begin, x.name, n) for x in nodes if x.name in CONTENT and not x.drop and (n := upto[x.end] - upto[x.begin])]
+    held = [x[0] for x in content]
+    large = [x[0] for x in content if x[1] == "main" or 2 * x[2] > total]
+
+    def within(begins: list[int], s: Node) -> bool:
+        return bisect_left(begins, s.begin) < bisect_left(begins, s.end)
+
     for s in soft:
         if s.begin < gone:
             continue
         words = upto[s.end] - upto[s.begin]
-        held = [(x.name, n) for x, n in content[bisect_left(begins, s.begin) : bisect_left(begins, s.end)] if n]
         if s.mark == WEAK:
-            keep = bool(held) or 2 * words > total
+            keep = within(held, s) or 2 * words > total
         else:
-            keep = any(name == "main" or 2 * n > total for name, n in held) or s.mark == STRONG and 10 * words >= 9 * total > 0
+            keep = within(large, s) or s.mark == STRONG and 10 * words >= 9 * total > 0
         if not keep:
             gone = s.end
             for i in range(s.begin, s.end):
@@ -115,60 +132,92 @@ def settle(items: list[tuple], nodes: list[Node]) -> None:
         x.drop = x.drop or items[x.begin][2]
 
 
+def tag_at(page: str, at: int) -> tuple[str, dict[str, str], bool, int]:
+    """Name, attributes, whether it closes itself, and end of the tag at a place; the end is -1 where the page ends first."""
+    m = NAME.match(page, at)
+    name, at, found = m.group(1).lower(), m.end(), {}
+    while at < len(page):
+        m = ATTRIBUTE.match(page, at)
+        if m.group(1):
+            return name, found, page[m.end() - 2] == "/", m.end()
+        key = m.group(2).lower()
+        if key and key not in found:
+            found[key] = m.group(3) or m.group(4) or m.group(5) or ""
+        at = m.end() if m.end() > at else at + 1
+    return name, found, False, -1
+
+
 def sequence(page: str) -> tuple[list[tuple], list[Node]]:
     """Items in page order: ("tag", name, dropped) or ("text", words as text, dropped); and the elements with their item spans."""
     items: list[tuple] = []
     root = Node("", None, 0, False)
     nodes, here, at, n = [root], root, 0, len(page)
+    opened: Counter = Counter()  # names of the elements that are open
     low = None
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while here is not node.parent:
+            here.end = len(items)
+            opened[here.name] -= 1
+            here = here.parent
+
     while at < n:
-        m = PIECE.match(page, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            if page[m.start()] != "<" or m.end() == m.start() + 1:
-                items.append(("text", m.group(), here.drop))
+        lt = page.find("<", at)
+        if lt != at:
+            items.append(("text", page[at : lt if lt >= 0 else n], here.drop))
+            if lt < 0:
+                break
+        c = page[lt + 1 : lt + 2]
+        if c in ("!", "?") and c:
+            end = page.find("-->", lt + 2) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = n if end < 0 else end + (3 if page.startswith("<!--", lt) else 1)
             continue
-        name = name.lower()
-        if m.group(1):
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                while here is not node.parent:
-                    here.end = len(items)
-                    here = here.parent
+        if not NAME.match(page, lt):
+            items.append(("text", "<", here.drop))
+            at = lt + 1
+            continue
+        m = BARE.match(page, lt)
+        name, attrs, alone, at = (m.group(2).lower(), {}, False, m.end()) if m else tag_at(page, lt)
+        if at < 0:  # the page ends inside the tag
+            break
+        if c == "/":
+            if opened[name] > 0:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                close(node)
             items.append(("tag", name, here.drop))
             continue
         if name in CLOSES_P or name in ("li", "tr", "td", "th", "dt", "dd", "option"):  # an open one of these ends here
             ends = {"p"} if name in CLOSES_P and name != "li" else {name, "p"} | ({"td", "th"} if name in ("tr", "td", "th") else set()) | ({"dt", "dd"} if name in ("dt", "dd") else set())
             node = here
-            while node is not root and (node.name in INLINE or node.name in ends):
+            while any(opened[x] > 0 for x in ends) and (node.name in INLINE or node.name in ends):
                 if node.name in ends:
-                    while here is not node.parent:
-                        here.end = len(items)
-                        here = here.parent
+                    close(node)
                     node = here
                 else:
                     node = node.parent
-        attrs = m.group(3)
-        drop, mark = here.drop or name in DROPPED, NO
-        if not drop and attrs and name not in ("html", "body", "article", "main") and "=" in attrs:
-            mark = marked(attrs)
-        elif not drop and attrs and name == "article":
-            drop = any(re.search(r"comment|reply|\bad\b|promo|related", a or b or c, re.I) for k, a, b, c in ATTRIBUTE.findall(attrs) if a or b or c)
+        in_article = opened["article"] > 0 or opened["main"] > 0
+        drop, mark = here.drop or name in DROPPED and not (name == "header" and in_article), NO
+        values = [attrs[k] for k in ("class", "id", "role") if attrs.get(k)] if attrs else []
+        if not drop and values and name not in ("html", "body", "article", "main"):
+            mark = marked(values, in_article)
+        elif not drop and values and name == "article":
+            drop = any(re.search(r"comment|reply|\bad\b|promo|related", v, re.I) for v in values)
         items.append(("tag", name, drop or mark > NO and name in VOID))
-        if name in VOID or attrs.endswith("/") and name not in HOLDERS:
+        if name in VOID or alone and name not in HOLDERS:
             continue
         if name in RAW:
             low = page.lower() if low is None else low
             end = low.find(f"</{name}", at) if len(low) == n else page.find(f"</{name}", at)
             at = n if end < 0 else end
             if end >= 0:
-                close = page.find(">", at)
-                at = n if close < 0 else close + 1
+                shut = page.find(">", at)
+                at = n if shut < 0 else shut + 1
             continue
-        here = Node(name, here, len(items) - 1, drop, mark, name == "a" and "href" in attrs.lower())
+        here = Node(name, here, len(items) - 1, drop, mark, name == "a" and "href" in attrs)
+        opened[name] += 1
         nodes.append(here)
     while here is not None:
         here.end = len(items)
@@ -177,14 +226,16 @@ def sequence(page: str) -> tuple[list[tuple], list[Node]]:
     return items, nodes
 
 
+def scores(items: list[tuple], weights: Weights) -> list[float]:
+    """The score of each item."""
+    drop = weights.boilerplate < 0
+    return [weights.tag(v) if kind == "tag" else (weights.boilerplate if d and drop else weights.word) * len(v.split()) for kind, v, d in items]
+
+
 def best_region(items: list[tuple], weights: Weights) -> tuple[int, int]:
     """Span of items with the highest sum, by one linear scan; (0, 0) if nothing scores above zero."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, drop) in enumerate(items):
-        if drop:
-            w = weights.other if kind == "tag" else 0.0
-        else:
-            w = weights.tag(value) if kind == "tag" else weights.word * len(value.split())
+    for i, w in enumerate(scores(items, weights)):
         if total <= 0:
             total, start = 0.0, i
         total += w
@@ -193,19 +244,27 @@ def best_region(items: list[tuple], weights: Weights) -> tuple[int, int]:
     return span
 
 
-def grown(items: list[tuple], nodes: list[Node], span: tuple[int, int]) -> tuple[int, int]:
-    """The content element around the region's middle if the page marks one, else the smallest holder of the whole region."""
+def grown(items: list[tuple], nodes: list[Node], span: tuple[int, int], weights: Weights) -> tuple[int, int]:
+    """The element whose words agree best with the region's, if they agree well, else the region out to the ends of its blocks."""
     a, b = span
-    marked = [x for x in nodes if x.name in CONTENT and not x.drop and x.begin < b and x.end > a]
-    if marked:
-        # the innermost marked element that overlaps the region most
-        x = max(marked, key=lambda x: (min(b, x.end) - max(a, x.begin), x.begin))
-        return x.begin, x.end
-    around = [x for x in nodes if x.begin <= a and x.end >= b and x.name in HOLDERS]
-    if around:
-        x = min(around, key=lambda x: x.end - x.begin)
-        return x.begin, x.end
-    return span
+    upto = [0]
+    for kind, value, drop in items:
+        upto.append(upto[-1] + (0 if kind == "tag" or drop and weights.boilerplate < 0 else len(value.split())))
+    own = upto[b] - upto[a]
+    best, found = 0.0, None
+    for x in nodes:
+        if x.name in HOLDERS and x.begin < b and x.end > a and not (x.drop and weights.boilerplate < 0):
+            both, words = upto[min(b, x.end)] - upto[max(a, x.begin)], upto[x.end] - upto[x.begin]
+            f = 2 * both / (own + words) if both > 0 else 0.0
+            if f > best or f == best and found and x.end - x.begin < found[1] - found[0]:
+                best, found = f, (x.begin, x.end)
+    if found and best >= AGREEMENT:
+        return found
+    while a > 0 and (items[a - 1][0] == "text" or items[a - 1][1] in INLINE):
+        a -= 1
+    while b < len(items) and (items[b][0] == "text" or items[b][1] in INLINE):
+        b += 1
+    return a, b
 
 
 def main_text(page: str | None, weights: Weights) -> str:
@@ -215,8 +274,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     a, b = best_region(items, weights)
     if a == b:
         return ""
-    a, b = grown(items, nodes, (a, b))
-    blocks, run = [], []
+    a, b = grown(items, nodes, (a, b), weights)
+    blocks, run, keep_all = [], [], weights.boilerplate >= 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
@@ -230,12 +289,18 @@ def main_text(page: str | None, weights: Weights) -> str:
                 run.append(" ")
             elif value not in INLINE:
                 flush()
-        elif not drop:
+        elif not drop or keep_all:
             run.append(value)
     flush()
     return "\n\n".join(blocks)
 
 
+#: What a tag costs at least, in words: blocks of one word inside the content still count for it.
+LEAST_COST = 0.2
+#: Tags that get a weight of their own at most, the commonest of the sample, and letters of their names; all others cost ``other``.
+MOST_TAGS, LONGEST_TAG = 300, 40
+
+
 def fit(pages: DataFrame, rows: int = 2000) -> Weights:
     """Weights from about ``rows`` pages, chosen by a hash, that mark their content: log odds of standing outside it."""
     good = pages.where(F.col("html").isNotNull() & F.lower("html").rlike("<(article|main)[\\s>]")).select("html", F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_003)).alias("_h"))
@@ -250,14 +315,17 @@ def fit(pages: DataFrame, rows: int = 2000) -> Weights:
             for page in b.column("html").to_pylist():
                 items, nodes = sequence(page)
                 mark = next((x for x in nodes if x.name in CONTENT), None)
-                for i, (kind, value, _) in enumerate(items):
-                    c = inside if mark and mark.begin <= i < mark.end else outside
-                    c[value[:40] if kind == "tag" else ""] += 1 if kind == "tag" else len(value.split())
+                for i, (kind, value, drop) in enumerate(items):
+                    c = inside if mark and mark.begin <= i < mark.end and not drop else outside
+                    if kind == "tag":
+                        c[value if len(value) <= LONGEST_TAG else ""] += value != "" and len(value) <= LONGEST_TAG
+                    else:
+                        c[""] += len(value.split())
         names = sorted({*inside, *outside})
         yield pa.record_batch([pa.array(names, pa.string()), pa.array([inside[k] for k in names], pa.int64()), pa.array([outside[k] for k in names], pa.int64())], names=["name", "i", "o"])
 
     sample = good.where(F.col("_h") < min(1.0, rows / n) * 1_000_003).select("html")
-    found = sample.mapInArrow(count, "name string, i long, o long").groupBy("name").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).orderBy(F.desc(F.expr("i + o")), "name").limit(300).collect()
+    found = sample.mapInArrow(count, "name string, i long, o long").groupBy("name").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).orderBy(F.desc(F.expr("i + o")), "name").limit(MOST_TAGS).collect()
     return learned({r["name"]: (r["i"], r["o"]) for r in found})
 
 
@@ -270,7 +338,7 @@ def learned(counts: dict[str, tuple[int, int]]) -> Weights:
         return math.log((o + 1) / total_o) - math.log((i + 1) / total_i)
 
     unit = max(0.5, -odds("") if "" in counts else 0.5)
-    return Weights(1.0, {k: -max(0.5, 3.0 + odds(k) / unit) for k in counts if k})
+    return Weights(1.0, {k: -max(LEAST_COST, 3.0 + odds(k) / unit) for k in counts if k})
 
 
 def extracted(pages: DataFrame, weights: Weights) -> DataFrame:
