@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
 import hashlib
+import math
 import re
 import textwrap
 import zlib
@@ -162,31 +163,90 @@ def test_pieces_equal_the_library(docs, empty):
 # 3
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def brute_match(terms, token):
+    """(edits, term number) of the best term by edit distance to the token, or to its best prefix for stems."""
+    got = []
+    for i, t in enumerate(terms):
+        root, most = t.rstrip("*"), toxicity.edits_allowed(t)
+        d = min(distance(root, token[:k]) for k in range(max(0, len(root) - most), min(len(token), len(root) + most) + 1)) if t.endswith("*") and len(token) >= len(root) - most else 9 if t.endswith("*") else distance(root, token)
+        if d <= most:
+            got.append((d, i))
+    return min(got, default=None)
+
+
 def test_automaton_equals_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        return row[-1]
-
-    terms = ["idiot", "scum", "disgusting", "clown"]
-    auto = toxicity.Automaton([*terms, "vequ*"])
+    terms = ["idiot", "scum", "disgusting", "clown", "vequ*", "moronic*", "ass"]
+    auto = toxicity.Automaton(terms)
     rng = np.random.default_rng(2)
-    tokens = terms + ["idot", "idiott", "scun", "disgstin", "vequabc", "veq"]
+    tokens = ["idiot", "idot", "idiott", "scun", "disgstin", "vequabc", "veq", "ldiot", "cum", "bscum", "xdisgustin", "moronically", "noronically", "ass", "asd", "a"]
     for _ in range(3000):
-        t = list(terms[rng.integers(4)])
+        t = list(terms[rng.integers(len(terms))].rstrip("*"))
         for _ in range(rng.integers(0, 4)):
-            k = rng.integers(0, len(t))
+            k = rng.integers(0, len(t) + 1)
             t[k : k + rng.integers(0, 2)] = ["abcdiost"[rng.integers(8)]] * rng.integers(0, 2)
             t = t or ["a"]
         tokens.append("".join(t))
     for t in tokens:
-        near = [distance(t[1:], x[1:]) for x in terms if t[0] == x[0] and distance(t[1:], x[1:]) <= toxicity.edits_allowed(x)]
-        want = min(near, default=0 if t.startswith("vequ") else None)
-        got = auto.match(t)
-        assert (got and got[0]) == want, t
+        got, want = auto.match(t), brute_match(terms, t)
+        assert (got and got[0]) == (want and want[0]), t
+    assert auto.match("ldiot") == (1, 0) and toxicity.Automaton(terms, frozenset(["ldiot"])).find("ldiot") is None
+
+
+def toxic_tables(spark, n=400):
+    """Clean rows of calm words, among them one a letter away from a term; rows of label 1 with one of two terms."""
+    rng = np.random.default_rng(3)
+    calm = [f"{a}{b}{c}" for a in ("ba", "ko", "li", "me") for b in ("ra", "tu", "no") for c in ("s", "n", "lan", "mir")] + ["clowns"]
+
+    def text(*more):
+        w = [calm[k] for k in rng.integers(0, len(calm), 25)] + list(more)
+        rng.shuffle(w)
+        return " ".join(w)
+
+    rows = [(i, text(*(["wretch" if i % 3 else "disgusting"] if i % 2 else [])), i % 2) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), text
+
+
+def test_misspelled_and_quoted_terms_decide(spark):
+    docs, labels, text = toxic_tables(spark)
+    model = toxicity.fit(docs, labels)
+    assert {t.rstrip("*")[:6] for t in model.terms} == {"wretch", "disgus"}
+    bad = [text(w) for w in ("wretch", "wrecth"[:3] + "tch", "vretch", "wretsh", "wretchh", "retch", "disgustng", "dizgusting", "disgustimg", "idsgusting"[1:])]
+    fine = [text(), text("clowns"), text("calm"), text() + ' he said "wretch"', text() + " the word wretch", None, ""]
+    test = spark.createDataFrame([(i, t) for i, t in enumerate([*bad, *fine])], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(test, model).collect()}
+    assert [got[i] for i in range(len(bad))] == [1] * len(bad), [bad[i] for i in range(len(bad)) if not got[i]]
+    assert [got[len(bad) + i] for i in range(len(fine))] == [0] * len(fine)
+    again = toxicity.fit(docs.repartition(5, "text"), labels.repartition(3))
+    assert again.terms == model.terms and again.misspelled == model.misspelled and (again.curve == model.curve).all() and again.ordinary == model.ordinary
+
+
+def test_evidence_equals_brute_force(spark):
+    docs, labels, text = toxic_tables(spark, 200)
+    model = toxicity.fit(docs, labels)
+    rows = [r["text"] for r in docs.collect()] + [text("wretch", "vretch") + ' "wretch" said', "Wretch\nwretch, said", text("wre" * 30)]
+    for t in rows:
+        total, low = 0.0, t.lower()
+        tokens = [(m.start(), m.group()) for m in toxicity.TOKEN.finditer(low)]
+        for i, (at, w) in enumerate(tokens):
+            m = brute_match(model.terms, w)
+            if m is None or m[0] and w in model.ordinary:
+                continue
+            line = low[low.rfind("\n", 0, at) + 1 : at]
+            quoted = line.count('"') % 2 == 1 and '"' in low[at:].split("\n")[0] or any(x in toxicity.REPORTING for _, x in tokens[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1])
+            best = [k for k in range(len(model.terms)) if brute_match([model.terms[k]], w) and brute_match([model.terms[k]], w)[0] == m[0]]
+            total += model.odds[best[0]] * (model.misspelled[best[0]] if m[0] else 1.0) * (model.quoted if quoted else 1.0)
+        got = model.evidence(t)
+        assert (got is None) == (total == 0) and (got is None or math.isclose(got[0], math.log1p(total), rel_tol=1e-9)), t
 
 
 def test_toxicity_learns_from_labels(spark, docs, empty, sf_dir):
@@ -201,7 +261,7 @@ def test_toxicity_learns_from_labels(spark, docs, empty, sf_dir):
     assert right > 0.96 and sum(caught) / len(caught) > 0.9
     flagged = [r["toxic"] for r in got if r["predicted"]]
     assert sum(flagged) / len(flagged) > 0.95
-    quoted = toxicity.Model({"idiot": 0.99}, 0.01, {"plain": 1.0} | toxicity.PRIOR)
+    quoted = toxicity.Model({"idiot": 0.99}, 0.01)
     assert quoted.score("you idiot") > 0.9 > 0.6 > quoted.score('the word "idiot" is rude') and quoted.score(None) == pytest.approx(0.01)
 
 
@@ -209,9 +269,10 @@ def test_toxicity_chance_hits_in_long_texts_count_less():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400)
     x = np.column_stack([rng.normal(1 + y, 0.5), rng.normal(2 * y, 0.5)])
+    assert (toxicity.logistic(x[:0], y[:0].astype(float), np.ones(0)) == toxicity.PRIOR_CURVE).all()
     b = toxicity.logistic(x, y.astype(float), np.ones(400))
     assert b[1] > 0 and b[2] > 0 and np.mean((toxicity.sigmoid(b[0] + x @ b[1:]) > 0.5) == y) > 0.95
-    model = toxicity.Model({"idiot": 0.9}, 0.01, {"plain": 1.0} | toxicity.PRIOR, 0.1)
+    model = toxicity.Model({"idiot": 0.9}, 0.01, 0.1)
     model.curve = np.array([-13.0, 3.3, 4.4])
     assert model.score("you idiot, idiot") > 0.7 > 0.1 > model.score("idiot" + " calm" * 2000)
     assert model.score(None) == model.score("") == model.score("calm") == 0.01

@@ -2,17 +2,24 @@
 
 Learning finds words and word stems (prefixes) that mark label 1, over a bounded hash sample of labelled rows. The lexicon
 becomes a trie; its intersection with the Levenshtein automata of its terms is one automaton, made deterministic while it
-runs, so a token leaves it at the first letter that no term can reach with the edits allowed. Each hit is then judged by
-the window around it: inside quotation marks or beside a reporting word it counts as quoted, else as abuse. How much a
-misspelled or quoted hit counts is learned from rows that have no other hits, with a prior where there are none.
+runs, so a token leaves it at the first letter that no term can reach with the edits allowed, the first letter included.
+A token that clean rows of the sample hold is a word of its own and no misspelling, however near it is to a term. Each hit
+is then judged by the window around it: inside quotation marks or beside a reporting word it counts as quoted, else as
+abuse. How much a quoted hit counts, and a misspelled one of each term (short terms have neighbours by chance), is learned
+from rows that have no other hits, from a prior on.
 
 Inflected terms also come about by chance, the more so in long texts. So the hits of a text, each weighed by its term's
 log odds and its window, are summed to its evidence, and a logistic curve over that sum and over its density gives the
-score. With too few labelled rows for a curve, only near-certain terms are chosen and combined as independent causes.
+score. The curve is drawn towards a prior curve, so few labelled rows move it little and none leave it as it is.
+
+Bounds are on what is learned, not on what is scored: about ``rows_per_label`` rows of each label, chosen by a hash of the
+id, of which one for each sketch counts; ``most_terms`` terms, the strongest first; words of 3 to 40 letters. Every text is
+scored whole, whatever its length.
 
 Defined cases: null and empty texts have no hits and get the base rate as score; with nothing to learn from, every score
-is 0. Rows are neither dropped nor merged. Extra columns of any name are ignored. A null label is not learned from; where
-an id has several labels, the highest counts.
+is 0. A score of exactly the limit is toxic. Rows are neither dropped nor merged. Extra columns of any name are ignored. A
+null label is not learned from; where an id has several labels, the highest counts; of texts with one sketch the least
+is learned from, so the model depends on the rows alone and not on how they are spread.
 """
 
 from __future__ import annotations
@@ -39,34 +46,38 @@ WINDOW = 6
 REPORTING = frozenset("said says wrote quoted quote called word term slur dit écrit cité mot terme sagte schrieb zitiert wort begriff dijo escribió citó palabra término".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 #: What a misspelled or quoted hit counts for, before any evidence, and how many rows that belief weighs.
-PRIOR = {"fuzzy": 0.8, "quoted": 0.5, "both": 0.4}
+PRIOR = {"fuzzy": 0.8, "quoted": 0.1}
 PRIOR_ROWS = 4
 CACHE_TOKENS = 120_000
-#: Rows with label 1 that a term needs, and their share: rarer words mark a text by chance.
-LEAST_ROWS, LEAST_SHARE = 6, 0.01
-#: Least log-likelihood ratio of a term, and the rows of each label from which a curve is fitted.
-LEAST_RATIO, CURVE_ROWS = 12.0, 40
+#: Rows with label 1 that a term needs, its least log-likelihood ratio and its least probability of label 1.
+LEAST_ROWS, LEAST_RATIO, LEAST_P = 6, 12.0, 0.2
+#: Clean rows from which on a token is a word of its own.
+ORDINARY_ROWS = 2
+#: The curve before any evidence: intercept, and slopes of the summed evidence and of its density; and how much it weighs.
+PRIOR_CURVE, CURVE_WEIGHT = (-9.0, 3.0, 3.0), (0.01, 0.1, 0.1)
 REJECT = 0.7
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """By length; stems (ending in ``*``) need five letters for one edit, as any word may follow."""
+    n = len(term.rstrip("*"))
+    return 0 if n < (5 if term.endswith("*") else 4) else 1 if n < 9 else 2
 
 
 class Automaton:
     """Trie of terms intersected with their Levenshtein automata, deterministic state by state as tokens need it.
 
-    A term ending in ``*`` is a stem: tokens need only begin with it. The first letter must be right.
+    A term ending in ``*`` is a stem: tokens need only begin with it. Tokens of ``ordinary`` match without edits only.
     """
 
-    def __init__(self, terms: list[str]):
-        self.terms = terms
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset()):
+        self.terms, self.ordinary = terms, ordinary
         self.children: list[dict[str, int]] = []
         self.ends: list[list[tuple[int, bool]]] = []
         self.roots: list[tuple[int, int]] = []  # (trie root, edits allowed)
         self.limit: list[int] = []
         for edits in (0, 1, 2):
-            own = [(i, t) for i, t in enumerate(terms) if edits_allowed(t.rstrip("*")) == edits]
+            own = [(i, t) for i, t in enumerate(terms) if edits_allowed(t) == edits]
             if own:
                 root = self._node(edits)
                 for i, t in own:
@@ -76,7 +87,7 @@ class Automaton:
                     self.ends[node].append((i, t.endswith("*")))
                 self.roots.append((root, edits))
         self.letters = {c for kids in self.children for c in kids}
-        start = frozenset((root, 0) for root, _ in self.roots)
+        start = frozenset(self._close({root: 0 for root, _ in self.roots}).items())
         self.ids = {(start, None): 0}
         self.states: list[tuple[frozenset, tuple | None]] = [(start, None)]
         self.moves: list[dict[str, int]] = [{}]
@@ -109,7 +120,6 @@ class Automaton:
     def _step(self, state: int, c: str) -> int:
         here, stem = self.states[state]
         out: dict[int, int] = {}
-        first = state == 0
 
         def add(node: int, e: int) -> None:
             if e < out.get(node, 9):
@@ -118,7 +128,7 @@ class Automaton:
         for node, e in here:
             if c in self.children[node]:
                 add(self.children[node][c], e)
-            if e < self.limit[node] and not first:
+            if e < self.limit[node]:
                 add(node, e + 1)
                 for k in self.children[node].values():
                     add(k, e + 1)
@@ -157,6 +167,8 @@ class Automaton:
         if token in cache:
             return cache[token]
         got = self.match(token)
+        if got and got[0] and token in self.ordinary:
+            got = None
         if len(cache) >= CACHE_TOKENS:
             cache.clear()
         if len(token) <= 64:
@@ -209,14 +221,14 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
-    """Coefficients of a ridge logistic regression (intercept first, unpenalised but for rounding) by damped Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: tuple = PRIOR_CURVE, steps: int = 50) -> np.ndarray:
+    """Coefficients of a logistic regression (intercept first), drawn towards the prior's, by damped Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
-    penalty = np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
-    b = np.zeros(x.shape[1])
+    penalty, centre = np.diag(CURVE_WEIGHT), np.array(prior)
+    b = centre.copy()
     for _ in range(steps):
         p = sigmoid(x @ b)
-        gradient = x.T @ (weight * (p - y)) + penalty @ b
+        gradient = x.T @ (weight * (p - y)) + penalty @ (b - centre)
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + penalty
         step = np.linalg.solve(hessian, gradient)
         b -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
@@ -224,19 +236,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 class Model:
-    def __init__(self, terms: dict[str, float], base: float, factor: dict[str, float], rate: float = 0.5):
+    """Terms with their odds; quoted and misspelled: what such hits count for, the latter by term; base: score without hits."""
+
+    def __init__(self, terms: dict[str, float], base: float, rate: float = 0.5, ordinary: frozenset[str] = frozenset(), quoted: float = PRIOR["quoted"], misspelled: list[float] | None = None):
         self.terms = list(terms)
-        self.weight = list(terms.values())
         self.base = base
-        self.factor = factor
-        self.odds = [max(0.0, logit(p) - logit(rate)) for p in self.weight]
-        self.curve: np.ndarray | None = None
+        self.ordinary = ordinary
+        self.quoted = quoted
+        self.misspelled = misspelled or [PRIOR["fuzzy"]] * len(terms)
+        self.odds = [max(0.0, logit(p) - logit(rate)) for p in terms.values()]
+        self.curve = np.array(PRIOR_CURVE)
         self._auto: Automaton | None = None
 
     @property
     def auto(self) -> Automaton:
         if self._auto is None:
-            self._auto = Automaton(self.terms)
+            self._auto = Automaton(self.terms, self.ordinary)
         return self._auto
 
     def __getstate__(self):
@@ -247,17 +262,12 @@ class Model:
         found = hits(self.auto, text) if text and self.terms else []
         if not found:
             return None
-        total = sum(self.odds[term] * self.factor[kind] for term, kind in found)
+        total = sum(self.odds[term] * (self.misspelled[term] if kind in ("fuzzy", "both") else 1.0) * (self.quoted if kind in ("quoted", "both") else 1.0) for term, kind in found)
         return math.log1p(total), math.log1p(100.0 * total / (20 + sum(1 for _ in TOKEN.finditer(text))))
 
     def score(self, text: str | None) -> float:
-        if self.curve is not None:
-            x = self.evidence(text)
-            return self.base if x is None else float(sigmoid(self.curve @ (1.0, *x)))
-        rest = 1.0 - self.base
-        for term, kind in set(hits(self.auto, text)) if text and self.terms else ():
-            rest *= 1.0 - self.weight[term] * self.factor[kind]
-        return min(1.0, max(0.0, 1.0 - rest))
+        x = self.evidence(text)
+        return self.base if x is None else float(sigmoid(self.curve @ (1.0, *x)))
 
 
 def features(text: str | None) -> set[str]:
@@ -272,7 +282,7 @@ def sketch(text: str) -> int:
     return min((zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0)
 
 
-def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, rate: float, most: int, least_p: float = 0.8) -> dict[str, float]:
+def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, rate: float, most: int, least_p: float = LEAST_P) -> dict[str, float]:
     """Terms that mark label 1, each with the probability of label 1 given the term; rows: (feature, rows with label 1, with label 0).
 
     A term is left out when one already chosen covers it: a longer prefix, or a shorter one that adds next to nothing.
@@ -283,7 +293,7 @@ def choose(rows: list[tuple[str, int, int]], n1: int, n0: int, rate: float, most
         p = rate * r1 / (rate * r1 + (1 - rate) * r0)
         seen, share = d1 / max(1, d1 + d0), n1 / max(1, n1 + n0)
         ratio = d1 * math.log(max(seen, 1e-9) / max(share, 1e-9)) + (d0 * math.log((1 - seen) / (1 - share)) if d0 else 0.0)
-        if p >= least_p and d1 >= max(LEAST_ROWS, LEAST_SHARE * n1) and ratio >= LEAST_RATIO:
+        if p >= least_p and d1 >= LEAST_ROWS and ratio >= LEAST_RATIO:
             scored.append((f, d1, p, ratio))
     scored.sort(key=lambda x: (-x[3], -len(x[0].rstrip("*")), x[0]))
     chosen: dict[str, float] = {}
@@ -309,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
     marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Model({}, 0.0, {"plain": 1.0} | PRIOR)
+        return Model({}, 0.0)
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows_per_label / sizes[1]))).otherwise(F.lit(min(1.0, rows_per_label / sizes[0])))
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # about 2 * rows_per_label rows of two numbers, whatever the corpus size, so a broadcast is safe
@@ -320,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
         for b in batches:
             yield b.append_column("sketch", pa.array([sketch(t) for t in b.column("text").to_pylist()], pa.int64()))
 
-    sample = persisted(sample.mapInArrow(sketched, "text string, toxic int, sketch long").dropDuplicates(["sketch", "toxic"]), "tox")
+    sample = persisted(sample.mapInArrow(sketched, "text string, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "tox")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c0, n = Counter(), Counter(), [0, 0]
@@ -331,39 +341,51 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
         keys = [k for k in c1] + [k for k in c0 if k not in c1]
         yield pa.record_batch([pa.array([*keys, ""], pa.string()), pa.array([*(c1[k] for k in keys), n[1]], pa.int64()), pa.array([*(c0[k] for k in keys), n[0]], pa.int64())], names=["f", "d1", "d0"])
 
-    counts = persisted(sample.mapInArrow(count, "f string, d1 long, d0 long").groupBy("f").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0")).where("d1 >= 5 or f = ''"), "tox")
+    counts = persisted(sample.mapInArrow(count, "f string, d1 long, d0 long").groupBy("f").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0")), "tox")
     n1, n0 = counts.where("f = ''").select("d1", "d0").first() or (0, 0)
     if not n1 or not n0:
-        return Model({}, 0.0, {"plain": 1.0} | PRIOR)
+        return Model({}, 0.0)
     rate = sizes[1] / (sizes[1] + sizes[0])
-    # only terms far commoner under label 1 can be chosen, and only the commonest of those are looked at
-    near = counts.where(F.col("d1") / F.lit(n1) > 2.5 * (F.col("d0") + 0.5) / F.lit(n0)).where("f <> ''").orderBy(F.desc("d1"), "f").limit(50 * most_terms)
-    curved = min(n1, n0) >= CURVE_ROWS
-    terms = choose([(r["f"], r["d1"], r["d0"]) for r in near.collect()], n1, n0, rate, most_terms, 0.2 if curved else 0.8)
-    model = Model(terms, 0.0, {"plain": 1.0} | PRIOR)
+    # words of a bounded sample, and of these only what is far commoner under label 1
+    near = counts.where((F.col("d1") >= LEAST_ROWS) & (F.col("d1") / F.lit(n1) > 2.5 * (F.col("d0") + 0.5) / F.lit(n0))).where("f <> ''")
+    terms = choose([(r["f"], r["d1"], r["d0"]) for r in near.collect()], n1, n0, rate, most_terms)
+    if not terms:
+        return Model({}, min(rate, 0.5), rate)
+    bare_terms = docs.sparkSession.sparkContext.broadcast(Model(terms, 0.0))
+
+    def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = bare_terms.value.auto
+        for b in batches:
+            yield b.filter(pa.array([(m := auto.match(t.as_py())) is not None and m[0] > 0 for t in b.column("f")], pa.bool_()))
+
+    # words near a term that are words of their own: again words of the bounded sample
+    words = counts.where((F.col("d0") >= ORDINARY_ROWS) & ~F.col("f").endswith("*") & (F.col("f") != "")).select("f")
+    ordinary = frozenset(r["f"] for r in words.mapInArrow(mistaken, "f string").collect())
+    model = Model(terms, 0.0, rate, ordinary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        c: Counter = Counter()  # (term or -1 without hits or -2 for quoted hits alone, label) -> rows
         auto = shared.value.auto
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                got = {k for _, k in hits(auto, t)} if terms else set()
-                c["none" if not got else got.pop() if len(got) == 1 else "mixed", y] += 1
+                got = hits(auto, t)
+                seen = {k for _, k in got}
+                for i in {-1} if not got else {-2} if seen == {"quoted"} else {i for i, _ in got} if seen == {"fuzzy"} else ():
+                    c[i, y] += 1
         rows = sorted(c.items())
-        yield pa.record_batch([pa.array([k for (k, _), _ in rows], pa.string()), pa.array([y for (_, y), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["kind", "toxic", "n"])
+        yield pa.record_batch([pa.array([i for (i, _), _ in rows], pa.int32()), pa.array([y for (_, y), _ in rows], pa.int32()), pa.array([n for _, n in rows], pa.int64())], names=["hit", "toxic", "n"])
 
-    seen = {(r["kind"], r["toxic"]): r["n"] for r in sample.mapInArrow(kinds, "kind string, toxic int, n long").groupBy("kind", "toxic").agg(F.sum("n").alias("n")).collect()}
+    seen = {(r["hit"], r["toxic"]): r["n"] for r in sample.mapInArrow(kinds, "hit int, toxic int, n long").groupBy("hit", "toxic").agg(F.sum("n").alias("n")).collect()}
     scale = {1: rate / n1, 0: (1 - rate) / n0}  # the two labels were sampled at different shares
-    bare = [seen.get(("none", y), 0) * scale[y] for y in (0, 1)]
+    bare = [seen.get((-1, y), 0) * scale[y] for y in (0, 1)]
     base = bare[1] / sum(bare) if sum(bare) else rate
-    factor = {"plain": 1.0}
-    for k, p in PRIOR.items():
-        a, b = seen.get((k, 1), 0), seen.get((k, 0), 0) * (scale[0] / scale[1])
-        factor[k] = (a + PRIOR_ROWS * p) / (a + b + PRIOR_ROWS)
-    model = Model(terms, min(base, 0.5), factor, rate)
-    if not curved or not terms:
-        return model
+
+    def counts_for(hit: int, prior: float) -> float:
+        a, b = seen.get((hit, 1), 0), seen.get((hit, 0), 0) * (scale[0] / scale[1])
+        return (a + PRIOR_ROWS * prior) / (a + b + PRIOR_ROWS)
+
+    model = Model(terms, min(base, 0.5), rate, ordinary, counts_for(-2, PRIOR["quoted"]), [counts_for(i, PRIOR["fuzzy"]) for i in range(len(terms))])
     weighed = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,8 +395,6 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, rows_per_label: int = 60
 
     # three numbers for each row of the bounded sample; in a fixed order, so that sums do not depend on the partitions
     points = sample.mapInArrow(measure, "total double, dense double, toxic int").orderBy("total", "dense", "toxic").toPandas().to_numpy(float)
-    if not (points[:, 2] > 0).any():
-        return model
     y = points[:, 2]
     weight = np.where(y > 0, scale[1], scale[0]) * (n1 + n0)
     model.curve = logistic(points[:, :2], y, weight)
