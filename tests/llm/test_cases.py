@@ -753,6 +753,40 @@ def test_language_stage_keeps_texts_when_nothing_can_be_learned(spark, docs, emp
     assert {r["doc_id"] for r in langid.identified(once.withColumn("lang", F.lit(None).cast("string")), langid.fit(empty)).collect()} == {1, 4}
 
 
+def test_no_language_is_left_out(spark):
+    langs = [f"l{k}" for k in range(260)]
+    docs = spark.createDataFrame([(i, " ".join([f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("ro", "ta", "mi")] * 2), k) for i, k in enumerate(langs)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, most_words=500)
+    assert model.langs == sorted(langs) and max(len(model.words), 1) <= 500
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert sum(got[i] == k for i, k in enumerate(langs)) == len(langs)
+
+
+def test_scores_equal_brute_force(spark, sf_dir):
+    """Word-first backoff written out: log frequencies from the model's tables, nothing cached."""
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    texts_ = [r["text"] for r in table(spark, sf_dir, "documents").select("text").limit(60).collect()] + ["Unseenword qqq", "été", "x" * 90, "12", None]
+    for t in texts_:
+        want = np.array(model.prior, float)
+        words = [w for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+        for w in words:
+            if w in model.words:
+                want = want + model.word_rows[model.words[w]]
+                continue
+            p = f"^{w}$"
+            while p:
+                n = next((n for n in range(min(langid.LONGEST_GRAM, len(p)), 0, -1) if p[:n] in model.grams[n - 1][0]), 0)
+                if n:
+                    want = want + model.grams[n - 1][1][model.grams[n - 1][0][p[:n]]]
+                p = p[max(1, n) :]
+        got = model.predict(t)
+        if not any(c.isalpha() for w in words for c in w):
+            assert got == ("und", 0.0)
+        else:
+            z = np.exp((want - want.max()) * min(1.0, langid.EVIDENCE / len(words)))
+            assert got[0] == model.langs[int(np.argmax(want))] and math.isclose(got[1], z.max() / z.sum(), rel_tol=1e-3)
+
+
 def test_words_come_before_ngrams():
     m = langid.Model({"a": {"haus": 50, "maus": 10}, "b": {"house": 50, "mouse": 10}}, {"a": 1, "b": 1})
     assert m.predict("haus")[0] == "a" and m.predict("Mouses")[0] == "b" and m.predict("1 2")[0] == "und"

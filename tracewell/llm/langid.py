@@ -3,14 +3,16 @@
 A known word scores its per-language log frequency. An unseen word is covered from the left by the longest known
 character n-grams, falling back to progressively shorter ones.
 
-The model is fitted on at most about ``docs_per_lang`` labelled rows of each language (chosen by a hash of the id) and
-holds at most ``words_per_lang`` words of each and ``grams`` n-grams of each length, so what is broadcast is bounded
-whatever the corpus size; prediction covers every row.
+The model is fitted on at most about ``docs_per_lang`` labelled rows of each language (chosen by a hash of id and text).
+Each language keeps its commonest words and, of each length, n-grams: ``words_per_lang`` and ``grams`` of them, or fewer
+where many languages share ``most_words``, so what is collected and broadcast is bounded whatever the corpus size and no
+language is left out. Words of more than 48 letters and words that occur once in a language's sample are not learned (they
+are scored by n-grams like any unseen word). Prediction covers every row and whole texts.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is every row if there is nothing to
 learn from. Ties go to the language that sorts first. Rows are neither dropped nor merged; repeated rows give repeated
-results. Extra columns of any name are ignored. A null id is kept as null and counts as the empty string when held-out
-rows are chosen.
+results; very long texts are counted by word, so they cost memory by their vocabulary. Extra columns of any name are
+ignored. A null id is kept as null and counts as the empty string when held-out rows are chosen.
 """
 
 from __future__ import annotations
@@ -129,24 +131,26 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, learn=None, docs_per_lang: int = 3000, words_per_lang: int = 40_000, max_langs: int = 200) -> Model:
+def fit(docs: DataFrame, learn=None, docs_per_lang: int = 3000, words_per_lang: int = 40_000, grams: int = 60_000, most_words: int = 2_000_000) -> Model:
     """Count words by language in the JVM over a bounded hash sample of labelled rows; learn: a further condition on them."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.where(learn)
     rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)).alias("_h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model({}, {})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_per_lang / n))])
-    sample = rows.where(F.col("_h") < F.element_at(share, F.col("lang")) * 1_000_003)
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, docs_per_lang / n)) for k, n in sizes.items()], "lang string, share double")
+    # one number for each language
+    sample = rows.join(F.broadcast(shares), "lang").where(F.col("_h") < F.col("share") * 1_000_003)
+    words_per_lang = max(1, min(words_per_lang, most_words // len(sizes)))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
     counts = words.where(F.length("w") <= CACHE_CHARS).groupBy("lang", "w").agg(F.count("*").alias("n")).where("n > 1")
     ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w")))
     found: dict[str, dict[str, int]] = {k: {} for k in sizes}
     for r in ranked.where(F.col("_r") <= words_per_lang).select("lang", "w", "n").toPandas().itertuples(index=False):
         found[r.lang][r.w] = int(r.n)
-    return Model({k: c for k, c in found.items() if c}, sizes)
+    return Model({k: c for k, c in found.items() if c}, sizes, max(1, min(grams, 2 * most_words // len(sizes))))
 
 
 RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
