@@ -4,7 +4,7 @@ A text's sentences are normalised and looked up among known licence sentences; t
 against ordered rules, the longest first. Sentences that are not known neither match nor break a sequence, as licence
 texts stand among other text. An identifier belongs to one match at most.
 
-Sentence ends and blank lines cut. Single newlines and the blanks after abbreviations may cut or not: a known sentence begins
+Sentence ends and blank lines cut. Single newlines and the blanks after semicolons, colons and abbreviations may cut or not: a known sentence begins
 and ends at any of these places and may run over several, so wrapped texts are found, and so are notices on a line of their
 own. Of known sentences that begin at one place the longest counts. Comment marks stand for nothing, in blank lines too.
 
@@ -27,8 +27,8 @@ from tracewell.llm.common import python_batches
 #: Abbreviations whose stop need not end a sentence.
 SHORT = ("v", "ver", "vers", "no", "inc", "ltd", "co", "corp", "e.g", "i.e")
 _NOT_SHORT = "".join(rf"(?<!\b{re.escape(s)}\.)" for s in SHORT)
-SENTENCE_END = re.compile(rf"\n(?:(?:[^\w\n]|_)*\n)+|(?<=[.!?;:]){_NOT_SHORT}\s+", re.I)
-MAY_END = re.compile(r"\n|" + "|".join(rf"(?<=\b{re.escape(s)}\.)[^\S\n]+" for s in SHORT), re.I)
+SENTENCE_END = re.compile(rf"\n(?:(?:[^\w\n]|_)*\n)+|(?<=[.!?]){_NOT_SHORT}\s+", re.I)
+MAY_END = re.compile(r"\n|(?<=[;:])[^\S\n]+|" + "|".join(rf"(?<=\b{re.escape(s)}\.)[^\S\n]+" for s in SHORT), re.I)
 #: Comment and list marks at the start of a line, with the blanks before and after.
 MARK = re.compile(r"^(?:[^\w\n.]|\.\\\")+(?:(?:[Rr][Ee][Mm]|dnl|C)(?!\S)|(?:\d{1,2}|[a-z]|[ivx]+)\)(?=\s))?|^(?:(?:[Rr][Ee][Mm]|dnl|C)(?!\S)|(?:\d{1,2}|[a-z]|[ivx]+)\)(?=\s))", re.M)
 WORD = re.compile(r"[a-z0-9]+(?:[.\-'’][a-z0-9]+)*")
@@ -51,14 +51,125 @@ SENTENCES = {
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The names of the contributors may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-ads": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd-asis": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd3-notice": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "This project is licensed under the BSD 3-Clause License"],
+    "bsd2-notice": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "This project is licensed under the BSD 2-Clause License"],
+    "bsd-style": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "isc-free": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-asis": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "isc-notice": ["Licensed under the ISC License", "Released under the ISC License"],
+    "mit-holders": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
+    "gpl-program": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "gpl2-only": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "gpl2-notice": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2", "Licensed under the GPL-2"],
+    "lgpl21-program": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-program": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-library": ["This library is free software"],
+    "lgpl3-notice": ["Licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "agpl3-program": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "agpl3-notice": ["Licensed under the GNU Affero General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib-asis": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "zlib-origin": ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software"],
+    "boost-notice": ["Distributed under the Boost Software License, Version 1.0"],
+    "boost-grant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"],
+    "epl1-notice": ["which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"],
+    "epl2-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"],
+    "cddl-notice": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\")"],
+    "wtfpl": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"],
+    "wtfpl-do": ["You just DO WHAT THE FUCK YOU WANT TO"],
+    "cc0": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "cc0-notice": ["Licensed under CC0 1.0", "This work is licensed under CC0 1.0", "This work is licensed under CC0 1.0 Universal"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "postgresql-grant": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"],
+    "artistic2-notice": ["Licensed under the Artistic License 2.0", "This program is distributed under the Artistic License 2.0"],
+    "eupl-notice": ["Licensed under the EUPL, Version 1.2 or later", "Licensed under the EUPL-1.2", "Licensed under the European Union Public Licence 1.2"],
+    "ofl-notice": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "blueoak-notice": ["Licensed under the Blue Oak Model License 1.0.0"],
+    "upl-notice": ["Licensed under the Universal Permissive License v 1.0"],
+    "mspl-notice": ["Licensed under the Microsoft Public License (MS-PL)"],
+    "ncsa-notice": ["Distributed under the University of Illinois Open Source License", "This file is distributed under the University of Illinois Open Source License"],
+    "llvm-notice": ["Part of the LLVM Project, under the Apache License v2.0 with LLVM Exceptions"],
+    "mit0-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
+    "apache11": ["This product includes software developed by the Apache Software Foundation"],
+    "proprietary": ["All rights reserved", "Proprietary and confidential", "Unauthorized copying of this file, via any medium is strictly prohibited"],
+    "mpl11-notice": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")"],
     "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 #: Ordered rules: licence and its identifiers in order; of rules that match at one place the longest wins, then the first.
 RULES = (
     ("Apache-2.0", ("apache-notice", "apache-comply", "apache-copy", "apache-asis")),
     ("MIT", ("mit-grant", "mit-condition", "mit-asis")),
+    ("MIT", ("mit-grant", "mit-condition", "mit-asis", "mit-holders")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-ads", "bsd-endorse", "bsd-asis")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-ads", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("ISC", ("isc-grant", "isc-asis")),
+    ("0BSD", ("isc-free", "isc-asis")),
+    ("MIT-0", ("mit0-grant", "mit-asis")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-free", "gpl-hope")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-program", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl-library", "lgpl21-program")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-program", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-program", "gpl-hope")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Zlib", ("zlib-asis", "zlib-grant", "zlib-origin")),
+    ("WTFPL", ("wtfpl", "wtfpl-do")),
+    ("GPL-2.0-or-later", ("gpl-program",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-program",)),
+    ("LGPL-3.0-or-later", ("lgpl3-program",)),
+    ("AGPL-3.0-or-later", ("agpl3-program",)),
+    ("ISC", ("isc-grant",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("WTFPL", ("wtfpl",)),
+    *(
+        (licence, (identifier,))
+        for licence, identifier in (
+            ("BSD-3-Clause", "bsd3-notice"),
+            ("BSD-2-Clause", "bsd2-notice"),
+            ("BSD-3-Clause", "bsd-style"),
+            ("ISC", "isc-notice"),
+            ("GPL-2.0-only", "gpl2-notice"),
+            ("LGPL-3.0-only", "lgpl3-notice"),
+            ("AGPL-3.0-only", "agpl3-notice"),
+            ("BSL-1.0", "boost-notice"),
+            ("BSL-1.0", "boost-grant"),
+            ("EPL-1.0", "epl1-notice"),
+            ("EPL-2.0", "epl2-notice"),
+            ("CDDL-1.0", "cddl-notice"),
+            ("CC0-1.0", "cc0"),
+            ("CC0-1.0", "cc0-notice"),
+            ("CC-BY-SA-4.0", "cc-by-sa"),
+            ("CC-BY-ND-4.0", "cc-by-nd"),
+            ("CC-BY-NC-SA-4.0", "cc-by-nc-sa"),
+            ("CC-BY-NC-ND-4.0", "cc-by-nc-nd"),
+            ("PostgreSQL", "postgresql-grant"),
+            ("Artistic-2.0", "artistic2-notice"),
+            ("EUPL-1.2", "eupl-notice"),
+            ("OFL-1.1", "ofl-notice"),
+            ("BlueOak-1.0.0", "blueoak-notice"),
+            ("UPL-1.0", "upl-notice"),
+            ("MS-PL", "mspl-notice"),
+            ("NCSA", "ncsa-notice"),
+            ("Apache-2.0 WITH LLVM-exception", "llvm-notice"),
+            ("Apache-1.1", "apache11"),
+            ("MPL-1.1", "mpl11-notice"),
+            ("proprietary", "proprietary"),
+        )
+    ),
     ("Apache-2.0", ("apache-notice",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
