@@ -132,7 +132,9 @@ def test_ingest_a_folder(spark, tmp_path):
     (tmp_path / "app.xz").write_bytes(lzma.compress(b"a=1 b=2\nc=3 d=4\n"))
     (tmp_path / "blob").write_bytes(b"\0\1")
     events, manifest = engine.ingest(spark, str(tmp_path), options=Options(base_year=2024))
-    kinds = {r["src_file"]: (r["type"], r["events"]) for r in manifest.collect()}
+    (got,) = [r for r in manifest.collect() if r["status"] == "skipped"]
+    assert (got["src_file"], got["reason"], got["events"]) == ("blob", "binary", 0)
+    kinds = {r["src_file"]: (r["type"], r["events"]) for r in manifest.where("status = 'ok'").collect()}
     assert kinds == {"auth.log.1": ("auth", 2), "syslog.gz": ("syslog", 1), "cron.bz2": ("cron", 1), "app.xz": ("logfmt", 2)}
     ids = engine.numbered(events).orderBy("id").select("id", "src_file", "line_no").collect()
     assert [r["id"] for r in ids] == list(range(6)) and [r["src_file"] for r in ids][:2] == ["app.xz", "app.xz"]
@@ -140,11 +142,92 @@ def test_ingest_a_folder(spark, tmp_path):
     assert case.search("event=ssh_failed ip=1.2.3.4").count() == 1
     assert case.context(2, 1, 1).count() >= 1
     assert case.sql("-- note\nSELECT count(*) AS n FROM events").first()["n"] == 6
-    for bad in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SELECT * FROM parquet.`/etc`"):
+    for bad in (
+        "DROP TABLE x",
+        "INSERT INTO x VALUES (1)",
+        "SELECT * FROM parquet.`/etc`",
+        "select * from `text`.`/etc/passwd`",
+        "select * from text/**/.`/etc/passwd`",
+        "select java_method('java.lang.System', 'getProperty', 'user.home')",
+        "select * from events where host = (select reflect('java.lang.System', 'getProperty', 'user.home'))",
+        "with x as (select * from csv.`/etc/passwd`) select * from x",
+        "with x as (select 1) insert into events select * from x",
+        "select * from events where id in (select id from other)",
+        "explain select * from text.`/etc/passwd`",
+        "set spark.sql.shuffle.partitions = 1",
+        "create temporary view v as select 1",
+        "select system.builtin.reflect('a', 'b')",
+    ):
         with pytest.raises(PermissionError):
             case.sql(bad)
-    case.save(str(tmp_path / "case"))
-    assert engine.Case.open(spark, str(tmp_path / "case")).stats().count() == 4
+    for good in (
+        "with x as (select src_file, count(*) as n from events group by src_file having count(*) > 0) select * from x order by n",
+        "select e.id from events e join events f using (id) where exists (select 1 from events g where g.id = e.id) union select 1",
+        "select upper(host) || '-' as h, row_number() over (partition by source order by id) as r, case when id > 1 then 'a' end as c from events where host like 'h%'",
+        "select ip_in_cidr(src_ip, '1.2.0.0/16') as x, ip_in_cidr('2001:db8::1', '2001:db8::/32') as y, ip_in_cidr('no', '::/0') as z from events where src_ip is not null",
+        "select * from (values (1), (2)) as t(a) cross join range(3)",
+        "explain select * from events",
+    ):
+        assert case.sql(good).collect(), good
+    assert tuple(case.sql("select ip_in_cidr(src_ip, '1.2.0.0/16'), ip_in_cidr('2001:db8::1', '2001:db8::/32'), ip_in_cidr('no', '::/0') from events where src_ip is not null").first()) == (True, True, False)
+    case.save(str(tmp_path / "cases" / "one"))
+    assert engine.Case.open(spark, str(tmp_path / "cases" / "one")).stats().count() == 4
+    assert engine.Case.saved(spark, str(tmp_path / "cases")) == ["one"] and engine.Case.saved(spark, str(tmp_path / "none")) == []
+
+
+def test_two_hosts_with_files_of_one_name_stay_apart(spark, tmp_path):
+    for host, exe in (("a", "/bin/a"), ("b", "/bin/b")):
+        (tmp_path / host / "audit").mkdir(parents=True)
+        (tmp_path / host / "audit" / "audit.log").write_text(AUDIT.replace("/usr/sbin/sshd", exe))
+        (tmp_path / host / "audit" / "syslog").write_text(f"Dec 31 23:59:59 {host} p: x\nJan  1 00:00:00 {host} p: y\n")
+    events, manifest = engine.ingest(spark, str(tmp_path), options=Options(base_year=2023))
+    got = {r["src_file"]: (r["type"], r["events"], r["status"], r["base_year"]) for r in manifest.collect()}
+    assert got == {f"{h}/audit/{n}": (t, k, "ok", 2023) for h in "ab" for n, t, k in (("audit.log", "auditd", 7), ("syslog", "syslog", 2))}
+    rows = events.orderBy("src_file", "line_no").collect()
+    assert len(rows) == 18
+    for h in "ab":
+        runs = [json.loads(r["extra"])["parent_exe"] for r in rows if r["src_file"] == f"{h}/audit/audit.log" and r["event"] == "execve"]
+        assert runs == [f"/bin/{h}", "/bin/sh"]
+        assert [str(r["ts"]) for r in rows if r["src_file"] == f"{h}/audit/syslog"] == ["2023-12-31 23:59:59", "2024-01-01 00:00:00"]
+    one, listed = engine.ingest(spark, str(tmp_path / "a" / "audit" / "syslog"), options=Options(base_year=2023))
+    assert one.count() == 2 and listed.first()["src_file"] == "syslog"
+
+
+def test_a_damaged_file_ends_nothing_but_itself(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "bad.gz").write_bytes(b"\x1f\x8bnonsense")
+    (tmp_path / "x" / "bad.zip").write_bytes(b"PK\x03\x04nonsense")
+    (tmp_path / "syslog").write_text("Jan  2 03:04:05 h p: x\n")
+    (tmp_path / "prose").write_text("one\ntwo\nthree\nfour\nfive\n")
+    events, manifest = engine.ingest(spark, str(tmp_path), options=Options(base_year=2024), catch_all=False)
+    got = {r["src_file"]: r for r in manifest.collect()}
+    assert events.count() == 1 and {k: r["status"] for k, r in got.items()} == {"x/bad.gz": "error", "x/bad.zip": "error", "syslog": "ok", "prose": "skipped"}
+    assert got["x/bad.gz"]["reason"] and got["prose"]["preview"] == "one\ntwo\nthree\nfour" and got["prose"]["events"] == 0
+    from tracewell.sources.lines import sizes
+
+    assert sizes(spark, str(tmp_path)).first()["files"] == 4
+
+
+def test_only_newlines_end_a_line(spark):
+    got = parsed(spark, "syslog", "Jan  2 03:04:05 h p[1]: a\u2028b\r\nJan  2 03:04:06 h p: c\rd\u0085e\n\r\n\t\n\u2003\n\u2028", base_year=2024)
+    assert [(r["program"], r["message"], str(r["ts"])) for r in got] == [("p", "a\u2028b\r", "2024-01-02 03:04:05"), ("p", "c\rd\u0085e", "2024-01-02 03:04:06")]
+    (r,) = parsed(spark, "access", '1.2.3.4 - - [01/Feb/2024:10:00:00 +0100] "GET /x HTTP/1.1" 200 5\r')
+    assert r["status"] == 200 and r["raw"].endswith("\r")
+    (r,) = parsed(spark, "auditd", "type=PATH msg=audit(1700000000.1:1): item=0 name=\u2028x\r")
+    assert r["event"] == "path"
+    assert [r["message"] for r in parsed(spark, "bash_history", "#1700000000\r\nls")] == ["#1700000000\r", "ls"]
+
+
+def test_state_passes_from_block_to_block(spark, monkeypatch):
+    from tracewell.sources import parsers
+
+    year = [f"{m} {d:2d} 00:00:00 h p: {m}" for m in parsers.MONTHS for d in (1, 15)]
+    text = "\n".join(year * 3)
+    whole = {k: parsed(spark, k, t, base_year=2020) for k, t in (("syslog", text), ("auditd", AUDIT * 4), ("bash_history", "#1700000000\nls\npwd\n#1700000001\nid"), ("udev", "UDEV [1.0] add /a\nA=1\nB=2\n\nx\nUDEV [2.0] add /b\nC=3"), ("apt", "x\nLog started: 2024-01-02  03:04:05\nUnpacking a\nSetting up b\nLog ended: 2024-01-02  03:05:00\ny"))}
+    monkeypatch.setattr(parsers, "BLOCK_LINES", 2)
+    for k, t in (("syslog", text), ("auditd", AUDIT * 4), ("bash_history", "#1700000000\nls\npwd\n#1700000001\nid"), ("udev", "UDEV [1.0] add /a\nA=1\nB=2\n\nx\nUDEV [2.0] add /b\nC=3"), ("apt", "x\nLog started: 2024-01-02  03:04:05\nUnpacking a\nSetting up b\nLog ended: 2024-01-02  03:05:00\ny")):
+        assert parsed(spark, k, t, base_year=2020) == whole[k], k
+    assert [r["ts"].year for r in whole["syslog"]] == [2020] * 24 + [2021] * 24 + [2022] * 24
 
 
 def test_names(spark):
@@ -185,6 +268,77 @@ detection: {a: {b: 1}, condition: a and nothing}
     assert sorted(r["id"] for r in R.hits(ev, rules).collect()) == [1, 2, 4, 5]
 
 
+def test_findings_tell_what_matched(spark):
+    text = """
+title: same title
+id: one
+level: low
+logsource: {product: linux, service: auth}
+tags: [attack.t1110]
+detection: {a: {user: joe, src_ip|startswith: '10.'}, condition: a}
+---
+title: same title
+id: two
+level: critical
+logsource: {product: linux, service: auth}
+tags: [attack.t1110, attack.credential_access]
+detection: {a: {user: [joe, ann]}, condition: a}
+---
+title: windows
+logsource: {product: windows}
+detection: {a: {b: 1}, condition: a}
+---
+title: burst
+level: high
+tags: [attack.t1110]
+correlation: {type: event_count, rules: [two], group-by: [user], timespan: 5m, condition: {gte: 2}}
+"""
+    from datetime import datetime
+
+    from tracewell.schema import conform
+
+    rules = R.load_text(text)
+    rows = [(i, datetime(2024, 1, 1, 0, i), "auth", u, ip) for i, (u, ip) in enumerate((("joe", "10.0.0.1"), ("ann", "10.0.0.2"), ("joe", "11.0.0.1"), ("bob", "10.0.0.1")))]
+    ev = conform(spark.createDataFrame(rows, "id long, ts timestamp_ntz, source string, user string, src_ip string"))
+    found = {r["rule_id"]: r for r in R.findings(ev, rules, 2).collect()}
+    assert (found["one"]["n"], found["two"]["n"], found["two"]["sample_ids"]) == (1, 3, [0, 1])
+    assert found["one"]["matched"] == ["user=joe · src_ip=10.0.0.1"] and found["two"]["matched"] == ["user=joe", "user=ann"]
+    d = R.detect(ev, rules)
+    assert (d.applied, [x[0].title for x in d.skipped], d.total()) == (3, ["windows"], 4)
+    assert [r["rule_id"] for r in d.findings.collect()] == ["two", "one"]
+    assert [(r["user"], r["n"]) for r in d.correlations["burst"].collect()] == [("joe", 2)]
+    m = {(r["tactic"], r["technique"]): r for r in R.matrix(d.findings, rules, d.correlations).collect()}
+    assert m["credential-access", "T1110"]["level"] == "critical" and m["credential-access", "T1110"]["sample_ids"] == [0, 1, 2]
+    assert m["other", "T1110"]["n"] == 3 and m["other", "T1110"]["level"] == "high"
+
+
+@pytest.mark.parametrize("source,key", [(("linux", "process_creation", ""), "linux/process_creation"), (("linux", "", "sshd"), "linux/sshd"), (("linux", "", "odd"), "linux"), (("", "webserver", ""), "webserver"), (("nginx", "", ""), "webserver"), (("", "", "apache"), "webserver"), (("modsecurity", "", ""), "linux/modsecurity"), (("", "application", ""), "application"), (("windows", "", ""), None), (("django", "application", ""), None)])
+def test_log_sources(source, key):
+    assert R.logsource_key(dict(zip(("product", "category", "service"), source, strict=True))) == key
+
+
+def test_addresses_of_both_versions(spark):
+    from tracewell.functions.columns import ip_class, ip_key, net_bounds
+
+    want = {"127.0.0.1": "loopback", "10.1.1.1": "internal", "169.254.1.1": "internal", "203.0.113.9": "documentation", "224.0.0.1": "multicast", "8.8.8.8": "external", "::1": "loopback", "2001:db8::5": "documentation", "fe80::1": "internal", "fc00::9": "internal", "ff02::1": "multicast", "2a00:1450::1": "external", "x": None, "1.2.3": None}
+    df = spark.createDataFrame([(k,) for k in want], "ip string")
+    assert {r["ip"]: r["c"] for r in df.select("ip", ip_class(F.col("ip")).alias("c")).collect()} == want
+    import ipaddress
+
+    keys = {r["ip"]: r["k"] for r in df.select("ip", ip_key(F.col("ip")).alias("k")).collect()}
+    for ip in want:
+        try:
+            a = ipaddress.ip_address(ip)
+            assert keys[ip] == ("4" if a.version == 4 else "6") + a.packed.hex(), ip
+        except ValueError:
+            assert keys[ip] is None
+    from tracewell.operators.analytics import enrich_any
+
+    nets = spark.createDataFrame([(*net_bounds(n), o) for n, o in (("10.0.0.0/8", "ten"), ("2001:db8::/33", "doc"), ("2001:db8:8000::/33", "other"))], "net_start string, net_end string, org string")
+    got = {r["ip"]: r["org"] for r in enrich_any(df.unionByName(spark.createDataFrame([("2001:db8:ffff::1",)], "ip string")), F.col("ip"), nets).collect()}
+    assert (got["10.1.1.1"], got["2001:db8::5"], got["2001:db8:ffff::1"], got["8.8.8.8"], got["x"]) == ("ten", "doc", "other", None, None)
+
+
 def test_marks(spark, tmp_path):
     m = Marks(spark, str(tmp_path / "marks"))
     a, b = m.add(5, "TP", note="n"), m.add(None)

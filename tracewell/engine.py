@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell import export
+from tracewell.functions.columns import ip_in_cidr
 from tracewell.operators import analytics, binaries, ioc, timeline
+from tracewell.functions.tables import persisted, starts
+from tracewell.plans import readonly
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
 from tracewell.schema import EVENT_SCHEMA, conform
 from tracewell.sources import detect
-from tracewell.sources.lines import read_lines
+from tracewell.sources.lines import is_binary, read_files
+from tracewell.sources.lines import numbered as numbered_lines
 from tracewell.sources.parsers import PARSERS, Options, parse
 
-READ_ONLY = re.compile(r"^\s*(?:(?:--[^\n]*\n|/\*.*?\*/)\s*)*(select|with|describe|desc|show|explain|values|table)\b", re.I | re.S)
-
-
 def ingest(spark: SparkSession, path: str, kind: str | None = None, options: Options = Options(), prefer_content: bool = False, catch_all: bool = True, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, manifest): files below path parsed by their type; rows without a time survive the time window."""
-    lines = read_lines(spark, path)
+    """(events, manifest): files below path parsed by their type; rows without a time survive the time window.
+
+    Files are opened once: their lines are written to the shared folder, and types, events and manifest read them there.
+    The manifest has a row for each file: ok, skipped (binary, empty, or of no known type without catch_all) or error (with
+    its reason), the base year, the number of events, and a preview of what was skipped.
+    """
+    files = read_files(spark, path)
+    read = persisted(files.select("src_file", F.when(F.col("error").isNull() & ~is_binary(F.col("content")), F.col("content").cast("string")).alias("value"), "bytes", "file_year", "error", F.when(F.col("error").isNull(), is_binary(F.col("content"))).alias("binary")), "files")
+    lines = persisted(numbered_lines(read.where("value is not null").select("src_file", "value", "file_year")), "lines")
     types = lines.select("src_file").distinct().withColumn("type", F.lit(kind)) if kind else detect.detected(lines, prefer_content, catch_all)
+    types = persisted(types, "types")  # one row for each file
     typed = lines.join(types, "src_file")
     present = [r["type"] for r in types.where("type is not null").select("type").distinct().collect()]  # at most as many as there are parsers
     out = spark.createDataFrame([], EVENT_SCHEMA).drop("id")
@@ -33,24 +42,22 @@ def ingest(spark: SparkSession, path: str, kind: str | None = None, options: Opt
     if start or end:
         lo, hi = (F.lit(x).try_cast("timestamp_ntz") for x in (start or "0001-01-01", end or "9999-12-31"))
         out = out.where(F.col("ts").isNull() | F.coalesce(F.col("ts") >= lo, F.lit(True)) & F.coalesce(F.col("ts") <= hi, F.lit(True)))
-    manifest = types.join(out.groupBy("src_file").agg(F.count("*").alias("events")), "src_file", "left").select("src_file", "type", F.coalesce("events", F.lit(0)).alias("events"))
+    counts = out.groupBy("src_file").agg(F.count("*").alias("events"))
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("type").isNull(), "skipped").otherwise("ok")
+    preview = F.when(status != "ok", F.array_join(F.slice(F.split(F.substring("value", 1, 2000), "\n"), 1, 4), "\n"))
+    manifest = read.join(types, "src_file", "left").join(counts, "src_file", "left")
+    manifest = manifest.select("src_file", "type", status.alias("status"), F.coalesce(F.lit(options.base_year), F.col("file_year")).alias("base_year"), F.coalesce("events", F.lit(0)).alias("events"), "bytes", F.when(F.col("binary"), "binary").otherwise(F.col("error")).alias("reason"), preview.alias("preview"))
     return out, manifest
 
 
 def numbered(events: DataFrame) -> DataFrame:
     """events with id: by file name, then line, counted up within ranges of files; positions add the counts before."""
     order = ["src_file", "line_no"]
-    ranged = events.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    from tracewell.functions.tables import persisted
-
-    ranged = persisted(ranged, "ids")
-    counts = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    starts, at = [F.lit(-1), F.lit(0)], 0
-    for part, n in counts:
-        starts += [F.lit(part), F.lit(at)]
-        at += n
+    ranged = persisted(events.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
+    first = starts(ranged.groupBy("_part").agg(F.count("*").alias("n")), "_part", "n")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return conform(ranged.withColumn("id", own + F.element_at(F.create_map(*starts), F.col("_part"))))
+    # two numbers for each range
+    return conform(ranged.withColumn("_own", own).join(F.broadcast(first), "_part").withColumn("id", F.col("_own") + F.col("start")))
 
 
 class Case:
@@ -69,10 +76,23 @@ class Case:
         """Sorted by position within each source, so time and id ranges prune row groups."""
         self.events.repartition("source").sortWithinPartitions("source", "ts", "id").write.mode(mode).partitionBy("source").parquet(path)
 
+    @staticmethod
+    def saved(spark: SparkSession, folder: str) -> list[str]:
+        """Names of the cases below a folder."""
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory() and fs.exists(x.getPath().suffix("/_SUCCESS"))) if fs.exists(path) else []
+
+    @staticmethod
+    def reset(spark: SparkSession, path: str) -> None:
+        """Deletes all events of a case; marks lie elsewhere and stay."""
+        spark.createDataFrame([], EVENT_SCHEMA).write.mode("overwrite").partitionBy("source").parquet(path)
+
     @property
     def fields(self) -> Fields:
         if self._fields is None:
-            self._fields = Fields([r["key"] for r in analytics.extra_keys(self.events).limit(10_000).collect()])
+            # distinct key names, not values; a query on a key that is left out would become free text
+            self._fields = Fields([r["key"] for r in analytics.extra_keys(self.events).orderBy("key").collect()])
         return self._fields
 
     def matching(self, query: str, regex: bool = False, source: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -99,7 +119,9 @@ class Case:
         if unit == "lines":
             return timeline.context_rows(self.events, anchor, before, after).orderBy("seq")
         scale = {"minutes": 60, "seconds": 1}[unit]
-        return timeline.context_time(self.events, anchor, before * scale, after * scale).orderBy("seq").limit(timeline.MOST_TIME_ROWS)
+        near = timeline.context_time(self.events, anchor, before * scale, after * scale).orderBy("seq").limit(timeline.MOST_TIME_ROWS + 1)
+        # truncated tells that more rows than are shown lie in the span
+        return near.withColumn("truncated", F.count("*").over(Window.partitionBy()) > timeline.MOST_TIME_ROWS).orderBy("seq").limit(timeline.MOST_TIME_ROWS)
 
     def record(self, event_id: int) -> DataFrame:
         return self.events.where(F.col("id") == event_id)
@@ -146,13 +168,15 @@ class Case:
     def findings(self, rules: list[R.Rule], samples: int = 200) -> DataFrame:
         return R.findings(self.events, rules, samples)
 
+    def detect(self, rules: list[R.Rule], samples: int = 200) -> R.Detection:
+        """Single rules and correlations in one call, with what was applied and what was skipped and why."""
+        return R.detect(self.events, rules, samples)
+
     def sql(self, text: str, args: dict | None = None, limit: int = 1000) -> DataFrame:
         """A read-only statement over the view events; limited unless it has a limit of its own."""
-        if not READ_ONLY.match(text):
-            raise PermissionError("only SELECT, WITH, DESCRIBE, SHOW and EXPLAIN are allowed")
-        if re.search(r"\b(?:parquet|csv|json|orc|text|binaryFile)\s*\.\s*`", text, re.I):
-            raise PermissionError("files cannot be read by path here")
+        readonly.check(self.spark, text, {"events"})
         self.events.createOrReplaceTempView("events")
+        self.spark.udf.register("ip_in_cidr", ip_in_cidr)
         out = self.spark.sql(text.rstrip().rstrip(";"), args)
         return out if re.search(r"\blimit\s+\d+\s*;?\s*$", text, re.I) else out.limit(limit)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
 
@@ -64,14 +66,53 @@ def any_cidr(ip: Column, cidrs: tuple[str, ...]) -> Column:
     return out
 
 
+#: The same for version 6.
+PRIVATE6, DOCUMENTATION6, MULTICAST6 = ("fc00::/7", "fe80::/10"), ("2001:db8::/32",), ("ff00::/8",)
+
+
+def _hex6(ip: Column) -> Column:
+    """The 32 hex digits of a version 6 address without an embedded version 4 one; null for anything else."""
+    low = F.lower(ip)
+    halves = F.split(low, "::", -1)
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(part, ":", -1), lambda g: F.lpad(g, 4, "0")))
+
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    whole = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.greatest(gap, F.lit(0))), right), "")
+    shaped = low.rlike("^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & low.contains(":")
+    return F.when(shaped & (F.size(halves) <= 2) & F.when(F.size(halves) == 2, gap >= 1).otherwise(gap == 0), whole)
+
+
+def ip_key(ip: Column) -> Column:
+    """An address of either version as text that sorts by value: 4 or 6, then its hex digits; null for anything else."""
+    n = ip_to_long(ip)
+    return F.when(n.isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))).when(ip.contains(":"), F.concat(F.lit("6"), _hex6(ip)))
+
+
+def net_bounds(cidr: str) -> tuple[str, str]:
+    """First and last key of a network."""
+    net = ipaddress.ip_network(cidr, strict=False)
+    return tuple(("4" if net.version == 4 else "6") + a.packed.hex() for a in (net.network_address, net.broadcast_address))
+
+
 def ip_class(ip: Column) -> Column:
-    """loopback, documentation, internal, multicast or external for IPv4 text; null otherwise."""
+    """loopback, documentation, internal, multicast or external for an address of either version; null otherwise."""
+    key = ip_key(ip)
+
+    def inside(*cidrs: str) -> Column:
+        out = F.lit(False)
+        for c in cidrs:
+            out = out | key.between(*net_bounds(c))
+        return out
+
     return (
-        F.when(ip_to_long(ip).isNull(), F.lit(None).cast("string"))
-        .when(in_cidr(ip, "127.0.0.0/8"), "loopback")
-        .when(any_cidr(ip, DOCUMENTATION), "documentation")
-        .when(any_cidr(ip, PRIVATE), "internal")
-        .when(in_cidr(ip, "224.0.0.0/4"), "multicast")
+        F.when(key.isNull(), F.lit(None).cast("string"))
+        .when(inside("127.0.0.0/8", "::1/128"), "loopback")
+        .when(inside(*DOCUMENTATION, *DOCUMENTATION6), "documentation")
+        .when(inside(*PRIVATE, *PRIVATE6), "internal")
+        .when(inside("224.0.0.0/4", *MULTICAST6), "multicast")
         .otherwise("external")
     )
 
@@ -107,4 +148,28 @@ def parsed_ts(text: Column, offset_minutes: int = 0) -> Column:
     shift = F.regexp_extract(t, "([+-])(\\d{2}):?(\\d{2})$", 1)
     minutes = F.coalesce(F.regexp_extract(t, "[+-](\\d{2}):?\\d{2}$", 1).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.regexp_extract(t, "[+-]\\d{2}:?(\\d{2})$", 1).try_cast("int"), F.lit(0))
     minutes = F.when(zoned, F.when(shift == "-", -minutes).otherwise(minutes)).otherwise(F.lit(offset_minutes))
-    return naive - F.make_dt_interval(mins=minutes)
+    # most stamps have neither fraction nor offset, and need no pattern
+    whole, rest = F.substring(text, 1, 19).try_cast("timestamp_ntz"), F.substring(text, 20, 100)
+    plain = whole - F.make_dt_interval(mins=F.lit(offset_minutes)) if offset_minutes else whole
+    return F.when((rest == "") & (F.length(text) == 19), plain).when((rest == "Z") & (F.length(text) == 20), whole).otherwise(naive - F.make_dt_interval(mins=minutes))
+
+
+@F.pandas_udf(T.BooleanType())
+def ip_in_cidr(ip: pd.Series, cidr: pd.Series) -> pd.Series:
+    """Membership in a network of either version, for ad-hoc SQL; false for what is no address or network."""
+    nets: dict[str, object] = {}
+
+    def one(x: str | None, c: str | None) -> bool:
+        if x is None or c is None:
+            return False
+        if c not in nets:
+            try:
+                nets[c] = ipaddress.ip_network(c, strict=False)
+            except ValueError:
+                nets[c] = ()
+        try:
+            return ipaddress.ip_address(x) in nets[c]
+        except ValueError:
+            return False
+
+    return pd.Series([one(x, c) for x, c in zip(ip, cidr, strict=True)], dtype="boolean")

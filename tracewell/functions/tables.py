@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,23 @@ from pyspark.sql import DataFrame
 
 
 def persisted(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under spark.checkpoint.dir (a new local folder where that is unset) and read it back."""
+    """Write df as Parquet under spark.checkpoint.dir and read it back; where that is unset, a new folder of this machine serves local sessions only."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def starts(sizes: DataFrame, part: str, n: str) -> DataFrame:
+    """(part, start): for each range of a sorted table, the sum of the ranges before; one number for each range goes to the driver."""
+    rows, at = [], 0
+    for p, size in sorted((r[part], r[n]) for r in sizes.collect()):
+        rows.append((p, at))
+        at += size
+    return sizes.sparkSession.createDataFrame(rows, f"{part} int, start long")

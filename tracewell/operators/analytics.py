@@ -39,6 +39,12 @@ def stats(rows: DataFrame, by: str = "source") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def inventory(rows: DataFrame) -> DataFrame:
+    """kind, name, n, first_ts, last_ts: the whole, each source and each file, in one pass."""
+    names = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("name")) for k, v in (("total", F.lit("")), ("source", F.col("source")), ("file", F.col("src_file")))])
+    return rows.select("ts", F.inline(names)).where("name is not null").groupBy("kind", "name").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 def counters(rows: DataFrame) -> DataFrame:
     """One row: total, time span and distinct counts."""
     distinct = [F.countDistinct(c).alias(f"n_{c}") for c in ("src_ip", "user", "src_file", "source")]
@@ -68,8 +74,8 @@ def histogram(rows: DataFrame, buckets: int = 120) -> DataFrame:
 
 
 def ip_detail(rows: DataFrame, ip: str) -> DataFrame:
-    """One row for an address: total, span, failures."""
-    return rows.where(F.col("src_ip") == ip).agg(F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum(F.col("event").isin("ssh_failed", "ssh_invalid_user").cast("int")).alias("fails"))
+    """One row for an address: total, span, and events of severity fail."""
+    return rows.where(F.col("src_ip") == ip).agg(F.count("*").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.when(F.col("severity") == "fail", 1)).alias("fails"))
 
 
 def ip_counts(rows: DataFrame) -> DataFrame:
@@ -124,3 +130,31 @@ def enrich_ip(rows: DataFrame, ranges: DataFrame, ip_number: str = "ip_number")
     left = rows.withColumn("_hi", F.shiftright(ip_number, 16))
     inside = (left["_hi"] == cut["_hi"]) & (left[ip_number] >= cut["net_start"]) & (left[ip_number] <= cut["net_end"])
     return left.join(cut, inside, "left").drop("_hi", "net_start", "net_end")
+
+
+def enrich_any(rows: DataFrame, ip: Column, ranges: DataFrame) -> DataFrame:
+    """Left range join of addresses of either version to (net_start, net_end, ...), bounds being keys (see net_bounds) of ranges that do not overlap.
+
+    Both sides stand in one order of keys, where each address takes the range that began last: one sort for each leading
+    part of the key, no theta join. A range that spans several leading parts stands at the head of each.
+    """
+    from pyspark.sql.window import Window
+
+    from tracewell.functions.columns import ip_key
+
+    what = [c for c in ranges.columns if c not in ("net_start", "net_end")]
+    left = rows.withColumn("_key", ip_key(ip))
+    heads = left.select(F.substring("_key", 1, HEAD_DIGITS).alias("_head")).where("_head is not null").distinct()
+    r = ranges.withColumn("_from", F.substring("net_start", 1, HEAD_DIGITS)).withColumn("_to", F.substring("net_end", 1, HEAD_DIGITS))
+    narrow = r.where("_from = _to").withColumn("_head", F.col("_from"))
+    wide = r.where("_from <> _to").join(heads, (F.col("_head") >= F.col("_from")) & (F.col("_head") <= F.col("_to")))
+    value = F.struct("net_end", *what)
+    marks = narrow.unionByName(wide).select("_head", F.greatest("net_start", F.col("_head")).alias("_key"), F.lit(0).alias("_kind"), value.alias("_net"))
+    probes = left.where("_key is not null").select("_key").distinct().select(F.substring("_key", 1, HEAD_DIGITS).alias("_head"), "_key", F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_net"].dataType).alias("_net"))
+    w = Window.partitionBy("_head").orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.unionByName(probes).withColumn("_at", F.last("_net", ignorenulls=True).over(w)).where((F.col("_kind") == 1) & (F.col("_at.net_end") >= F.col("_key")))
+    return left.join(placed.select("_key", *[F.col(f"_at.{c}").alias(c) for c in what]), "_key", "left").drop("_key")
+
+
+#: Leading digits of a key that one sort of enrich_any has: the version and 16 bits.
+HEAD_DIGITS = 5

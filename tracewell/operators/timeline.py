@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions.columns import extra
-from tracewell.functions.tables import persisted
+from tracewell.functions.tables import persisted, starts
 from tracewell.schema import SHOWN, TYPES
 
 MOST_ROWS_AROUND, MOST_TIME_ROWS = 5000, 800
@@ -22,14 +22,11 @@ def with_seq(events: DataFrame) -> DataFrame:
     late, order = F.col("ts").isNull().alias("late"), ["late", "ts", "id"]
     ranged = events.select("id", "ts", late).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ranged = persisted(ranged, "seq")
-    counts = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())
-    starts, at = [F.lit(-1), F.lit(0)], 0
-    for part, n in counts:
-        starts += [F.lit(part), F.lit(at)]
-        at += n
+    first = starts(ranged.groupBy("part").agg(F.count("*").alias("n")), "part", "n")
     own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    seq = (own + F.element_at(F.create_map(*starts), F.col("part"))).cast("long")
-    return events.join(ranged.select("id", seq.alias("seq")), "id")
+    # two numbers for each range
+    placed = ranged.select("id", "part", own.alias("own")).join(F.broadcast(first), "part")
+    return events.join(placed.select("id", (F.col("own") + F.col("start")).cast("long").alias("seq")), "id")
 
 
 def ordering(sort: str | None = None, desc: bool = False) -> list[Column]:
@@ -56,7 +53,7 @@ def shown(rows: DataFrame) -> DataFrame:
 
 def in_range(rows: DataFrame, start: str | None = None, end: str | None = None, source: str | None = None) -> DataFrame:
     """Inclusive time range (rows without ts drop out) and source; (all) and '' are no filter. A bare end date is its midnight."""
-    if source and source not in ("(all)", "(todos)"):
+    if source and source != "(all)":
         rows = rows.where(F.col("source") == source)
     if start:
         rows = rows.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))

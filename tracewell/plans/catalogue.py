@@ -181,11 +181,11 @@ add("facet_network", lambda s, d: analytics.facet_network(_with_ip(s, d).withCol
 
 
 def _addressed(s: SparkSession, d: str) -> DataFrame:
-    return events(s, d).withColumn("src_ip", F.concat(F.lit("10.0.0."), (F.col("id") % 20).cast("string"))).withColumn("event", F.when(F.col("event") == "error", "ssh_failed").otherwise(F.col("event")))
+    return events(s, d).withColumn("src_ip", F.concat(F.lit("10.0.0."), (F.col("id") % 20).cast("string"))).withColumn("severity", F.when(F.col("event").isin("error", "view"), "fail").otherwise(F.col("severity"))).withColumn("event", F.when(F.col("event") == "error", "ssh_failed").otherwise(F.col("event")))
 
 
-_ADDRESSED = f"WITH {EV}, a AS (SELECT * REPLACE (CASE WHEN event = 'error' THEN 'ssh_failed' ELSE event END AS event), '10.0.0.' || (id % 20) AS src_ip FROM ev)"
-add("ip_detail", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["detail"], f"{_ADDRESSED} SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) FILTER (event = 'ssh_failed') AS BIGINT) AS fails FROM a WHERE src_ip = '10.0.0.7'")
+_ADDRESSED = f"WITH {EV}, a AS (SELECT * REPLACE (CASE WHEN event = 'error' THEN 'ssh_failed' ELSE event END AS event, CASE WHEN event IN ('error', 'view') THEN 'fail' ELSE severity END AS severity), '10.0.0.' || (id % 20) AS src_ip FROM ev)"
+add("ip_detail", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["detail"], f"{_ADDRESSED} SELECT count(*) AS total, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) FILTER (severity = 'fail') AS BIGINT) AS fails FROM a WHERE src_ip = '10.0.0.7'")
 add("ip_users", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["users"], f'{_ADDRESSED} SELECT "user" AS value, count(*) AS n FROM a WHERE src_ip = \'10.0.0.7\' GROUP BY 1 ORDER BY n DESC, value LIMIT 8')
 add("ip_samples", lambda s, d: analytics.ip_profile(_addressed(s, d), "10.0.0.7")["samples"].select("id", "ts", "event"), f"{_ADDRESSED} SELECT id, ts, event FROM a WHERE src_ip = '10.0.0.7' ORDER BY ts NULLS LAST, id LIMIT 8")
 add("ip_counts", lambda s, d: analytics.ip_counts(_addressed(s, d)), f"{_ADDRESSED} SELECT src_ip, count(*) AS n FROM a GROUP BY 1")
@@ -286,7 +286,7 @@ add(
 add(
     "ioc_urls",
     lambda s, d: ioc.extracted(read(s, d, "pages").select(F.col("page_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("ts"), "url"), F.col("url"), ipv6=False).where("type = 'url'").select("id", "value"),
-    "SELECT page_id AS id, regexp_replace(regexp_extract(url, 'https?://[^\\s\"''`<>\\]\\[{}|\\\\^]+'), '[.,;:!?)]+$', '') AS value FROM pages WHERE regexp_matches(url, 'https?://[^\\s]+')",
+    "SELECT page_id AS id, rtrim(regexp_extract(url, 'https?://[^\\s\"''`<>\\]\\[{}|\\\\^]+'), '.,);]}\"''>') AS value FROM pages WHERE regexp_matches(url, 'https?://[^\\s]+')",
 )
 add(
     "ioc_domains",
@@ -315,7 +315,7 @@ def _ioc_sql() -> str:
 
     def domain(d: str) -> str:
         tld = f"regexp_extract({d}, '[^.]*$')"
-        return f"length({d}) <= 253 AND {tld} NOT IN ({listed(ioc.FILE_EXTENSIONS)}) AND (length({tld}) = 2 OR {tld} IN ({listed(ioc.GTLDS)})) AND contains({d}, '.')"
+        return f"length({d}) <= 253 AND {tld} NOT IN ({listed(ioc.FILE_EXTENSIONS)}) AND {d} NOT IN ({listed(ioc.NO_HOSTS)}) AND (length({tld}) = 2 OR {tld} IN ({listed(ioc.GTLDS)})) AND contains({d}, '.')"
 
     ip = f"regexp_matches(value, {_quoted(IPV4)})"
     word, hosts = r"(?:^|[^\w])", " UNION ALL SELECT id, value FROM hosts"
@@ -327,12 +327,13 @@ def _ioc_sql() -> str:
         "winpath": (every("winpath", "c", word), "value", "true"),
         "registry": (every("registry", "c", word), "value", "true"),
         "pipe": (every("pipe", "c"), "value", "true"),
+        "imphash": (every("imphash", "hashed"), "lower(value)", "true"),
     } | {k: (every(k, "hashed", word, r"(?:[^\w]|$)", r"\w"), "lower(value)", "true") for k in ("md5", "sha1", "sha256")}
     found = " UNION ALL ".join(f"SELECT id, '{k}' AS type, {v} AS value FROM ({q}) WHERE {w}" for k, (q, v, w) in parts.items())
     url, field = _quoted(ioc.URL), _quoted(ioc.HEX_FIELD)
     return (
         "WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),"
-        f" u AS (SELECT id, regexp_replace(unnest(regexp_extract_all(t, {url})), '[.,;:!?)]+$', '') AS value FROM d), urls AS (SELECT * FROM u WHERE length(value) > 8),"
+        f" u AS (SELECT id, rtrim(unnest(regexp_extract_all(t, {url})), {_quoted(ioc.URL_END)}) AS value FROM d), urls AS (SELECT * FROM u WHERE length(value) > 8),"
         " host AS (SELECT id, lower(regexp_extract(value, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS value FROM urls), hosts AS (SELECT * FROM host WHERE value <> ''),"
         f" c AS (SELECT id, regexp_replace(t, {url}, ' ', 'g') AS t FROM d), hashed AS (SELECT id, regexp_replace(t, {field}, ' ', 'g') AS t FROM d)"
         f" SELECT DISTINCT id, type, value FROM (SELECT id, 'url' AS type, value FROM urls UNION ALL {found})"
@@ -353,7 +354,8 @@ add(
 
 def _rendered(s: SparkSession, d: str, line) -> DataFrame:
     e = read(s, d, "events")
-    return e.select(F.lit("f.log").alias("src_file"), F.col("event_id").cast("int").alias("line_no"), line.alias("line"), F.lit(2024).alias("file_year"))
+    # the tables are small files that one task reads; log files come in many splits
+    return e.select(F.lit("f.log").alias("src_file"), F.col("event_id").cast("int").alias("line_no"), line.alias("line"), F.lit(2024).alias("file_year")).repartition(s.sparkContext.defaultParallelism)
 
 
 _TS = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
@@ -402,7 +404,7 @@ def _parse_csv(s: SparkSession, d: str) -> DataFrame:
     o = read(s, d, "orders")
     rows = o.select(F.lit("o.csv").alias("src_file"), (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.expr("concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00Z,u', o_custkey, ',\"', o_orderpriority, ', x\",', o_orderkey)").alias("line"), F.lit(2024).alias("file_year"))
     head = s.createDataFrame([("o.csv", -2147483648, "timestamp,user,priority name,pid", 2024)], rows.schema)
-    return parse(head.unionByName(rows), "csv").select("line_no", "ts", "user", "pid", F.get_json_object("extra", "$.priority_name").alias("priority"))
+    return parse(head.unionByName(rows.repartition(s.sparkContext.defaultParallelism)), "csv").select("line_no", "ts", "user", "pid", F.get_json_object("extra", "$.priority_name").alias("priority"))
 
 
 add("parse_csv", _parse_csv, "SELECT CAST(o_orderkey + 1 AS INTEGER) AS line_no, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, 'u' || o_custkey AS \"user\", CAST(o_orderkey AS INTEGER) AS pid, o_orderpriority || ', x' AS priority FROM orders")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions.columns import extra, in_cidr, like_escape
+from tracewell.functions.tables import persisted
 
 
 class RuleError(ValueError):
@@ -76,7 +77,7 @@ def _program(prefix: str, *sources: str) -> Column:
     return F.col("source").isin(*sources) & F.lower("program").like(prefix + "%")
 
 
-#: Which events feed a log source.
+#: Which events feed a log source.
 LOGSOURCES: dict[str, Callable[[], Column]] = {
     "linux/process_creation": lambda: (F.col("source") == "auditd") & (F.col("event") == "execve"),
     "linux/sysmon": lambda: (F.col("source") == "auditd") & (F.col("event") == "execve"),
@@ -98,26 +99,34 @@ LOGSOURCES: dict[str, Callable[[], Column]] = {
 }
 
 
+#: Which log source a rule's product, category and service select, in order; * is anything, - is nothing.
+ROUTES = (
+    ("*", "webserver", "*", "webserver"),
+    ("apache", "*", "*", "webserver"),
+    ("nginx", "*", "*", "webserver"),
+    ("iis", "*", "*", "webserver"),
+    ("*", "*", "apache", "webserver"),
+    ("*", "*", "nginx", "webserver"),
+    ("modsecurity", "*", "*", "linux/modsecurity"),
+    ("*", "*", "modsecurity", "linux/modsecurity"),
+    ("-", "application", "*", "application"),
+    *(("linux", k.removeprefix("linux/"), "*", k) for k in LOGSOURCES if "/" in k),
+    *(("linux", "-", k.removeprefix("linux/"), k) for k in LOGSOURCES if "/" in k),
+    ("linux", "*", "*", "linux"),
+)
+
+
 def logsource_key(logsource: dict) -> str | None:
     """Key of LOGSOURCES, or None where a rule is for other systems."""
-    product, category, service = (str(logsource.get(k) or "").lower() for k in ("product", "category", "service"))
-    if category == "webserver" or product in ("apache", "nginx", "iis") or service in ("apache", "nginx"):
-        return "webserver"
-    if "modsecurity" in (product, service):
-        return "linux/modsecurity"
-    if category == "application" and not product:
-        return "application"
-    if product != "linux":
-        return None
-    key = f"linux/{category or service}"
-    return key if key in LOGSOURCES else "linux"
+    asked = [str(logsource.get(k) or "-").lower() for k in ("product", "category", "service")]
+    return next((r[3] for r in ROUTES if all(w in ("*", x) for w, x in zip(r[:3], asked, strict=True))), None)
 
 
 def _command() -> Column:
     return F.coalesce(F.when(F.col("message") != "", F.col("message")), F.col("exe"))
 
 
-#: Columns by rule field: for all, for processes, for web requests; the rest is looked up in extra.
+#: Columns by rule field: for all, for processes, for web requests; the rest is looked up in extra.
 _FIELDS = {"User": "user", "user": "user", "exe": "exe", "Image": "exe", "pid": "pid", "host": "host", "hostname": "host", "program": "program", "process": "program", "src_ip": "src_ip", "SourceIp": "src_ip", "event": "event", "severity": "severity", "bytes": "bytes", "message": "message"}
 _WEB_FIELDS = {"c-ip": "src_ip", "cs-method": "method", "sc-status": "status", "sc-bytes": "bytes", "cs-bytes": "bytes", "cs-host": "host", "cs-user-agent": "user_agent", "cs-referer": "referer"} | {k: "path" for k in ("cs-uri", "cs-uri-stem", "cs-uri-query", "c-uri", "c-uri-query", "cs-uri-stem-query")}
 _EXTRA_FIELDS = {"DestinationIp": "dst_ip", "DestinationPort": "dst_port"}
@@ -370,23 +379,92 @@ def applicability(events: DataFrame, rules: list[Rule]) -> DataFrame:
     return listed.join(n, "log_source", "left").select("rule", "level", "log_source", F.coalesce("events", F.lit(0)).alias("events"), "predicate", "skipped")
 
 
+def key_of(rules: list[Rule]) -> dict[int, str]:
+    """An id for each rule by its place: its own, its title where it has none, with a number where another rule has that, too."""
+    out: dict[int, str] = {}
+    for r in rules:
+        name, n = r.id or r.title, 2
+        while name in out.values():
+            name, n = f"{r.id or r.title}#{n}", n + 1
+        out[id(r)] = name
+    return out
+
+
+def _named(body) -> list[str]:
+    """Fields that a selection names, in order."""
+    if isinstance(body, dict):
+        return [n for k in body if (n := str(k).split("|")[0])]
+    return [n for x in body for n in _named(x)] if isinstance(body, list) else []
+
+
+def matched(rule: Rule) -> Column:
+    """What the fields that a rule names hold, as text."""
+    names = dict.fromkeys(n for k, v in rule.detection.items() if k not in ("condition", "timeframe") for n in _named(v))
+    key = logsource_key(rule.logsource)
+    shown = [F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{n}="), v)) for n in names for v in (resolve(key, n).cast("string"),)]
+    return F.concat_ws(" · ", *shown) if shown else F.lit("")
+
+
+#: Rules in one projection: its code stays small enough to be compiled, whatever the size of a set.
+RULES_AT_ONCE = 100
+
+
 def hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """events with rule (title), a row for each hit: one scan whatever the number of rules."""
+    """events with rule (title), rule_id and matched, a row for each hit: one scan for up to RULES_AT_ONCE rules."""
     good, _ = split(rules)
     if not good:
-        return events.withColumn("rule", F.lit("")).limit(0)
-    marks = F.array(*[F.when(p, F.lit(r.title)) for r, p in good])
-    return events.withColumn("rule", F.explode(F.filter(marks, lambda x: x.isNotNull())))
+        return events.withColumns({"rule": F.lit(""), "rule_id": F.lit(""), "matched": F.lit("")}).limit(0)
+    ids, out = key_of(rules), None
+    for at in range(0, len(good), RULES_AT_ONCE):
+        marks = F.array(*[F.when(p, F.struct(F.lit(r.title).alias("rule"), F.lit(ids[id(r)]).alias("rule_id"), matched(r).alias("matched"))) for r, p in good[at : at + RULES_AT_ONCE]])
+        part = events.withColumn("_hit", F.explode(F.filter(marks, lambda x: x.isNotNull()))).select(*events.columns, "_hit.*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def findings(events: DataFrame, rules: list[Rule], samples: int = 200) -> DataFrame:
-    """rule, level, n, sample_ids (the first by ts and id), a row for each rule with hits."""
-    found = hits(events, rules).select("rule", "ts", "id")
-    rank = F.row_number().over(Window.partitionBy("rule").orderBy(F.col("ts").asc_nulls_last(), "id"))
-    first = found.withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("_r", "id"))).alias("s"))
-    level = F.create_map(*[F.lit(x) for r in rules if not r.correlation for x in (r.title, r.level)]) if rules else F.lit(None)
-    n = found.groupBy("rule").agg(F.count("*").alias("n"))
-    return n.join(first, "rule").select("rule", F.element_at(level, F.col("rule")).alias("level"), "n", F.transform("s", lambda x: x["id"]).alias("sample_ids"))
+    """rule, rule_id, level, n, sample_ids (the first by ts and id) and what matched in each, a row for each rule with hits.
+
+    Hits are narrow and written once, so the events are read once for counts and samples.
+    """
+    found = persisted(hits(events, rules).select("rule_id", "ts", "id", "matched"), "hits")
+    rank = F.row_number().over(Window.partitionBy("rule_id").orderBy(F.col("ts").asc_nulls_last(), "id"))
+    first = found.withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("_r", "id", "matched"))).alias("s"))
+    n = found.groupBy("rule_id").agg(F.count("*").alias("n"))
+    ids = key_of(rules)
+    named = events.sparkSession.createDataFrame([(ids[id(r)], r.title, r.level) for r in rules], "rule_id string, rule string, level string")
+    return n.join(first, "rule_id").join(F.broadcast(named), "rule_id").select("rule", "rule_id", "level", "n", F.transform("s", lambda x: x["id"]).alias("sample_ids"), F.transform("s", lambda x: x["matched"]).alias("matched"))
+
+
+def level_rank(level: Column) -> Column:
+    """0 for critical up to the number of levels for unknown ones."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEVELS)), F.lower(level)), F.lit(0)) - 1, F.lit(len(LEVELS)).cast("long"))
+
+
+@dataclass
+class Detection:
+    """Findings by level and count, correlations by title, how many rules were applied, and those that were not, with the reason."""
+
+    findings: DataFrame
+    correlations: dict[str, DataFrame]
+    applied: int
+    skipped: list[tuple[Rule, str]]
+
+    def total(self) -> int:
+        return self.findings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def detect(events: DataFrame, rules: list[Rule], samples: int = 200) -> Detection:
+    good, skipped = split(rules)
+    found = findings(events, rules, samples)
+    correlations: dict[str, DataFrame] = {}
+    for r in rules:
+        if r.correlation:
+            try:
+                correlations[r.title] = correlate(events, rules, r)
+            except (RuleError, KeyError) as e:
+                skipped.append((r, str(e)))
+    return Detection(found.orderBy(level_rank(F.col("level")), F.desc("n"), "rule_id"), correlations, len(good) + len(correlations), skipped)
 
 
 def seconds(span: str) -> int:
@@ -407,7 +485,7 @@ def correlate(events: DataFrame, rules: list[Rule], correlation: Rule, sliding:
     key = logsource_key(base[0].logsource)
     by = {k: resolve(key, k).cast("string") for k in (c.get("group-by") or [])}
     found = hits(events, base).where("ts is not null")
-    found = found.select("id", "ts", "rule", *[v.alias(f"by_{i}") for i, v in enumerate(by.values())], *([resolve(key, c["condition"]["field"]).alias("counted")] if c["type"] == "value_count" else []))
+    found = found.select("id", "ts", F.col("rule_id").alias("rule"), *[v.alias(f"by_{i}") for i, v in enumerate(by.values())], *([resolve(key, c["condition"]["field"]).alias("counted")] if c["type"] == "value_count" else []))
     keys = [f"by_{i}" for i in range(len(by))]
     if keys:
         found = found.where(_all_of([F.col(k).isNotNull() for k in keys]))
@@ -435,12 +513,20 @@ def correlate(events: DataFrame, rules: list[Rule], correlation: Rule, sliding:
 TACTICS = "reconnaissance resource-development initial-access execution persistence privilege-escalation defense-evasion credential-access discovery lateral-movement collection command-and-control exfiltration impact".split()
 
 
-def matrix(found: DataFrame, rules: list[Rule]) -> DataFrame:
-    """tactic, technique, n, rules: hits rolled up by the rules' tags; a technique without a tactic is under other."""
-    rows = []
+def matrix(found: DataFrame, rules: list[Rule], correlations: dict[str, DataFrame] | None = None, samples: int = 10) -> DataFrame:
+    """tactic, technique, n, rules, level (the worst), sample_ids: hits and correlated groups rolled up by the rules' tags; a technique without a tactic is under other."""
+    ids, rows = key_of(rules), []
     for r in rules:
         tags = [t.lower().removeprefix("attack.").replace("_", "-") for t in r.tags if t.lower().startswith("attack.")]
         tactics = [t for t in tags if t in TACTICS] or ["other"]
-        rows += [(r.title, a, t.upper()) for a in tactics for t in tags if re.fullmatch(r"t\d{4}(\.\d{3})?", t)]
-    tags = found.sparkSession.createDataFrame(rows or [("", "", "")], "rule string, tactic string, technique string")
-    return found.join(F.broadcast(tags), "rule").groupBy("tactic", "technique").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("rule")).alias("rules"))
+        rows += [(ids[id(r)], a, t.upper()) for a in tactics for t in tags if re.fullmatch(r"t\d{4}(\.\d{3})?", t)]
+    spark = found.sparkSession
+    tags = spark.createDataFrame(rows or [("", "", "")], "rule_id string, tactic string, technique string")
+    all_ = found.select("rule_id", "rule", "level", "n", "sample_ids")
+    for r in rules:
+        if correlations and r.title in correlations:
+            one = correlations[r.title].agg(F.sum("n").cast("long").alias("n"), F.slice(F.array_sort(F.collect_set("first_id")), 1, samples).alias("sample_ids")).where("n is not null")
+            all_ = all_.unionByName(one.select(F.lit(ids[id(r)]).alias("rule_id"), F.lit(r.title).alias("rule"), F.lit(r.level).alias("level"), "n", "sample_ids"))
+    g = all_.join(F.broadcast(tags), "rule_id").groupBy("tactic", "technique")
+    out = g.agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("rule")).alias("rules"), F.min_by("level", level_rank(F.col("level"))).alias("level"), F.array_distinct(F.array_sort(F.flatten(F.collect_list(F.slice("sample_ids", 1, samples))))).alias("ids"))
+    return out.select("tactic", "technique", "n", "rules", "level", F.slice("ids", 1, samples).alias("sample_ids"))

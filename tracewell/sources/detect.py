@@ -28,7 +28,8 @@ HEAD = 200
 
 
 def by_name(name: Column) -> Column:
-    n = F.lower(F.regexp_replace(name, r"(?i)\.(gz|bz2|xz)$", ""))
+    """By the last part of a path; folders say nothing."""
+    n = F.lower(F.regexp_replace(F.substring_index(name, "/", -1), r"(?i)\.(gz|bz2|xz)$", ""))
     n = F.regexp_replace(n, r"\.\d+$", "")
     out = F.when(n.rlike(NAMES[0][0]), NAMES[0][1])
     for pattern, kind in NAMES[1:]:
@@ -38,7 +39,7 @@ def by_name(name: Column) -> Column:
 
 def by_content(lines: DataFrame) -> DataFrame:
     """src_file, by_content: decided by the shares of the first 200 non-blank lines that fit each format."""
-    head = lines.where(F.trim("line") != "").withColumn("_r", F.row_number().over(Window.partitionBy("src_file").orderBy("line_no"))).where(F.col("_r") <= HEAD)
+    head = P._lines(lines).withColumn("_r", F.row_number().over(Window.partitionBy("src_file").orderBy("line_no"))).where(F.col("_r") <= HEAD)
     line = F.col("line")
     cells = F.size(F.split(line, ","))
     head = head.withColumn("_cells", cells).withColumn("_first", F.first("_cells").over(Window.partitionBy("src_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))

@@ -6,12 +6,13 @@ import bz2
 import gzip
 import io
 import lzma
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES = "src_file string, line_no int, line string, file_year int"
@@ -26,20 +27,59 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.select("src_file", "file_year", F.posexplode(pieces).alias("_i", "line")).select("src_file", (F.col("_i") + 1).alias("line_no"), "line", "file_year")
 
 
-def read_lines(spark: SparkSession, path: str, keep_binary: bool = False) -> DataFrame:
-    """All files below path. Files with a NUL in their first 4096 bytes are left out unless keep_binary."""
+FILES = "src_file string, content binary, bytes long, file_year int, error string"
+
+
+def root_of(spark: SparkSession, path: str) -> str:
+    """The folder that labels are relative to: the path itself if it is a folder, else the folder it lies in."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = fs.makeQualified(hadoop)
+    if re.search(r"[*?\[{]", path):
+        return re.split(r"[*?\[{]", whole.toString())[0].rsplit("/", 1)[0]
+    return whole.toString() if fs.getFileStatus(whole).isDirectory() else whole.getParent().toString()
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below path, members of archives included: its path relative to the root as label, its content or why it cannot be read."""
+    root = root_of(spark, path).rstrip("/") + "/"
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = b.select("path", "content", F.year("modificationTime").alias("file_year")).mapInPandas(_opened, "src_file string, content binary, file_year int")
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for where, content, size, year in zip(f["path"], f["content"], f["length"], f["file_year"], strict=True):
+                label = where.removeprefix(root) if where.startswith(root) else where.rsplit("/", 1)[-1]
+                try:
+                    for name, data in unpacked(label, content):
+                        yield pd.DataFrame({"src_file": [name], "content": [data], "bytes": [size], "file_year": [year], "error": [None]})
+                except Exception as e:  # a damaged file is reported and ends nothing but itself
+                    yield pd.DataFrame({"src_file": [label], "content": [None], "bytes": [size], "file_year": [year], "error": [f"{type(e).__name__}: {e}"[:200]]})
+
+    return b.select("path", "content", "length", F.year("modificationTime").alias("file_year")).mapInPandas(opened, FILES)
+
+
+def is_binary(content: Column) -> Column:
+    """A NUL in the first 4096 bytes."""
+    return F.instr(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\0") > 0
+
+
+def lines_of(files: DataFrame, keep_binary: bool = False) -> DataFrame:
+    """Lines of the files that could be read, without binary ones unless keep_binary."""
+    files = files.where("error is null")
     if not keep_binary:
-        files = files.where(F.instr(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"), "\0") == 0)
+        files = files.where(~is_binary(F.col("content")))
     return numbered(files.select("src_file", F.col("content").cast("string").alias("value"), "file_year"))
 
 
-def _opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for path, content, year in zip(f["path"], f["content"], f["file_year"], strict=True):
-            for name, data in unpacked(path.rsplit("/", 1)[-1], content):
-                yield pd.DataFrame({"src_file": [name], "content": [data], "file_year": [year]})
+def read_lines(spark: SparkSession, path: str, keep_binary: bool = False) -> DataFrame:
+    """All lines below path."""
+    return lines_of(read_files(spark, path), keep_binary)
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """files, bytes below path as they lie on disk; nothing is read."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return b.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def unpacked(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:

@@ -1,4 +1,10 @@
-"""Parsers: lines (src_file, line_no, line, ...) -> event rows. Stateless ones are projections; state is a window over a file's lines."""
+"""Parsers: lines (src_file, line_no, line, ...) -> event rows.
+
+Stateless ones are projections. State over a file's lines (see ``stateful``) is taken up block by block, and what passes
+from block to block is one narrow row each, so a large file is no single task.
+
+Only \\n ends a line: patterns run with Unix line ends, so \\r, U+0085 and U+2028 are characters like others.
+"""
 
 from __future__ import annotations
 
@@ -48,12 +54,67 @@ class Options:
     user: str | None = None
 
 
+#: Lines of a file that one block of a stateful parser has.
+BLOCK_LINES = 10_000
+#: A character that is no white space, as Unicode has it.
+VISIBLE = r"[^\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SEPARATOR = "\u0001"
+
+
+def _is(pattern: str, text: str | Column = "line") -> Column:
+    return (F.col(text) if isinstance(text, str) else text).rlike("(?d)" + pattern)
+
+
 def _x(pattern: str, group: int, text: str | Column = "line") -> Column:
     """A group of a match, null where it is empty or missing."""
-    v = F.regexp_extract(F.col(text) if isinstance(text, str) else text, pattern, group)
+    return _known(F.regexp_extract(F.col(text) if isinstance(text, str) else text, "(?d)" + pattern, group))
+
+
+def _known(v: Column) -> Column:
     return F.when(v != "", v)
 
 
+def _groups(pattern: str, count: int, text: str | Column = "line") -> Column:
+    """All groups of the first match as an array that counts from 1, in one pass over the text; one element without a match."""
+    t = F.translate(F.col(text) if isinstance(text, str) else text, _SEPARATOR, "\ufffd")
+    flags, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    whole = f"(?d){flags}^[\\s\\S]*?(?:{rest})[\\s\\S]*" if not rest.startswith("^") else f"(?d){flags}{rest.removesuffix('$')}[\\s\\S]*"
+    return F.split(F.regexp_replace(t, whole, "".join(f"{_SEPARATOR}${i}" for i in range(1, count + 1))), _SEPARATOR, -1)
+
+
+def _hit(groups: str) -> Column:
+    return F.size(groups) > 1
+
+
+def _at(groups: str, i: int) -> Column:
+    """A group of ``_groups``, null where it is empty or missing."""
+    return _known(F.get(F.col(groups), F.lit(i)))
+
+
+def stateful(d: DataFrame, value: Column, changed: Callable[[Column, Column], Column]) -> DataFrame:
+    """_prev: the last known value of an earlier line of the file; _count: changes(earlier value, value) up to and with the line.
+
+    Each block of lines sorts and counts its own; first and last values and the number of changes of each block pass on.
+    """
+    block = ["src_file", "_blk"]
+    d = d.withColumn("_blk", F.floor(F.col("line_no") / BLOCK_LINES)).withColumn("_value", value)
+    w = Window.partitionBy(*block).orderBy("line_no")
+    before = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_inner", before)
+    step = F.when(F.col("_inner").isNotNull() & F.col("_value").isNotNull(), F.coalesce(changed(F.col("_inner"), F.col("_value")).cast("int"), F.lit(0))).otherwise(0)
+    d = d.withColumn("_step", step)
+    at = F.when(F.col("_value").isNotNull(), F.col("line_no"))
+    blocks = d.select(*block, "line_no", "_value", "_step").groupBy(*block).agg(F.min_by("_value", at).alias("_first"), F.max_by("_value", at).alias("_last"), F.sum("_step").alias("_steps"))
+    over = Window.partitionBy("src_file").orderBy("_blk")
+    blocks = blocks.withColumn("_carried", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = blocks.withColumn("_edge", F.when(F.col("_first").isNotNull(), F.coalesce(changed(F.col("_carried"), F.col("_first")).cast("int"), F.lit(0))).otherwise(0))
+    earlier = F.coalesce(F.sum(F.col("_steps") + F.col("_edge")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_edge")
+    blocks = blocks.select(*block, "_carried", earlier.alias("_earlier"))
+    own = F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_own", own).join(blocks, block)
+    return d.withColumns({"_prev": F.coalesce("_inner", "_carried"), "_count": F.col("_earlier") + F.col("_own")}).drop("_blk", "_value", "_inner", "_step", "_own", "_carried", "_earlier")
+
+
 def _dash(v: Column) -> Column:
     return F.when(v != "-", v)
 
@@ -92,25 +153,21 @@ def _json(pairs: dict[str, Column]) -> Column:
 
 
 def _lines(lines: DataFrame) -> DataFrame:
-    return lines.where(F.trim("line") != "")
+    return lines.where(_is(VISIBLE))
 
 
 def syslog(lines: DataFrame, o: Options, source: str = "syslog") -> DataFrame:
-    d = _lines(lines).withColumn("_m", _month(_x(SYSLOG, 1)))
-    order = Window.partitionBy("src_file").orderBy("line_no")
+    d = _lines(lines).withColumn("_a", _groups(SYSLOG, 8))
+    d = d.withColumns({"_m": _month(_at("_a", 1)), "_b": F.when(~_hit("_a"), _groups(SYSLOG_ISO, 6))})
     # the year goes up where the month falls by more than one; other lines do not count
-    d = d.withColumn("_lag", F.lag("_m").over(order))
-    d = d.withColumn("_before", F.last("_lag", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_bump", F.coalesce((F.col("_m") < F.col("_before") - 1).cast("int"), F.lit(0)))
+    d = stateful(d, F.col("_m"), lambda before, month: month < before - 1)
     base = F.lit(o.base_year) if o.base_year else F.col("file_year")
-    year = base + F.sum("_bump").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_year", year)
-    a, b = F.col("_m").isNotNull(), F.col("line").rlike(SYSLOG_ISO)
+    a, b = F.col("_m").isNotNull(), F.coalesce(_hit("_b"), F.lit(False))
 
     def pick(i: int, j: int) -> Column:
-        return F.when(a, _x(SYSLOG, i)).when(b, _x(SYSLOG_ISO, j))
+        return F.when(a, _at("_a", i)).when(b, _at("_b", j))
 
-    ts = F.when(a, _less(_made(F.col("_year"), F.col("_m"), _x(SYSLOG, 2), _x(SYSLOG, 3)), o.offset_minutes)).when(b, parsed_ts(_x(SYSLOG_ISO, 1))).otherwise(scanned_ts(F.col("line"), o.offset_minutes))
+    ts = F.when(a, _less(_made(base + F.col("_count"), F.col("_m"), _at("_a", 2), _at("_a", 3)), o.offset_minutes)).when(b, parsed_ts(_at("_b", 1))).otherwise(scanned_ts(F.col("line"), o.offset_minutes))
     d = d.withColumns(
         {
             "ts": ts,
@@ -126,61 +183,76 @@ def syslog(lines: DataFrame, o: Options, source: str = "syslog") -> DataFrame:
     return _auth(d) if source == "auth" else d
 
 
+#: Events of authentication: name, severity, pattern, and which groups hold user, address and port (0: none).
+_AUTH = (
+    ("ssh_accepted", "info", ACCEPTED, 4, (2, 3, 4)),
+    ("ssh_failed", "fail", FAILED, 4, (2, 3, 4)),
+    ("ssh_invalid_user", "fail", INVALID, 3, (1, 2, 3)),
+    ("sudo", "info", SUDO, 3, (1, 0, 0)),
+    ("session_opened", "info", OPENED, 1, (1, 0, 0)),
+    ("session_closed", "info", CLOSED, 1, (1, 0, 0)),
+)
+
+
 def _auth(d: DataFrame) -> DataFrame:
     m = F.col("message")
-    kinds = [
-        ("ssh_accepted", m.rlike(ACCEPTED), "info", ACCEPTED, (2, 3, 4)),
-        ("ssh_failed", m.rlike(FAILED), "fail", FAILED, (2, 3, 4)),
-        ("ssh_invalid_user", m.rlike(INVALID), "fail", INVALID, (1, 2, 3)),
-        ("sudo", (F.col("program") == "sudo") & m.rlike(SUDO), "info", SUDO, (1, 0, 0)),
-        ("session_opened", m.rlike(OPENED), "info", OPENED, (1, 0, 0)),
-        ("session_closed", m.rlike(CLOSED), "info", CLOSED, (1, 0, 0)),
-    ]
+    kind = F.lit(None).cast("int")
+    for i, (name, _, pattern, _, _) in reversed(list(enumerate(_AUTH))):
+        fits = _is(pattern, m)
+        kind = F.when(fits & (F.col("program") == "sudo") if name == "sudo" else fits, i).otherwise(kind)
+    d = d.withColumn("_kind", kind)
+    found = F.lit(None).cast("array<string>")
+    for i, (_, _, pattern, count, _) in enumerate(_AUTH):
+        found = F.when(F.col("_kind") == i, _groups(pattern, count, m)).otherwise(found)
+    d = d.withColumn("_g", found)
 
-    def pick(f: Callable) -> Column:
-        out = F.when(kinds[0][1], f(kinds[0]))
-        for k in kinds[1:]:
-            out = out.when(k[1], f(k))
-        return out
+    def of(values: list) -> Column:
+        return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), F.col("_kind"))
 
-    def group(i: int) -> Column:
-        return pick(lambda k: _x(k[3], k[4][i], m) if k[4][i] else F.lit(None).cast("string"))
+    def group(k: int) -> Column:
+        return _known(F.get(F.col("_g"), of([x[4][k] if x[4][k] else 99 for x in _AUTH])))
 
-    command = F.when((F.col("program") == "sudo") & m.rlike(SUDO), _x(SUDO, 3, m))
-    return d.withColumns({"event": pick(lambda k: F.lit(k[0])), "severity": F.coalesce(pick(lambda k: F.lit(k[2])), F.col("severity")), "user": group(0), "src_ip": group(1), "src_port": group(2).try_cast("int"), "exe": command})
+    sudo = [x[0] for x in _AUTH].index("sudo")
+    return d.withColumns({"event": of([x[0] for x in _AUTH]), "severity": F.coalesce(of([x[1] for x in _AUTH]), F.col("severity")), "user": group(0), "src_ip": group(1), "src_port": group(2).try_cast("int"), "exe": F.when(F.col("_kind") == sudo, _at("_g", 3))})
 
 
 def access(lines: DataFrame, o: Options) -> DataFrame:
-    d = _lines(lines)
-    via = F.col("line").rlike(ACCESS_VIA)
+    d = _lines(lines).withColumn("_v", F.when(F.col("line").contains("->"), _groups(ACCESS_VIA, 10)))
+    d = d.withColumn("_via", F.coalesce(_hit("_v"), F.lit(False)))
+    d = d.withColumn("_a", F.when(~F.col("_via"), _groups(ACCESS, 8)))
+    via, known = F.col("_via"), F.col("_via") | _hit("_a")
 
     def pick(i: int, j: int) -> Column:
-        return F.when(via, F.when(F.lit(j > 0), _x(ACCESS_VIA, max(j, 0)))).otherwise(F.when(F.lit(i > 0), _x(ACCESS, max(i, 0))))
-
+        """Group i of the plain form, j of the other; 0: it has none."""
+        return F.when(via, _at("_v", j) if j else F.lit(None)).otherwise(_at("_a", i) if i else F.lit(None))
+
+    # dd/Mon/yyyy:hh:mm:ss zone
+    d = d.withColumn("_t", pick(3, 4)).withColumn("_z", F.trim(F.substring("_t", 21, 40)))
+    iso = F.concat(F.substring("_t", 8, 4), F.lit("-"), F.lpad(_month(F.substring("_t", 4, 3)).cast("string"), 2, "0"), F.lit("-"), F.substring("_t", 1, 2), F.lit("T"), F.substring("_t", 13, 8))
+    shaped = (F.substring("_t", 3, 1) == "/") & (F.substring("_t", 7, 1) == "/") & (F.substring("_t", 12, 1) == ":")
+    zone = F.substring("_z", 2, 4).try_cast("int")
+    minutes = F.when(F.substring("_z", 1, 1).isin("+", "-") & (F.length("_z") >= 5) & zone.isNotNull(), F.when(F.col("_z").startswith("-"), -1).otherwise(1) * (F.floor(zone / 100) * 60 + zone % 100)).otherwise(0).cast("int")
+    ts = F.when(shaped, iso.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=minutes)
     request, status = pick(4, 6), _dash(pick(5, 7)).try_cast("int")
-    stamp = pick(3, 4)
-    part = [F.regexp_extract(stamp, r"^(\d{2})/([A-Za-z]{3})/(\d{4}):(\d{2}:\d{2}:\d{2})\s*([+-]\d{4})?", i) for i in range(6)]
-    iso = F.concat(part[3], F.lit("-"), F.lpad(_month(F.when(part[2] != "", part[2])).cast("string"), 2, "0"), F.lit("-"), part[1], F.lit("T"), part[4], F.when(part[5] != "", part[5]).otherwise("Z"))
-    words = F.split(F.trim(request), r"\s+")
-    known = via | F.col("line").rlike(ACCESS)
+    d = d.withColumn("_r", F.split(F.trim(request), r"\s+"))
     return d.withColumns(
         {
-            "ts": parsed_ts(iso),
+            "ts": ts,
             "source": F.lit("access"),
             "program": F.when(known, "http"),
             "event": F.when(known, "http_request"),
             "src_ip": pick(1, 1),
             "user": _dash(pick(2, 3)),
             "pid": pick(0, 5).try_cast("int"),
-            "method": F.when(F.size(words) >= 2, words[0]),
-            "path": F.when(F.size(words) >= 2, F.get(words, 1)),
+            "method": F.when(F.size("_r") >= 2, F.get("_r", F.lit(0))),
+            "path": F.when(F.size("_r") >= 2, F.get("_r", F.lit(1))),
             "status": status,
             "bytes": _dash(pick(6, 8)).try_cast("long"),
             "referer": pick(7, 9),
             "user_agent": pick(8, 10),
             "severity": F.when(status >= 500, "error").when(status >= 400, "warn").when(known, "info"),
             "message": F.coalesce(request, F.col("line")),
-            "extra": F.when(via, _json({"dst": _x(ACCESS_VIA, 2)})),
+            "extra": F.when(via, _json({"dst": _at("_v", 2)})),
             "raw": F.col("line"),
         }
     )
@@ -188,7 +260,7 @@ def access(lines: DataFrame, o: Options) -> DataFrame:
 
 def weberror(lines: DataFrame, o: Options) -> DataFrame:
     d = _lines(lines)
-    n, a, line = F.col("line").rlike(NGINX_ERROR), F.col("line").rlike(APACHE_ERROR), F.col("line")
+    n, a, line = _is(NGINX_ERROR), _is(APACHE_ERROR), F.col("line")
     message = F.when(n, _x(NGINX_ERROR, 4)).when(a, _x(APACHE_ERROR, 5)).otherwise(line)
     client = F.when(n, _x(r"client:\s*([\da-fA-F:.]+)", 1)).when(a, F.regexp_replace(_x(APACHE_ERROR, 4), r":\d+$", ""))
     request = r'request:\s*"(\S+) (\S+)[^"]*"'
@@ -211,15 +283,14 @@ def weberror(lines: DataFrame, o: Options) -> DataFrame:
 
 def bash_history(lines: DataFrame, o: Options) -> DataFrame:
     d = lines.where("line <> ''")
-    order = Window.partitionBy("src_file").orderBy("line_no")
     mark = r"^#(\d{9,})$"
-    epoch = F.regexp_extract(F.lag("line").over(order), mark, 1).try_cast("long")
-    d = d.withColumn("ts", F.timestamp_seconds(epoch).cast("timestamp_ntz")).where(~F.col("line").rlike(mark))
+    d = stateful(d, F.col("line"), lambda before, line: F.lit(False))
+    d = d.withColumn("ts", F.timestamp_seconds(_x(mark, 1, "_prev").try_cast("long")).cast("timestamp_ntz")).where(~_is(mark))
     return d.withColumns({"source": F.lit("bash_history"), "event": F.lit("command"), "user": F.lit(o.user).cast("string"), "message": F.col("line"), "raw": F.col("line")})
 
 
 def applog(lines: DataFrame, o: Options) -> DataFrame:
-    known, rest = F.col("line").rlike(APPLOG), _x(APPLOG, 2)
+    known, rest = _is(APPLOG), _x(APPLOG, 2)
     level = _x(APPLOG_LEVEL, 1, F.coalesce(rest, F.lit("")))
     return _lines(lines).withColumns(
         {
@@ -233,7 +304,8 @@ def applog(lines: DataFrame, o: Options) -> DataFrame:
 
 
 def _unquoted(v: Column) -> Column:
-    return F.when(v.rlike("""^(".*"|'.*')$""") & (F.length(v) >= 2), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
+    first = F.substring(v, 1, 1)
+    return F.when(first.isin('"', "'") & (F.substring(v, -1, 1) == first) & (F.length(v) >= 2), F.substring(v, 2, F.length(v) - 2)).otherwise(v)
 
 
 def pairs(text: Column) -> Column:
@@ -242,9 +314,20 @@ def pairs(text: Column) -> Column:
     return F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: F.struct(p["k"].alias("k"), _unquoted(p["v"]).alias("v")))
 
 
-def _last(p: Column, key: str) -> Column:
+def _indexed(d: DataFrame) -> DataFrame:
+    """_k and _v: keys and values of the pairs _p, the last first, so the first place of a key holds its last value."""
+    return d.withColumns({"_k": F.reverse(F.col("_p.k")), "_v": F.reverse(F.col("_p.v"))})
+
+
+def _last(key: str) -> Column:
     """Value of the last pair with a key; null if there is none."""
-    return F.try_element_at(F.transform(F.filter(p, lambda x: x["k"] == key), lambda x: x["v"]), F.lit(-1))
+    return F.get(F.col("_v"), (F.array_position(F.col("_k"), key) - 1).cast("int"))
+
+
+def _distinct(p: Column) -> Column:
+    """Of pairs with equal keys the last, as map keys must be distinct."""
+    n = F.size(p)
+    return F.filter(p, lambda x, i: F.array_position(F.col("_k"), x["k"]) == n - i)
 
 
 #: Keys that fill a column, in order of preference.
@@ -268,45 +351,47 @@ TS_KEYS = "ts time timestamp datetime date t @timestamp".split()
 _INTEGER = {"src_port": "int", "pid": "int", "status": "int", "bytes": "long"}
 
 
-def _filled(p: Column) -> dict[str, Column]:
+def _filled() -> dict[str, Column]:
     out = {}
     for column, keys in LOGFMT_KEYS.items():
-        v = F.coalesce(*[_last(p, k) for k in keys.split()])
+        v = F.coalesce(*[_last(k) for k in keys.split()])
         out[column] = v.try_cast(_INTEGER[column]) if column in _INTEGER else v
     out["severity"] = F.coalesce(_severity(out["severity"]), F.lower(out["severity"]))
     return out
 
 
-def _rest(p: Column, drop: list[str]) -> Column:
+def _rest(drop: list[str]) -> Column:
     used = [k for c, keys in LOGFMT_KEYS.items() if c not in _INTEGER for k in keys.split()]
-    left = F.filter(p, lambda x: ~x["k"].isin(*used, *drop) & ~(x["k"].isin(*[k for c in _INTEGER for k in LOGFMT_KEYS[c].split()]) & x["v"].try_cast("long").isNotNull()))
-    # the last of equal keys wins; earlier ones are dropped, as map keys must be distinct
-    left = F.filter(left, lambda x, i: ~F.exists(F.slice(left, i + 2, F.size(left)), lambda y: y["k"] == x["k"]))
+    numeric = [k for c in _INTEGER for k in LOGFMT_KEYS[c].split()]
+    left = F.filter(_distinct(F.col("_p")), lambda x: ~x["k"].isin(*used, *drop) & ~(x["k"].isin(*numeric) & x["v"].try_cast("long").isNotNull()))
     return F.when(F.size(left) > 0, F.to_json(F.map_from_entries(left)))
 
 
 def logfmt(lines: DataFrame, o: Options) -> DataFrame:
-    d = _lines(lines).withColumn("_p", pairs(F.col("line")))
-    p = F.col("_p")
-    stamp = F.coalesce(*[_last(p, k) for k in TS_KEYS if k.isalpha()])
-    d = d.withColumns(_filled(p)).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest(p, TS_KEYS)})
+    d = _indexed(_lines(lines).withColumn("_p", pairs(F.col("line"))))
+    stamp = F.coalesce(*[_last(k) for k in TS_KEYS if k.isalpha()])
+    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest(TS_KEYS)})
     return d.withColumns({"source": F.lit("logfmt"), "message": F.coalesce("message", "line"), "raw": F.col("line")})
 
 
 def csv(lines: DataFrame, o: Options) -> DataFrame:
     """The first non-blank line is the header if all its cells look like names; else columns are col1, col2, ..."""
     cell = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
-    cells = F.transform(F.regexp_extract_all("line", F.lit(cell), F.lit(1)), lambda c: F.trim(F.replace(_unquoted(F.trim(c)), F.lit('""'), F.lit('"'))))
-    order = Window.partitionBy("src_file").orderBy("line_no")
-    d = _lines(lines).withColumn("_c", cells).withColumn("_first", F.first("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(order))
-    names = (F.size("_first") >= 2) & F.forall("_first", lambda c: c.rlike(r"^[A-Za-z_@][\w .@/-]*$"))
-    keys = F.when(names, F.transform("_first", lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("_"))))).otherwise(F.transform("_c", lambda c, i: F.concat(F.lit("col"), (i + 1).cast("string"))))
-    d = d.withColumn("_named", names).where(~(F.col("_named") & (F.col("_n") == 1)))
+
+    def cells(line: str) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(cell), F.lit(1)), lambda c: F.trim(F.replace(_unquoted(F.trim(c)), F.lit('""'), F.lit('"'))))
+
+    # one row for each file
+    heads = _lines(lines).groupBy("src_file").agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_at"))
+    heads = heads.withColumn("_first", cells("_head")).withColumn("_named", (F.size("_first") >= 2) & F.forall("_first", lambda c: c.rlike(r"^[A-Za-z_@][\w .@/-]*$")))
+    names = F.when(F.col("_named"), F.transform("_first", lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("_")))))
+    d = _lines(lines).join(heads.select("src_file", "_at", "_named", names.alias("_names")), "src_file").where(~(F.col("_named") & (F.col("line_no") == F.col("_at"))))
+    d = d.withColumn("_c", cells("line"))
+    keys = F.coalesce("_names", F.transform("_c", lambda c, i: F.concat(F.lit("col"), (i + 1).cast("string"))))
     p = F.filter(F.zip_with(keys, "_c", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda x: x["k"].isNotNull() & x["v"].isNotNull() & (x["v"] != ""))
-    d = d.withColumn("_p", p)
-    p = F.col("_p")
-    stamp = F.coalesce(*[_last(p, k) for k in TS_KEYS])
-    d = d.withColumns(_filled(p)).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest(p, [])})
+    d = _indexed(d.withColumn("_p", p))
+    stamp = F.coalesce(*[_last(k) for k in TS_KEYS])
+    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest([])})
     return d.withColumns({"source": F.lit("csv"), "event": F.lit("csv"), "message": F.coalesce("message", "line"), "raw": F.col("line")})
 
 
@@ -325,16 +410,14 @@ def raw(lines: DataFrame, o: Options) -> DataFrame:
 
 def _blocks(lines: DataFrame, starts: Column, ends: Column) -> DataFrame:
     """_block: number of the block a line is in, null outside; a block ends with its end line, the next start or the file."""
-    order = Window.partitionBy("src_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.withColumn("_start", starts.cast("int")).withColumn("_end", ends.cast("int"))
-    d = d.withColumn("_n", F.sum("_start").over(order))
+    d = stateful(lines.withColumn("_end", ends.cast("int")), starts.cast("int"), lambda before, start: start == 1).withColumnRenamed("_count", "_n")
     within = Window.partitionBy("src_file", "_n").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     over = F.coalesce(F.max("_end").over(within), F.lit(0))
     return d.withColumn("_block", F.when((F.col("_n") > 0) & (over == 0), F.col("_n")))
 
 
 def apt(lines: DataFrame, o: Options) -> DataFrame:
-    d = _blocks(_lines(lines), F.col("line").rlike(LOG_START), F.col("line").rlike(LOG_END))
+    d = _blocks(_lines(lines), _is(LOG_START), _is(LOG_END))
     d = d.withColumn("_key", F.coalesce(F.concat(F.lit("b"), F.col("_block").cast("string")), F.concat(F.lit("l"), F.col("line_no").cast("string"))))
     g = d.groupBy("src_file", "_key").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"), F.max(F.col("_block").isNotNull()).alias("_in"))
     text = F.transform("_l", lambda x: x["line"])
@@ -348,14 +431,14 @@ def apt(lines: DataFrame, o: Options) -> DataFrame:
 
 
 def udev(lines: DataFrame, o: Options) -> DataFrame:
-    d = _blocks(lines, F.col("line").rlike(UDEV), F.trim("line") == "").where("_block is not null and trim(line) <> ''")
+    d = _blocks(lines, _is(UDEV), ~_is(VISIBLE)).where(F.col("_block").isNotNull() & _is(VISIBLE))
     g = d.groupBy("src_file", "_block").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
     text = F.transform("_l", lambda x: x["line"])
     g = g.withColumn("_h", F.get(text, 0)).withColumn("_p", F.transform(F.filter(F.slice(text, 2, F.size(text)), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, "=(.*)$", 1).alias("v"))))
-    h, p = F.col("_h"), F.col("_p")
-    kept = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+    h, kept = F.col("_h"), _distinct(F.col("_p"))
+    g = _indexed(g)
     seconds = F.regexp_extract(h, UDEV, 2).try_cast("double")
-    return g.withColumns({"ts": F.timestamp_micros((seconds * 1000000).cast("long")).cast("timestamp_ntz"), "source": F.lit("udev"), "program": F.lit("udev"), "event": F.lower(F.regexp_extract(h, UDEV, 3)), "path": F.coalesce(_last(p, "DEVPATH"), F.regexp_extract(h, UDEV, 4)), "message": h, "extra": F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(kept))), "raw": F.array_join(text, "\n")})
+    return g.withColumns({"ts": F.timestamp_micros((seconds * 1000000).cast("long")).cast("timestamp_ntz"), "source": F.lit("udev"), "program": F.lit("udev"), "event": F.lower(F.regexp_extract(h, UDEV, 3)), "path": F.coalesce(_last("DEVPATH"), F.regexp_extract(h, UDEV, 4)), "message": h, "extra": F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(kept))), "raw": F.array_join(text, "\n")})
 
 
 def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFrame:
@@ -364,15 +447,13 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
     Values are unquoted before hex is decoded, so a quoted argument that looks like hex is decoded as well, unless
     decode_quoted is off.
     """
-    d = _lines(lines).withColumn("_known", F.col("line").rlike(AUDIT))
-    body = F.coalesce(_x(AUDIT, 5), F.lit(""))
-    inner = F.regexp_extract(body, r"msg='([^']*)'", 1)
-    outer = F.regexp_replace(body, r"msg='[^']*'", "")
-    d = d.withColumns({"_t": F.lower(_x(AUDIT, 1)), "_serial": _x(AUDIT, 4), "_p": F.concat(pairs(inner), pairs(outer)), "_body": body})
-    p = F.col("_p")
-    order = Window.partitionBy("src_file").orderBy("line_no")
-    new = (~F.col("_serial").eqNullSafe(F.lag("_serial").over(order))) | (F.row_number().over(order) == 1)
-    d = d.withColumn("_island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = _lines(lines).withColumn("_g", _groups(AUDIT, 5))
+    d = d.withColumns({"_known": _hit("_g"), "_t": F.lower(_at("_g", 1)), "_epoch": _at("_g", 2), "_serial": _at("_g", 4), "_body": F.coalesce(_at("_g", 5), F.lit(""))}).drop("_g")
+    d = stateful(d, F.struct(F.col("_serial").alias("s")), lambda before, own: ~before["s"].eqNullSafe(own["s"])).withColumnRenamed("_count", "_island")
+    body = F.col("_body")
+    inner = F.when(body.contains("msg='"), F.regexp_extract(body, r"msg='([^']*)'", 1)).otherwise("")
+    outer = F.when(body.contains("msg='"), F.regexp_replace(body, r"msg='[^']*'", "")).otherwise(body)
+    d = _indexed(d.withColumn("_p", F.when(inner == "", pairs(outer)).otherwise(F.concat(pairs(inner), pairs(outer)))))
 
     def decoded(v: Column, key: str) -> Column:
         if decode_quoted:
@@ -380,13 +461,13 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
         return F.when(F.col("_body").contains(F.concat(F.lit(key + '="'), v, F.lit('"'))), v).otherwise(hex_decoded(v))
 
     def get(k: str) -> Column:
-        return _last(p, k)
+        return _last(k)
 
     count = F.greatest(F.coalesce(get("argc").try_cast("int"), F.lit(0)), F.lit(0))
 
     def argument(i: Column) -> Column:
         key = F.concat(F.lit("a"), i.cast("string"))
-        v = F.try_element_at(F.transform(F.filter(p, lambda x: x["k"] == key), lambda x: x["v"]), F.lit(-1))
+        v = F.get(F.col("_v"), (F.array_position(F.col("_k"), key) - 1).cast("int"))
         quoted = F.col("_body").contains(F.concat(key, F.lit('="'), v, F.lit('"')))
         return hex_decoded(v) if decode_quoted else F.when(quoted, v).otherwise(hex_decoded(v))
 
@@ -395,7 +476,7 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
     ip, port = sockaddr(get("saddr"))
     d = d.withColumns(
         {
-            "ts": F.timestamp_seconds(_x(AUDIT, 2).try_cast("long")).cast("timestamp_ntz"),
+            "ts": F.timestamp_seconds(F.col("_epoch").try_cast("long")).cast("timestamp_ntz"),
             "event": F.col("_t"),
             "user": F.coalesce(get("acct"), get("auid"), get("uid")),
             "pid": get("pid").try_cast("int"),
@@ -408,7 +489,7 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
             "_ppid": get("ppid"),
             "_cwd": get("cwd"),
             "_title": decoded(get("proctitle"), "proctitle"),
-            "_pairs": F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"])),
+            "_pairs": _distinct(F.col("_p")),
         }
     )
     group = Window.partitionBy("src_file", "_island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
