@@ -46,6 +46,28 @@ def test_rollover_covers_every_month(spark, sf_dir, con):
     assert len({r["ts"].year for r in got}) > 1
 
 
+def test_short_form_of_version_6_addresses(spark):
+    import ipaddress
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import ioc
+
+    rng = np.random.default_rng(4)
+    texts = ["::1", "2001:db8::", "1::8", "::", "1:2:3:4:5:6:7:8", "1:0:0:4:0:0:7:8", "0:0:3:0:0:0:7:8", "fe80::00ab:0", "1::2::3", "12345::", ":1:2", "1:2:3", "1:2:3:4:5:6:7::", "a:b:c:d:e:f:0:0"]
+    texts += [":".join(f"{x:x}" for x in rng.choice([0, 0, 1, 0xAB, 0xFFFF], 8)) for _ in range(300)]
+    want = []
+    for t in texts:
+        try:
+            a = ipaddress.IPv6Address(t)
+            want.append([] if a.is_unspecified else [a.compressed])
+        except ValueError:
+            want.append([])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r["x"] for r in df.orderBy("i").select(ioc.compressed_ipv6(F.array("t")).alias("x")).collect()] == want
+
+
 IOC_TEXT = {
     "ipv4": ["10.1.2.3", "8.8.8.8"],
     "email": ["ann.b+c@mail.example.com"],
@@ -56,6 +78,7 @@ IOC_TEXT = {
     "pipe": ["\\\\host\\pipe\\svc"],
     "md5": ["d41d8cd98f00b204e9800998ecf8427e"],
     "sha1": ["da39a3ee5e6b4b0d3255bfef95601890afd80709"],
+    "imphash": ["f34d5f2d4577ed6d9ceec516c1f5a744"],
     "sha256": ["e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"],
 }
 
@@ -69,8 +92,9 @@ def test_documents_give_every_indicator_type(spark, tmp_path):
 
     from tracewell.operators import ioc
 
-    every = " ".join(v for vs in IOC_TEXT.values() for v in vs)
-    texts = [every, every.replace(" ", ", "), *(f"see {v} {v}\n{v}." for vs in IOC_TEXT.values() for v in vs), "1.2.3 999.1.1.1 a@b x.exe 1.2.3.4.5 " + "a" * 33, "https://u@example.com/x?y=1. then ftp://10.9.8.7/z", None, ""]
+    shown = {k: [f"IMPHASH={v}" for v in vs] if k == "imphash" else vs for k, vs in IOC_TEXT.items()}
+    every = " ".join(v for vs in shown.values() for v in vs)
+    texts = [every, every.replace(" ", ", "), *(f"see {v} {v}\n{v}." for vs in shown.values() for v in vs), "see www.w3.org here", "1.2.3 999.1.1.1 a@b x.exe 1.2.3.4.5 " + "a" * 33, "https://u@example.com/x?y=1. then ftp://10.9.8.7/z", None, ""]
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
     query = catalogue.QUERIES["ioc_documents"](spark, str(tmp_path))
     con = duckdb.connect()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, sockaddr
+from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, net_bounds, sockaddr
 from tracewell.operators import analytics, ioc, timeline
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
@@ -426,6 +426,123 @@ add("parse_year_rollover", _year_rollover, "SELECT CAST(row_number() OVER (ORDER
 add("parse_year_rollovers", lambda s, d: _rollover(s, read(s, d, "orders")), "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)")
 
 
+def _lines_of(s: SparkSession, d: str, *lines: str) -> DataFrame:
+    """Several lines for each event, as SQL over its columns; line numbers count through the file."""
+    e = read(s, d, "events").select((F.col("event_id") * len(lines)).alias("_n"), F.posexplode(F.array(*map(F.expr, lines))).alias("_i", "line"))
+    return e.select(F.lit("f.log").alias("src_file"), (F.col("_n") + F.col("_i")).cast("int").alias("line_no"), "line", F.lit(2024).alias("file_year")).repartition(s.sparkContext.defaultParallelism)
+
+
+def _stitched(s: SparkSession, d: str) -> DataFrame:
+    head = "concat('type={} msg=audit(', 1700000000 + event_id, '.5:', event_id, '): ', {})"
+    lines = _lines_of(
+        s,
+        d,
+        head.format("SYSCALL", "concat('success=yes ppid=', event_id + 99999, ' pid=', event_id + 100000, ' exe=\"/usr/bin/', event_type, '\"')"),
+        head.format("EXECVE", "concat('argc=2 a0=\"', event_type, '\" a1=', hex(cast(concat('-u ', user_id) as binary)))"),
+        head.format("CWD", "concat('cwd=\"/home/u', user_id, '\"')"),
+        head.format("SOCKADDR", "concat('saddr=02000035', '0A', lpad(hex(user_id % 256), 2, '0'), '0001', '0000000000000000')"),
+    )
+    got = parse(lines, "auditd")
+    return got.select("line_no", "event", "exe", "message", *[F.get_json_object("extra", f"$.{k}").alias(k) for k in ("ppid", "cwd", "parent_exe", "dst_ip", "dst_port", "_dec")], "sigma_logsource").where("event in ('execve', 'syscall', 'sockaddr')")
+
+
+_PARENT = "WITH e AS (SELECT e.*, p.event_type AS before FROM events e LEFT JOIN events p ON p.event_id = e.event_id - 1) "
+_ADDRESS = "'10.' || (user_id % 256) || '.0.1' AS dst_ip, '53' AS dst_port, 'dst_ip,dst_port' AS _dec, 'linux/auditd' AS sigma_logsource"
+add(
+    "parse_auditd_stitched",
+    _stitched,
+    _PARENT
+    + "SELECT CAST(event_id * 4 + 1 AS INTEGER) AS line_no, 'execve' AS event, '/usr/bin/' || event_type AS exe, event_type || ' -u ' || user_id AS message, CAST(event_id + 99999 AS VARCHAR) AS ppid, '/home/u' || user_id AS cwd, '/usr/bin/' || before AS parent_exe, NULL AS dst_ip, NULL AS dst_port, 'cmd' AS _dec, 'linux/process_creation' AS sigma_logsource FROM e"
+    + f" UNION ALL SELECT CAST(event_id * 4 AS INTEGER), 'syscall', '/usr/bin/' || event_type, left('success=yes ppid=' || (event_id + 99999) || ' pid=' || (event_id + 100000) || ' exe=\"/usr/bin/' || event_type || '\"', 500), CAST(event_id + 99999 AS VARCHAR), NULL, NULL, {_ADDRESS} FROM e"
+    + f" UNION ALL SELECT CAST(event_id * 4 + 3 AS INTEGER), 'sockaddr', NULL, 'saddr=020000350A' || lpad(printf('%X', user_id % 256), 2, '0') || '00010000000000000000', NULL, NULL, NULL, {_ADDRESS} FROM e",
+)
+
+
+def _one(kind: str, columns: list, *lines: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: parse(_lines_of(s, d, *lines), kind, Options(**options)).selectExpr("line_no", *columns)
+
+
+_N = "CAST(event_id AS INTEGER) AS line_no"
+add(
+    "parse_weberror",
+    _one("weberror", ["ts", "program", "event", "severity", "pid", "src_ip", "method", "path"], "concat(date_format(ts, 'yyyy/MM/dd HH:mm:ss'), ' [', if(event_type = 'error', 'error', 'warn'), '] ', event_id, '#0: *1 open() failed, client: 10.0.0.', user_id % 256, ', request: \"GET /', event_type, ' HTTP/1.1\"')", offset_minutes=60),
+    f"SELECT {_N}, {_CUT} - INTERVAL 1 HOUR AS ts, 'nginx' AS program, 'web_error' AS event, CASE event_type WHEN 'error' THEN 'error' ELSE 'warn' END AS severity, CAST(event_id AS INTEGER) AS pid, '10.0.0.' || (user_id % 256) AS src_ip, 'GET' AS method, '/' || event_type AS path FROM events",
+)
+add(
+    "parse_weberror_apache",
+    _one("weberror", ["ts", "program", "severity", "pid", "src_ip", "message"], "concat('[', date_format(ts, 'EEE MMM dd HH:mm:ss'), '.123456 ', year(ts), '] [core:error] [pid ', event_id, ':tid 7] [client 10.0.0.', user_id % 256, ':443] ', event_type)"),
+    f"SELECT {_N}, {_CUT} AS ts, 'apache' AS program, 'error' AS severity, CAST(event_id AS INTEGER) AS pid, '10.0.0.' || (user_id % 256) AS src_ip, event_type AS message FROM events",
+)
+add(
+    "parse_applog",
+    _one("applog", ["ts", "severity", "message"], "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ',250 ', if(event_type = 'error', 'FATAL', 'INFO'), ': ', event_type, ' ', user_id)", offset_minutes=-60),
+    f"SELECT {_N}, {_CUT} + INTERVAL 1 HOUR + INTERVAL 250 MILLISECOND AS ts, CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS severity, event_type || ' ' || user_id AS message FROM events",
+)
+add(
+    "parse_history",
+    _one("bash_history", ["ts", "user", "event", "message"], "concat('#', 1700000000 + event_id)", "concat('ls /', event_type)", "'pwd'", user="joe"),
+    "SELECT CAST(event_id * 3 + 1 AS INTEGER) AS line_no, make_timestamp((1700000000 + event_id) * 1000000) AS ts, 'joe' AS \"user\", 'command' AS event, 'ls /' || event_type AS message FROM events UNION ALL SELECT CAST(event_id * 3 + 2 AS INTEGER), NULL, 'joe', 'command', 'pwd' FROM events",
+)
+add(
+    "parse_dmesg",
+    _one("dmesg", ["ts", "program", "message", "double(get_json_object(extra, '$.ktime')) AS ktime"], "concat('[', lpad(concat(event_id, '.5'), 12, ' '), '] usb ', event_type)"),
+    f"SELECT {_N}, CAST(NULL AS TIMESTAMP) AS ts, 'kernel' AS program, 'usb ' || event_type AS message, event_id + 0.5::DOUBLE AS ktime FROM events",
+)
+add("parse_fontconfig", _one("fontconfig", ["path", "event"], "concat('/usr/share/', event_type, ': caching, new cache contents: ', user_id)"), f"SELECT {_N}, '/usr/share/' || event_type AS path, 'fontconfig' AS event FROM events")
+add("parse_raw", _one("raw", ["ts", "message"], "concat('note ', date_format(ts, 'EEE MMM dd HH:mm:ss'), ' UTC ', year(ts), ' of ', user_id)", offset_minutes=60), f"SELECT {_N}, {_CUT} AS ts, 'note ' || strftime(ts, '%a %b %d %H:%M:%S') || ' UTC ' || year(ts) || ' of ' || user_id AS message FROM events")
+add(
+    "parse_apt",
+    _one("apt", ["ts", "event", "message", "int(get_json_object(extra, '$.actions')) AS actions"], "concat('Log started: ', date_format(ts, 'yyyy-MM-dd  HH:mm:ss'))", "concat('Unpacking ', event_type)", "concat('Setting up u', user_id)", "concat('Log ended: ', date_format(ts, 'yyyy-MM-dd  HH:mm:ss'))"),
+    f"SELECT CAST(event_id * 4 AS INTEGER) AS line_no, {_CUT} AS ts, 'apt_run' AS event, 'Unpacking ' || event_type || '; Setting up u' || user_id AS message, 2 AS actions FROM events",
+)
+add(
+    "parse_udev",
+    _one("udev", ["ts", "event", "path", "get_json_object(extra, '$.SEQNUM') AS seqnum"], "concat('UDEV  [', 1700000000 + event_id, '.5] ', upper(event_type), ' /devices/x (usb)')", "concat('DEVPATH=/devices/', user_id)", "concat('SEQNUM=', event_id)", "''"),
+    "SELECT CAST(event_id * 4 AS INTEGER) AS line_no, make_timestamp((1700000000 + event_id) * 1000000 + 500000) AS ts, event_type AS event, '/devices/' || user_id AS path, CAST(event_id AS VARCHAR) AS seqnum FROM events",
+)
+
+
+def _recipe(kind: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A shipped recipe over parsed lines."""
+    return lambda s, d: s.sql(text, events={"auth": _auth_lines, "access": _access_lines}[kind](s, d))
+
+
+def _auth_lines(s: SparkSession, d: str) -> DataFrame:
+    message = "CASE event_type WHEN 'error' THEN concat('Failed password for root from 10.1.2.', user_id % 50, ' port 22 ssh2') WHEN 'click' THEN concat('Accepted publickey for u', user_id, ' from 10.1.2.', user_id % 50, ' port 22 ssh2') ELSE 'joe : TTY=pts/0 ; USER=root ; COMMAND=/bin/ls' END"
+    return parse(_lines_of(s, d, f"concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), 'Z web01 ', if(event_type IN ('error', 'click'), 'sshd', 'sudo'), '[7]: ', {message})"), "auth")
+
+
+def _access_lines(s: SparkSession, d: str) -> DataFrame:
+    return parse(_lines_of(s, d, f"concat('10.1.2.', user_id % 50, ' - - [', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /cgi-bin/', event_type, '.sh HTTP/1.1\" ', {_STATUS}, ' 5')"), "access")
+
+
+_FROM = "'10.1.2.' || (user_id % 50)"
+add("recipe_failures_by_ip", _recipe("auth", "SELECT src_ip, count(*) AS attempts FROM {events} WHERE event IN ('ssh_failed', 'ssh_invalid_user') GROUP BY src_ip ORDER BY attempts DESC, src_ip LIMIT 20"), f"SELECT {_FROM} AS src_ip, count(*) AS attempts FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY attempts DESC, src_ip LIMIT 20")
+add("recipe_brute_force", _recipe("auth", "WITH brute AS (SELECT src_ip FROM {events} WHERE event = 'ssh_failed' GROUP BY src_ip HAVING count(*) > 5) SELECT e.ts, e.event, e.user, e.src_ip FROM {events} e JOIN brute b USING (src_ip) WHERE e.event IN ('ssh_failed', 'ssh_accepted')"), f"WITH e AS (SELECT {_CUT} AS ts, CASE event_type WHEN 'error' THEN 'ssh_failed' ELSE 'ssh_accepted' END AS event, CASE event_type WHEN 'error' THEN 'root' ELSE 'u' || user_id END AS \"user\", {_FROM} AS src_ip FROM events WHERE event_type IN ('error', 'click')) SELECT * FROM e WHERE src_ip IN (SELECT src_ip FROM e WHERE event = 'ssh_failed' GROUP BY 1 HAVING count(*) > 5)")
+add("recipe_sudo", _recipe("auth", "SELECT ts, user, message FROM {events} WHERE source = 'auth' AND message LIKE '%COMMAND=%'"), f"SELECT {_CUT} AS ts, 'joe' AS \"user\", 'joe : TTY=pts/0 ; USER=root ; COMMAND=/bin/ls' AS message FROM events WHERE event_type NOT IN ('error', 'click')")
+add("recipe_failed_passwords", _recipe("auth", "SELECT src_ip, count(*) AS n FROM {events} WHERE source = 'auth' AND message ILIKE '%failed password%' GROUP BY src_ip"), f"SELECT {_FROM} AS src_ip, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+add("recipe_first_last", _recipe("auth", "SELECT src_ip, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM {events} WHERE src_ip IS NOT NULL GROUP BY src_ip"), f"SELECT {_FROM} AS src_ip, min({_CUT}) AS first_seen, max({_CUT}) AS last_seen, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY 1")
+add("recipe_one_ip", _recipe("access", "SELECT ts, source, event, coalesce(exe, path, message) AS detail FROM {events} WHERE src_ip = '10.1.2.7'"), f"SELECT {_CUT} AS ts, 'access' AS source, 'http_request' AS event, '/cgi-bin/' || event_type || '.sh' AS detail FROM events WHERE user_id % 50 = 7")
+add("recipe_web_errors", _recipe("access", "SELECT ts, src_ip, method, path, status FROM {events} WHERE source = 'access' AND status >= 400"), f"SELECT {_CUT} AS ts, {_FROM} AS src_ip, 'GET' AS method, '/cgi-bin/' || event_type || '.sh' AS path, CAST({_STATUS} AS INTEGER) AS status FROM events WHERE {_STATUS} >= 400")
+add("recipe_web_shell", _recipe("access", "SELECT ts, src_ip, path, status FROM {events} WHERE source = 'access' AND (path LIKE '%.sh' OR path LIKE '%/cgi-bin/%') AND status >= 500"), f"SELECT {_CUT} AS ts, {_FROM} AS src_ip, '/cgi-bin/' || event_type || '.sh' AS path, 500 AS status FROM events WHERE event_type = 'error'")
+add("recipe_time_range", _recipe("access", "SELECT ts, source, program, message FROM {events} WHERE ts BETWEEN TIMESTAMP_NTZ '2024-01-05 00:00:00' AND TIMESTAMP_NTZ '2024-01-05 23:59:59'"), f"SELECT {_CUT} AS ts, 'access' AS source, 'http' AS program, 'GET /cgi-bin/' || event_type || '.sh HTTP/1.1' AS message FROM events WHERE {_CUT} BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-05 23:59:59'")
+add("recipe_exec_with_syscall", lambda s, d: s.sql("SELECT e.line_no, e.message AS cmd, s.exe FROM {events} e JOIN {events} s ON get_json_object(e.extra, '$.serial') = get_json_object(s.extra, '$.serial') AND s.event = 'syscall' WHERE e.event = 'execve'", events=parse(_lines_of(s, d, "concat('type=SYSCALL msg=audit(1700000000.5:', event_id, '): success=yes exe=\"/usr/bin/', event_type, '\"')", "concat('type=EXECVE msg=audit(1700000000.5:', event_id, '): argc=1 a0=\"', event_type, '\"')"), "auditd")), "SELECT CAST(event_id * 2 + 1 AS INTEGER) AS line_no, event_type AS cmd, '/usr/bin/' || event_type AS exe FROM events")
+add("inventory", lambda s, d: analytics.inventory(events(s, d)), f"WITH {EV} SELECT 'total' AS kind, '' AS name, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM ev UNION ALL SELECT 'source', source, count(*), min(ts), max(ts) FROM ev GROUP BY source")
+
+
+def _with_ip6(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "events").withColumn("ip", F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("user_id") % 4096)), F.lit("::"), F.lower(F.hex(F.col("event_id") % 65536))))
+
+
+add("ip_class_6", lambda s, d: _with_ip6(s, d).select(ip_class(F.col("ip")).alias("class")).groupBy("class").agg(F.count("*").alias("n")), "SELECT 'documentation' AS class, count(*) AS n FROM events")
+add(
+    "ip_range_join_6",
+    lambda s, d: analytics.enrich_any(_with_ip6(s, d), F.col("ip"), s.createDataFrame([(*net_bounds("2001:db8::/42"), "low"), (*net_bounds("2001:db8:40::/42"), "high")], "net_start string, net_end string, org string")).groupBy("org").agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN user_id % 4096 < 64 THEN 'low' WHEN user_id % 4096 < 128 THEN 'high' END AS org, count(*) AS n FROM events GROUP BY 1",
+)
+add("finding_matches", lambda s, d: R.hits(events(s, d), _RULES).where("rule = 'errors of one user'").select("id", "rule_id", "matched"), f"WITH {EV} SELECT id, 'errors of one user' AS rule_id, 'event=error' || coalesce(' · bytes=' || bytes, '') AS matched FROM ev WHERE {_HITS['errors of one user']}")
+
+
 def _detected(s: SparkSession, d: str) -> DataFrame:
     e = read(s, d, "events")
     logfmt = F.expr("concat('level=info user=', user_id, ' event=', event_type)")
