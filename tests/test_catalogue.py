@@ -104,6 +104,6 @@ def test_documents_give_every_indicator_type(spark, tmp_path):
     want = {(0, k, v) for k, vs in IOC_TEXT.items() for v in vs}
     assert want <= got and {(i, "url") for i, k, _ in got if k == "url"} == {(len(texts) - 3, "url")}
     plain = {(i, k, v) for k in ("unixpath", "winpath", "registry", "pipe") for i, t in enumerate(texts) for v in re.findall(ioc.PATTERNS[k], re.sub(ioc.URL, " ", t or ""))}
-    plain |= {(i, k, v.lower()) for k in ("md5", "sha1", "sha256") for i, t in enumerate(texts) for v in re.findall(ioc.PATTERNS[k], t or "")}
+    plain |= {(i, k, v.lower()) for k in ("md5", "sha1", "sha256", "imphash") for i, t in enumerate(texts) for v in re.findall(ioc.PATTERNS[k], t or "")}
     assert {x for x in got if x[1] not in ("url", "ipv4", "email", "domain")} == plain
     assert {x[2] for x in got if x[1] == "ipv4"} == {*IOC_TEXT["ipv4"], "10.9.8.7"} and {x[2] for x in got if x[1] == "email"} == set(IOC_TEXT["email"])
