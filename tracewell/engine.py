@@ -46,7 +46,7 @@ def ingest(spark: SparkSession, path: str, kind: str | None = None, options: Opt
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("type").isNull(), "skipped").otherwise("ok")
     preview = F.when(status != "ok", F.array_join(F.slice(F.split(F.substring("value", 1, 2000), "\n"), 1, 4), "\n"))
     manifest = read.join(types, "src_file", "left").join(counts, "src_file", "left")
-    manifest = manifest.select("src_file", "type", status.alias("status"), F.coalesce(F.lit(options.base_year), F.col("file_year")).alias("base_year"), F.coalesce("events", F.lit(0)).alias("events"), "bytes", F.when(F.col("binary"), "binary").otherwise(F.col("error")).alias("reason"), preview.alias("preview"))
+    manifest = manifest.select("src_file", "type", F.coalesce("events", F.lit(0)).alias("events"), status.alias("status"), F.coalesce(F.lit(options.base_year), F.col("file_year")).alias("base_year"), "bytes", F.when(F.col("binary"), "binary").otherwise(F.col("error")).alias("reason"), preview.alias("preview"))
     return out, manifest
 
 

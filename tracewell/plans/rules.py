@@ -423,7 +423,7 @@ def hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def findings(events: DataFrame, rules: list[Rule], samples: int = 200) -> DataFrame:
-    """rule, rule_id, level, n, sample_ids (the first by ts and id) and what matched in each, a row for each rule with hits.
+    """rule, level, n, sample_ids (the first by ts and id), what matched in each, and rule_id: a row for each rule with hits.
 
     Hits are narrow and written once, so the events are read once for counts and samples.
     """
@@ -433,7 +433,7 @@ def findings(events: DataFrame, rules: list[Rule], samples: int = 200) -> DataFr
     n = found.groupBy("rule_id").agg(F.count("*").alias("n"))
     ids = key_of(rules)
     named = events.sparkSession.createDataFrame([(ids[id(r)], r.title, r.level) for r in rules], "rule_id string, rule string, level string")
-    return n.join(first, "rule_id").join(F.broadcast(named), "rule_id").select("rule", "rule_id", "level", "n", F.transform("s", lambda x: x["id"]).alias("sample_ids"), F.transform("s", lambda x: x["matched"]).alias("matched"))
+    return n.join(first, "rule_id").join(F.broadcast(named), "rule_id").select("rule", "level", "n", F.transform("s", lambda x: x["id"]).alias("sample_ids"), F.transform("s", lambda x: x["matched"]).alias("matched"), "rule_id")
 
 
 def level_rank(level: Column) -> Column:
