@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import embedding_links, langid, licenses, minhash, packing, pages, piece_bpe, quality, secrets, toxicity
+from tracewell.llm import divergence, embedding_links, fingerprints, langid, licenses, minhash, packing, pages, piece_bpe, quality, secrets, toxicity, whitening
 from tracewell.llm.common import table
 
 NEAR_DUPLICATE, LINKED = 0.85, 0.93
@@ -65,6 +65,18 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs, ~held), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_toxicity, op4_quality, op5_packing, op6_embedding_links, op7_minhash, op8_licenses, op9_pages, op10_langid)}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL = {"op1_secrets": secrets.oracle_sql(), "op4_quality": quality.oracle_sql()}
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sentencepiece, op3_toxicity, op4_quality, op5_packing, op6_embedding_links, op7_minhash, op8_licenses, op9_pages, op10_langid, op11_fingerprints, op12_whitening, op13_divergence)}
+
+ORACLE_SQL = {"op1_secrets": secrets.oracle_sql(), "op4_quality": quality.oracle_sql(), "op11_fingerprints": fingerprints.oracle_sql(), "op13_divergence": divergence.oracle_sql()}
