@@ -837,7 +837,7 @@ def test_held_out_rows(spark):
 def test_every_query_is_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {q.split("_")[0] for q in e.queries()}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {q.split("_")[0] for q in e.queries()}
 
 
 def test_native_operators_have_no_python(spark, sf_dir):
