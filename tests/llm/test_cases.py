@@ -685,6 +685,10 @@ HAND_MADE = [
         "<body><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>Plain words stand in the body itself, and there are quite a few of them here,<br>over two lines.<ul><li><a href=4>d</a><li><a href=5>e</a></ul>",
         "Plain words stand in the body itself, and there are quite a few of them here, over two lines.",
     ),
+    (
+        "<body><ul><li>Home<li>Shop<li>Contact</ul><div><p>A long paragraph tells what this page is about, in a dozen words or more.<p>So does the next.</div><ul><li>Imprint<li>Privacy</ul>",
+        "A long paragraph tells what this page is about, in a dozen words or more.\n\nSo does the next.",
+    ),
 ]
 
 
@@ -699,6 +703,54 @@ def test_pages_that_mark_nothing(page, want, page_weights):
     assert pages.main_text(page, pages.Weights(1.0, {}, 0.0, 0.0)) != want  # the weights decide
 
 
+def test_tag_and_link_weights_decide_each(page_weights):
+    w = page_weights
+    no_tags, no_links = pages.Weights(w.word, {}, 0.0, w.boilerplate, w.link), pages.Weights(w.word, w.tags, w.other, w.boilerplate, w.word)
+    assert pages.main_text(HAND_MADE[3][0], no_tags) != HAND_MADE[3][1] == pages.main_text(HAND_MADE[3][0], no_links)
+    assert pages.main_text(HAND_MADE[0][0], no_links) != HAND_MADE[0][1] == pages.main_text(HAND_MADE[0][0], no_tags)
+
+
+def paragraphs(n, words, every=0):
+    return ["<p>" + " ".join(f"<a href=/x>w{i}</a>" if every and i % every == 0 else f"w{i}" for i in range(words)) + "</p>" for _ in range(n)]
+
+
+BODIES = {
+    "a link in 20 words": "".join(paragraphs(20, 60, 20)),
+    "a link in 10 words": "".join(paragraphs(20, 60, 10)),
+    "a link in 3 words": "".join(paragraphs(20, 60, 3)),
+    "short lists": "<ul><li>one<li>two x<li>three</ul>".join(paragraphs(10, 15)),
+    "divs": "".join(f"<div>{p}</div>" for p in paragraphs(10, 15)),
+    "a table": ("<table>" + "".join(f"<tr><td>c{i}<td>d{i}</tr>" for i in range(30)) + "</table>").join(paragraphs(2, 40)),
+    "a list": "<ul>" + "".join(f"<li>item {i}</li>" for i in range(50)) + "</ul>",
+    "code and bold": "<pre>a b c</pre>".join(p.replace("w3", "<code>w3</code> <b>w</b>") for p in paragraphs(8, 20)),
+    "names": "".join(paragraphs(2, 30)) + "<section class=share-price><p>" + "the share fell " * 20 + "</p></section><div class='social-history'><p>" + "society was " * 20 + "</p></div><div id=menu-of-the-day>soup and bread</div>",
+}
+
+
+@pytest.mark.parametrize("holder", ["<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", "<div class=content>%s</div>", "%s"])
+@pytest.mark.parametrize("name", BODIES)
+def test_ordinary_articles_stay_whole(name, holder, page_weights):
+    menu = "<nav><ul><li><a href=1>menu</a><li><a href=2>two</a></ul></nav><div class=ad>buy this now</div><div class='main-menu'><ul><li><a href=1>three</a></ul></div>"
+    comments = "<div class='comments-area'><article class='comment even'><p>a reader says a word or two</article></div><ul class=share-buttons><li>tell a friend</ul>"
+    page = f"<html><head><title>t</title></head><body>{menu}{holder % BODIES[name]}{comments}<footer>foot words here</footer></body></html>"
+    want = " ".join(re.sub("<[^>]*>", " ", BODIES[name]).split())
+    assert " ".join(pages.main_text(page, page_weights).split()) == want
+    inside = f"<body>{menu}{holder % (BODIES[name] + comments)}<footer>foot</footer></body>"
+    assert " ".join(pages.main_text(inside, page_weights).split()) == want
+
+
+def test_hints_go_by_what_the_element_holds(page_weights):
+    for inner, stays in (("the share of it " * 5, True), ("<a href=1>one two</a> <a href=2>three</a> or", False), ("your mail <input name=m> please", False)):
+        page = f"<body><article><p>{CONTENT_WORDS}</p><div class=share-story>{inner}</div></article></body>"
+        assert ("or" in pages.main_text(page, page_weights).split()[-1:] or len(pages.main_text(page, page_weights)) > len(CONTENT_WORDS)) == stays
+
+
+def test_articles_are_told_from_comments_by_whole_words(page_weights):
+    for name, stays in (("commentary", True), ("post has-comments", True), ("promotions-review", True), ("comment", False), ("post-comment depth-1", False), ("reply", False), ("promo", False)):
+        got = pages.main_text(f"<body><div><p>short</p></div><article class='{name}'><p>{CONTENT_WORDS}</article></body>", page_weights)
+        assert (CONTENT_WORDS.strip() in got) == stays, name
+
+
 def test_zero_weights_take_the_whole_page(spark, sf_dir, page_weights):
     for r in table(spark, sf_dir, "pages").select("html").collect():
         assert len(pages.main_text(r["html"], pages.Weights(1.0, {}, 0.0, 0.0))) > len(pages.main_text(r["html"], page_weights))
