@@ -596,6 +596,105 @@ def test_matches_equal_brute_force(spark):
     assert {i for r in licenses.RULES for i in r[1]} == set(licenses.SENTENCES)
 
 
+BSD_HEAD = """Copyright (c) 2019, Jane Doe <jane@example.org>
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.
+"""
+GPL = """    %s
+    Copyright (C) 2020  Jane Doe
+
+    %s: you can redistribute it and/or modify
+    it under the terms of the GNU %sGeneral Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    %s is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2021 Some Company, Inc. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def endorse(owner, those="its contributors"):
+    return textwrap.fill(f"3. Neither the name of {owner} nor the names of {those} may be used to endorse or promote products derived from this software without specific prior written permission.", 78, subsequent_indent="   ") + "\n"
+
+
+#: Texts as projects ship them, and their licences.
+SHIPPED = [
+    (BSD_HEAD + BSD_TAIL, "BSD-2-Clause"),
+    (BSD_HEAD + "\n" + endorse("the copyright holder") + BSD_TAIL, "BSD-3-Clause"),
+    (BSD_HEAD + "\n" + endorse("Foo Inc.") + BSD_TAIL, "BSD-3-Clause"),
+    (BSD_HEAD + "\n" + endorse("the University of California, Berkeley", "any contributors") + BSD_TAIL.replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS"), "BSD-3-Clause"),
+    (BSD_HEAD + "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n     This product includes software developed by Jane Doe.\n" + endorse("Jane Doe").replace("3. ", "4. ") + BSD_TAIL, "BSD-4-Clause"),
+    (MIT_TEXT, "MIT"),
+    ("ISC License\n\nCopyright (c) 2004 X (\"X\")\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL", "ISC"),
+    (GPL % ("Foobar", "Foobar is free software", "", "Foobar"), "GPL-3.0-or-later"),
+    (GPL % ("x", "This program is free software", "", "This program"), "GPL-3.0-or-later"),
+    (GPL % ("x", "The Foo Bar Tool is free software", "Lesser ", "The Foo Bar Tool"), "LGPL-3.0-or-later"),
+    (GPL % ("x", "Mastodon is free software", "Affero ", "Mastodon"), "AGPL-3.0-or-later"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy.\n\n            How to Apply These Terms to Your New Programs\n\n  If you develop a new program.\n\n" + GPL % ("<one line>", "This program is free software", "", "This program"), "GPL-3.0-only"),
+    ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991", "LGPL-2.1-only"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n   Copyright [yyyy] [name of copyright owner]\n\n   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n", "Apache-2.0"),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n", "MPL-2.0"),
+    ("// SPDX-License-Identifier: MIT\nint main;", "MIT"),
+    ("/* SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause) */", "GPL-2.0-or-later,BSD-3-Clause"),
+    ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\n", "Apache-2.0 WITH LLVM-exception"),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND ISC.", "GPL-2.0-only,ISC"),
+    ("SPDX-License-Identifier: no-such-thing", ""),
+    ("Dinner was good. All rights reserved.", ""),
+    ("Copyright 2020 X. All rights reserved.\nProprietary and confidential.", "proprietary"),
+    ("Water is free software. So they say.", ""),
+]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licences_as_projects_ship_them(mark):
+    scan = licenses.Scanner()
+    for text, want in SHIPPED:
+        ids = scan.identifiers(commented(text, mark))
+        assert ",".join(dict.fromkeys(x[0] for x in scan.licences(ids))) == want, (text, ids)
+    ids = scan.identifiers("All rights reserved. " + SHIPPED[0][0])
+    assert ids[0] == "rights-notice" and scan.licences(ids)[0][1] == 2
+
+
 def test_wrapped_licences_as_they_stand_in_files(spark):
     cases = {
         "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT": "0BSD",

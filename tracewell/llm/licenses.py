@@ -2,7 +2,11 @@
 
 A text's sentences are normalised and looked up among known licence sentences; the identifiers found, in order, are matched
 against ordered rules, the longest first. Sentences that are not known neither match nor break a sequence, as licence
-texts stand among other text. An identifier belongs to one match at most.
+texts stand among other text. An identifier belongs to one match at most. A known sentence may have a slot, written in angle
+brackets, for a name of one to SLOT_WORDS words: the owner in BSD's third clause, the program in a GPL notice. Parts of a
+rule may be optional. A licence line by identifier names each licence of its expression (an exception that is no part of a
+known licence is left out). Notices (NOTICES: "All rights reserved") are identifiers but belong to no rule, as they stand
+beside licences and alone grant or forbid nothing.
 
 Sentence ends and blank lines cut. Single newlines and the blanks after semicolons, colons and abbreviations may cut or not: a known sentence begins
 and ends at any of these places and may run over several, so wrapped texts are found, and so are notices on a line of their
@@ -47,13 +51,24 @@ SENTENCES = {
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "gpl3-notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0"],
-    "gpl-free": ["This program is free software", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "gpl-free": ["This program is free software", "<program> is free software"],
+    "gpl3-program": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl3-only": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"],
+    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "<program> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "gpl-howto": ["How to Apply These Terms to Your New Programs", "How to Apply These Terms to Your New Libraries"],
+    "gpl2-title": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl3-title": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "agpl3-title": ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "mpl2-title": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The names of the contributors may not be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd-ads": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
-    "bsd-asis": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
+    "bsd-endorse": ["Neither the name of <owner> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of <owner> nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the names of <owner> nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of <owner> nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of <owner> may not be used to endorse or promote products derived from this software without specific prior written permission", "The names of the contributors may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-ads": ["All advertising materials mentioning features or use of this software must display the following acknowledgement", "All advertising materials mentioning features or use of this software must display the following acknowledgment"],
+    "bsd-asis": ["THIS SOFTWARE IS PROVIDED BY <owner> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"],
     "bsd3-notice": ["Licensed under the BSD 3-Clause License", "Released under the BSD 3-Clause License", "This project is licensed under the BSD 3-Clause License"],
     "bsd2-notice": ["Licensed under the BSD 2-Clause License", "Released under the BSD 2-Clause License", "This project is licensed under the BSD 2-Clause License"],
     "bsd-style": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
@@ -100,39 +115,53 @@ SENTENCES = {
     "llvm-notice": ["Part of the LLVM Project, under the Apache License v2.0 with LLVM Exceptions"],
     "mit0-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"],
     "apache11": ["This product includes software developed by the Apache Software Foundation"],
-    "proprietary": ["All rights reserved", "Proprietary and confidential", "Unauthorized copying of this file, via any medium is strictly prohibited"],
+    "proprietary": ["Proprietary and confidential", "Unauthorized copying of this file, via any medium is strictly prohibited"],
     "mpl11-notice": ["The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")"],
     "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
+#: Sentences that stand beside licences and are none.
+NOTICES = {"rights-notice": ["All rights reserved"]}
+
+
+def ordered(licence: str, *identifiers: str) -> list[tuple[str, tuple[str, ...]]]:
+    """The rules of a sequence in which identifiers that end in a question mark may be missing."""
+    found: list[tuple[str, ...]] = [()]
+    for k in identifiers:
+        found = [x + (k.rstrip("?"),) for x in found] + (found if k.endswith("?") else [])
+    return [(licence, x) for x in found if x]
+
+
 #: Ordered rules: licence and its identifiers in order; of rules that match at one place the longest wins, then the first.
 RULES = (
-    ("Apache-2.0", ("apache-notice", "apache-comply", "apache-copy", "apache-asis")),
-    ("MIT", ("mit-grant", "mit-condition", "mit-asis")),
-    ("MIT", ("mit-grant", "mit-condition", "mit-asis", "mit-holders")),
-    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-ads", "bsd-endorse", "bsd-asis")),
-    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-ads", "bsd-endorse")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("ISC", ("isc-grant", "isc-asis")),
+    *ordered("Apache-2.0", "apache-notice", "apache-comply?", "apache-copy?", "apache-asis?"),
+    *ordered("Apache-2.0", "apache-title", "apache-terms?", "apache-notice?", "apache-comply?", "apache-copy?", "apache-asis?"),
+    *ordered("MIT", "mit-grant", "mit-condition", "mit-asis?", "mit-holders?"),
+    *ordered("MIT", "mit-notice", "mit-grant", "mit-condition", "mit-asis?", "mit-holders?"),
+    *ordered("BSD-4-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-ads", "bsd-endorse", "bsd-asis?"),
+    *ordered("BSD-3-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis?"),
+    *ordered("BSD-2-Clause", "bsd-grant", "bsd-source", "bsd-binary", "bsd-asis?"),
+    *ordered("ISC", "isc-grant", "isc-asis?"),
     ("0BSD", ("isc-free", "isc-asis")),
     ("MIT-0", ("mit0-grant", "mit-asis")),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-free", "gpl-hope")),
-    ("GPL-2.0-or-later", ("gpl-free", "gpl-program", "gpl-hope")),
-    ("GPL-2.0-only", ("gpl-free", "gpl2-only", "gpl-hope")),
+    *ordered("GPL-3.0-or-later", "gpl-free?", "gpl3-program", "gpl-hope?"),
+    *ordered("GPL-3.0-only", "gpl-free?", "gpl3-only", "gpl-hope?"),
+    *ordered("GPL-2.0-or-later", "gpl-free?", "gpl-program", "gpl-hope?"),
+    *ordered("GPL-2.0-only", "gpl-free?", "gpl2-only", "gpl-hope?"),
+    # whole licence files end with the notice that they propose
+    *ordered("GPL-3.0-only", "gpl3-title", "gpl-howto?", "gpl-free?", "gpl3-program?", "gpl-hope?"),
+    *ordered("GPL-2.0-only", "gpl2-title", "gpl-howto?", "gpl-free?", "gpl-program?", "gpl-hope?"),
+    *ordered("LGPL-2.1-only", "lgpl21-title", "gpl-howto?", "lgpl-library?", "lgpl21-program?"),
+    ("LGPL-3.0-only", ("lgpl3-title",)),
+    *ordered("AGPL-3.0-only", "agpl3-title", "gpl-howto?", "gpl-free?", "agpl3-program?", "gpl-hope?"),
+    *ordered("MPL-2.0", "mpl2-title", "mpl2-notice?"),
+    *ordered("LGPL-2.1-or-later", "gpl-free?", "lgpl21-program"),
     ("LGPL-2.1-or-later", ("lgpl-library", "lgpl21-program")),
-    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-program", "gpl-hope")),
-    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-program", "gpl-hope")),
+    *ordered("LGPL-3.0-or-later", "gpl-free?", "lgpl3-program", "gpl-hope?"),
+    ("LGPL-3.0-or-later", ("lgpl-library", "lgpl3-program")),
+    *ordered("AGPL-3.0-or-later", "gpl-free?", "agpl3-program", "gpl-hope?"),
     ("Unlicense", ("unlicense-free", "unlicense-anyone")),
     ("Zlib", ("zlib-asis", "zlib-grant", "zlib-origin")),
     ("WTFPL", ("wtfpl", "wtfpl-do")),
-    ("GPL-2.0-or-later", ("gpl-program",)),
-    ("GPL-2.0-only", ("gpl2-only",)),
-    ("LGPL-2.1-or-later", ("lgpl21-program",)),
-    ("LGPL-3.0-or-later", ("lgpl3-program",)),
-    ("AGPL-3.0-or-later", ("agpl3-program",)),
-    ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense-free",)),
     ("WTFPL", ("wtfpl",)),
     *(
@@ -170,7 +199,6 @@ RULES = (
             ("proprietary", "proprietary"),
         )
     ),
-    ("Apache-2.0", ("apache-notice",)),
     ("MIT", ("mit-notice",)),
     ("MIT", ("mit-grant",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
@@ -180,16 +208,73 @@ RULES = (
 )
 
 
+#: Short identifiers of licences, and of licence and rest of an expression, that stand for longer ones.
+OLDER = {f"{x}-{v}": f"{x}-{v}-only" for x in ("GPL", "LGPL", "AGPL") for v in ("2.0", "2.1", "3.0")}
+_TERM = r"\(*[\w.+-]*[\w+]\)*"
+SPDX = re.compile(rf"\bSPDX-License-Identifier:?[^\S\n]+({_TERM}(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+{_TERM})*)", re.I)
+NAMES = {name.lower(): name for name, _ in RULES if name != "proprietary"}
+
+
+def named(expression: str) -> list[str]:
+    """The known licences of an identifier expression, in order."""
+    out = []
+    for x in re.split(r"\s+(?:and|or)\s+", re.sub("[()]", "", expression), flags=re.I):
+        x = " ".join(x.split())
+        x = x if x.lower() in NAMES else re.split(r"\s", x, maxsplit=1)[0]
+        later = x.endswith("+")
+        x = x.rstrip("+")
+        x = next((v for k, v in OLDER.items() if k.lower() == x.lower()), x)
+        x = x.replace("-only", "-or-later") if later else x
+        if x.lower() in NAMES:
+            out.append(NAMES[x.lower()])
+    return out
+
+
+def apart(m: re.Match) -> str:
+    """An identifier line as one sentence for each licence; as it is if it is one that ends its line, and so may go on in the next."""
+    found = named(m.group(1))
+    if not found or found == [m.group(1)] and re.compile(r"[^\w\n]*(?:\n|$)").match(m.string, m.end()):
+        return m.group()
+    return "".join(f"\n\nSPDX-License-Identifier: {x}\n\n" for x in found)
+
+
+#: Words that a slot takes at most.
+SLOT_WORDS = 12
+SLOT = re.compile(r"<[a-z]+>")
+RULES += tuple((name, ("spdx-" + name.lower().replace(" ", "-"),)) for name in NAMES.values())
+SENTENCES |= {"spdx-" + k.replace(" ", "-"): [f"SPDX-License-Identifier: {name}"] for k, name in NAMES.items()}
+
+
 def normalised(sentence: str) -> str:
     return " ".join(WORD.findall(sentence.lower()))
 
 
+class Slotted:
+    """A known sentence with a slot: what stands before and after, and the words it takes at most."""
+
+    def __init__(self, sentence: str, identifier: str):
+        self.before, self.after = map(normalised, SLOT.split(sentence))
+        self.identifier, self.most = identifier, len(self.before.split()) + SLOT_WORDS + len(self.after.split())
+
+    def may_begin(self, s: str) -> bool:
+        return self.before.startswith(s) or s.startswith(self.before)
+
+    def fits(self, s: str, n: int) -> bool:
+        inner = len(s) - len(self.before) - len(self.after)
+        return n <= self.most and inner > 1 and s.startswith(self.before) and s.endswith(" " + self.after if self.after else "")
+
+
 class Scanner:
-    def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: tuple = RULES):
-        self.known = {normalised(s): k for k, many in sentences.items() for s in many}
-        self.first = {s.split()[0] for s in self.known}
+    def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules: tuple = RULES, notices: dict[str, list[str]] = NOTICES):
+        every = [(k, s) for k, many in [*sentences.items(), *notices.items()] for s in many]
+        self.notices = set(notices)
+        self.known = {normalised(s): k for k, s in every if not SLOT.search(s)}
+        self.slots = [Slotted(s, k) for k, s in every if SLOT.search(s)]
+        self.first = {s.split()[0] for s in self.known} | {t.before.split()[0] for t in self.slots if t.before}
         self.prefixes = {" ".join(w[:n]) for w in map(str.split, self.known) for n in range(1, len(w))}
-        self.rare = {max(re.findall("[a-z0-9]+", s), key=len) for s in self.known}  # each known sentence has one of these
+        # each known sentence has one of these
+        self.rare = {max(re.findall("[a-z0-9]+", s), key=len) for s in [*self.known, *(max(t.before, t.after, key=len) for t in self.slots)]}
+        self.leading = {max(re.findall("[a-z0-9]+", t.after), key=len) for t in self.slots if not t.before}
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
 
     def identifiers(self, text: str | None) -> list[str]:
@@ -198,11 +283,14 @@ class Scanner:
         if not any(r in low for r in self.rare):
             return out
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if "spdx-license-identifier" in low:
+            text = SPDX.sub(apart, text)
+        lead = any(r in low for r in self.leading)
         for s in SENTENCE_END.split(MARK.sub("", text)):
             parts, at = MAY_END.split(s.lower()), 0
             while at < len(parts):
                 m = WORD.search(parts[at])
-                k, n = self.longest(parts, at) if m and m.group() in self.first else (None, 1)  # few sentences begin like a known one
+                k, n = self.longest(parts, at) if m and (lead or m.group() in self.first) else (None, 1)  # few sentences begin like a known one
                 if k:
                     out.append(k)
                 at += n
@@ -220,17 +308,23 @@ class Scanner:
             s = " ".join(words)
             if s in self.known:
                 found = self.known[s], i - at + 1
-            if s not in self.prefixes and not (hyphen and any(p.startswith(s + "-") for p in self.known)):
+            open_slots = [t for t in self.slots if len(words) <= t.most and t.may_begin(s)]
+            fit = next((t for t in open_slots if t.fits(s, len(words))), None)
+            if fit and s not in self.known:
+                found = fit.identifier, i - at + 1
+            if s not in self.prefixes and not open_slots and not (hyphen and any(p.startswith(s + "-") for p in self.known)):
                 break
         return found
 
     def licences(self, ids: list[str]) -> list[tuple[str, int, int]]:
         """(licence, first identifier, number of identifiers) of each match, left to right."""
-        out, at = [], 0
+        out, at, every = [], 0, ids
+        place = [i for i, k in enumerate(every) if k not in self.notices]
+        ids = [every[i] for i in place]
         while at < len(ids):
             for name, want in self.rules:
                 if tuple(ids[at : at + len(want)]) == want:
-                    out.append((name, at, len(want)))
+                    out.append((name, place[at], len(want)))
                     at += len(want)
                     break
             else:
