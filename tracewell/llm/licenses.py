@@ -233,7 +233,7 @@ def named(expression: str) -> list[str]:
 def apart(m: re.Match) -> str:
     """An identifier line as one sentence for each licence; as it is if it is one that ends its line, and so may go on in the next."""
     found = named(m.group(1))
-    if not found or found == [m.group(1)] and re.compile(r"[^\w\n]*(?:\n|$)").match(m.string, m.end()):
+    if not found or found == [m.group(1)] and re.compile(r"[^\w\n]*(?:(?:AND|OR|WITH)\b[^\w\n]*)?(?:\n|$)").match(m.string, m.end()):
         return m.group()
     return "".join(f"\n\nSPDX-License-Identifier: {x}\n\n" for x in found)
 
