@@ -271,6 +271,7 @@ class Scanner:
         self.known = {normalised(s): k for k, s in every if not SLOT.search(s)}
         self.slots = [Slotted(s, k) for k, s in every if SLOT.search(s)]
         self.first = {s.split()[0] for s in self.known} | {t.before.split()[0] for t in self.slots if t.before}
+        self.first |= {w[: m.start()] for w in self.first for m in re.finditer("-", w)}  # lines may be cut at a hyphen
         self.prefixes = {" ".join(w[:n]) for w in map(str.split, self.known) for n in range(1, len(w))}
         # each known sentence has one of these
         self.rare = {max(re.findall("[a-z0-9]+", s), key=len) for s in [*self.known, *(max(t.before, t.after, key=len) for t in self.slots)]}
