@@ -178,6 +178,7 @@ class Case:
         self.events.createOrReplaceTempView("events")
         self.spark.udf.register("ip_in_cidr", ip_in_cidr)
         out = self.spark.sql(text.rstrip().rstrip(";"), args)
+        readonly.check_analysed(out, {"events"})
         return out if re.search(r"\blimit\s+\d+\s*;?\s*$", text, re.I) else out.limit(limit)
 
 
