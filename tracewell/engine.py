@@ -12,40 +12,47 @@ from pyspark.sql.window import Window
 from tracewell import export
 from tracewell.functions.columns import ip_in_cidr
 from tracewell.operators import analytics, binaries, ioc, timeline
-from tracewell.functions.tables import persisted, starts
+from tracewell.functions.tables import few, persisted, starts
 from tracewell.plans import readonly
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
 from tracewell.schema import EVENT_SCHEMA, conform
 from tracewell.sources import detect
-from tracewell.sources.lines import is_binary, read_files
-from tracewell.sources.lines import numbered as numbered_lines
+from tracewell.sources.lines import read, root_of
 from tracewell.sources.parsers import PARSERS, Options, parse
 
+#: First lines of a skipped file that its manifest row shows.
+PREVIEW_LINES = 4
+
+
 def ingest(spark: SparkSession, path: str, kind: str | None = None, options: Options = Options(), prefer_content: bool = False, catch_all: bool = True, start: str | None = None, end: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, manifest): files below path parsed by their type; rows without a time survive the time window.
 
-    Files are opened once: their lines are written to the shared folder, and types, events and manifest read them there.
-    The manifest has a row for each file: ok, skipped (binary, empty, or of no known type without catch_all) or error (with
-    its reason), the base year, the number of events, and a preview of what was skipped.
+    Files are opened once: their lines are written to the shared folder by type, each type is parsed once, and the
+    manifest counts what the parsers wrote. The manifest has a row for each file: ok, skipped (binary, empty, or of no
+    known type without catch_all) or error (with its reason; lines before a damage are kept), the base year, the number of
+    events, and a preview of what was skipped. A path that is one file of no known type is a ValueError without catch_all.
     """
-    files = read_files(spark, path)
-    read = persisted(files.select("src_file", F.when(F.col("error").isNull() & ~is_binary(F.col("content")), F.col("content").cast("string")).alias("value"), "bytes", "file_year", "error", F.when(F.col("error").isNull(), is_binary(F.col("content"))).alias("binary")), "files")
-    lines = persisted(numbered_lines(read.where("value is not null").select("src_file", "value", "file_year")), "lines")
+    files, lines = read(spark, path)
+    files = persisted(files, "files")
     types = lines.select("src_file").distinct().withColumn("type", F.lit(kind)) if kind else detect.detected(lines, prefer_content, catch_all)
     types = persisted(types, "types")  # one row for each file
-    typed = lines.join(types, "src_file")
+    if not catch_all and root_of(spark, path)[1] and files.where("not binary and error is null").count() and not types.where("type is not null").count():
+        raise ValueError(f"the type of {path} cannot be told; name one of {', '.join(sorted(PARSERS))}")
+    typed = persisted(lines.join(few(types.where("type is not null")), "src_file"), "lines", by="type")
     present = [r["type"] for r in types.where("type is not null").select("type").distinct().collect()]  # at most as many as there are parsers
     out = spark.createDataFrame([], EVENT_SCHEMA).drop("id")
     for t in sorted(present):
-        out = out.unionByName(parse(typed.where(F.col("type") == t), t, options))
+        out = out.unionByName(parse(typed.where(F.col("type") == t).drop("type"), t, options))
     if start or end:
         lo, hi = (F.lit(x).try_cast("timestamp_ntz") for x in (start or "0001-01-01", end or "9999-12-31"))
         out = out.where(F.col("ts").isNull() | F.coalesce(F.col("ts") >= lo, F.lit(True)) & F.coalesce(F.col("ts") <= hi, F.lit(True)))
+    out = persisted(out, "events")
     counts = out.groupBy("src_file").agg(F.count("*").alias("events"))
     status = F.when(F.col("error").isNotNull(), "error").when(F.col("type").isNull(), "skipped").otherwise("ok")
-    preview = F.when(status != "ok", F.array_join(F.slice(F.split(F.substring("value", 1, 2000), "\n"), 1, 4), "\n"))
-    manifest = read.join(types, "src_file", "left").join(counts, "src_file", "left")
+    shown = lines.where(F.col("line_no") <= PREVIEW_LINES).groupBy("src_file").agg(F.array_sort(F.collect_list(F.struct("line_no", F.substring("line", 1, 2000).alias("line")))).alias("_l"))
+    manifest = files.join(types, "src_file", "left").join(counts, "src_file", "left").join(shown, "src_file", "left")
+    preview = F.when((status != "ok") & F.col("_l").isNotNull(), F.substring(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), 1, 2000))
     manifest = manifest.select("src_file", "type", F.coalesce("events", F.lit(0)).alias("events"), status.alias("status"), F.coalesce(F.lit(options.base_year), F.col("file_year")).alias("base_year"), "bytes", F.when(F.col("binary"), "binary").otherwise(F.col("error")).alias("reason"), preview.alias("preview"))
     return out, manifest
 
