@@ -41,7 +41,7 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 def test_rollover_covers_every_month(spark, sf_dir, con):
     months = con.execute("SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders ORDER BY m").fetchall()
-    got = catalogue.QUERIES["parse_year_rollovers"](spark, sf_dir).orderBy("line_no").collect()
+    got = catalogue.QUERIES["parse_year_rollover"](spark, sf_dir).orderBy("line_no").collect()
     assert [(r["ts"].year, r["ts"].month) for r in got] == [(m.year, m.month) for (m,) in months]
     assert len({r["ts"].year for r in got}) > 1
 

@@ -35,7 +35,13 @@ def few(df: DataFrame) -> DataFrame:
 
 def persisted(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet under spark.checkpoint.dir, in folders by a column if one is given, and read it back; where that is unset, a new folder of this machine serves local sessions only."""
-    spark = df.sparkSession
+    path = shared_folder(df.sparkSession, label)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, deleted at the session's end."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -46,8 +52,7 @@ def persisted(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     if not _written:
         atexit.register(cleanup, spark)
     _written.append(path)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def cleanup(spark: SparkSession) -> None:

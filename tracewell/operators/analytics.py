@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tracewell.functions.columns import basename, extra, ip_class, ip_to_long
+from tracewell.functions.columns import basename, extra, ip_class, ip_key, ip_to_long
+from tracewell.operators.networks import innermost
 from tracewell.schema import TYPES
 
 
@@ -122,34 +124,35 @@ def network(rows: DataFrame, ip: str | None = None, port: int | None = None, lim
 
 
 def enrich_ip(rows: DataFrame, ranges: DataFrame, ip_number: str = "ip_number") -> DataFrame:
-    """Left range join to (net_start, net_end, ...) over IPv4 numbers; ranges do not overlap.
+    """Left range join to (net_start, net_end, ...) over IPv4 numbers; of ranges that lie in one another the most specific counts.
 
-    Ranges are cut at /16 boundaries, so both sides meet on the upper half of the address: an equi-join at any size.
+    Ranges are cut at /16 boundaries and made disjoint there, so both sides meet on the upper half of the address: an
+    equi-join at any size.
     """
     cut = ranges.withColumn("_hi", F.explode(F.sequence(F.shiftright("net_start", 16), F.shiftright("net_end", 16))))
+    first = F.shiftleft("_hi", 16)
+    cut = innermost(cut, "_hi", {"net_start": F.greatest("net_start", first), "net_end": F.least("net_end", first + 65535)})
     left = rows.withColumn("_hi", F.shiftright(ip_number, 16))
     inside = (left["_hi"] == cut["_hi"]) & (left[ip_number] >= cut["net_start"]) & (left[ip_number] <= cut["net_end"])
     return left.join(cut, inside, "left").drop("_hi", "net_start", "net_end")
 
 
 def enrich_any(rows: DataFrame, ip: Column, ranges: DataFrame) -> DataFrame:
-    """Left range join of addresses of either version to (net_start, net_end, ...), bounds being keys (see net_bounds) of ranges that do not overlap.
+    """Left range join of addresses of either version to (net_start, net_end, ...), bounds being keys (see net_bounds); of networks that lie in one another the most specific counts.
 
-    Both sides stand in one order of keys, where each address takes the range that began last: one sort for each leading
-    part of the key, no theta join. A range that spans several leading parts stands at the head of each.
+    Both sides stand in one order of keys, where each address takes the interval that began last: one sort for each leading
+    part of the key, no theta join. A range that spans several leading parts is cut at each.
     """
-    from pyspark.sql.window import Window
-
-    from tracewell.functions.columns import ip_key
-
     what = [c for c in ranges.columns if c not in ("net_start", "net_end")]
     left = rows.withColumn("_key", ip_key(ip))
     heads = left.select(F.substring("_key", 1, HEAD_DIGITS).alias("_head")).where("_head is not null").distinct()
     r = ranges.withColumn("_from", F.substring("net_start", 1, HEAD_DIGITS)).withColumn("_to", F.substring("net_end", 1, HEAD_DIGITS))
     narrow = r.where("_from = _to").withColumn("_head", F.col("_from"))
     wide = r.where("_from <> _to").join(heads, (F.col("_head") >= F.col("_from")) & (F.col("_head") <= F.col("_to")))
-    value = F.struct("net_end", *what)
-    marks = narrow.unionByName(wide).select("_head", F.greatest("net_start", F.col("_head")).alias("_key"), F.lit(0).alias("_kind"), value.alias("_net"))
+    length = F.length("net_start")
+    bounds = {"net_start": F.greatest("net_start", F.rpad("_head", length, F.lit("0"))), "net_end": F.least("net_end", F.rpad("_head", length, F.lit("f")))}
+    cut = innermost(narrow.unionByName(wide).select("_head", "net_start", "net_end", *what), "_head", bounds)
+    marks = cut.select("_head", F.col("net_start").alias("_key"), F.lit(0).alias("_kind"), F.struct("net_end", *what).alias("_net"))
     probes = left.where("_key is not null").select("_key").distinct().select(F.substring("_key", 1, HEAD_DIGITS).alias("_head"), "_key", F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_net"].dataType).alias("_net"))
     w = Window.partitionBy("_head").orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     placed = marks.unionByName(probes).withColumn("_at", F.last("_net", ignorenulls=True).over(w)).where((F.col("_kind") == 1) & (F.col("_at.net_end") >= F.col("_key")))

@@ -1,10 +1,14 @@
 """Indicators of compromise: extraction, classes, roll-up and sweeps."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions.columns import IPV4, _hex6, ip_class
+from tracewell.functions.tables import bounded_batches
 
 #: Top-level domains that count besides those of two letters, and file extensions that never do.
 GTLDS = "com net org info biz gov edu mil int name pro mobi asia tel io co ai app dev xyz online site top club shop store tech cloud live icu vip work link click download host space website email fun life world today news blog page run zip mov cc tv me su pw cyou sbs lol monster quest rest cfd bond digital agency solutions services network systems group team center"
@@ -114,21 +118,54 @@ def rolled_up(found: DataFrame, per_type: int = 400) -> DataFrame:
     return n.withColumn("_r", rank).where(F.col("_r") <= per_type).drop("_r").withColumn("class", F.when(F.col("type").isin("ipv4", "ipv6"), ip_class(F.col("value"))))
 
 
-#: Indicators that one pass looks for; more take further passes.
-INDICATORS_AT_ONCE = 1000
+#: Up to this many indicators are looked for one by one; more by one automaton.
+FEW_INDICATORS = 32
+#: Hits of a batch that a sweep hands on.
+OUT_ROWS = 10_000
 
 
 def sweep(events: DataFrame, text: Column, indicators: list[str]) -> DataFrame:
-    """indicator, id, ts of events whose text contains an indicator, case-insensitively; one scan for each INDICATORS_AT_ONCE of them."""
+    """indicator, id, ts of events whose text contains an indicator, case-insensitively: one pass, whatever the number of indicators.
+
+    A few indicators are compared by built-in functions; a longer list becomes an Aho-Corasick automaton in each task.
+    """
     wanted = list(dict.fromkeys(i for i in (x.strip() for x in indicators) if i))
     if not wanted:
         return events.select(F.lit("").alias("indicator"), "id", "ts").limit(0)
-    lowered, out = events.select("id", "ts", F.lower(F.coalesce(text, F.lit(""))).alias("_text")), None
-    for at in range(0, len(wanted), INDICATORS_AT_ONCE):
-        some = F.array(*[F.struct(F.lit(w).alias("shown"), F.lit(w.lower()).alias("low")) for w in wanted[at : at + INDICATORS_AT_ONCE]])
-        part = lowered.select(F.explode(F.filter(some, lambda i: F.contains(F.col("_text"), i["low"]))).alias("_i"), "id", "ts").select(F.col("_i.shown").alias("indicator"), "id", "ts")
-        out = part if out is None else out.unionByName(part)
-    return out
+    lowered = events.select("id", "ts", F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    if len(wanted) <= FEW_INDICATORS:
+        some = F.array(*[F.struct(F.lit(w).alias("shown"), F.lit(w.lower()).alias("low")) for w in wanted])
+        return lowered.select(F.explode(F.filter(some, lambda i: F.contains(F.col("_text"), i["low"]))).alias("_i"), "id", "ts").select(F.col("_i.shown").alias("indicator"), "id", "ts")
+    bounded_batches(events.sparkSession)
+    shown: dict[str, list[str]] = {}
+    for w in wanted:
+        shown.setdefault(w.lower(), []).append(w)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for low in shown:
+            automaton.add_word(low, low)
+        automaton.make_automaton()
+        for b in batches:
+            names, rows = [], []
+
+            def hits() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.record_batch([pa.array(names, pa.string()), b.column("id").take(at), b.column("ts").take(at)], names=["indicator", "id", "ts"])
+
+            for k, t in enumerate(b.column("_text")):
+                for low in {v for _, v in automaton.iter(t.as_py())}:
+                    names += shown[low]
+                    rows += [k] * len(shown[low])
+                if len(rows) >= OUT_ROWS:
+                    yield hits()
+                    names, rows = [], []
+            yield hits()
+
+    kinds = {c: lowered.schema[c].dataType.simpleString() for c in ("id", "ts")}
+    return lowered.mapInArrow(search, f"indicator string, id {kinds['id']}, ts {kinds['ts']}")
 
 
 def sweep_summary(found: DataFrame, samples: int = 50) -> DataFrame:

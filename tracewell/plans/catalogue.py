@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, net_bounds, sockaddr
+from tracewell import engine
+from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, ip_to_long, net_bounds, sockaddr
+from tracewell.functions.tables import shared_folder
 from tracewell.operators import analytics, ioc, timeline
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
@@ -177,6 +179,20 @@ add(
     "WITH r(net_start, net_end, org) AS (VALUES (167772160, 168820735, 'net-a'), (169000000, 170000000, 'net-b'), (180000000, 181000000, 'net-c')), e AS (SELECT event_id, 167772160 + (user_id % 200) * 65536 + (event_id % 256) * 256 + 7 AS n FROM events) SELECT org, count(*) AS n, min(event_id) AS first_id FROM e LEFT JOIN r ON n BETWEEN net_start AND net_end GROUP BY 1",
 )
 
+_NESTED = {"10.0.0.0/8": "eight", "10.16.0.0/12": "twelve", "10.17.0.0/16": "sixteen", "10.17.4.0/22": "twentytwo", "10.17.5.7/32": "host", "10.150.0.0/15": "fifteen", "192.168.0.0/16": "none"}
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    nets = s.createDataFrame([(*(int(x[1:], 16) for x in net_bounds(k)), v) for k, v in _NESTED.items()], "net_start long, net_end long, org string")
+    rows = _with_ip(s, d).withColumn("ip_number", ip_to_long(F.col("ip")))
+    return analytics.enrich_ip(rows, nets).select("event_id", "ip", "org")
+
+
+add(
+    "ip_longest_prefix",
+    _nested,
+    f"SELECT event_id, {IP} AS ip, CASE WHEN user_id % 200 = 17 AND event_id % 256 = 5 THEN 'host' WHEN user_id % 200 = 17 AND event_id % 256 BETWEEN 4 AND 7 THEN 'twentytwo' WHEN user_id % 200 = 17 THEN 'sixteen' WHEN user_id % 200 BETWEEN 16 AND 31 THEN 'twelve' WHEN user_id % 200 IN (150, 151) THEN 'fifteen' ELSE 'eight' END AS org FROM events",
+)
 add("facet_network", lambda s, d: analytics.facet_network(_with_ip(s, d).withColumn("src_ip", F.concat_ws(".", F.lit("11"), (F.col("user_id") % 200).cast("string"), F.lit("0"), F.lit("7"))), s.createDataFrame([(184549376, 185597951, "net-a"), (186000000, 190000000, "net-b")], "net_start long, net_end long, org string"), "org"), "SELECT CASE WHEN user_id % 200 < 16 THEN 'net-a' ELSE 'net-b' END AS value, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id % 200 < 16 OR 184549376 + (user_id % 200) * 65536 + 7 BETWEEN 186000000 AND 190000000 GROUP BY 1")
 
 
@@ -348,6 +364,13 @@ add(
     lambda s, d: ioc.sweep_summary(ioc.sweep(_documents(s, d), F.col("text"), _WANTED), 3).select("indicator", "n", F.array_join(F.col("sample_ids").cast("array<string>"), ",").alias("samples")),
     f"WITH w AS (SELECT unnest({_WANTED}) AS indicator), m AS (SELECT indicator, doc_id, row_number() OVER (PARTITION BY indicator ORDER BY doc_id) AS k FROM w JOIN documents ON contains(lower(text), lower(indicator))) SELECT indicator, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 3) AS samples FROM m GROUP BY 1",
 )
+#: More than are looked for one by one: each string of three of these letters, and longer ones.
+_MANY = [a + b + c for a in "aeinorst" for b in "aeinorst" for c in "aeinorst"] + _WANTED
+add(
+    "ioc_sweep_many",
+    lambda s, d: ioc.sweep(_documents(s, d), F.col("text"), _MANY).groupBy("indicator").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
+    f"WITH w AS (SELECT unnest({_MANY}) AS indicator), d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT indicator, count(*) AS n, min(doc_id) AS first_id FROM w JOIN d ON contains(t, lower(indicator)) GROUP BY 1",
+)
 
 # parsers: render, then parse
 
@@ -410,20 +433,44 @@ def _parse_csv(s: SparkSession, d: str) -> DataFrame:
 add("parse_csv", _parse_csv, "SELECT CAST(o_orderkey + 1 AS INTEGER) AS line_no, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, 'u' || o_custkey AS \"user\", CAST(o_orderkey AS INTEGER) AS pid, o_orderpriority || ', x' AS priority FROM orders")
 
 
-def _rollover(s: SparkSession, o: DataFrame) -> DataFrame:
+def _year_rollover(s: SparkSession, d: str) -> DataFrame:
+    """The whole table: every month, across each new year."""
+    o = read(s, d, "orders")
     months = o.select(F.date_trunc("month", "o_orderdate").alias("m")).distinct()
-    rows = months.select(F.lit("syslog").alias("src_file"), F.row_number().over(Window.orderBy("m")).alias("line_no"), F.concat(F.date_format("m", "MMM"), F.lit("  1 00:00:00 h cron[1]: x")).alias("line"), F.lit(2000).alias("file_year"), F.year("m").alias("y"))
+    rows = months.select(F.lit("syslog").alias("src_file"), F.row_number().over(Window.orderBy("m")).alias("line_no"), F.concat(F.date_format("m", "MMM"), F.lit("  1 00:00:00 h cron[1]: x")).alias("line"), F.lit(2000).alias("file_year"))
     first = o.agg(F.year(F.min("o_orderdate"))).first()[0] or 1992
-    return parse(rows.drop("y"), "syslog", Options(base_year=int(first))).select("line_no", "ts")
+    return parse(rows, "syslog", Options(base_year=int(first))).select("line_no", "ts")
 
 
-def _year_rollover(s: SparkSession, d: str) -> DataFrame:
-    return _rollover(s, read(s, d, "orders"))
+add("parse_year_rollover", _year_rollover, "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)")
 
 
-add("parse_year_rollover", _year_rollover, "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)")
-# the whole table: every month, across each new year
-add("parse_year_rollovers", lambda s, d: _rollover(s, read(s, d, "orders")), "SELECT CAST(row_number() OVER (ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)")
+def _year_rollovers(s: SparkSession, d: str) -> DataFrame:
+    """A file for each priority, each with its own new years."""
+    o = read(s, d, "orders")
+    months = o.select(F.col("o_orderpriority").alias("src_file"), F.date_trunc("month", "o_orderdate").alias("m")).distinct()
+    at = F.row_number().over(Window.partitionBy("src_file").orderBy("m"))
+    rows = months.select("src_file", at.alias("line_no"), F.concat(F.date_format("m", "MMM"), F.lit("  1 00:00:00 h cron[1]: x")).alias("line"), F.lit(2000).alias("file_year"))
+    first = o.agg(F.year(F.min("o_orderdate"))).first()[0] or 1992
+    return parse(rows, "syslog", Options(base_year=int(first))).select("src_file", "line_no", "ts")
+
+
+add("parse_year_rollovers", _year_rollovers, "SELECT o_orderpriority AS src_file, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) AS INTEGER) AS line_no, CAST(m AS TIMESTAMP) AS ts FROM (SELECT DISTINCT o_orderpriority, date_trunc('month', o_orderdate) AS m FROM orders)")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """Log files written from the table, plain and compressed, read back by ingest."""
+    folder = shared_folder(s, "logs")
+    line = F.expr(f"concat('ts=', replace({_TS}, ' ', 'T'), 'Z level=', if(event_type='error','ERROR','info'), ' user=', user_id, ' event=', event_type, ' pid=', event_id)")
+    e = read(s, d, "events").select("event_type", line.alias("value")).repartition(s.sparkContext.defaultParallelism)
+    e.where("event_type = 'error'").select("value").write.option("compression", "gzip").text(f"{folder}/packed")
+    e.where("event_type <> 'error' or event_type is null").select("value").write.text(f"{folder}/plain")
+    found, manifest = engine.ingest(s, folder)
+    files = manifest.select("src_file", "type", F.col("status").alias("file_status"))
+    return found.join(files, "src_file").select("ts", "severity", "user", "event", "pid", "type", "file_status")
+
+
+add("ingest_events", _ingested, f"SELECT {_CUT} AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CAST(user_id AS VARCHAR) AS \"user\", event_type AS event, CAST(event_id AS INTEGER) AS pid, 'logfmt' AS type, 'ok' AS file_status FROM events")
 
 
 def _lines_of(s: SparkSession, d: str, *lines: str) -> DataFrame:
@@ -540,6 +587,12 @@ add(
     lambda s, d: analytics.enrich_any(_with_ip6(s, d), F.col("ip"), s.createDataFrame([(*net_bounds("2001:db8::/42"), "low"), (*net_bounds("2001:db8:40::/42"), "high")], "net_start string, net_end string, org string")).groupBy("org").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN user_id % 4096 < 64 THEN 'low' WHEN user_id % 4096 < 128 THEN 'high' END AS org, count(*) AS n FROM events GROUP BY 1",
 )
+_NESTED6 = {"2001:db8::/32": "32", "2001:db8:100::/40": "40", "2001:db8:120::/44": "44", "2001:db8:123::/48": "48", "2000::/3": "3"}
+add(
+    "ip_longest_prefix_6",
+    lambda s, d: analytics.enrich_any(_with_ip6(s, d), F.col("ip"), s.createDataFrame([(*net_bounds(k), v) for k, v in _NESTED6.items()], "net_start string, net_end string, org string")).select("event_id", "org"),
+    "SELECT event_id, CASE WHEN user_id % 4096 = 291 THEN '48' WHEN (user_id % 4096) // 16 = 18 THEN '44' WHEN (user_id % 4096) // 256 = 1 THEN '40' ELSE '32' END AS org FROM events",
+)
 add("finding_matches", lambda s, d: R.hits(events(s, d), _RULES).where("rule = 'errors of one user'").select("id", "rule_id", "matched"), f"WITH {EV} SELECT id, 'errors of one user' AS rule_id, 'event=error' || coalesce(' · bytes=' || bytes, '') AS matched FROM ev WHERE {_HITS['errors of one user']}")
 
 
