@@ -1,14 +1,15 @@
-"""Detection rules: YAML -> rule -> Column; all rules of a set run in one scan."""
+"""Detection rules: YAML -> rule -> Column; all rules of a set run in one scan, large sets by an index of the texts they need."""
 
 from __future__ import annotations
 
 import base64
 import ipaddress
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tracewell.functions.columns import extra, in_cidr, like_escape
 from tracewell.functions.tables import persisted
+from tracewell.schema import COLUMNS as EVENT_COLUMNS
 
 
 class RuleError(ValueError):
@@ -217,8 +219,6 @@ def _value(column: Column, value, mods: list[str], key: str) -> Column:
 
 def in_cidr6(text: Column, cidr: str) -> Column:
     """IPv6 membership needs address parsing that the JVM side lacks: an Arrow UDF over candidates only."""
-    import pandas as pd
-
     net = ipaddress.ip_network(cidr, strict=False)
 
     @F.pandas_udf("boolean")
@@ -405,23 +405,138 @@ def matched(rule: Rule) -> Column:
     return F.concat_ws(" · ", *shown) if shown else F.lit("")
 
 
+@dataclass(frozen=True)
+class Need:
+    """Texts of which a row that is hit must hold at least one; none is named where anything may be hit."""
+
+    texts: frozenset[str] | None = None
+
+    def __and__(self, other: Need) -> Need:
+        known = [x for x in (self, other) if x.texts is not None]
+        # the rarer need is the one whose shortest text is longest
+        return max(known, key=lambda x: (min(map(len, x.texts), default=0), -len(x.texts))) if known else Need()
+
+    def __or__(self, other: Need) -> Need:
+        return Need() if self.texts is None or other.texts is None else Need(self.texts | other.texts)
+
+    def __invert__(self) -> Need:
+        return Need()
+
+
+#: Letters of a text that is looked for at least; its characters are those that stand for themselves in every column, JSON included.
+LEAST_TEXT = 3
+_PLAIN = re.compile(r"[a-z0-9 ._:=-]+")
+
+
+def _need_of(likes: list[str]) -> Need:
+    """The longest plain run of each pattern."""
+    runs = [max(_PLAIN.findall(x.lower()), key=len, default="") for x in likes]
+    return Need(frozenset(runs)) if runs and all(len(x) >= LEAST_TEXT for x in runs) else Need()
+
+
+def _need_value(value, mods: list[str]) -> Need:
+    if value is None or isinstance(value, (bool, int, float)) or {"exists", "fieldref", "cidr", "re", "lt", "lte", "gt", "gte"} & set(mods):
+        return Need()
+    many = [str(value)]
+    if "base64" in mods:
+        many = [base64.b64encode(v.encode()).decode() for v in many]
+    if "base64offset" in mods:
+        many = [o for v in many for o in _offsets(v)]
+    # a dash of any kind may stand for the first one, and wildcards for anything
+    return _need_of([re.sub(r"[*?\\]|(?:(?:^|\s)[-/–—―])", "\n", v) for v in many])
+
+
+def _need(body) -> Need:
+    """What a selection needs; the same tree as selection()."""
+    if isinstance(body, dict):
+        parts = []
+        for name, values in body.items():
+            _, *mods = str(name).split("|")
+            values = values if isinstance(values, list) else [values]
+            parts.append((_all_of if "all" in mods else _any_of)([_need_value(v, mods) for v in values]))
+        return _all_of(parts)
+    if isinstance(body, list):
+        return _any_of([_need(x) if isinstance(x, (dict, list)) else _need_value(x, []) for x in body])
+    return _need_value(body, [])
+
+
+def needed(rule: Rule) -> Need:
+    """What a row must hold for the rule to hit it, by the rule's own condition."""
+    body = dict(rule.detection)
+    text = body.pop("condition", None)
+    body.pop("timeframe", None)
+    parts = {k: _need(v) for k, v in body.items()}
+    return _any_of([condition(str(t), parts) for t in (text if isinstance(text, list) else [text])])
+
+
 #: Rules in one projection: its code stays small enough to be compiled, whatever the size of a set.
 RULES_AT_ONCE = 100
 
 
 def hits(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """events with rule (title), rule_id and matched, a row for each hit: one scan for up to RULES_AT_ONCE rules."""
+    """events with rule (title), rule_id and matched, a row for each hit.
+
+    Up to RULES_AT_ONCE rules are one projection over one scan. A larger set is indexed: one automaton over the texts that
+    its rules need tells for each row, in one scan, which groups of rules it may hit; the rows of each group are written to
+    a folder of their own and meet that group's rules alone. Rules that need no text share further scans.
+    """
     good, _ = split(rules)
     if not good:
         return events.withColumns({"rule": F.lit(""), "rule_id": F.lit(""), "matched": F.lit("")}).limit(0)
-    ids, out = key_of(rules), None
-    for at in range(0, len(good), RULES_AT_ONCE):
-        marks = F.array(*[F.when(p, F.struct(F.lit(r.title).alias("rule"), F.lit(ids[id(r)]).alias("rule_id"), matched(r).alias("matched"))) for r, p in good[at : at + RULES_AT_ONCE]])
-        part = events.withColumn("_hit", F.explode(F.filter(marks, lambda x: x.isNotNull()))).select(*events.columns, "_hit.*")
-        out = part if out is None else out.unionByName(part)
+    ids, columns = key_of(rules), events.columns
+
+    def marked(rows: DataFrame, some: list[tuple[Rule, Column]]) -> DataFrame:
+        marks = F.array(*[F.when(p, F.struct(F.lit(r.title).alias("rule"), F.lit(ids[id(r)]).alias("rule_id"), matched(r).alias("matched"))) for r, p in some])
+        return rows.withColumn("_hit", F.explode(F.filter(marks, lambda x: x.isNotNull()))).select(*columns, "_hit.*")
+
+    def in_groups(some: list) -> list[list]:
+        return [some[at : at + RULES_AT_ONCE] for at in range(0, len(some), RULES_AT_ONCE)]
+
+    needs = {id(r): needed(r).texts for r, _ in good} if len(good) > RULES_AT_ONCE else {}
+    indexed = sorted((x for x in good if needs.get(id(x[0]))), key=lambda x: (logsource_key(x[0].logsource), min(needs[id(x[0])])))
+    if len(indexed) <= RULES_AT_ONCE:
+        indexed = []
+    chosen = {id(r) for r, _ in indexed}
+    parts = [marked(events, group) for group in in_groups([x for x in good if id(x[0]) not in chosen])]
+    if indexed:
+        groups = in_groups(indexed)
+        rows = events.withColumn("_group", F.explode(_groups_of(events, [{t for r, _ in g for t in needs[id(r)]} for g in groups])))
+        rows = persisted(rows, "candidates", by="_group")
+        parts += [marked(rows.where(F.col("_group") == k), group) for k, group in enumerate(groups)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+def _groups_of(events: DataFrame, texts: list[set[str]]) -> Column:
+    """Numbers of the sets of which a row holds a text, by one pass over what the row says."""
+    by_text: dict[str, list[int]] = {}
+    for k, some in enumerate(texts):
+        for t in some:
+            by_text.setdefault(t, []).append(k)
+    said = F.lower(F.concat_ws("\n", *[F.col(f"`{n}`").cast("string") for n, t in EVENT_COLUMNS if n in events.columns], _command()))
+
+    @F.pandas_udf("array<int>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for t, groups in by_text.items():
+            automaton.add_word(t, groups)
+        automaton.make_automaton()
+        every = list(range(len(texts)))
+
+        def groups_of(x: str) -> list[int]:
+            # letters may stand in JSON as escapes
+            return every if "\\u" in x else sorted({g for _, groups in automaton.iter(x) for g in groups})
+
+        for s in batches:
+            yield s.map(groups_of)
+
+    return found(said)
+
+
 def findings(events: DataFrame, rules: list[Rule], samples: int = 200) -> DataFrame:
     """rule, level, n, sample_ids (the first by ts and id), what matched in each, and rule_id: a row for each rule with hits.
 
@@ -482,13 +597,21 @@ def correlate(events: DataFrame, rules: list[Rule], correlation: Rule, sliding:
     base = [r for r in rules if not r.correlation and (r.name in c["rules"] or r.id in c["rules"] or r.title in c["rules"])]
     if len(base) < len(c["rules"]):
         raise RuleError("a base rule is missing")
-    key = logsource_key(base[0].logsource)
-    by = {k: resolve(key, k).cast("string") for k in (c.get("group-by") or [])}
+    by, ids = list(c.get("group-by") or []), key_of(base)
+    # fields mean what they mean in the log source of each rule; a rule that does not apply has no correlation
+    sources = {ids[id(r)]: logsource_key(r.logsource) for r in base}
+    if None in sources.values():
+        raise RuleError("the log source of a base rule does not apply")
+
+    def own(name: str) -> Column:
+        out = F.lit(None).cast("string")
+        for key in dict.fromkeys(sources.values()):
+            out = F.when(F.col("rule_id").isin([k for k, v in sources.items() if v == key]), resolve(key, name).cast("string")).otherwise(out)
+        return out
+
     found = hits(events, base).where("ts is not null")
-    found = found.select("id", "ts", F.col("rule_id").alias("rule"), *[v.alias(f"by_{i}") for i, v in enumerate(by.values())], *([resolve(key, c["condition"]["field"]).alias("counted")] if c["type"] == "value_count" else []))
-    keys = [f"by_{i}" for i in range(len(by))]
-    if keys:
-        found = found.where(_all_of([F.col(k).isNotNull() for k in keys]))
+    found = found.select("id", "ts", F.col("rule_id").alias("rule"), *[own(k).alias(f"by_{i}") for i, k in enumerate(by)], *([own(c["condition"]["field"]).alias("counted")] if c["type"] == "value_count" else []))
+    keys = [f"by_{i}" for i in range(len(by))]  # null keys are a group like others
     length = f"{seconds(c.get('timespan'))} seconds"
     bucket = F.window("ts", length, f"{sliding} seconds") if sliding else F.window("ts", length)
     if c["type"] == "event_count":
