@@ -230,6 +230,68 @@ def test_state_passes_from_block_to_block(spark, monkeypatch):
     assert [r["ts"].year for r in whole["syslog"]] == [2020] * 24 + [2021] * 24 + [2022] * 24
 
 
+def test_last_values_of_a_key_pass_from_block_to_block(spark, monkeypatch):
+    import random
+
+    from tracewell.sources import parsers
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aab"), i // 2, i % 2, rng.choice([None, None, f"v{i}"])) for i in range(500)]
+    want, held = {}, {}
+    for k, p, q, v in rows:
+        held[k] = v or held.get(k)
+        want[p, q] = held[k]
+    df = spark.createDataFrame(rows, "k string, p long, q long, v string").repartition(7)
+    for length in (1, 7, 100, 10_000):
+        monkeypatch.setattr(parsers, "BLOCK_LINES", length)
+        got = parsers.keyed_last(df, ["k"], F.col("p"), ["p", "q"], "v")
+        assert {(r["p"], r["q"]): r["_last"] for r in got.collect()} == want
+    monkeypatch.setattr(parsers, "BLOCK_LINES", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:  # one key with all rows: its blocks are dealt to all tasks
+        got = parsers.keyed_last(df.withColumn("k", F.lit("one")), ["k"], F.col("p"), ["p", "q"], "v")
+        assert got.select(F.spark_partition_id().alias("t")).distinct().count() >= 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_saved_sources_are_many_files_and_lookups_skip_them(spark, tmp_path):
+    from tracewell.schema import conform
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ev = conform(spark.range(40_000).selectExpr("id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) as ts", "'one' as source", "concat('10.', id div 5000, '.', id % 250, '.', id % 7) as src_ip"))
+        engine.Case(ev, False).save(str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    saved = spark.read.parquet(str(tmp_path / "c"))
+    assert len(saved.inputFiles()) == 8 and saved.count() == 40_000
+    found = saved.where("src_ip = '10.3.17.3'")
+    n = found.count()
+    plan = found.select("id")._jdf.queryExecution()
+    plan.toRdd().count()
+    leaf = plan.executedPlan().collectLeaves().head()
+    assert 0 < n < 100 and leaf.metrics().apply("numOutputRows").value() <= 5100  # of 40,000 rows, those of one file
+
+
+def test_queries_look_up_only_the_keys_they_name(spark, monkeypatch):
+    from tracewell.operators import analytics
+    from tracewell.schema import conform
+
+    ev = conform(spark.createDataFrame([(1, '{"dst_ip":"1.2.3.4","other":"x"}'), (2, '{"k9":"v"}')], "id long, extra string"))
+    asked = []
+    real = analytics.extra_keys
+    monkeypatch.setattr(analytics, "extra_keys", lambda rows: asked.append(1) or real(rows))
+    case = engine.Case(ev, False)
+    assert [r["id"] for r in case.matching("DstIp=1.2.3.4").collect()] == [1] and case._keys["dstip"] == "dst_ip" and "other" not in case._keys.values()
+    assert [r["id"] for r in case.matching("extra.K9=v").collect()] == [2]
+    n = len(asked)
+    case.matching("dst-ip=1.2.3.4")  # known by now
+    case.matching("words only")
+    case.matching("user=joe")
+    assert len(asked) <= n + 1
+
+
 def test_names(spark):
     df = spark.createDataFrame([(n,) for n in ("audit.log.2.gz", "secure", "x.csv", "dmesg", "plain")], "n string")
     assert [r[0] for r in df.select(by_name(F.col("n"))).collect()] == ["auditd", "auth", "csv", "dmesg", None]
@@ -350,13 +412,36 @@ def test_marks(spark, tmp_path):
 
 
 def test_binaries(spark):
+    from tracewell.operators.binaries import check
     from tracewell.schema import conform
 
-    known = catalogue(spark, {"nc": "---\nfunctions:\n  shell:\n    - code: x\n---\n", "vi": "functions: {sudo: [1, 2]}"})
-    rows = [(1, "auditd", "execve", "/usr/bin/nc", "nc", "joe", '{"euid":"0","auid":"7"}'), (2, "bash_history", None, None, "vi /x", "joe", None), (3, "auth", "sudo", None, "joe : USER=root ; COMMAND=/usr/bin/vi x", "joe", None)]
+    pages = {
+        "nc": "---\nfunctions:\n  file-read:\n    - code: |\n        cat <<x\n        -----BEGIN KEY-----\n      comment: reads\n      contexts: {sudo: null, suid: null}\n  shell:\n    - code: x\n    - comment: no code\n...\n# prose --- here\n",
+        "vi": "functions: {sudo: [{code: a, contexts: sudo}, {code: b}]}",
+        "none": "functions: {shell: [{comment: x}]}",
+        "broken": "functions: [",
+        "sh": "functions: {shell: [{code: sh}]}",
+    }
+    known = catalogue(spark, pages)
+    by = {r["bin"]: r["functions"] for r in known.collect()}
+    assert set(by) == {"nc", "vi", "sh"} and set(by["nc"]) == {"file-read", "shell"}
+    assert tuple(by["nc"]["file-read"][0]) == ("cat <<x\n-----BEGIN KEY-----", "reads", ["sudo", "suid"]) and by["vi"]["sudo"][0]["contexts"] == ["sudo"] and by["vi"]["sudo"][1]["contexts"] == []
+    rows = [
+        (1, "auditd", "execve", "/usr/bin/nc", "nc", "joe", '{"euid":"0","auid":"7"}'),
+        (2, "bash_history", None, None, "vi /x", "joe", None),
+        (3, "auth", "sudo", None, "joe : USER=root ; COMMAND=/usr/bin/vi x", "joe", None),
+        (4, "auditd", "syscall", "/bin/SH", "x", "joe", '{"uid":"5","auid":"0"}'),
+        (5, "syslog", None, None, 'user x sh_command="sh -c id"', None, None),
+        (6, "auditd", "execve", "/usr/bin/ls", "ls", "joe", None),
+    ]
     ev = conform(spark.createDataFrame(rows, "id long, source string, event string, exe string, message string, user string, extra string"))
     got = {r["bin"]: r for r in executed(ev, known).collect()}
-    assert got["nc"]["danger"] and got["nc"]["auids"] == ["7"] and got["vi"]["n"] == 2 and got["vi"]["by_sudo"]
+    assert set(got) == {"nc", "vi", "sh"}
+    assert got["nc"]["danger"] and got["nc"]["auids"] == ["7"] and got["nc"]["escalated"] and got["nc"]["n_root"] == 1
+    assert (got["vi"]["n"], got["vi"]["by_sudo"], got["vi"]["as_root"], got["vi"]["samples"]) == (2, True, False, [2, 3])
+    assert (got["sh"]["n"], got["sh"]["n_root"], got["sh"]["by_appliance"], got["sh"]["as_root"], got["sh"]["danger"]) == (2, 0, True, True, True)
+    assert set(got["nc"]["functions"]) == {"file-read", "shell"} and executed(ev, known, 1).where("bin = 'vi'").first()["samples"] == [2]
+    assert tuple(check(ev, known).first()) == (4, 3, 3)
 
 
 def test_stream(spark, tmp_path):

@@ -15,12 +15,14 @@ from tracewell.operators import analytics, binaries, ioc, timeline
 from tracewell.functions.tables import few, persisted, starts
 from tracewell.plans import readonly
 from tracewell.plans import rules as R
-from tracewell.plans.search import Fields, compile_query
+from tracewell.plans.search import EXTRA_PREFIXES, OPERATOR, Fields, compile_query, normal_name
 from tracewell.schema import EVENT_SCHEMA, conform
 from tracewell.sources import detect
 from tracewell.sources.lines import read, root_of
 from tracewell.sources.parsers import PARSERS, Options, parse
 
+#: Columns that a saved case has Bloom filters of.
+LOOKED_UP = ("src_ip", "user", "exe", "path")
 #: First lines of a skipped file that its manifest row shows.
 PREVIEW_LINES = 4
 
@@ -73,15 +75,18 @@ class Case:
     def __init__(self, events: DataFrame, seqd: bool = True):
         self.spark = events.sparkSession
         self.events = timeline.with_seq(events) if seqd and "seq" not in events.columns else events
-        self._fields: Fields | None = None
+        self._keys: dict[str, str | None] = {}
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Case:
         return cls(spark.read.parquet(path))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """Sorted by position within each source, so time and id ranges prune row groups."""
-        self.events.repartition("source").sortWithinPartitions("source", "ts", "id").write.mode(mode).partitionBy("source").parquet(path)
+        """Cut into ranges of source, time and id, so one large source is many files and time and id ranges prune them; Bloom filters let a lookup skip the files of a range that lack a value."""
+        ranged = self.events.repartitionByRange("source", "ts", "id").sortWithinPartitions("source", "ts", "id").write.mode(mode).partitionBy("source")
+        for c in LOOKED_UP:
+            ranged = ranged.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        ranged.parquet(path)
 
     @staticmethod
     def saved(spark: SparkSession, folder: str) -> list[str]:
@@ -95,12 +100,17 @@ class Case:
         """Deletes all events of a case; marks lie elsewhere and stay."""
         spark.createDataFrame([], EVENT_SCHEMA).write.mode("overwrite").partitionBy("source").parquet(path)
 
-    @property
-    def fields(self) -> Fields:
-        if self._fields is None:
-            # distinct key names, not values; a query on a key that is left out would become free text
-            self._fields = Fields([r["key"] for r in analytics.extra_keys(self.events).orderBy("key").collect()])
-        return self._fields
+    def fields_of(self, query: str) -> Fields:
+        """Fields with the extra keys that a query may name; keys of other names stay where they are, however many the logs have."""
+        said = re.findall(r"[\w.\-@]+", query) if OPERATOR.search(query) else []
+        plain = Fields()
+        names = {normal_name(x[len(p) :] if x.lower().startswith(p) else x) for x in said for p in ("", *EXTRA_PREFIXES)} - {""}
+        new = {n for n in names if n not in self._keys and plain.resolve(n) is None}
+        if new:
+            found = analytics.extra_keys(self.events).where(F.regexp_replace(F.lower("key"), r"[_\-.@]", "").isin(sorted(new)))
+            spelt = sorted((r["key"] for r in found.collect()), reverse=True)  # spellings of names in the query
+            self._keys |= {n: next((k for k in spelt[::-1] if normal_name(k) == n), None) for n in new}
+        return Fields([k for n in names if (k := self._keys.get(n))])
 
     def matching(self, query: str, regex: bool = False, source: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
         rows = timeline.in_range(self.events, start, end, source)
@@ -110,7 +120,7 @@ class Case:
             from tracewell.functions.columns import regex_text
 
             return rows.where(regex_text().rlike("(?iu)" + query))
-        return rows.where(compile_query(query, self.fields)[0])
+        return rows.where(compile_query(query, self.fields_of(query))[0])
 
     def search(self, query: str, sort: str | None = None, desc: bool = False, limit: int = 500, offset: int = 0, **where) -> DataFrame:
         return timeline.shown(timeline.page(self.matching(query, **where), sort, desc, limit, offset))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.timeline import with_seq
+
 MARKS = "mid long, version long, event_id long, state string, label string, note string, created timestamp_ntz, context string, rule string, deleted boolean"
 STATES = ("pending", "TP", "FP", "discarded")
 
@@ -31,7 +35,7 @@ class Marks:
     def add(self, event_id: int | None, state: str = "pending", label: str | None = None, note: str | None = None, rule: str | None = None, context: str | None = None) -> int:
         if state not in STATES:
             raise ValueError(f"no state {state}")
-        mid = (self.log().agg(F.max("mid")).first()[0] or 0) + 1
+        mid = uuid.uuid4().int >> 65  # 63 random bits: writers need not know of each other
         row = self.spark.createDataFrame([(mid, 1, event_id, state, label, note, None, context, rule, False)], MARKS).withColumn("created", F.localtimestamp())
         self._append(row)
         return mid
@@ -49,6 +53,8 @@ class Marks:
         return self.current().groupBy("state").agg(F.count("*").alias("n"))
 
     def with_events(self, events: DataFrame) -> DataFrame:
-        """Every mark with its event, if it is still there."""
+        """Every mark with its event and the event's seq, if it is still there."""
         m = self.current()
+        if "seq" not in events.columns:
+            events = with_seq(events)
         return m.join(events.withColumnRenamed("id", "event_id"), "event_id", "left")

@@ -14,10 +14,10 @@ from pyspark.sql.window import Window
 from tracewell import engine
 from tracewell.functions.columns import IPV4, hex_decoded, in_cidr, ip_class, ip_to_long, net_bounds, sockaddr
 from tracewell.functions.tables import shared_folder
-from tracewell.operators import analytics, ioc, timeline
+from tracewell.operators import analytics, binaries, ioc, timeline
 from tracewell.plans import rules as R
 from tracewell.plans.search import Fields, compile_query
-from tracewell.schema import from_app_events
+from tracewell.schema import conform, from_app_events
 from tracewell.sources import detect
 from tracewell.sources.parsers import Options, parse
 
@@ -618,6 +618,63 @@ def _sockaddr(s: SparkSession, d: str) -> DataFrame:
 
 add("sockaddr_decode", _sockaddr, "SELECT event_id, '10.' || (user_id % 256) || '.0.1' AS ip, CAST(event_id % 65536 AS VARCHAR) AS port FROM events")
 
+
+def _ran(s: SparkSession, d: str) -> DataFrame:
+    """Events of an audit log and of sudo, from the table, against a small catalogue."""
+    e = read(s, d, "events")
+    audit = e.select(F.col("event_id").alias("id"), "ts", F.lit("auditd").alias("source"), F.concat(F.lit("/usr/bin/"), "event_type").alias("exe"), F.lit("x").alias("message"), F.expr("concat('{\"euid\":\"', user_id % 3, '\",\"auid\":\"', user_id % 4, '\"}')").alias("extra"))
+    sudo = e.where("event_type in ('purchase', 'view')").select((-F.col("event_id") - 1).alias("id"), "ts", F.lit("auth").alias("source"), F.lit(None).cast("string").alias("exe"), F.concat(F.lit("joe : COMMAND=/bin/"), F.upper("event_type"), F.lit(" -x")).alias("message"), F.lit(None).cast("string").alias("extra"))
+    known = binaries.catalogue(s, {"click": "functions: {shell: [{code: c}]}", "purchase": "---\nfunctions:\n  sudo:\n  - code: '--- a'\n  shell:\n  - code: b\n---\n", "absent": "functions: {shell: [{code: c}]}"})
+    got = binaries.executed(conform(audit.unionByName(sudo)), known, 3)
+    return got.select("bin", "n", "n_root", "n_sudo", "as_root", "by_sudo", "escalated", F.array_join("auids", ",").alias("auids"), "danger", F.array_join(F.array_sort(F.map_keys("functions")), ",").alias("techniques"), F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
+
+
+add(
+    "binaries_executed",
+    _ran,
+    "WITH s AS (SELECT event_type AS bin, 'exe' AS sign, event_id AS id, ts, user_id % 3 = 0 AS root, CAST(user_id % 4 AS VARCHAR) AS auid FROM events UNION ALL SELECT event_type, 'sudo', -event_id - 1, ts, false, NULL FROM events WHERE event_type IN ('purchase', 'view')),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY ts NULLS LAST, id) AS r FROM s WHERE bin IN ('click', 'purchase')),"
+    " g AS (SELECT bin, count(*) AS n, count(*) FILTER (root) AS n_root, count(*) FILTER (sign = 'sudo') AS n_sudo, coalesce(string_agg(DISTINCT auid, ',' ORDER BY auid) FILTER (root AND auid <> '0'), '') AS auids, string_agg(CAST(id AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS samples FROM k GROUP BY 1)"
+    " SELECT bin, n, n_root, n_sudo, n_root > 0 AS as_root, n_sudo > 0 AS by_sudo, auids <> '' AS escalated, auids, n_root > 0 OR n_sudo > 0 OR auids <> '' AS danger, CASE bin WHEN 'click' THEN 'shell' ELSE 'shell,sudo' END AS techniques, samples FROM g",
+)
+
+
+def _two_sources(s: SparkSession, d: str) -> DataFrame:
+    """Web and login events from the table: c-ip is a field of web logs alone."""
+    web = F.col("event_type") == "click"
+    rows = read(s, d, "events").select(
+        F.col("event_id").alias("id"),
+        "ts",
+        F.when(web, "access").otherwise("auth").alias("source"),
+        F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).alias("user"),
+        F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("10.0.0."), (F.col("user_id") % 5).cast("string"))).alias("src_ip"),
+        F.when(web, 500).alias("status"),
+        F.when(F.col("event_type") == "error", "ssh_failed").alias("event"),
+    )
+    rules = R.load_text(_TWO)
+    return R.correlate(conform(rows), rules, rules[2]).withColumnRenamed("c-ip", "c_ip")
+
+
+_TWO = """
+title: web
+name: web
+logsource: {category: webserver}
+detection: {a: {sc-status: 500}, condition: a}
+---
+title: ssh
+name: ssh
+logsource: {product: linux, service: auth}
+detection: {a: {event: ssh_failed}, condition: a}
+---
+title: both
+correlation: {type: temporal, rules: [web, ssh], group-by: [c-ip], timespan: 1d}
+"""
+add(
+    "correlation_two_sources",
+    _two_sources,
+    f"WITH h AS (SELECT event_id AS id, ts, event_type AS rule, CASE WHEN event_type = 'click' AND user_id % 5 <> 0 THEN '10.0.0.' || (user_id % 5) END AS c_ip FROM events WHERE event_type IN ('click', 'error') AND ts IS NOT NULL) SELECT c_ip, {_bucket(86400)} AS start, count(DISTINCT rule) AS n, {_AGG} FROM h GROUP BY 1, 2 HAVING n >= 2",
+)
+
 # set operations and the shipped recipes, as SQL over a temporary view
 
 

@@ -35,8 +35,8 @@ ALIASES = {
     "event": "eventtype type",
 }
 _NAMES = {a: column for column, names in ALIASES.items() for a in names.split()}
-_EXTRA_PREFIXES = ("eventdata.", "event_data.", "extra.", "x:")
-_OPERATOR = re.compile(r"(==|!=|>=|<=|=|:|>|<)")
+EXTRA_PREFIXES = ("eventdata.", "event_data.", "extra.", "x:")
+OPERATOR = re.compile(r"(==|!=|>=|<=|=|:|>|<)")
 _WORDS = {"or": "OR", "||": "OR", "and": "AND", "&&": "AND", "not": "NOT", "!": "NOT"}
 
 
@@ -59,7 +59,7 @@ class Fields:
 
     def resolve(self, name: str) -> Field | None:
         low = name.lower()
-        for p in _EXTRA_PREFIXES:
+        for p in EXTRA_PREFIXES:
             if low.startswith(p) and len(name) > len(p):
                 key = name[len(p) :]
                 key = self.keys.get(normal_name(key), key)
@@ -140,7 +140,7 @@ def merge_spaced(tokens: list[Token], fields: Fields) -> list[Token]:
                 out.append(Token("term", f"{a}:{c}"))
                 i += 3
                 continue
-            if b and c is not None and _OPERATOR.fullmatch(b) and fields.resolve(a):
+            if b and c is not None and OPERATOR.fullmatch(b) and fields.resolve(a):
                 out.append(Token("term", f"{a}{b}{c}"))
                 i += 3
                 continue
@@ -249,7 +249,7 @@ class Parser:
         if text.startswith("/"):
             return Text(text)
         skip = 2 if text.lower().startswith("x:") else 0
-        m = _OPERATOR.search(text, skip)
+        m = OPERATOR.search(text, skip)
         if not m or not m.start():
             return Text(text)
         name, op, value = text[: m.start()], m.group(), text[m.end() :]

@@ -115,6 +115,22 @@ def stateful(d: DataFrame, value: Column, changed: Callable[[Column, Column], Co
     return d.withColumns({"_prev": F.coalesce("_inner", "_carried"), "_count": F.col("_earlier") + F.col("_own")}).drop("_blk", "_value", "_inner", "_step", "_own", "_carried", "_earlier")
 
 
+def keyed_last(d: DataFrame, keys: list[str], position: Column, order: list[str], value: str) -> DataFrame:
+    """_last: the last known value of a key up to and with a row, by order; position rises with the order.
+
+    Rows of a key are cut into blocks of BLOCK_LINES positions, each of which looks at its own rows; each block's last value
+    passes on to the later blocks of its key, one row a block. So a key with all rows uses as many tasks as it has blocks.
+    """
+    block = [*keys, "_blk"]
+    d = d.withColumn("_blk", F.floor(position / BLOCK_LINES))
+    inner = F.last(value, ignorenulls=True).over(Window.partitionBy(*block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    at = F.when(F.col(value).isNotNull(), F.struct(*order))
+    blocks = d.groupBy(*block).agg(F.max_by(value, at).alias("_end"))
+    over = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_carried", F.last("_end", ignorenulls=True).over(over)).drop("_end")
+    return d.withColumn("_inner", inner).join(blocks, block).withColumn("_last", F.coalesce("_inner", "_carried")).drop("_blk", "_inner", "_carried")
+
+
 def _dash(v: Column) -> Column:
     return F.when(v != "-", v)
 
@@ -502,8 +518,8 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
     seen = d.where(F.col("pid").isNotNull() & F.col("_exe").isNotNull())
     keyed = seen.select("src_file", F.col("pid").cast("string").alias("_of"), "_island", F.lit(0).alias("_kind"), "line_no", F.col("_exe").alias("_def"))
     probes = d.where(is_exec & F.col("_gppid").isNotNull()).select("src_file", F.col("_gppid").alias("_of"), "_island", F.lit(1).alias("_kind"), "line_no", F.lit(None).cast("string").alias("_def"))
-    w = Window.partitionBy("src_file", "_of").orderBy("_island", "_kind", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    parents = keyed.unionByName(probes).withColumn("_parent", F.last("_def", ignorenulls=True).over(w)).where("_kind = 1").select("src_file", "line_no", "_parent")
+    known_last = keyed_last(keyed.unionByName(probes), ["src_file", "_of"], F.col("_island"), ["_island", "_kind", "line_no"], "_def")
+    parents = known_last.where("_kind = 1").select("src_file", "line_no", F.col("_last").alias("_parent"))
     d = d.join(parents, ["src_file", "line_no"], "left")
     shared = F.col("_t").isin("syscall", "sockaddr")
     more = F.array(
