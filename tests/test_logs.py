@@ -456,3 +456,27 @@ def test_stream(spark, tmp_path):
     assert [(r["user"], r["n"]) for r in spark.table("bursts").collect()] == [("joe", 6)]
     with pytest.raises(ValueError):
         read_stream(spark, str(tmp_path), "auditd")
+
+
+@pytest.mark.parametrize("kind,text", [("auditd", AUDIT * 3), ("syslog", "".join(f"{m}  1 00:00:00 h p[1]: x\n" for m in ("Nov", "Dec", "Jan", "Feb", "Dec", "Jan"))), ("apt", "Log started: 2024-01-02  03:04:05\nUnpacking a\nSetting up b\nLog ended: 2024-01-02  03:05:00\n")])
+def test_streamed_files_give_the_rows_of_a_batch(spark, tmp_path, kind, text):
+    from tracewell.streaming.live import ingest_stream
+
+    folder, out, checkpoint = tmp_path / "in", tmp_path / "out", str(tmp_path / "checkpoint")
+    folder.mkdir()
+
+    def run():
+        ingest_stream(spark, str(folder), kind, str(out), checkpoint, Options(base_year=2020)).awaitTermination()
+
+    (folder / "one").write_text(text)
+    run()
+    for name in ("two", "three"):  # later files, after a restart from the checkpoint
+        (folder / name).write_text(text)
+    run()
+    run()  # nothing new
+    got = spark.read.parquet(str(out))
+    assert got.select("batch").distinct().count() == 2
+    want = engine.ingest(spark, str(folder), kind, Options(base_year=2020))[0]
+    columns = [c for c in want.columns if c != "id"]
+    rows = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    assert rows(got) == rows(want) and got.count() % 3 == 0 < got.count()

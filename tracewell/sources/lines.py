@@ -58,12 +58,12 @@ def root_of(spark: SparkSession, path: str) -> tuple[str, bool]:
     return (whole if folder else whole.getParent()).toString(), not folder
 
 
-def _path(url: Column) -> Column:
+def path_of(url: Column) -> Column:
     """Metadata has paths as URLs, with one slash or three before a local one."""
     return F.regexp_replace(F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
 
 
-def _label(path: Column, root: str) -> Column:
+def label_of(path: Column, root: str) -> Column:
     root = root.rstrip("/") + "/"
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 30)).otherwise(F.substring_index(path, "/", -1))
 
@@ -72,7 +72,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, lines) below path: a row for each file or archive member; src_file, line_no, line, file_year of each line."""
     root, _ = root_of(spark, path)
     name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
-    where = _path(F.col("_metadata.file_path"))
+    where = path_of(F.col("_metadata.file_path"))
     plain = ~name.rlike(PACKED) | name.rlike(r"(?i)\.bz2$") & ~name.rlike(r"(?i)\.tar\.bz2$") & (size > SPLIT_BZ2)
     year = F.year("_metadata.file_modification_time").alias("file_year")
 
@@ -81,12 +81,12 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     # names decide at planning which files a read opens
     text = under("text").where(plain).select(where.alias("path"), F.col("_metadata.file_block_start").alias("block"), year, "value", F.monotonically_increasing_id().alias("pos"))
-    raw = persisted(text.withColumn("src_file", _label(F.col("path"), root)), "text")
-    listed = under("binaryFile").where(plain).select(_label(where, root).alias("src_file"), F.col("length").alias("bytes"), year)
+    raw = persisted(text.withColumn("src_file", label_of(F.col("path"), root)), "text")
+    listed = under("binaryFile").where(plain).select(label_of(where, root).alias("src_file"), F.col("length").alias("bytes"), year)
     splits, flags = _splits(raw)
     unnamed = [r["path"] for r in flags.where("archive").select("path").collect()]  # archives that only their first bytes tell
     bounded_batches(spark)
-    columns = [_label(where, root).alias("src_file"), F.col("length").alias("bytes"), year, F.when(F.col("length") <= MOST_PACKED, F.col("content")).alias("content")]
+    columns = [label_of(where, root).alias("src_file"), F.col("length").alias("bytes"), year, F.when(F.col("length") <= MOST_PACKED, F.col("content")).alias("content")]
     direct = under("binaryFile").where(~plain & ~name.rlike(ARCHIVE)).select(*columns)
     archives = under("binaryFile").where(~plain & name.rlike(ARCHIVE)).select(*columns)
     if unnamed:
@@ -95,11 +95,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     slices = archives.mapInArrow(_sliced, SLICES).repartition(n, "src_file", "member").sortWithinPartitions("src_file", "member", "seq")
     pieces = persisted(direct.mapInArrow(_unpacked_files, PIECES).unionByName(slices.mapInArrow(_unpacked_members, PIECES)), "pieces")
 
-    keys = ["src_file", "block"]
-    starts = splits.join(flags.where("binary or archive").select("src_file"), "src_file", "left_anti").select(*keys, "first", "before")
-    numbered = raw.join(few(starts), keys)
-    lines = numbered.select("src_file", (F.col("pos") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no"), F.make_valid_utf8("value").alias("line"), "file_year")
-    lines = lines.unionByName(_lines_of_pieces(pieces))
+    lines = _numbered(raw, splits, flags).unionByName(_lines_of_pieces(pieces))
     files = listed.join(flags.select("src_file", "binary", "archive"), "src_file", "left").where("archive is null or not archive")
     files = files.select("src_file", "bytes", "file_year", F.lit(None).cast("string").alias("error"), F.coalesce("binary", F.lit(False)).alias("binary"))
     return files.unionByName(pieces.where("value is null").select("src_file", "bytes", "file_year", "error", "binary")).unionByName(_empty(under("binaryFile"), where, root)), lines
@@ -107,9 +103,21 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def _empty(every: DataFrame, where: Column, root: str) -> DataFrame:
     """Files without content, which reads leave out: those that the listing has and no read does."""
-    listed = every.sparkSession.createDataFrame([(x,) for x in every.inputFiles()], "path string").select(_path(F.col("path")).alias("path"))
+    listed = every.sparkSession.createDataFrame([(x,) for x in every.inputFiles()], "path string").select(path_of(F.col("path")).alias("path"))
     none = listed.join(every.select(where.alias("path")), "path", "left_anti")
-    return none.select(_label(F.col("path"), root).alias("src_file"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("int").alias("file_year"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("binary"))
+    return none.select(label_of(F.col("path"), root).alias("src_file"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("int").alias("file_year"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("binary"))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """Lines of what a text read gave, written already: src_file, path, block (of the byte range), pos (rising in a range), value, file_year."""
+    return _numbered(raw, *_splits(raw))
+
+
+def _numbered(raw: DataFrame, splits: DataFrame, flags: DataFrame) -> DataFrame:
+    keys = ["src_file", "block"]
+    starts = splits.join(flags.where("binary or archive").select("src_file"), "src_file", "left_anti").select(*keys, "first", "before")
+    d = raw.join(few(starts), keys)
+    return d.select("src_file", (F.col("pos") - F.col("first") + F.col("before") + 1).cast("int").alias("line_no"), F.make_valid_utf8("value").alias("line"), "file_year")
 
 
 def _splits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
