@@ -36,3 +36,28 @@ def test_run_equals_the_stages_one_by_one(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"]: r["doc_tokens"] for r in got} == want
     assert sum(r["length"] for r in got) == sum(want.values())
+
+
+def written(spark, folder, rows, labels):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    got = corpus_pipeline.run(spark, written(spark, str(tmp_path), [], []))
+    assert got.collect() == [] and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(got.columns)
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(60_000))
+    rows = [(1, text, None, None, None), (1, text, None, None, None), (2, text, "en", "s", 5), (3, None, "en", "s", 0), (4, "", None, "s", None), (5, "12 34 !", "en", None, 7), (6, long, "en", "s", None), (7, "short text", "en", "s", None), (8, "token = 'abcdefghijklmnop' here", None, None, 1)]
+    got = corpus_pipeline.run(spark, written(spark, str(tmp_path), rows, [])).collect()
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in got}
+    assert set(tokens) == {1, 6, 7, 8} and tokens[6] > 60_000
+    pieces = sum(r["length"] for r in got if r["doc_id"] == 6)
+    assert pieces == tokens[6]
+    masked = secrets.redacted(spark.createDataFrame([rows[-1]], "doc_id long, text string, lang string, source string, n_chars long")).first()["text"]
+    assert tokens[8] == len(packing.token_ids(masked, vocabulary("byte_bpe_50k.json")))
