@@ -85,3 +85,15 @@ def test_a_case_from_files_to_report(spark, tmp_path, capsys, monkeypatch):
     assert "10.1.2.0" in c.report(marks=m.current())
     (got,) = R.applicability(c.events, R.load_text(RULE)).collect()
     assert got["events"] == 5 and got["skipped"] is None and "ilike" in got["predicate"]
+
+
+def test_command_line_switches_for_types(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "auth.log").write_text("a=1 b=2\nc=3 d=4\n")
+    (tmp_path / "in" / "prose").write_text("one\ntwo\nthree\n")
+    assert cli.main(["detect", str(tmp_path / "in"), "--prefer", "content", "--no-catch-all"]) == 0
+    assert capsys.readouterr().out.split() == ["src_file,type", "auth.log,logfmt", "prose,"]
+    assert cli.main(["detect", str(tmp_path / "in")]) == 0
+    assert capsys.readouterr().out.split() == ["src_file,type", "auth.log,auth", "prose,raw"]
+    assert cli.main(["ingest", str(tmp_path / "in" / "prose"), "--case", str(tmp_path / "case"), "--no-catch-all"]) == 2
+    assert "cannot be told" in capsys.readouterr().err and not (tmp_path / "case").exists()

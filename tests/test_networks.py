@@ -80,3 +80,17 @@ def test_ten_thousand_indicators_cost_little_more_than_ten(spark, sf_dir, monkey
         return time.time() - began
 
     assert took(10_000) < 3 * took(10) + 0.5
+
+
+def test_indicators_are_grouped_by_shown_type(spark):
+    md5, imp = "0123456789abcdef" * 2, "fedcba9876543210" * 2
+    texts = [(1, f"at 8.8.8.8 and /etc/a/b {md5} IMPHASH={imp.upper()}"), (2, r"C:\\temp\\x and 8.8.8.8, me@x.com"), (3, f"10.0.0.1 {imp}")]
+    df = spark.createDataFrame(texts, "id long, text string").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    found = ioc.extracted(df, F.col("text")).cache()
+    # what stands as an import hash in a text is no file hash there
+    assert sorted((r["id"], r["value"]) for r in found.where("type = 'md5'").collect()) == [(1, md5), (3, imp)]
+    got = ioc.totals(found).collect()
+    assert [(r["type"], r["label"], r["total"]) for r in got] == [("ipv4", "IPv4", 2), ("email", "Emails", 1), ("md5", "MD5", 2), ("imphash", "Imphash", 1), ("filepath", "File paths", 2)]
+    assert {r["grand_total"] for r in got} == {sum(r["total"] for r in got)}
+    rows = ioc.grouped(found, 1).collect()
+    assert [(r["type"], r["value"], r["n"], r["total"]) for r in rows][0] == ("ipv4", "8.8.8.8", 2, 2) and len(rows) == len(got)

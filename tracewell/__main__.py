@@ -38,8 +38,11 @@ def options() -> argparse.ArgumentParser:
     a.add_argument("--tz", type=int, default=0, metavar="MINUTES", help="zone of logs that name none")
     a.add_argument("--start")
     a.add_argument("--end")
-    a = sub.add_parser("detect", help="types of files, nothing is written")
-    a.add_argument("path")
+    kinds = [a, sub.add_parser("detect", help="types of files, nothing is written")]
+    kinds[1].add_argument("path")
+    for a in kinds:
+        a.add_argument("--prefer", choices=("name", "content"), default="name", help="what tells a file's type first")
+        a.add_argument("--no-catch-all", action="store_true", help="skip files of no known type, which else are raw lines; alone such a file is an error")
     for name, arguments in (("sql", ("query",)), ("shell", ()), ("stats", ()), ("search", ("query",)), ("rules", ("folder",)), ("report", ("out",))):
         a = sub.add_parser(name)
         for x in arguments:
@@ -69,12 +72,16 @@ def main(argv: list[str] | None = None) -> int:
     o = options().parse_args(argv)
     spark = session()
     if o.command == "ingest":
-        found, manifest = engine.ingest(spark, o.path, o.type, engine.Options(o.year, o.tz, o.user), start=o.start, end=o.end)
+        try:
+            found, manifest = engine.ingest(spark, o.path, o.type, engine.Options(o.year, o.tz, o.user), o.prefer == "content", not o.no_catch_all, o.start, o.end)
+        except ValueError as e:
+            sys.stderr.write(f"{e}\n")
+            return 2
         engine.Case(engine.numbered(found)).save(o.case, "errorifexists")
         printed(manifest.orderBy("src_file"), export.MOST_ROWS)
         return 0
     if o.command == "detect":
-        printed(detect.detected(read_lines(spark, o.path)).orderBy("src_file"), export.MOST_ROWS)
+        printed(detect.detected(read_lines(spark, o.path), o.prefer == "content", not o.no_catch_all).orderBy("src_file"), export.MOST_ROWS)
         return 0
     case = engine.Case.open(spark, o.case)
     try:

@@ -358,6 +358,12 @@ def _ioc_sql() -> str:
 
 # every type in whole documents but ipv6, whose short form SQL does not have
 add("ioc_documents", lambda s, d: ioc.extracted(_documents(s, d), F.col("text"), ipv6=False, windows=True).select("id", "type", "value"), _ioc_sql())
+_LABELS = ", ".join(f"('{k}', '{v}')" for k, v in ioc.LABELS.items())
+add(
+    "ioc_totals",
+    lambda s, d: ioc.totals(ioc.extracted(_documents(s, d), F.col("text"), ipv6=False, windows=True)).select("type", "label", "total", "grand_total"),
+    f"WITH f AS ({_ioc_sql()}), g AS (SELECT DISTINCT CASE WHEN type IN ('unixpath', 'winpath') THEN 'filepath' ELSE type END AS type, value FROM f), l(type, label) AS (VALUES {_LABELS}), n AS (SELECT type, count(*) AS total FROM g GROUP BY 1) SELECT type, label, total, CAST(sum(total) OVER () AS BIGINT) AS grand_total FROM n JOIN l USING (type)",
+)
 _WANTED = ["apache license", "MIT License", "no such thing", "AKIA"]
 add(
     "ioc_sweep",

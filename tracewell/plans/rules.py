@@ -58,6 +58,7 @@ def load_dir(path: str) -> tuple[list[Rule], list[tuple[str, str]]]:
     return rules, errors
 
 
+# fixed values: which events rules look at, and the log source they count to
 def classify() -> tuple[Column, Column]:
     """(sigma_ok, sigma_logsource) of an event from source, event and program."""
     s, e, p = (F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("source", "event", "program"))
