@@ -175,7 +175,7 @@ class Case:
 
     def indicators(self, per_type: int = 400) -> DataFrame:
         curated = F.concat_ws(" ", "message", "exe", "path", "referer")
-        found = ioc.extracted(self.events, F.concat_ws(" ", curated, F.col("src_ip"), F.col("raw")), curated, F.col("user_agent"))
+        found = ioc.extracted(self.events, F.concat_ws(" ", curated, F.col("src_ip"), F.col("raw")), curated, F.col("user_agent"), import_hash_twice=False)
         return ioc.rolled_up(found, per_type)
 
     def sweep(self, indicators: list[str]) -> DataFrame:

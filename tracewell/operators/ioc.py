@@ -90,8 +90,8 @@ def compressed_ipv6(candidates: Column) -> Column:
     return F.array_compact(F.transform(candidates, one))
 
 
-def extracted(events: DataFrame, text: Column, hash_text: Column | None = None, user_agent: Column | None = None, ipv6: bool = True, windows: bool = False) -> DataFrame:
-    """id, ts, type, value: each indicator once for each event; URLs are blanked before the other scans. windows: registry keys and pipes too."""
+def extracted(events: DataFrame, text: Column, hash_text: Column | None = None, user_agent: Column | None = None, ipv6: bool = True, windows: bool = False, import_hash_twice: bool = True) -> DataFrame:
+    """id, ts, type, value: each indicator once for each event; URLs are blanked before the other scans. windows: registry keys and pipes too; import_hash_twice: what stands as an import hash is an MD5, too."""
     clean = F.coalesce(text, F.lit(""))
     d = events.select("id", "ts", clean.alias("_t"), F.regexp_replace(F.coalesce(hash_text if hash_text is not None else text, F.lit("")), HEX_FIELD, " ").alias("_h"), (user_agent if user_agent is not None else F.lit(None).cast("string")).alias("_ua"))
     urls = F.filter(F.transform(_all("_t", f"({URL})"), lambda u: F.rtrim(u, F.lit(URL_END))), lambda u: F.length(u) > 8)
@@ -108,7 +108,8 @@ def extracted(events: DataFrame, text: Column, hash_text: Column | None = None,
         "useragent": F.when(F.col("_ua").isNotNull() & ~F.col("_ua").isin("", "-"), F.array("_ua")).otherwise(F.array().cast("array<string>")),
     } | {k: F.transform(_all("_h", PATTERNS[k]), F.lower) for k in ("md5", "sha1", "sha256")}
     found["imphash"] = F.transform(_all("_h", PATTERNS["imphash"]), F.lower)
-    found["md5"] = F.filter(found["md5"], lambda x: ~F.array_contains(found["imphash"], x))
+    if not import_hash_twice:
+        found["md5"] = F.filter(found["md5"], lambda x: ~F.array_contains(found["imphash"], x))
     if windows:
         found |= {k: _all("_t", PATTERNS[k]) for k in ("registry", "pipe")}
     if ipv6:
