@@ -3,6 +3,8 @@ import gzip
 import io
 import json
 import lzma
+import random
+import re
 import tarfile
 import zipfile
 
@@ -83,9 +85,69 @@ def test_apt_blocks(spark):
     assert str(got[1]["ts"]) == "2024-01-02 03:04:05" and json.loads(got[1]["extra"])["actions"] == 2
 
 
+    assert [(r["event"], r["program"]) for r in got] == [("dpkg", "dpkg")] * 3 and json.loads(got[1]["extra"])["log_ended"] == "2024-01-02 03:05:00"
+
+
 def test_udev_blocks(spark):
-    a, b = parsed(spark, "udev", "UDEV  [1700000000.5] add /dev/x\nDEVPATH=/dev/y\nA=1\n\nnoise\nUEVENT[1700000001.0] remove /dev/z")
-    assert (a["event"], a["path"], str(a["ts"])) == ("add", "/dev/y", "2023-11-14 22:13:20.500000") and b["path"] == "/dev/z"
+    a, n, b = parsed(spark, "udev", "UDEV  [1700000000.5] add /dev/x\nDEVPATH=/dev/y\nA=1\n A = 2 \n\nnoise\nUEVENT[1700000001.0] remove /dev/z")
+    assert (a["event"], a["path"], a["message"], str(a["ts"])) == ("udev", "/dev/y", "UDEV add /dev/x", "2023-11-14 22:13:20.500000")
+    assert json.loads(a["extra"]) == {"DEVPATH": "/dev/y", "A": "2"} and b["path"] is None and b["event"] == "uevent"
+    assert (n["message"], n["event"], n["ts"], n["line_no"]) == ("noise", "udev", None, 6)
+
+
+def block_fold(lines, start, end):
+    """(first line number, in a block, lines) by a plain loop."""
+    out, held = [], None
+    for n, line in enumerate(lines, 1):
+        if start(line):
+            out += [held] if held else []
+            held = (n, True, [line])
+        elif end(line):
+            if held:
+                out.append((held[0], True, held[2] + ([line] if line.strip() else [])))
+            elif line.strip():
+                out.append((n, False, [line]))
+            held = None
+        elif held and line.strip():
+            held[2].append(line)
+        elif line.strip():
+            out.append((n, False, [line]))
+    return out + ([held] if held else [])
+
+
+def test_blocks_of_any_length_equal_a_plain_fold(spark, monkeypatch):
+    from tracewell.sources import parsers
+
+    monkeypatch.setattr(parsers, "BLOCK_LINES", 7)
+    rng = random.Random(4)
+    for kind, words, start, end in (
+        ("apt", ["Log started: 2024-01-02  03:04:05", "Log ended: 2024-01-02  03:05:00", "Unpacking " + "p" * 300, "Setting up b", " Unpacking no verb", "", "text"] + ["text"] * 6 + ["Removing c"] * 9, lambda x: x.startswith("Log started"), lambda x: x.startswith("Log ended")),
+        ("udev", ["UDEV [1.5] add /a (b)", "", "A=1", "B=x=y", "DEVPATH=/p", "odd"] + [f"K{i}={i}" for i in range(14)], lambda x: x.startswith("UDEV"), lambda x: not x.strip()),
+    ):
+        lines = [rng.choice(words) for _ in range(400)]
+        want = block_fold(lines, start, end)
+        got = sorted(parsed(spark, kind, "\n".join(lines)), key=lambda r: r["line_no"])
+        assert [(r["line_no"], r["raw"]) for r in got] == [(n, "\n".join(ls)) for n, _, ls in want]
+        for r, (_, inside, ls) in zip(got, want, strict=True):
+            extra = json.loads(r["extra"] or "{}")
+            if kind == "apt":
+                verbs = [x for x in ls if re.match(parsers.DPKG, x)]
+                assert r["message"] == (("; ".join(verbs) if verbs else (ls[1:] or ls)[0])[:2000] if inside else ls[0])
+                assert extra.get("actions", 0) == (len(verbs) if inside else 0) and ("log_ended" in extra) == end(ls[-1])
+            else:
+                kv = dict(x.split("=", 1) for x in ls[1:] if "=" in x) if inside else {}
+                assert extra == kv and r["path"] == kv.get("DEVPATH")
+                assert r["message"] == ("UDEV add /a (b)" if inside else ls[0])
+        # in parts: nothing is lost, each part is bounded, and the first carries what the whole block says
+        monkeypatch.setattr(parsers, "BLOCK_CHARS", 1000)
+        parts = sorted(parsed(spark, kind, "\n".join(lines)), key=lambda r: r["line_no"])
+        monkeypatch.setattr(parsers, "BLOCK_CHARS", 8_000_000)
+        assert len(parts) > len(got) and max(len(r["raw"].split("\n")) for r in parts) <= 1000 // 64 + 1
+        assert "\n".join(r["raw"] for r in parts) == "\n".join(r["raw"] for r in got)
+        first = {r["line_no"]: r for r in parts}
+        assert all(first[r["line_no"]]["message"] == r["message"] and first[r["line_no"]]["ts"] == r["ts"] for r in got)
+        if kind == "apt":
+            assert all(first[r["line_no"]]["extra"] == r["extra"] for r in got)
 
 
 AUDIT = """type=USER_AUTH msg=audit(1700000000.1:1): pid=50 uid=0 auid=7 msg='op=login acct="joe" exe="/usr/sbin/sshd" addr=1.2.3.4 res=failed'

@@ -546,12 +546,12 @@ add("parse_raw", _one("raw", ["ts", "message"], "concat('note ', date_format(ts,
 add(
     "parse_apt",
     _one("apt", ["ts", "event", "message", "int(get_json_object(extra, '$.actions')) AS actions"], "concat('Log started: ', date_format(ts, 'yyyy-MM-dd  HH:mm:ss'))", "concat('Unpacking ', event_type)", "concat('Setting up u', user_id)", "concat('Log ended: ', date_format(ts, 'yyyy-MM-dd  HH:mm:ss'))"),
-    f"SELECT CAST(event_id * 4 AS INTEGER) AS line_no, {_CUT} AS ts, 'apt_run' AS event, 'Unpacking ' || event_type || '; Setting up u' || user_id AS message, 2 AS actions FROM events",
+    f"SELECT CAST(event_id * 4 AS INTEGER) AS line_no, {_CUT} AS ts, 'dpkg' AS event, 'Unpacking ' || event_type || '; Setting up u' || user_id AS message, 2 AS actions FROM events",
 )
 add(
     "parse_udev",
-    _one("udev", ["ts", "event", "path", "get_json_object(extra, '$.SEQNUM') AS seqnum"], "concat('UDEV  [', 1700000000 + event_id, '.5] ', upper(event_type), ' /devices/x (usb)')", "concat('DEVPATH=/devices/', user_id)", "concat('SEQNUM=', event_id)", "''"),
-    "SELECT CAST(event_id * 4 AS INTEGER) AS line_no, make_timestamp((1700000000 + event_id) * 1000000 + 500000) AS ts, event_type AS event, '/devices/' || user_id AS path, CAST(event_id AS VARCHAR) AS seqnum FROM events",
+    _one("udev", ["ts", "event", "path", "message", "get_json_object(extra, '$.SEQNUM') AS seqnum"], "concat('UDEV  [', 1700000000 + event_id, '.5] ', event_type, ' /devices/x (usb)')", "concat('DEVPATH=/devices/', user_id)", "concat('SEQNUM=', event_id)", "''"),
+    "SELECT CAST(event_id * 4 AS INTEGER) AS line_no, make_timestamp((1700000000 + event_id) * 1000000 + 500000) AS ts, 'udev' AS event, '/devices/' || user_id AS path, 'UDEV ' || event_type || ' /devices/x (usb)' AS message, CAST(event_id AS VARCHAR) AS seqnum FROM events",
 )
 
 

@@ -56,6 +56,8 @@ class Options:
 
 #: Lines of a file that one block of a stateful parser has.
 BLOCK_LINES = 10_000
+#: Characters of a block's text in one row, what each line counts besides its own, and characters of a block's message.
+BLOCK_CHARS, LINE_CHARS, MESSAGE_CHARS = 8_000_000, 64, 2000
 #: A character that is no white space, as Unicode has it.
 VISIBLE = r"[^\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SEPARATOR = "\u0001"
@@ -424,37 +426,104 @@ def raw(lines: DataFrame, o: Options) -> DataFrame:
     return _lines(lines).withColumns({"ts": scanned_ts(F.col("line"), o.offset_minutes), "source": F.lit("raw"), "event": F.lit("raw"), "message": F.col("line"), "raw": F.col("line")})
 
 
-def _blocks(lines: DataFrame, starts: Column, ends: Column) -> DataFrame:
-    """_block: number of the block a line is in, null outside; a block ends with its end line, the next start or the file."""
-    d = stateful(lines.withColumn("_end", ends.cast("int")), starts.cast("int"), lambda before, start: start == 1).withColumnRenamed("_count", "_n")
-    within = Window.partitionBy("src_file", "_n").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    over = F.coalesce(F.max("_end").over(within), F.lit(0))
-    return d.withColumn("_block", F.when((F.col("_n") > 0) & (over == 0), F.col("_n")))
+def running(d: DataFrame, keys: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """For each name, the sum of an amount over the earlier lines of a key; each block of lines adds up its own, and one row a block passes on."""
+    block = [*keys, "_blk"]
+    d = d.withColumns({"_blk": F.floor(F.col("line_no") / BLOCK_LINES), **{f"{n}_one": v for n, v in amounts.items()}})
+    before = Window.partitionBy(*block).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*block).agg(*[F.sum(f"{n}_one").alias(f"{n}_sum") for n in amounts])
+    sums = sums.select(*block, *[F.coalesce(F.sum(f"{n}_sum").over(over), F.lit(0)).alias(f"{n}_carried") for n in amounts])
+    d = d.withColumns({f"{n}_own": F.coalesce(F.sum(f"{n}_one").over(before), F.lit(0)) for n in amounts}).join(sums, block)
+    d = d.withColumns({n: F.col(f"{n}_own") + F.col(f"{n}_carried") for n in amounts})
+    return d.drop("_blk", *[f"{n}{x}" for n in amounts for x in ("_one", "_own", "_carried")])
+
+
+def _blocks(lines: DataFrame, starts: Column, ends: Column, amounts: dict[str, Column]) -> DataFrame:
+    """_in, _start: whether a line is in a block, and the line its block starts at (outside: its own); _part: which part of the block; amounts as for running.
+
+    A block ends with its end line, the next start or the file. Parts hold BLOCK_CHARS, so no task gathers a whole block
+    that never ends.
+    """
+    mark = F.when(starts, F.struct(F.lit(True).alias("open"), "line_no")).when(ends, F.struct(F.lit(False).alias("open"), "line_no"))
+    d = stateful(lines.withColumn("_starts", starts), mark, lambda before, own: F.lit(False))
+    d = d.withColumn("_in", F.col("_starts") | F.coalesce(F.col("_prev.open"), F.lit(False)))
+    d = d.withColumn("_start", F.when(F.col("_in") & ~F.col("_starts"), F.col("_prev.line_no")).otherwise(F.col("line_no"))).drop("_prev", "_count")
+    d = running(d, ["src_file", "_start"], {"_chars": F.length("line").cast("long") + LINE_CHARS, **amounts})
+    return d.withColumn("_part", F.floor(F.col("_chars") / BLOCK_CHARS))
+
+
+def _parts(d: DataFrame) -> DataFrame:
+    """A row for each part of a block: its first line's number and its raw text."""
+    g = d.groupBy("src_file", "_start", "_part").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return g.withColumn("raw", F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).drop("_l")
+
+
+def _trimmed(v: Column) -> Column:
+    return F.regexp_extract(v, f"(?s)({VISIBLE}(?:.*{VISIBLE})?)", 1)
 
 
 def apt(lines: DataFrame, o: Options) -> DataFrame:
-    d = _blocks(_lines(lines), _is(LOG_START), _is(LOG_END))
-    d = d.withColumn("_key", F.coalesce(F.concat(F.lit("b"), F.col("_block").cast("string")), F.concat(F.lit("l"), F.col("line_no").cast("string"))))
-    g = d.groupBy("src_file", "_key").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"), F.max(F.col("_block").isNotNull()).alias("_in"))
-    text = F.transform("_l", lambda x: x["line"])
-    verbs = F.filter(text, lambda x: x.rlike(DPKG))
-    body = F.filter(text, lambda x: ~x.rlike(LOG_START) & ~x.rlike(LOG_END))
-    started = F.regexp_extract(F.get(text, 0), LOG_START, 1)
-    ended = F.regexp_extract(F.element_at(text, -1), LOG_END, 1)
-    message = F.when(F.size(verbs) > 0, F.substring(F.array_join(verbs, "; "), 1, 2000)).otherwise(F.coalesce(F.get(body, 0), F.get(text, 0)))
-    stamp = F.regexp_replace(F.trim(started), r"\s+", " ").try_cast("timestamp_ntz")
-    return g.withColumns({"ts": _less(stamp, o.offset_minutes), "source": F.lit("apt"), "program": F.lit("apt"), "event": F.when(F.col("_in"), "apt_run").otherwise("apt"), "message": message, "extra": F.when(F.col("_in"), _json({"log_ended": F.when(ended != "", ended), "actions": F.size(verbs)})), "raw": F.array_join(text, "\n")})
+    """An event for each block of a package log and for each line outside.
+
+    The message are the block's verb lines, 2000 characters at most, or its first line after the start. Only verbs that
+    reach into the message are gathered; the rest is counted. A block whose text is longer than BLOCK_CHARS goes on in
+    further events with the same time and message, whose raw text are the next lines and whose extra tells the part.
+    """
+    text = _trimmed(F.col("line"))
+    verb = F.col("line").rlike(DPKG)
+    d = _blocks(_lines(lines), text.rlike(LOG_START), text.rlike(LOG_END), {"_verbs": F.when(verb, F.length("line").cast("long") + 2).otherwise(0)})
+    body = F.when(~F.col("_starts"), F.col("line"))
+    ended = F.when(text.rlike(LOG_END), F.regexp_replace(_trimmed(F.regexp_extract(text, LOG_END, 1)), r"\s+", " "))
+    shown = F.when(verb & (F.col("_verbs") < MESSAGE_CHARS), F.struct("line_no", F.substring("line", 1, MESSAGE_CHARS).alias("line")))
+    folds = d.groupBy("src_file", "_start").agg(
+        F.max("_in").alias("_in"),
+        F.min_by("line", "line_no").alias("_head"),
+        F.min_by(body, F.when(body.isNotNull(), F.col("line_no"))).alias("_body"),
+        F.max(ended).alias("_ended"),
+        F.count_if(verb).alias("_actions"),
+        F.array_sort(F.collect_list(shown)).alias("_shown"),
+    )
+    g = _parts(d).join(folds, ["src_file", "_start"])
+    verbs = F.array_join(F.transform("_shown", lambda x: x["line"]), "; ")
+    started = F.regexp_replace(_trimmed(F.regexp_extract(_trimmed(F.col("_head")), LOG_START, 1)), r"\s+", " ")
+    first = F.col("_part") == 0
+    extra = _json({"log_ended": F.when(first, F.col("_ended")), "actions": F.when(first & F.col("_in") & (F.col("_actions") > 0), F.col("_actions")), "part": F.when(~first, F.col("_part"))})
+    message = F.when(F.col("_in"), F.substring(F.when(F.col("_actions") > 0, verbs).otherwise(F.coalesce("_body", "_head")), 1, MESSAGE_CHARS)).otherwise(F.col("_head"))
+    return g.withColumns({"ts": F.when(F.col("_in"), F.coalesce(parsed_ts(started), scanned_ts(started, o.offset_minutes))), "source": F.lit("apt"), "program": F.lit("dpkg"), "event": F.lit("dpkg"), "message": message, "extra": extra})
 
 
 def udev(lines: DataFrame, o: Options) -> DataFrame:
-    d = _blocks(lines, _is(UDEV), ~_is(VISIBLE)).where(F.col("_block").isNotNull() & _is(VISIBLE))
-    g = d.groupBy("src_file", "_block").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    text = F.transform("_l", lambda x: x["line"])
-    g = g.withColumn("_h", F.get(text, 0)).withColumn("_p", F.transform(F.filter(F.slice(text, 2, F.size(text)), lambda x: x.contains("=")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, "=(.*)$", 1).alias("v"))))
-    h, kept = F.col("_h"), _distinct(F.col("_p"))
-    g = _indexed(g)
-    seconds = F.regexp_extract(h, UDEV, 2).try_cast("double")
-    return g.withColumns({"ts": F.timestamp_micros((seconds * 1000000).cast("long")).cast("timestamp_ntz"), "source": F.lit("udev"), "program": F.lit("udev"), "event": F.lower(F.regexp_extract(h, UDEV, 3)), "path": F.coalesce(_last("DEVPATH"), F.regexp_extract(h, UDEV, 4)), "message": h, "extra": F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(kept))), "raw": F.array_join(text, "\n")})
+    """An event for each block of a device monitor, with its KEY=value lines, the last of equal keys, and for each line outside.
+
+    A block whose text is longer than BLOCK_CHARS goes on in further events with the same time, message and path, whose
+    raw text and keys are those of the next lines.
+    """
+    d = _blocks(lines, _trimmed(F.col("line")).rlike(UDEV), ~_is(VISIBLE), {}).where(_is(VISIBLE))
+    pair = d.where(F.col("_in") & ~F.col("_starts") & F.col("line").contains("="))
+    at = F.instr("line", "=")
+    pair = pair.select("src_file", "_start", "_part", "line_no", _trimmed(F.substring(F.col("line"), F.lit(1), at - 1)).alias("k"), _trimmed(F.substring(F.col("line"), at + 1, F.length("line"))).alias("v"))
+    block = ["src_file", "_start"]
+    last = pair.groupBy(*block, "_part", "k").agg(F.max_by("v", "line_no").alias("v"), F.min("line_no").alias("n"))
+    keys = last.groupBy(*block, "_part").agg(F.array_sort(F.collect_list(F.struct("n", "k", "v"))).alias("_p"))
+    paths = pair.where("k = 'DEVPATH'").groupBy(*block).agg(F.max_by("v", "line_no").alias("_path"))
+    # one row for each block
+    folds = d.groupBy(*block).agg(F.max("_in").alias("_in"), F.min_by("line", "line_no").alias("_head")).join(paths, block, "left")
+    g = _parts(d).join(folds, block).join(keys, [*block, "_part"], "left")
+    h = _trimmed(F.col("_head"))
+    kind, seconds, action, device = (F.regexp_extract(h, UDEV, i) for i in range(1, 5))
+    entries = F.map_from_entries(F.transform("_p", lambda x: F.struct(x["k"], x["v"])))
+    return g.withColumns(
+        {
+            "ts": F.when(F.col("_in"), F.timestamp_micros((seconds.try_cast("double") * 1000000).cast("long")).cast("timestamp_ntz")),
+            "source": F.lit("udev"),
+            "program": F.lit("udev"),
+            "event": F.when(F.col("_in"), F.lower(kind)).otherwise("udev"),
+            "path": _known(F.col("_path")),
+            "message": F.when(F.col("_in"), F.concat_ws(" ", kind, action, device)).otherwise(F.col("_head")),
+            "extra": F.when(F.col("_p").isNotNull(), F.to_json(entries)),
+        }
+    )
 
 
 def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFrame:
