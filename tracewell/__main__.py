@@ -29,9 +29,10 @@ def printed(rows: DataFrame, limit: int) -> None:
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewell")
     sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("ingest", help="parse files into a new case")
+    a = sub.add_parser("ingest", help="parse files into a case")
     a.add_argument("path")
     a.add_argument("--case", required=True)
+    a.add_argument("--append", action="store_true", help="the case is there; its events keep their ids")
     a.add_argument("--type", choices=sorted(engine.PARSERS))
     a.add_argument("--year", type=int, help="year of logs that have none")
     a.add_argument("--user", help="whose shell history it is")
@@ -77,7 +78,10 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as e:
             sys.stderr.write(f"{e}\n")
             return 2
-        engine.Case(engine.numbered(found)).save(o.case, "errorifexists")
+        if o.append:
+            engine.Case.append(spark, o.case, found)
+        else:
+            engine.Case(engine.numbered(found)).save(o.case, "errorifexists")
         printed(manifest.orderBy("src_file"), export.MOST_ROWS)
         return 0
     if o.command == "detect":

@@ -13,6 +13,7 @@ from tracewell import export
 from tracewell.functions.columns import ip_in_cidr
 from tracewell.operators import analytics, binaries, ioc, timeline
 from tracewell.functions.tables import few, persisted, starts
+from tracewell.operators.positions import Positions
 from tracewell.plans import readonly
 from tracewell.plans import rules as R
 from tracewell.plans.search import EXTRA_PREFIXES, OPERATOR, Fields, compile_query, normal_name
@@ -79,7 +80,24 @@ class Case:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Case:
-        return cls(spark.read.parquet(path))
+        """A saved case; positions of one that was appended to come from its ranges."""
+        events, kept = spark.read.parquet(path), Positions(spark, f"{path}/_positions")
+        return cls(events.drop("seq").join(kept.seq(), "id") if kept.generation() else events)
+
+    @staticmethod
+    def append(spark: SparkSession, path: str, found: DataFrame) -> None:
+        """Adds events without id to a saved case: ids there stay, new ones go on after them, and only the ranges of positions that new rows fall into are numbered again.
+
+        The first append gives the case its ranges. One that broke off after its events were written is made good by the
+        next, which takes in all events beyond the largest id that has a position; append no rows to do just that.
+        """
+        there = spark.read.parquet(path)
+        top = there.agg(F.max("id").alias("top")).first()["top"]
+        new = numbered(found).withColumn("id", F.col("id") + (0 if top is None else top + 1))
+        Case(new, seqd=False).save(path, "append")
+        kept, events = Positions(spark, f"{path}/_positions"), spark.read.parquet(path).select("id", "ts")
+        covered = kept.top()
+        kept.add(events if covered is None else events.where(F.col("id") > covered))
 
     def save(self, path: str, mode: str = "overwrite") -> None:
         """Cut into ranges of source, time and id, so one large source is many files and time and id ranges prune them; Bloom filters let a lookup skip the files of a range that lack a value."""
