@@ -65,6 +65,45 @@ def test_logfmt_last_key_wins_and_bad_numbers_stay(spark):
     assert json.loads(r["extra"]) == {"pid": "x", "z": "2"}
 
 
+def test_values_of_each_parser(spark):
+    def one(kind, line, **options):
+        return {k: v for k, v in parsed(spark, kind, line, **options)[-1].items() if v is not None and k not in ("raw", "line_no", "src_file", "sigma_ok", "sigma_logsource")}
+
+    r = one("logfmt", 'time=2024-01-02T03:04:05Z SrcIP=1.2.3.4 ip=5.6.7.8 acct="" user=joe status=abc code=404 verb=GET event=login Length=7 lvl=Odd msg="a b" k=1 k=2')
+    assert (r["src_ip"], r["user"], r["status"], r["method"], r["bytes"], r["severity"], r["message"], str(r["ts"])) == ("1.2.3.4", "joe", 404, "GET", 7, "Odd", "a b", "2024-01-02 03:04:05")
+    assert json.loads(r["extra"]) == {"ip": "5.6.7.8", "status": "abc", "event": "login", "k": "2"} and "event" not in r
+    r = one("csv", "Event Time,Time,User,Dst IP,Note,Note\nx,bad,joe,9.9.9.9,1,2,more")
+    assert r["user"] == "joe" and json.loads(r["extra"]) == {"Event Time": "x", "Time": "bad", "Dst IP": "9.9.9.9", "Note": "2", "col7": "more"}
+    assert str(one("csv", "date,time\nnone,2024-01-02T03:04:05Z")["ts"]) == "2024-01-02 03:04:05"
+    assert json.loads(one("csv", "a,1b\n3,4")["extra"]) == {"col1": "3", "col2": "4"}
+    assert one("dmesg", "[ 1.5] x") == {"source": "dmesg", "program": "kernel", "event": "kernel", "message": "x", "extra": '{"ktime":1.5}'}
+    assert one("fontconfig", "/usr/f: caching, x") == {"source": "fontconfig", "event": "fontconfig", "path": "/usr/f", "message": "/usr/f: caching, x"}
+    assert one("bash_history", "# 12 \nls") | {"ts": 0} == {"ts": 0, "source": "bash_history", "program": "bash", "event": "command", "message": "ls"}
+    assert one("weberror", "odd 2024/01/02 03:04:05") == {"source": "weberror", "event": "web_error", "message": "odd 2024/01/02 03:04:05"}
+    r = one("access", '- - - [01/Feb/2024:10:00:00 +0000] "junk" 200 1')
+    assert r["path"] == "junk" and "src_ip" not in r and "method" not in r and r["severity"] == "info"
+    r = one("access", "2024-01-02 03:04:05 logfile turned over")
+    assert str(r["ts"]) == "2024-01-02 03:04:05" and set(r) == {"ts", "source", "message"}
+    r = one("auth", "Jan  2 03:04:05 h sshd[1]: Accepted publickey for joe from 1.2.3.4 port 22 ssh2", base_year=2024)
+    assert (r["event"], r["severity"], r["user"], r["src_port"]) == ("ssh_accepted", "accept", "joe", 22)
+    r = one("auth", "Jan  2 03:04:05 h sudo: joe : TTY=x ; PWD=/ ; USER=root ; COMMAND=/bin/ls", base_year=2024)
+    assert (r["event"], r["severity"], r["user"]) == ("sudo", "info", "joe") and "exe" not in r
+    assert set(one("syslog", "Foo  2 03:04:05 h p: at 2024-01-02 03:04:05", base_year=2024)) == {"source", "message"}
+    assert one("syslog", "Jan  2 03:04:05 <auth.warning> h p: x", base_year=2024)["severity"] == "warn"
+    assert "severity" not in one("syslog", "Jan  2 03:04:05 <fatal> h p: x", base_year=2024)
+    assert one("applog", "2024-01-02 03:04:05 ERROR")["message"] == "ERROR"
+
+
+def test_audit_values_that_took_decoding(spark):
+    got = parsed(spark, "auditd", """type=EXECVE msg=audit(1.0:5): argc=2 a0="id" a1=2D75
+type=CWD msg=audit(1.0:5): cwd=2F746D702F61
+type=PROCTITLE msg=audit(1.0:5): proctitle="plain"
+type=USER_X msg=audit(1.0:6): uid=1 res=1 msg='no pairs'""")
+    run, user = json.loads(got[0]["extra"]), got[3]
+    assert (run["cwd"], run["proctitle"], run["_dec"]) == ("/tmp/a", "plain", "cmd,cwd") and got[0]["program"] == "auditd"
+    assert user["severity"] is None and json.loads(user["extra"])["msg"] == "no pairs"
+
+
 def test_csv_with_and_without_header(spark):
     got = parsed(spark, "csv", 'time,user,note\n2024-01-02T03:04:05Z,joe,"a, b"')
     assert len(got) == 1 and got[0]["user"] == "joe" and json.loads(got[0]["extra"])["note"] == "a, b"
@@ -277,7 +316,7 @@ def test_only_newlines_end_a_line(spark):
     assert r["status"] == 200 and r["raw"].endswith("\r")
     (r,) = parsed(spark, "auditd", "type=PATH msg=audit(1700000000.1:1): item=0 name=\u2028x\r")
     assert r["event"] == "path"
-    assert [r["message"] for r in parsed(spark, "bash_history", "#1700000000\r\nls")] == ["#1700000000\r", "ls"]
+    assert [(r["message"], str(r["ts"])) for r in parsed(spark, "bash_history", "#1700000000\r\nls")] == [("ls", "2023-11-14 22:13:20")]
 
 
 def test_state_passes_from_block_to_block(spark, monkeypatch):

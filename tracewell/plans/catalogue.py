@@ -408,7 +408,7 @@ _STATUS = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200
 
 def _parse_logfmt(s: SparkSession, d: str) -> DataFrame:
     line = F.expr(f"concat('ts=', replace({_TS}, ' ', 'T'), 'Z level=', if(event_type='error','ERROR','info'), ' user=', user_id, ' event=', event_type, ' pid=', event_id, ' k=\"', event_id % 7, '\"')")
-    return parse(_rendered(s, d, line), "logfmt").select("line_no", "ts", "severity", "user", "event", "pid", F.get_json_object("extra", "$.k").alias("k"))
+    return parse(_rendered(s, d, line), "logfmt").select("line_no", "ts", "severity", "user", F.get_json_object("extra", "$.event").alias("event"), "pid", F.get_json_object("extra", "$.k").alias("k"))
 
 
 add("parse_logfmt", _parse_logfmt, f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CAST(user_id AS VARCHAR) AS \"user\", event_type AS event, CAST(event_id AS INTEGER) AS pid, CAST(event_id % 7 AS VARCHAR) AS k FROM events")
@@ -431,7 +431,7 @@ def _parse_auth(s: SparkSession, d: str) -> DataFrame:
 add(
     "parse_auth",
     _parse_auth,
-    f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} AS ts, 'web01' AS host, 'sshd' AS program, CAST(event_id AS INTEGER) AS pid, CASE event_type WHEN 'error' THEN 'ssh_failed' WHEN 'click' THEN 'ssh_accepted' END AS event, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'info' END AS severity, CASE WHEN event_type IN ('error', 'click') THEN 'u' || user_id END AS \"user\", CASE event_type WHEN 'error' THEN '10.1.2.3' WHEN 'click' THEN '10.1.2.4' END AS src_ip, CAST(CASE event_type WHEN 'error' THEN 1000 + event_id % 5000 WHEN 'click' THEN 22 END AS INTEGER) AS src_port, 'linux/sshd' AS sigma_logsource FROM events",
+    f"SELECT CAST(event_id AS INTEGER) AS line_no, {_CUT} AS ts, 'web01' AS host, 'sshd' AS program, CAST(event_id AS INTEGER) AS pid, CASE event_type WHEN 'error' THEN 'ssh_failed' WHEN 'click' THEN 'ssh_accepted' END AS event, CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'accept' END AS severity, CASE WHEN event_type IN ('error', 'click') THEN 'u' || user_id END AS \"user\", CASE event_type WHEN 'error' THEN '10.1.2.3' WHEN 'click' THEN '10.1.2.4' END AS src_ip, CAST(CASE event_type WHEN 'error' THEN 1000 + event_id % 5000 WHEN 'click' THEN 22 END AS INTEGER) AS src_port, 'linux/sshd' AS sigma_logsource FROM events",
 )
 
 
@@ -447,7 +447,7 @@ def _parse_csv(s: SparkSession, d: str) -> DataFrame:
     o = read(s, d, "orders")
     rows = o.select(F.lit("o.csv").alias("src_file"), (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.expr("concat(date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00Z,u', o_custkey, ',\"', o_orderpriority, ', x\",', o_orderkey)").alias("line"), F.lit(2024).alias("file_year"))
     head = s.createDataFrame([("o.csv", -2147483648, "timestamp,user,priority name,pid", 2024)], rows.schema)
-    return parse(head.unionByName(rows.repartition(s.sparkContext.defaultParallelism)), "csv").select("line_no", "ts", "user", "pid", F.get_json_object("extra", "$.priority_name").alias("priority"))
+    return parse(head.unionByName(rows.repartition(s.sparkContext.defaultParallelism)), "csv").select("line_no", "ts", "user", "pid", F.get_json_object("extra", "$['priority name']").alias("priority"))
 
 
 add("parse_csv", _parse_csv, "SELECT CAST(o_orderkey + 1 AS INTEGER) AS line_no, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS ts, 'u' || o_custkey AS \"user\", CAST(o_orderkey AS INTEGER) AS pid, o_orderpriority || ', x' AS priority FROM orders")
@@ -487,7 +487,7 @@ def _ingested(s: SparkSession, d: str) -> DataFrame:
     e.where("event_type <> 'error' or event_type is null").select("value").write.text(f"{folder}/plain")
     found, manifest = engine.ingest(s, folder)
     files = manifest.select("src_file", "type", F.col("status").alias("file_status"))
-    return found.join(files, "src_file").select("ts", "severity", "user", "event", "pid", "type", "file_status")
+    return found.join(files, "src_file").select("ts", "severity", "user", F.get_json_object("extra", "$.event").alias("event"), "pid", "type", "file_status")
 
 
 add("ingest_events", _ingested, f"SELECT {_CUT} AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CAST(user_id AS VARCHAR) AS \"user\", event_type AS event, CAST(event_id AS INTEGER) AS pid, 'logfmt' AS type, 'ok' AS file_status FROM events")

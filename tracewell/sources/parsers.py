@@ -159,9 +159,16 @@ def scanned_ts(line: Column, offset_minutes: int = 0) -> Column:
     return F.coalesce(parsed_ts(F.when(iso != "", iso), offset_minutes), _less(slash, offset_minutes), F.when(part[4].isin("UTC", "GMT"), ctime).otherwise(_less(ctime, offset_minutes)))
 
 
-def _severity(word: Column) -> Column:
-    w = F.lower(word)
-    return F.when(w.isin("emerg", "alert", "crit", "critical", "err", "error", "fatal", "panic"), "error").when(w.isin("warning", "warn"), "warn").when(w.isin("notice", "info"), "info").when(w.isin("debug", "trace"), "debug")
+# Words of priorities and of levels, by the severity they stand for.
+PRIORITIES = {"error": "emerg alert crit err error", "warn": "warning warn", "info": "notice info", "debug": "debug"}
+LEVELS = {"error": "fatal critical crit error err", "warn": "warning warn", "info": "notice info", "debug": "debug trace"}
+
+
+def _severity(word: Column, words: dict[str, str] = LEVELS) -> Column:
+    w, out = F.lower(word), F.lit(None).cast("string")
+    for severity, names in words.items():
+        out = F.when(w.isin(names.split()), severity).otherwise(out)
+    return out
 
 
 def _json(pairs: dict[str, Column]) -> Column:
@@ -185,7 +192,8 @@ def syslog(lines: DataFrame, o: Options, source: str = "syslog") -> DataFrame:
     def pick(i: int, j: int) -> Column:
         return F.when(a, _at("_a", i)).when(b, _at("_b", j))
 
-    ts = F.when(a, _less(_made(base + F.col("_count"), F.col("_m"), _at("_a", 2), _at("_a", 3)), o.offset_minutes)).when(b, parsed_ts(_at("_b", 1))).otherwise(scanned_ts(F.col("line"), o.offset_minutes))
+    odd = F.when(~_hit("_a"), scanned_ts(F.col("line"), o.offset_minutes))  # a line with an unknown month has no time
+    ts = F.when(a, _less(_made(base + F.col("_count"), F.col("_m"), _at("_a", 2), _at("_a", 3)), o.offset_minutes)).when(b, parsed_ts(_at("_b", 1))).otherwise(odd)
     d = d.withColumns(
         {
             "ts": ts,
@@ -193,7 +201,7 @@ def syslog(lines: DataFrame, o: Options, source: str = "syslog") -> DataFrame:
             "host": pick(5, 3),
             "program": pick(6, 4),
             "pid": pick(7, 5).try_cast("int"),
-            "severity": _severity(F.substring_index(pick(4, 2), ".", -1)),
+            "severity": _severity(F.substring_index(pick(4, 2), ".", -1), PRIORITIES),
             "message": F.when(a | b, F.coalesce(pick(8, 6), F.lit(""))).otherwise(F.col("line")),
             "raw": F.col("line"),
         }
@@ -203,7 +211,7 @@ def syslog(lines: DataFrame, o: Options, source: str = "syslog") -> DataFrame:
 
 #: Events of authentication: name, severity, pattern, and which groups hold user, address and port (0: none).
 _AUTH = (
-    ("ssh_accepted", "info", ACCEPTED, 4, (2, 3, 4)),
+    ("ssh_accepted", "accept", ACCEPTED, 4, (2, 3, 4)),
     ("ssh_failed", "fail", FAILED, 4, (2, 3, 4)),
     ("ssh_invalid_user", "fail", INVALID, 3, (1, 2, 3)),
     ("sudo", "info", SUDO, 3, (1, 0, 0)),
@@ -230,8 +238,7 @@ def _auth(d: DataFrame) -> DataFrame:
     def group(k: int) -> Column:
         return _known(F.get(F.col("_g"), of([x[4][k] if x[4][k] else 99 for x in _AUTH])))
 
-    sudo = [x[0] for x in _AUTH].index("sudo")
-    return d.withColumns({"event": of([x[0] for x in _AUTH]), "severity": F.coalesce(of([x[1] for x in _AUTH]), F.col("severity")), "user": group(0), "src_ip": group(1), "src_port": group(2).try_cast("int"), "exe": F.when(F.col("_kind") == sudo, _at("_g", 3))})
+    return d.withColumns({"event": of([x[0] for x in _AUTH]), "severity": F.coalesce(of([x[1] for x in _AUTH]), F.col("severity")), "user": group(0), "src_ip": group(1), "src_port": group(2).try_cast("int")})
 
 
 def access(lines: DataFrame, o: Options) -> DataFrame:
@@ -250,7 +257,7 @@ def access(lines: DataFrame, o: Options) -> DataFrame:
     shaped = (F.substring("_t", 3, 1) == "/") & (F.substring("_t", 7, 1) == "/") & (F.substring("_t", 12, 1) == ":")
     zone = F.substring("_z", 2, 4).try_cast("int")
     minutes = F.when(F.substring("_z", 1, 1).isin("+", "-") & (F.length("_z") >= 5) & zone.isNotNull(), F.when(F.col("_z").startswith("-"), -1).otherwise(1) * (F.floor(zone / 100) * 60 + zone % 100)).otherwise(0).cast("int")
-    ts = F.when(shaped, iso.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=minutes)
+    ts = F.when(known, F.when(shaped, iso.try_cast("timestamp_ntz")) - F.make_dt_interval(mins=minutes)).otherwise(scanned_ts(F.col("line")))
     request, status = pick(4, 6), _dash(pick(5, 7)).try_cast("int")
     d = d.withColumn("_r", F.split(F.trim(request), r"\s+"))
     return d.withColumns(
@@ -259,17 +266,17 @@ def access(lines: DataFrame, o: Options) -> DataFrame:
             "source": F.lit("access"),
             "program": F.when(known, "http"),
             "event": F.when(known, "http_request"),
-            "src_ip": pick(1, 1),
+            "src_ip": _dash(pick(1, 1)),
             "user": _dash(pick(2, 3)),
             "pid": pick(0, 5).try_cast("int"),
             "method": F.when(F.size("_r") >= 2, F.get("_r", F.lit(0))),
-            "path": F.when(F.size("_r") >= 2, F.get("_r", F.lit(1))),
+            "path": F.when(F.size("_r") >= 2, F.get("_r", F.lit(1))).otherwise(_known(F.get("_r", F.lit(0)))),
             "status": status,
             "bytes": _dash(pick(6, 8)).try_cast("long"),
             "referer": pick(7, 9),
             "user_agent": pick(8, 10),
             "severity": F.when(status >= 500, "error").when(status >= 400, "warn").when(known, "info"),
-            "message": F.coalesce(request, F.col("line")),
+            "message": F.when(known, F.coalesce(request, F.lit(""))).otherwise(F.col("line")),
             "extra": F.when(via, _json({"dst": _at("_v", 2)})),
             "raw": F.col("line"),
         }
@@ -287,7 +294,7 @@ def weberror(lines: DataFrame, o: Options) -> DataFrame:
             "ts": scanned_ts(F.when(n, _x(NGINX_ERROR, 1)).when(a, F.regexp_replace(_x(APACHE_ERROR, 1), r"\.\d+ ", " ")), o.offset_minutes),
             "source": F.lit("weberror"),
             "program": F.when(n, "nginx").when(a, "apache"),
-            "event": F.when(n | a, "web_error"),
+            "event": F.lit("web_error"),
             "severity": F.when(n, _x(NGINX_ERROR, 2)).when(a, _x(APACHE_ERROR, 2)),
             "pid": F.when(n, _x(NGINX_ERROR, 3)).when(a, _x(APACHE_ERROR, 3)).try_cast("int"),
             "src_ip": client,
@@ -301,10 +308,10 @@ def weberror(lines: DataFrame, o: Options) -> DataFrame:
 
 def bash_history(lines: DataFrame, o: Options) -> DataFrame:
     d = lines.where("line <> ''")
-    mark = r"^#(\d{9,})$"
+    mark = r"^#\s*(\d+)\s*$"
     d = stateful(d, F.col("line"), lambda before, line: F.lit(False))
     d = d.withColumn("ts", F.timestamp_seconds(_x(mark, 1, "_prev").try_cast("long")).cast("timestamp_ntz")).where(~_is(mark))
-    return d.withColumns({"source": F.lit("bash_history"), "event": F.lit("command"), "user": F.lit(o.user).cast("string"), "message": F.col("line"), "raw": F.col("line")})
+    return d.withColumns({"source": F.lit("bash_history"), "program": F.lit("bash"), "event": F.lit("command"), "user": F.lit(o.user).cast("string"), "message": F.col("line"), "raw": F.col("line")})
 
 
 def applog(lines: DataFrame, o: Options) -> DataFrame:
@@ -315,7 +322,7 @@ def applog(lines: DataFrame, o: Options) -> DataFrame:
             "ts": F.when(known, parsed_ts(_x(APPLOG, 1), o.offset_minutes)).otherwise(scanned_ts(F.col("line"), o.offset_minutes)),
             "source": F.lit("applog"),
             "severity": _severity(level),
-            "message": F.when(level.isNotNull(), _x(APPLOG_LEVEL, 2, rest)).otherwise(F.coalesce(rest, F.col("line"))),
+            "message": F.coalesce(F.when(level.isNotNull(), _x(APPLOG_LEVEL, 2, rest)), rest, F.when(known, F.lit("")).otherwise(F.col("line"))),
             "raw": F.col("line"),
         }
     )
@@ -348,52 +355,82 @@ def _distinct(p: Column) -> Column:
     return F.filter(p, lambda x, i: F.array_position(F.col("_k"), x["k"]) == n - i)
 
 
-#: Keys that fill a column, in order of preference.
+# Keys that fill a column, and keys that hold the time.
 LOGFMT_KEYS = {
-    "severity": "level lvl severity sev",
-    "message": "msg message",
-    "program": "app service program logger component",
-    "user": "user username usr",
+    "user": "user usr username acct account",
+    "src_ip": "src_ip srcip ip addr client clientip remote remote_addr",
     "host": "host hostname",
-    "src_ip": "ip src_ip client_ip remote_addr addr src",
-    "src_port": "port src_port",
     "pid": "pid",
-    "method": "method",
-    "path": "path uri url",
-    "status": "status code",
-    "bytes": "bytes size",
-    "exe": "exe cmd command",
-    "event": "event",
+    "src_port": "port sport src_port",
+    "status": "status code status_code statuscode",
+    "method": "method verb",
+    "path": "path url uri request",
+    "exe": "exe cmd command executable",
+    "program": "program proc process service prog app",
+    "severity": "severity level lvl sev",
+    "bytes": "bytes size length bytes_sent",
+    "referer": "referer referrer",
+    "user_agent": "user_agent ua useragent",
+    "message": "msg message",
 }
-TS_KEYS = "ts time timestamp datetime date t @timestamp".split()
+LOGFMT_TIMES = "ts time timestamp date @timestamp datetime eventtime".split()
+CSV_TIMES = "ts time timestamp datetime date @timestamp eventtime _time time_generated timegenerated".split()
+HEADER = r"(?U)^[A-Za-z_][\w .\-/@]{0,48}$"
 _INTEGER = {"src_port": "int", "pid": "int", "status": "int", "bytes": "long"}
 
 
+def _columns(d: DataFrame, entries: Column) -> DataFrame:
+    """_e: entries (k, v) with c, the column that a key fills, null if the value cannot; _c and _w: all c and v."""
+    names = F.create_map(*[F.lit(x) for c, keys in LOGFMT_KEYS.items() for k in keys.split() for x in (k, c)])
+
+    def entry(x: Column) -> Column:
+        c = F.try_element_at(names, F.lower(x["k"]))
+        fits = F.when(c.isin(*_INTEGER), x["v"].try_cast("long").isNotNull()).otherwise(x["v"] != "")
+        return F.struct(x["k"].alias("k"), x["v"].alias("v"), F.when(fits, c).alias("c"), c.isNotNull().alias("known"))
+
+    return d.withColumn("_e", F.transform(entries, entry)).withColumns({"_c": F.col("_e.c"), "_w": F.col("_e.v")})
+
+
 def _filled() -> dict[str, Column]:
+    """Of several keys of a column the first in the line fills it."""
     out = {}
-    for column, keys in LOGFMT_KEYS.items():
-        v = F.coalesce(*[_last(k) for k in keys.split()])
+    for column in LOGFMT_KEYS:
+        v = F.get(F.col("_w"), (F.array_position(F.col("_c"), column) - 1).cast("int"))
         out[column] = v.try_cast(_INTEGER[column]) if column in _INTEGER else v
-    out["severity"] = F.coalesce(_severity(out["severity"]), F.lower(out["severity"]))
+    out["severity"] = F.coalesce(_severity(out["severity"]), out["severity"])
     return out
 
 
-def _rest(drop: list[str]) -> Column:
-    used = [k for c, keys in LOGFMT_KEYS.items() if c not in _INTEGER for k in keys.split()]
-    numeric = [k for c in _INTEGER for k in LOGFMT_KEYS[c].split()]
-    left = F.filter(_distinct(F.col("_p")), lambda x: ~x["k"].isin(*used, *drop) & ~(x["k"].isin(*numeric) & x["v"].try_cast("long").isNotNull()))
-    return F.when(F.size(left) > 0, F.to_json(F.map_from_entries(left)))
+def _rest(times: list[str], last_only: bool = False) -> Column:
+    """JSON of the entries that fill no column; an empty value of a column's key fills none and is not kept."""
+    n = F.size("_e")
+    left = F.filter("_e", lambda x, i: ~x["k"].isin(*times) & ((F.array_position(F.col("_c"), x["c"]) != i + 1) | (x["c"].isNull() & ~(x["known"] & (x["v"] == "")))))
+    if last_only:  # of equal names the last
+        keys = F.transform(left, lambda x: x["k"])
+        left = F.filter(left, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, n), x["k"]))
+    return F.when(F.size(left) > 0, F.to_json(F.map_from_entries(F.transform(left, lambda x: F.struct(x["k"], x["v"])))))
+
+
+def _time_of(v: Column, o: Options) -> Column:
+    return F.coalesce(parsed_ts(v), scanned_ts(v, o.offset_minutes))
 
 
 def logfmt(lines: DataFrame, o: Options) -> DataFrame:
+    """key=value lines: of equal keys the last value counts, at the place of the first; keys of columns in any case."""
     d = _indexed(_lines(lines).withColumn("_p", pairs(F.col("line"))))
-    stamp = F.coalesce(*[_last(k) for k in TS_KEYS if k.isalpha()])
-    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest(TS_KEYS)})
+    once = F.filter("_p", lambda x, i: F.array_position(F.col("_p.k"), x["k"]) == i + 1)
+    d = _columns(d, F.transform(once, lambda x: F.struct(x["k"].alias("k"), F.get(F.col("_v"), (F.array_position(F.col("_k"), x["k"]) - 1).cast("int")).alias("v"))))
+    stamp = F.coalesce(*[_last(k) for k in LOGFMT_TIMES if k.isalpha()])
+    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(_time_of(stamp, o), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest(LOGFMT_TIMES)})
     return d.withColumns({"source": F.lit("logfmt"), "message": F.coalesce("message", "line"), "raw": F.col("line")})
 
 
 def csv(lines: DataFrame, o: Options) -> DataFrame:
-    """The first non-blank line is the header if all its cells look like names; else columns are col1, col2, ..."""
+    """The first non-blank line is the header if all its cells look like names; else columns are col1, col2, ...
+
+    The first time column that can be read gives the time; time columns stay in extra, too. Cells beyond the header are
+    named by their place.
+    """
     cell = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
 
     def cells(line: str) -> Column:
@@ -401,25 +438,24 @@ def csv(lines: DataFrame, o: Options) -> DataFrame:
 
     # one row for each file
     heads = _lines(lines).groupBy("src_file").agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_at"))
-    heads = heads.withColumn("_first", cells("_head")).withColumn("_named", (F.size("_first") >= 2) & F.forall("_first", lambda c: c.rlike(r"^[A-Za-z_@][\w .@/-]*$")))
-    names = F.when(F.col("_named"), F.transform("_first", lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("_")))))
-    d = _lines(lines).join(heads.select("src_file", "_at", "_named", names.alias("_names")), "src_file").where(~(F.col("_named") & (F.col("line_no") == F.col("_at"))))
-    d = d.withColumn("_c", cells("line"))
-    keys = F.coalesce("_names", F.transform("_c", lambda c, i: F.concat(F.lit("col"), (i + 1).cast("string"))))
-    p = F.filter(F.zip_with(keys, "_c", lambda k, v: F.struct(k.alias("k"), v.alias("v"))), lambda x: x["k"].isNotNull() & x["v"].isNotNull() & (x["v"] != ""))
-    d = _indexed(d.withColumn("_p", p))
-    stamp = F.coalesce(*[_last(k) for k in TS_KEYS])
-    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(parsed_ts(stamp), scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest([])})
+    heads = heads.withColumn("_first", cells("_head")).withColumn("_named", (F.size("_first") >= 2) & F.forall("_first", lambda c: c.rlike(HEADER)))
+    d = _lines(lines).join(heads.select("src_file", "_at", "_named", F.when(F.col("_named"), F.col("_first")).alias("_names")), "src_file").where(~(F.col("_named") & (F.col("line_no") == F.col("_at"))))
+    named = F.transform(cells("line"), lambda v, i: F.struct(F.coalesce(F.get(F.col("_names"), i), F.concat(F.lit("col"), (i + 1).cast("string"))).alias("k"), v.alias("v")))
+    d = _columns(d, F.filter(named, lambda x: x["v"] != ""))
+    d = d.withColumn("_times", F.transform(F.filter("_e", lambda x: F.lower(x["k"]).isin(*CSV_TIMES)), lambda x: x["v"]))
+    later = F.transform(F.slice("_times", 2, F.greatest(F.size("_times") - 1, F.lit(0))), lambda v: _time_of(v, o))
+    stamp = F.coalesce(_time_of(F.get("_times", F.lit(0)), o), F.get(F.filter(later, lambda x: x.isNotNull()), F.lit(0)))
+    d = d.withColumns(_filled()).withColumns({"ts": F.coalesce(stamp, scanned_ts(F.col("line"), o.offset_minutes)), "extra": _rest([], True)})
     return d.withColumns({"source": F.lit("csv"), "event": F.lit("csv"), "message": F.coalesce("message", "line"), "raw": F.col("line")})
 
 
 def dmesg(lines: DataFrame, o: Options) -> DataFrame:
-    return _lines(lines).withColumns({"source": F.lit("dmesg"), "program": F.lit("kernel"), "event": F.lit("dmesg"), "message": F.coalesce(_x(DMESG, 2), F.col("line")), "extra": _json({"ktime": _x(DMESG, 1).try_cast("double")}), "raw": F.col("line")})
+    return _lines(lines).withColumns({"source": F.lit("dmesg"), "program": F.lit("kernel"), "event": F.lit("kernel"), "message": F.coalesce(_x(DMESG, 2), F.col("line")), "extra": _json({"ktime": _x(DMESG, 1).try_cast("double")}), "raw": F.col("line")})
 
 
 def fontconfig(lines: DataFrame, o: Options) -> DataFrame:
     head = F.substring_index("line", ":", 1)
-    return _lines(lines).withColumns({"source": F.lit("fontconfig"), "program": F.lit("fontconfig"), "event": F.lit("fontconfig"), "path": F.when(head.contains("/") & F.col("line").contains(":"), F.trim(head)), "message": F.col("line"), "raw": F.col("line")})
+    return _lines(lines).withColumns({"source": F.lit("fontconfig"), "event": F.lit("fontconfig"), "path": F.when(head.contains("/") & F.col("line").contains(":"), F.trim(head)), "message": F.col("line"), "raw": F.col("line")})
 
 
 def raw(lines: DataFrame, o: Options) -> DataFrame:
@@ -536,8 +572,8 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
     d = d.withColumns({"_known": _hit("_g"), "_t": F.lower(_at("_g", 1)), "_epoch": _at("_g", 2), "_serial": _at("_g", 4), "_body": F.coalesce(_at("_g", 5), F.lit(""))}).drop("_g")
     d = stateful(d, F.struct(F.col("_serial").alias("s")), lambda before, own: ~before["s"].eqNullSafe(own["s"])).withColumnRenamed("_count", "_island")
     body = F.col("_body")
-    inner = F.when(body.contains("msg='"), F.regexp_extract(body, r"msg='([^']*)'", 1)).otherwise("")
-    outer = F.when(body.contains("msg='"), F.regexp_replace(body, r"msg='[^']*'", "")).otherwise(body)
+    inner = F.when(body.contains("msg='"), F.regexp_extract(body, r"msg='([^']*=[^']*)'", 1)).otherwise("")
+    outer = F.when(inner != "", F.regexp_replace(body, r"msg='[^']*'", "")).otherwise(body)
     d = _indexed(d.withColumn("_p", F.when(inner == "", pairs(outer)).otherwise(F.concat(pairs(inner), pairs(outer)))))
 
     def decoded(v: Column, key: str) -> Column:
@@ -556,7 +592,15 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
         quoted = F.col("_body").contains(F.concat(key, F.lit('="'), v, F.lit('"')))
         return hex_decoded(v) if decode_quoted else F.when(quoted, v).otherwise(hex_decoded(v))
 
-    args = F.filter(F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), argument), lambda x: x.isNotNull())
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    args = F.filter(F.transform(places, argument), lambda x: x.isNotNull())
+    coded = F.exists(places, lambda i: argument(i) != F.get(F.col("_v"), (F.array_position(F.col("_k"), F.concat(F.lit("a"), i.cast("string"))) - 1).cast("int")))
+
+    def read(key: str) -> Column:
+        """A value as text, and whether that took decoding."""
+        v = decoded(get(key), key)
+        return F.when(v.isNotNull(), F.struct(v.alias("text"), (v != get(key)).alias("coded")))
+
     is_exec = F.col("_t") == "execve"
     ip, port = sockaddr(get("saddr"))
     d = d.withColumns(
@@ -572,8 +616,9 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
             "_ip": ip,
             "_port": port,
             "_ppid": get("ppid"),
-            "_cwd": get("cwd"),
-            "_title": decoded(get("proctitle"), "proctitle"),
+            "_coded": F.when(is_exec, coded),
+            "_cwd": read("cwd"),
+            "_title": read("proctitle"),
             "_pairs": _distinct(F.col("_p")),
         }
     )
@@ -597,12 +642,12 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
             for k, v in {
                 "serial": F.col("_serial"),
                 "ppid": F.when(is_exec, F.col("_gppid")),
-                "cwd": F.when(is_exec, F.col("_gcwd")),
-                "proctitle": F.when(is_exec, F.col("_gtitle")),
+                "cwd": F.when(is_exec, F.col("_gcwd.text")),
+                "proctitle": F.when(is_exec, F.col("_gtitle.text")),
                 "parent_exe": F.col("_parent"),
                 "dst_ip": F.when(shared, F.col("_gip")),
                 "dst_port": F.when(shared, F.col("_gport")),
-                "_dec": F.when(is_exec & (F.lower("_body").rlike(r"a\d+=[0-9a-f]{4,}(\s|$)")), F.lit("cmd")).when(shared & F.col("_gip").isNotNull(), F.lit("dst_ip,dst_port")),
+                "_dec": _known(F.concat_ws(",", F.when(is_exec & F.col("_coded"), "cmd"), F.when(is_exec & F.col("_gcwd.coded"), "cwd"), F.when(shared & F.col("_gip").isNotNull(), "dst_ip,dst_port"), F.when(is_exec & F.col("_gtitle.coded"), "proctitle"))),
             }.items()
         ]
     )
@@ -613,8 +658,9 @@ def auditd(lines: DataFrame, o: Options, decode_quoted: bool = True) -> DataFram
     return d.withColumns(
         {
             "source": F.lit("auditd"),
+            "program": F.lit("auditd"),
             "exe": F.when(is_exec, F.coalesce("_exe", "_gexe")).otherwise(F.col("_exe")),
-            "severity": F.when(F.col("_ok").isin("no", "failed", "fail", "0"), "fail").when(F.col("_ok").isNotNull(), "info"),
+            "severity": F.when(F.col("_ok").isin("no", "failed"), "fail").when(F.col("_ok").isin("yes", "success"), "info"),
             "message": F.when(~F.col("_known"), F.col("line")).when(is_exec & (F.col("_args") != ""), F.col("_args")).otherwise(other),
             "extra": F.when(F.size(both) > 0, F.to_json(F.map_from_entries(both))),
             "raw": F.col("line"),
