@@ -65,6 +65,26 @@ def test_logfmt_last_key_wins_and_bad_numbers_stay(spark):
     assert json.loads(r["extra"]) == {"pid": "x", "z": "2"}
 
 
+def test_types_by_content(spark):
+    iso = "2024-01-02T03:04:05Z h {}: x\n"
+    files = {
+        "auth": iso.format("sshd-session[1]") * 2 + iso.format("app") * 2 + "\nodd\n",  # half of the lines with a program
+        "kern": iso.format("kernel") * 7 + iso.format("p") * 2 + "odd\nodd\nodd",
+        "cron": iso.format("CRON[1]") * 3,
+        "syslog": iso.format("cronie") * 3 + iso.format("suid") * 2,
+        "csv": "id,Dst IP,note\n1,x,\"a, b, c\"\n2,y,z\n3,y",
+        "raw": "1,2,3\n4,5,6\n7,8,9",  # no header
+        "bash_history": "#1700000000\nls -l\n# 17\ncat x\n./run",
+        "udev": "  UDEV [1.0] add /a\nA=1\n\n  UDEV [2.0] add /b",
+        "applog": "x 2024/01/02 03:04:05\nprose, here\nmore: prose",
+        "logfmt": "ts=2024-01-02T03:04:05Z a=1\nb=2 c=3",
+    }
+    rows = [(k, i + 1, line) for k, t in files.items() for i, line in enumerate(t.split("\n"))]
+    lines = spark.createDataFrame(rows, "src_file string, line_no int, line string").withColumn("src_file", F.concat(F.lit("f_"), F.translate("src_file", "aeiouy", "012345")))
+    got = {r["src_file"]: r["type"] for r in detected(lines).collect()}
+    assert got == {"f_" + k.translate(str.maketrans("aeiouy", "012345")): k for k in files}
+
+
 def test_values_of_each_parser(spark):
     def one(kind, line, **options):
         return {k: v for k, v in parsed(spark, kind, line, **options)[-1].items() if v is not None and k not in ("raw", "line_no", "src_file", "sigma_ok", "sigma_logsource")}

@@ -24,7 +24,10 @@ NAMES = [
     (r"fontconfig|fc-cache", "fontconfig"),
     (r"udev(adm)?(monitor)?", "udev"),
 ]
-HEAD = 200
+#: Programs of authentication logs, besides all that begin with sshd.
+AUTH_PROGRAMS = "sudo su login sshd systemd-logind polkitd polkit unix_chkpwd gdm-password gdm passwd useradd usermod groupadd sshd-session".split()
+#: Non-blank lines that a type is told by, and those of them that must fit a header.
+HEAD, CSV_HEAD = 200, 80
 
 
 def by_name(name: Column) -> Column:
@@ -41,33 +44,39 @@ def by_content(lines: DataFrame) -> DataFrame:
     """src_file, by_content: decided by the shares of the first 200 non-blank lines that fit each format."""
     head = P._lines(lines).withColumn("_r", F.row_number().over(Window.partitionBy("src_file").orderBy("line_no"))).where(F.col("_r") <= HEAD)
     line = F.col("line")
-    cells = F.size(F.split(line, ","))
-    head = head.withColumn("_cells", cells).withColumn("_first", F.first("_cells").over(Window.partitionBy("src_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    head = head.withColumn("_cells", F.size(P.cells("line"))).withColumn("_h", F.when(F.col("_r") == 1, P.cells("line")))
+    # at most HEAD rows of a file
+    first = Window.partitionBy("src_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = head.withColumn("_first", F.max(F.when(P.is_header("_h"), F.col("_cells"))).over(first))
+    fits = (F.col("_cells") >= 2) & (F.abs(F.col("_cells") - F.col("_first")) <= 1)
 
     def share(p: Column, name: str) -> Column:
         return F.avg(F.coalesce(p, F.lit(False)).cast("double")).alias(name)
 
-    program = F.regexp_extract(line, P.SYSLOG, 6)
-    syslog = line.rlike(P.SYSLOG) | line.rlike(P.SYSLOG_ISO)
+    plain, dated = line.rlike(P.SYSLOG), line.rlike(P.SYSLOG_ISO)
+    syslog = plain | dated
+    program = F.when(plain, F.regexp_extract(line, P.SYSLOG, 6)).when(dated, F.regexp_extract(line, P.SYSLOG_ISO, 4))
+    command = line.rlike(P.HISTORY_MARK) | (~plain & ~line.rlike(P.ACCESS) & line.rlike(r"(?U)^\s*[\w./~-]+(\s|$)"))
     s = head.groupBy("src_file").agg(
         share(line.rlike(P.AUDIT), "auditd"),
         share(line.rlike(P.NGINX_ERROR) | line.rlike(P.APACHE_ERROR), "weberror"),
         share(line.rlike(P.ACCESS) | line.rlike(P.ACCESS_VIA), "access"),
         F.max("_first").alias("width"),
-        share(F.abs(F.col("_cells") - F.col("_first")) <= 1, "csv"),
+        F.avg(F.when((F.col("_r") > 1) & (F.col("_r") <= CSV_HEAD), F.coalesce(fits, F.lit(False)).cast("double"))).alias("csv"),
         share(line.rlike(P.DMESG), "dmesg"),
-        F.sum(line.rlike(P.UDEV).cast("int")).alias("udev"),
-        F.max(line.rlike(P.LOG_START)).alias("apt_start"),
+        F.sum(P._trimmed(line).rlike(P.UDEV).cast("int")).alias("udev"),
+        F.max(P._trimmed(line).rlike(P.LOG_START)).alias("apt_start"),
         F.sum(line.rlike(P.DPKG).cast("int")).alias("apt"),
         share(line.rlike(P.FONTCONFIG), "fontconfig"),
         share(syslog, "syslog"),
-        share(program.startswith("kernel"), "kern"),
-        share(F.upper(program).startswith("CRON"), "cron"),
-        share(F.lower(program).rlike("^(sshd|sudo|su|login|systemd-logind|passwd|useradd)"), "auth"),
+        # of the lines with a program
+        F.avg((program == "kernel").cast("double")).alias("kern"),
+        F.avg(program.isin("CRON", "cron").cast("double")).alias("cron"),
+        F.avg((program.isin(AUTH_PROGRAMS) | program.startswith("sshd")).cast("double")).alias("auth"),
         share(F.size(F.regexp_extract_all(line, F.lit(P.PAIR), F.lit(1))) >= 2, "logfmt"),
         share(line.rlike(P.TS_ANY), "applog"),
-        F.sum(line.rlike(r"^#\d{9,}$").cast("int")).alias("marks"),
-        share(line.rlike(r"^#\d{9,}$") | line.rlike(r"^[\w./~-]+(\s|$)"), "commands"),
+        F.sum(line.rlike(P.HISTORY_MARK).cast("int")).alias("marks"),
+        share(command, "commands"),
     )
     c = F.col
     kind = (

@@ -39,6 +39,7 @@ LOG_START, LOG_END = r"(?i)^Log started:\s*(.+)$", r"(?i)^Log ended:\s*(.+)$"
 DPKG = r"^(Unpacking|Setting up|Removing|Installing|Purging|Selecting|Preparing|Processing|Configuring)\b"
 FONTCONFIG = r"(: caching,|: skipping,|: cleaning |: not cleaning|^fc-cache:|caching, new cache contents:)"
 UDEV = r"^(UEVENT|UDEV)\s*\[\s*(\d+(?:\.\d+)?)\]\s+(\S+)\s+(.*)$"
+HISTORY_MARK = r"^#\s*(\d+)\s*$"
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 ACCEPTED = r"Accepted (\w+) for (\S+) from ([\da-fA-F:.]+) port (\d+)"
 FAILED = r"Failed (\w+) for (?:invalid user )?(\S+) from ([\da-fA-F:.]+) port (\d+)"
@@ -308,9 +309,8 @@ def weberror(lines: DataFrame, o: Options) -> DataFrame:
 
 def bash_history(lines: DataFrame, o: Options) -> DataFrame:
     d = lines.where("line <> ''")
-    mark = r"^#\s*(\d+)\s*$"
     d = stateful(d, F.col("line"), lambda before, line: F.lit(False))
-    d = d.withColumn("ts", F.timestamp_seconds(_x(mark, 1, "_prev").try_cast("long")).cast("timestamp_ntz")).where(~_is(mark))
+    d = d.withColumn("ts", F.timestamp_seconds(_x(HISTORY_MARK, 1, "_prev").try_cast("long")).cast("timestamp_ntz")).where(~_is(HISTORY_MARK))
     return d.withColumns({"source": F.lit("bash_history"), "program": F.lit("bash"), "event": F.lit("command"), "user": F.lit(o.user).cast("string"), "message": F.col("line"), "raw": F.col("line")})
 
 
@@ -425,20 +425,26 @@ def logfmt(lines: DataFrame, o: Options) -> DataFrame:
     return d.withColumns({"source": F.lit("logfmt"), "message": F.coalesce("message", "line"), "raw": F.col("line")})
 
 
+def cells(line: str) -> Column:
+    """The cells of a CSV line, unquoted and trimmed."""
+    found = F.regexp_extract_all(line, F.lit(r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""), F.lit(1))
+    return F.transform(found, lambda c: F.trim(F.replace(_unquoted(F.trim(c)), F.lit('""'), F.lit('"'))))
+
+
+def is_header(found: str) -> Column:
+    """Whether all of at least two cells look like names."""
+    return (F.size(found) >= 2) & F.forall(found, lambda c: c.rlike(HEADER))
+
+
 def csv(lines: DataFrame, o: Options) -> DataFrame:
     """The first non-blank line is the header if all its cells look like names; else columns are col1, col2, ...
 
     The first time column that can be read gives the time; time columns stay in extra, too. Cells beyond the header are
     named by their place.
     """
-    cell = r"""(?:^|,)("(?:[^"]|"")*"|[^,]*)"""
-
-    def cells(line: str) -> Column:
-        return F.transform(F.regexp_extract_all(line, F.lit(cell), F.lit(1)), lambda c: F.trim(F.replace(_unquoted(F.trim(c)), F.lit('""'), F.lit('"'))))
-
     # one row for each file
     heads = _lines(lines).groupBy("src_file").agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_at"))
-    heads = heads.withColumn("_first", cells("_head")).withColumn("_named", (F.size("_first") >= 2) & F.forall("_first", lambda c: c.rlike(HEADER)))
+    heads = heads.withColumn("_first", cells("_head")).withColumn("_named", is_header("_first"))
     d = _lines(lines).join(heads.select("src_file", "_at", "_named", F.when(F.col("_named"), F.col("_first")).alias("_names")), "src_file").where(~(F.col("_named") & (F.col("line_no") == F.col("_at"))))
     named = F.transform(cells("line"), lambda v, i: F.struct(F.coalesce(F.get(F.col("_names"), i), F.concat(F.lit("col"), (i + 1).cast("string"))).alias("k"), v.alias("v")))
     d = _columns(d, F.filter(named, lambda x: x["v"] != ""))
