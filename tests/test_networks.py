@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import ip_to_long, net_bounds
-from tracewell.operators import ioc
+from tracewell.operators import analytics, ioc
 from tracewell.operators.analytics import enrich_any, enrich_ip
 from tracewell.operators.networks import innermost
 
@@ -45,6 +45,22 @@ def test_the_longest_prefix_counts(spark, seed):
     assert got == {i: longest(four, i) for i in ips if ":" not in i} | {"x": None}
 
 
+def test_addresses_of_one_leading_part_use_several_ranges(spark, monkeypatch):
+    written, kept = {}, analytics.persisted
+    monkeypatch.setattr(analytics, "persisted", lambda df, label: written.setdefault(label, kept(df, label)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # the wide network begins in the first range and holds in all of them
+        nets = spark.createDataFrame([(*net_bounds(n), n) for n in ("2001:db8::/32", "2001:db8:1::/120")], "net_start string, net_end string, net string")
+        rows = spark.range(4000).select(F.concat(F.lit("2001:db8:1::"), F.lower(F.hex("id"))).alias("ip"))
+        got = enrich_any(rows, F.col("ip"), nets).groupBy("net").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["net"]: r["count"] for r in got} == {"2001:db8:1::/120": 256, "2001:db8::/32": 3744}
+    parts = [r["count"] for r in written["ranges"].groupBy("_part").count().collect()]
+    assert len(parts) > 4 and max(parts) < 1000
+
+
 def test_intervals_become_disjoint(spark):
     rows = [("h", 0, 100, "a"), ("h", 10, 20, "b"), ("h", 10, 20, "c"), ("h", 15, 30, "d"), ("h", 100, 100, "e"), ("g", 5, 6, "f")]
     got = innermost(spark.createDataFrame(rows, "head string, net_start long, net_end long, org string"), "head").collect()
