@@ -124,6 +124,18 @@ type=USER_X msg=audit(1.0:6): uid=1 res=1 msg='no pairs'""")
     assert user["severity"] is None and json.loads(user["extra"])["msg"] == "no pairs"
 
 
+def test_lines_of_one_csv_file_stay_in_many_tasks(spark):
+    rows = [("f", i, "time,user" if not i else f"x,u{i}", 2024) for i in range(800)]
+    lines = spark.createDataFrame(rows, "src_file string, line_no int, line string, file_year int").repartition(8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = [r["count"] for r in parse(lines, "csv").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(parts) == 799 and max(parts) < 200
+
+
 def test_csv_with_and_without_header(spark):
     got = parsed(spark, "csv", 'time,user,note\n2024-01-02T03:04:05Z,joe,"a, b"')
     assert len(got) == 1 and got[0]["user"] == "joe" and json.loads(got[0]["extra"])["note"] == "a, b"
