@@ -15,6 +15,7 @@ from tracewell import engine
 from tracewell.operators.binaries import catalogue, executed
 from tracewell.operators.marks import Marks
 from tracewell.plans import rules as R
+from tracewell.sources import parsers
 from tracewell.sources.detect import by_name, detected
 from tracewell.sources.lines import unpacked
 from tracewell.sources.parsers import Options, parse
@@ -124,6 +125,17 @@ type=USER_X msg=audit(1.0:6): uid=1 res=1 msg='no pairs'""")
     assert user["severity"] is None and json.loads(user["extra"])["msg"] == "no pairs"
 
 
+def test_audit_lines_are_dealt_out_without_their_pairs(spark, monkeypatch):
+    written, kept = {}, parsers.persisted
+    monkeypatch.setattr(parsers, "persisted", lambda df, label: written.setdefault(label, kept(df, label)))
+    head = "type={} msg=audit(1700000000.5:{}): {}"
+    lines = [head.format("SYSCALL", 1, 'pid=7 ppid=1 exe="/bin/sh"'), head.format("SYSCALL", 2, 'pid=8 ppid=7 exe="/bin/ls"'), head.format("EXECVE", 2, 'argc=2 a0="ls" a1=2D6C'), head.format("USER_AUTH", 3, "pid=9 msg='op=x acct=\"joe\" res=failed'"), "none"]
+    got = parsed(spark, "auditd", "\n".join(lines))
+    assert [r["message"] for r in got][2:] == ["ls -l", "x", "none"] and got[3]["user"] == "joe" and got[3]["severity"] == "fail"
+    assert json.loads(got[2]["extra"])["parent_exe"] == "/bin/sh" and got[2]["exe"] == "/bin/ls" and got[4]["extra"] is None
+    assert written["audit"].count() == 5 and not any(kind.startswith("array") for _, kind in written["audit"].dtypes)
+
+
 def test_lines_of_one_csv_file_stay_in_many_tasks(spark):
     rows = [("f", i, "time,user" if not i else f"x,u{i}", 2024) for i in range(800)]
     lines = spark.createDataFrame(rows, "src_file string, line_no int, line string, file_year int").repartition(8)
