@@ -143,6 +143,45 @@ def test_audit_lines_are_dealt_out_without_their_pairs(spark, monkeypatch):
     assert written["audit"].count() == 5 and not any(kind.startswith("array") for _, kind in written["audit"].dtypes)
 
 
+def test_audit_lines_are_taken_once_and_long_groups_stay_in_many_tasks(spark, monkeypatch):
+    head = "type={} msg=audit(1700000000.5:{}): {}"
+    lines = [head.format("SYSCALL", 1, 'pid=7 ppid=1 exe="/bin/sh"')]
+    lines += [head.format("SYSCALL", 2, 'pid=8 ppid=7 exe="/bin/ls"'), *[head.format("PATH", 2, f"item={i}") for i in range(20)], head.format("EXECVE", 2, 'argc=2 a0="ls" a1=2D6C'), head.format("CWD", 2, 'cwd="/tmp"'), head.format("SOCKADDR", 2, "saddr=020000350A0100010000000000000000")]
+    lines += ["none", head.format("EXECVE", 2, 'argc=1 a0="id"'), head.format("SYSCALL", 3, "pid=9 ppid=8"), head.format("EXECVE", 3, "argc=1 a0=x a0=y cwd=z serial=0"), head.format("SOCKADDR", 3, "saddr=020000350A0100020000000000000000"), "none", "none"]
+    lines += [head.format("EXECVE", 4, "argc=0"), head.format("SOCKADDR", 4, "saddr=020000350A0100030000000000000000"), head.format("SYSCALL", 4, 'exe="/bin/id" ppid=8'), head.format("SOCKADDR", 4, "saddr=020000350A0100040000000000000000")]
+
+    def facts(kept, extra=lambda r: json.loads(r["extra"] or "{}")):
+        return [(r["line_no"], r["exe"], r["message"], *[extra(r).get(k) for k in ("serial", "ppid", "cwd", "parent_exe", "dst_ip", "_dec")]) for r in kept]
+
+    whole = facts(parsed(spark, "auditd", "\n".join(lines)))
+    assert whole[22] == (23, "/bin/ls", "ls -l", "2", "7", "/tmp", "/bin/sh", None, "cmd") and whole[1][7] == "10.1.0.1"
+    assert whole[26] == (27, None, "id", "2", None, None, None, None, None)
+    assert whole[28] == (29, None, "y", "3", "8", "z", "/bin/ls", None, None) and whole[27][7] == "10.1.0.2"
+    assert whole[32] == (33, "/bin/id", "argc=0", "4", "8", None, "/bin/ls", None, None) and whole[34][7] == whole[35][7] == "10.1.0.4"
+    taken, written, kept = spark.sparkContext.accumulator(0), {}, parsers.persisted
+
+    def counted(rows):
+        for r in rows:
+            taken.add(1)
+            yield r
+
+    monkeypatch.setattr(parsers, "persisted", lambda df, label: written.setdefault(label, kept(df, label)))
+    rows = [("f.log", i + 1, x, 2024) for i, x in enumerate(lines)]
+    source = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).mapPartitions(counted), "src_file string, line_no int, line string, file_year int")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for size in (1, 7):
+            monkeypatch.setattr(parsers, "BLOCK_LINES", size)
+            written.clear()
+            before = taken.value
+            assert facts(parse(source, "auditd").orderBy("line_no").collect()) == whole, size
+            assert taken.value - before == len(lines), size
+            assert written["audit"].where("_serial = '2'").select(F.input_file_name()).distinct().count() > 1, size
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_lines_of_one_csv_file_stay_in_many_tasks(spark):
     rows = [("f", i, "time,user" if not i else f"x,u{i}", 2024) for i in range(800)]
     lines = spark.createDataFrame(rows, "src_file string, line_no int, line string, file_year int").repartition(8)
