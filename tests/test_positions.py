@@ -88,3 +88,19 @@ def test_shell_option(flag):
     from tracewell.__main__ import options
 
     assert options().parse_args(["ingest", "x", "--case", "c", *flag]).append == bool(flag)
+
+
+def test_context_around_anchors_without_or_with_repeated_ids(spark, tmp_path):
+    """Every sign-up is an anchor and nothing else is, whatever its id."""
+    import duckdb
+
+    from tracewell.plans import catalogue
+
+    rows = [(None, "00:10:00", "signup"), (1, "00:12:00", "signup"), (1, "03:00:00", "click"), (2, "03:01:00", "view"), (3, "00:20:00", "signup"), (3, "00:20:00", "signup"), (4, None, "signup"), (5, "00:00:00", "view")]
+    df = spark.createDataFrame([(i, t and f"2024-01-01 {t}", 7, e, 1.0, '{"k": 1}') for i, t, e in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(props AS JSON) AS props) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["context_time"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["context_time"](spark, str(tmp_path)).collect()]
+    assert len(want) == 17 and sorted(got, key=str) == sorted(want, key=str)
