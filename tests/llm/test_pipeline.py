@@ -38,6 +38,15 @@ def test_run_equals_the_stages_one_by_one(spark, sf_dir):
     assert sum(r["length"] for r in got) == sum(want.values())
 
 
+def test_language_stage_tells_the_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = {x: [r["text"] for r in docs.where(F.col("lang") == x).orderBy("doc_id").limit(5).collect()] for x in ("en", "de", "fr", "es")}
+    odd = [(-1, "Привет как дела", "en", None, None), (-2, rows["de"][0], None, None, None), (-3, rows["fr"][0], "en", None, None), (-4, "日本語", None, None, None), (-5, "12 34", "en", None, None)]
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), sf_dir).collect()}
+    assert {i: x for i, x in kept.items() if i < 0} == {-2: "de", -3: "fr"}
+    assert {i: x for i, x in kept.items() if i >= 0} == {r["doc_id"]: r["lang"] for r in docs.collect()}
+
+
 def written(spark, folder, rows, labels):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{folder}/documents.parquet")

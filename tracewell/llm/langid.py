@@ -98,6 +98,11 @@ class Model:
         self.cache[w] = k
         return k
 
+    def without_prior(self) -> Model:
+        """This model with all languages alike beforehand, so a text that tells nothing has no language."""
+        self.prior = np.zeros(len(self.langs))
+        return self
+
     def forget(self) -> None:
         """Empties the cache at the end of a task, as workers live on for other tasks."""
         self.cache.clear()
@@ -173,9 +178,9 @@ def predict(docs: DataFrame, model: Model, held_out=None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is determined with at least min_score.
+    """The rows of docs whose language is determined with at least min_score; lang is that language, all other columns are as they are.
 
-    If there is nothing to learn from, no language can be determined, and every row with a letter stays.
+    If there is nothing to learn from, no language can be determined, and every row with a letter stays, with its lang.
     """
     python_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,6 +191,8 @@ def identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFra
             if m.langs:
                 got = [m.predict(t.as_py()) for t in b.column("text")]
                 kept = [x[0] != UNDETERMINED and x[1] >= min_score for x in got]
+                at = b.schema.get_field_index("lang")
+                b = b.set_column(at, b.schema.field(at), pa.array([x[0] for x in got], b.schema.field(at).type))
             else:
                 kept = [any(c.isalpha() for c in t.as_py() or "") for t in b.column("text")]
             yield b.filter(pa.array(kept, pa.bool_()))
